@@ -16,5 +16,105 @@ def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), percent=85)
 
 
-QUERIES = {"op4_near_duplicates": op4_near_duplicates}
-ORACLES: dict[str, str] = {}
+def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from tessera.llm.packing import pack
+
+    return pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")).select(
+        "doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset"
+    )
+
+
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.line_dedup import drop_frequent_lines
+
+    kept = drop_frequent_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
+OP2_SQL = r"""
+WITH line AS (
+  SELECT doc_id, n, l, translate(trim(l, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+         'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k
+  FROM (SELECT doc_id, generate_subscripts(ls, 1) AS n, unnest(ls) AS l
+        FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents))
+), frequent AS (
+  SELECT k, max(doc_id) AS keeper FROM line WHERE length(k) >= 40 GROUP BY k HAVING count(DISTINCT doc_id) >= 5
+), marked AS (
+  SELECT line.*, coalesce(keeper <> doc_id, false) AS gone FROM line LEFT JOIN frequent USING (k)
+)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
+       sha256(coalesce(string_agg(l, chr(10) ORDER BY n) FILTER (WHERE NOT gone), '')) AS kept_sha256
+FROM marked GROUP BY doc_id
+"""
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.toxicity import fit, severity
+
+    docs = _table(spark, sf_dir, "documents")
+    return severity(docs, fit(docs, _table(spark, sf_dir, "labels")))
+
+
+def op6_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.fingerprint import compare_with_edits, shown
+
+    out = compare_with_edits(_table(spark, sf_dir, "documents"))
+    return out.select(
+        "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), shown(F.col("fingerprint")).alias("fingerprint"),
+        shown(F.col("edited_fingerprint")).alias("edited_fingerprint"), "near_edited", "near_next",
+    )
+
+
+def op7_png_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.media import read_media, to_media
+
+    out = read_media(to_media(_table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text"))
+    size = F.octet_length("payload")
+    return out.select(
+        "doc_id", "n_bytes", size.cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_sha256"),
+        F.crc32(F.expr("substring(payload, -64, 64)")).alias("tail_crc32"), F.octet_length("media").cast("long").alias("media_bytes"),
+        F.sha2("media", 256).alias("media_sha256"), F.lower(F.hex("feature")).alias("feature"),
+    )
+
+
+def op8_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.quality import importance_resample
+
+    return importance_resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+URL_RULES = (("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block"))
+
+
+def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.url_filter import BLOCKED_LABELS, judge, label_rule, site_rule
+
+    pages = _table(spark, sf_dir, "pages").select("page_id", "url")
+    rules = [site_rule(text, verdict) for text, verdict in URL_RULES]
+    return judge(pages, rules, fallback=[label_rule(x, "block") for x in BLOCKED_LABELS]).select("page_id", "host", "path", "rule", "verdict")
+
+
+OP10_SQL = r"""
+WITH parts AS (
+  SELECT page_id, coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+         coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path
+  FROM pages
+), judged AS (
+  SELECT *, CASE
+      WHEN (host = 'example.org' OR ends_with(host, '.example.org')) AND starts_with(path, '/en/1') THEN 'example.org/en/1'
+      WHEN (host = 'example.org' OR ends_with(host, '.example.org')) AND starts_with(path, '/es/') THEN 'example.org/es/'
+      WHEN (host = 'com' OR ends_with(host, '.com')) AND starts_with(path, '/de/') THEN 'com/de/'
+      WHEN (host = 'com' OR ends_with(host, '.com')) AND starts_with(path, '/fr/') THEN 'com/fr/'
+      WHEN (host = 'org' OR ends_with(host, '.org')) AND starts_with(path, '/') THEN 'org/' END AS rule
+  FROM parts
+)
+SELECT page_id, host, path, rule,
+       CASE WHEN rule IN ('org/', 'com/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block'
+            WHEN regexp_matches(host, '(^|\.)(ads-track|free-bets|cheap-pills|spam-farm|casino-win|adult-x)\.') THEN 'block' ELSE 'allow' END AS verdict
+FROM judged
+"""
+
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_line_dedup, op3_toxicity, op4_near_duplicates, op6_winnowing, op7_png_columns, op8_importance_resampling, op10_url_filter)}
+ORACLES = {"op2_line_dedup": OP2_SQL, "op10_url_filter": OP10_SQL}
