@@ -1,8 +1,9 @@
 """Quality by importance resampling.
 
 Two bags of hashed words and word pairs describe the target texts (labelled as good) and the raw corpus (all texts).  A
-text's log importance weight is the sum, over its n-grams, of the log ratio of the two.  Gumbel noise is added to the
-weights, and the top k documents are the sample; ``k`` is the number of documents whose mean ratio is at or above a
+text's log importance weight is the sum, over its n-grams, of the log ratio of the two.  For sampling, each weight is
+taken at the standard length of ``length`` n-grams, so that long texts are neither favoured nor punished.  Gumbel noise is
+added, and the top k documents are the sample; ``k`` is the number of documents whose mean ratio is at or above a
 threshold that separates the labelled ones.  The k-th largest key is found exactly, by counting its leading bits, and
 never by sorting or collecting documents.
 """
@@ -101,7 +102,7 @@ def kth_largest(keys: DataFrame, column: str, k: int) -> int | None:
 
 
 def importance_resample(
-    docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", flag: str = "quality", max_labelled: int = 20_000, seed: int = 7, alpha: float = 1.0
+    docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", flag: str = "quality", max_labelled: int = 20_000, length: int = 512, seed: int = 7, alpha: float = 1.0
 ) -> DataFrame:
     """One row for each document: (doc_id, n_grams, log_weight, mean_ratio, gumbel_key, selected).
 
@@ -124,7 +125,7 @@ def importance_resample(
     weighed = docs.mapInArrow(_weights(spark.sparkContext.broadcast(ratio)), "doc_id long, n_grams long, log_weight double")
     uniform = (F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1 << 52)) + 0.5) / float(1 << 52)
     mean = F.when(F.col("n_grams") > 0, F.col("log_weight") / F.col("n_grams")).otherwise(0.0)
-    scored = scratch.table(weighed.withColumn("mean_ratio", mean).withColumn("gumbel_key", F.col("log_weight") - F.log(-F.log(uniform))))
+    scored = scratch.table(weighed.withColumn("mean_ratio", mean).withColumn("gumbel_key", F.col("mean_ratio") * length - F.log(-F.log(uniform))))
     known = spark.createDataFrame([(r.doc_id, r.flag) for r in sample], "doc_id long, flag int")
     seen = scored.join(F.broadcast(known), "doc_id").select("mean_ratio", "flag").limit(4 * max_labelled).toPandas()
     threshold = best_threshold(seen.mean_ratio.to_numpy(), seen.flag.to_numpy() == 1)

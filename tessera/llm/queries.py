@@ -57,6 +57,12 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return severity(docs, fit(docs, _table(spark, sf_dir, "labels")))
 
 
+def op5_ppm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.lm_score import score
+
+    return score(_table(spark, sf_dir, "documents"))
+
+
 def op6_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.fingerprint import compare_with_edits, shown
 
@@ -116,5 +122,5 @@ SELECT page_id, host, path, rule,
 FROM judged
 """
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_line_dedup, op3_toxicity, op4_near_duplicates, op6_winnowing, op7_png_columns, op8_importance_resampling, op10_url_filter)}
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_line_dedup, op3_toxicity, op4_near_duplicates, op5_ppm_scores, op6_winnowing, op7_png_columns, op8_importance_resampling, op10_url_filter)}
 ORACLES = {"op2_line_dedup": OP2_SQL, "op10_url_filter": OP10_SQL}
