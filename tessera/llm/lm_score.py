@@ -3,8 +3,9 @@
 A text is modelled as its words, A-Z lower-cased, with one space between them and one end sign (a line feed) after them,
 as UTF-8.  The pretrained model is a trie of byte contexts of up to ``order`` bytes with the counts of the bytes that
 followed them in all training texts.  A byte is predicted in the longest known context; an unseen one escapes to the next
-shorter context (method C: as likely as there are distinct successors), where the symbols that the longer context has
-are excluded, down to a uniform choice of the bytes seen nowhere.  A text's score is the log10 of its probability.
+shorter context (method D: half a count of every distinct successor goes to the escape), where the symbols that the longer
+context has are excluded, down to a uniform choice of the bytes seen nowhere.  A shorter context counts a byte once for
+each longer context in which it is new.  A text's score is the log10 of its probability.
 
 Counts of all (order + 1)-grams and words are reduced inside tasks and then by key.  Shorter contexts follow by summing.
 The probability of a byte depends on its (order + 1)-gram alone, so each batch of texts looks up its distinct grams.  Up to
@@ -88,7 +89,7 @@ class Trie:
         self.order, self.levels = order, []
         for k in range(order, -1, -1):
             if k < order:
-                codes, counts = _merge([(codes & np.uint64((1 << 8 * (k + 1)) - 1), counts)])
+                codes, counts = np.unique(codes & np.uint64((1 << 8 * (k + 1)) - 1), return_counts=True)
             contexts, at = np.unique(codes >> np.uint64(8), return_inverse=True)
             self.levels.append([codes, counts.astype(np.float64), contexts, np.bincount(at, counts).astype(np.float64), np.bincount(at).astype(np.float64), at])
         for i, (upper, lower) in enumerate(zip(self.levels[:-1], self.levels[1:], strict=True)):
@@ -115,10 +116,10 @@ class Trie:
             free, kind = total[at] - mass, distinct[at] - kinds
             gram, seen = self._find(known, code)
             seen &= here
-            all_ = np.maximum(free + kind, 1)
-            out[left[seen]] = spent[seen] + np.log10(counts[gram[seen]] / all_[seen])
+            free = np.maximum(free, 1)  # none is free only where no kind is
+            out[left[seen]] = spent[seen] + np.log10((counts[gram[seen]] - 0.5) / free[seen])
             escapes = here & (kind > 0)
-            spent = np.where(escapes, spent + np.log10(np.where(escapes, kind, 1) / all_), spent)
+            spent = np.where(escapes, spent + np.log10(np.where(escapes, kind, 1) / 2 / free), spent)
             mass = np.where(here, excluded[at] if k else 0, 0.0)
             kinds = np.where(here, distinct[at], 0.0)
             stay = ~seen
@@ -184,7 +185,9 @@ def _log10_by_joins(codes: DataFrame, trie: DataFrame, order: int) -> DataFrame:
     """(key, log10) of distinct grams ``key``, from the counts (key, n) of the trie's deepest grams: one join of the
     grams and one of their contexts for each order, all by key."""
     low = lambda c, k: F.col(c).bitwiseAND((1 << 8 * k) - 1) if isinstance(c, str) else c.bitwiseAND((1 << 8 * k) - 1)
-    level = {k: trie.groupBy(low("key", k + 1).alias("gram")).agg(F.sum("n").alias("c")) for k in range(order + 1)}
+    level = {order: trie.select(F.col("key").alias("gram"), F.col("n").alias("c"))}
+    for k in range(order - 1, -1, -1):
+        level[k] = level[k + 1].groupBy(low("gram", k + 1).alias("gram")).agg(F.count("*").alias("c"))
     state = codes.select("key", F.lit(0.0).alias("spent"), F.lit(None).cast("double").alias("found"), F.lit(0.0).alias("mass"), F.lit(0.0).alias("kinds"))
     for k in range(order, -1, -1):
         here = level[k].withColumn("context", F.shiftright("gram", 8))
@@ -195,12 +198,12 @@ def _log10_by_joins(codes: DataFrame, trie: DataFrame, order: int) -> DataFrame:
         contexts = here.groupBy("context").agg(F.sum("c").alias("total"), F.count("*").alias("distinct_"), F.sum("below").alias("excluded"))
         state = state.join(contexts, F.shiftright(low("key", k + 1), 8) == F.col("context"), "left").join(level[k], low("key", k + 1) == F.col("gram"), "left")
         free, kind = F.col("total") - F.col("mass"), F.col("distinct_") - F.col("kinds")
-        all_ = F.greatest(free + kind, F.lit(1.0))
+        free = F.greatest(free, F.lit(1.0))
         open_ = F.col("found").isNull()
         state = state.select(
             "key",
-            F.when(open_ & F.col("c").isNotNull(), F.col("spent") + F.log10(F.col("c") / all_)).otherwise(F.col("found")).alias("found"),
-            F.when(open_ & F.col("c").isNull() & (kind > 0), F.col("spent") + F.log10(kind / all_)).otherwise(F.col("spent")).alias("spent"),
+            F.when(open_ & F.col("c").isNotNull(), F.col("spent") + F.log10((F.col("c") - 0.5) / free)).otherwise(F.col("found")).alias("found"),
+            F.when(open_ & F.col("c").isNull() & (kind > 0), F.col("spent") + F.log10(kind / 2 / free)).otherwise(F.col("spent")).alias("spent"),
             F.when(F.col("total").isNotNull(), F.col("excluded").cast("double")).otherwise(0.0).alias("mass"),
             F.when(F.col("total").isNotNull(), F.col("distinct_").cast("double")).otherwise(0.0).alias("kinds"),
         )
