@@ -237,10 +237,10 @@ def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", or
     small = next((r.rows for r in size if r.kind == GRAM), 0) <= broadcast_rows
     trie = None
     if small:
-        rows = deepest.toPandas()
-        codes = rows.key.to_numpy(np.int64).view(np.uint64)
+        rows = deepest.toArrow()
+        codes = rows.column("key").to_numpy().view(np.uint64)
         by = np.argsort(codes)
-        trie = spark.sparkContext.broadcast(Trie(codes[by], rows.n.to_numpy(np.int64)[by], order))
+        trie = spark.sparkContext.broadcast(Trie(codes[by], rows.column("n").to_numpy()[by], order))
     scored = scratch.table(docs.mapInArrow(_scores(order, trie, held_words), "row long, doc_id long, held_out boolean, n_tokens long, known long, hot_sum double, score double, cold array<long>"))
     cold = scored.select("row", F.explode("cold").alias("key")).groupBy("row", "key").agg(F.count("*").alias("times"))
     found = cold.join(words, "key", "left").withColumn("n", F.coalesce("n", F.lit(0)))

@@ -10,6 +10,7 @@ plan's size is bounded by the capacity (at most 63 * 4 * 2048 steps for 2048 tok
 from __future__ import annotations
 
 import bisect
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,53 +21,39 @@ from pyspark.sql import functions as F
 
 from tessera.llm import shared
 
-#: Distinct words a task keeps the ids of; beyond it the memory is emptied, which costs time only.
-REMEMBERED = 1 << 20
 PIECES = "doc_id long, piece int, start long, length long, ids binary, task int, rank long"
 
 
-class WordTokenizer:
-    """Ids of texts through the ids of their distinct blank-separated words.
+@functools.cache
+def word_memory(path: str) -> shared.PartMemory:
+    """A worker's memory of the ids of distinct blank-separated words.
 
     Exact for tokenizers whose rules never reach across blanks and drop them (as the lower-casing BPE with word ends).
     """
+    from tokenizers import Tokenizer
 
-    def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.known: dict[bytes, int] = {}
-        self.ids: list[np.ndarray] = []
-
-    def encode(self, texts: list[str], end: int) -> list[np.ndarray]:
-        """For each text its ids and then ``end``."""
-        if len(self.known) > REMEMBERED:
-            self.known, self.ids = {}, []
-        split = [t.encode("utf-8").split() for t in texts]  # at \x20 and \x09-\x0D
-        new = list(dict.fromkeys(w for words in split for w in words if w not in self.known))
-        for lo in range(0, len(new), 50_000):
-            part = new[lo : lo + 50_000]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False), strict=True):
-                self.known[w] = len(self.ids)
-                self.ids.append(np.array(e.ids, np.uint32))
-        get, ids, last = self.known.__getitem__, self.ids, np.array([end], np.uint32)
-        return [np.concatenate([*map(ids.__getitem__, map(get, words)), last]) for words in split]
+    tokenizer = Tokenizer.from_file(path)
+    tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+    return shared.PartMemory(lambda new: shared.encode_parts(tokenizer, [w.decode() for w in new]))
 
 
 def _pieces(path: str, capacity: int, end: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer, ranks, task = WordTokenizer(path), np.zeros(capacity + 1, np.int64), TaskContext.get().partitionId()
+        memory, ranks, task = word_memory(path), np.zeros(capacity + 1, np.int64), TaskContext.get().partitionId()
         for batch in batches:
-            for lo in range(0, len(batch), 256):
-                part = batch.slice(lo, 256)
+            for lo in range(0, len(batch), 512):
+                part = batch.slice(lo, 512)
                 rows: list[tuple] = []
-                encoded = tokenizer.encode([t or "" for t in part.column(1).to_pylist()], end)
-                for doc, ids in zip(part.column(0).to_pylist(), encoded, strict=True):
-                    for piece, start in enumerate(range(0, len(ids), capacity)):
-                        own = ids[start : start + capacity]
-                        rows.append((doc, piece, start, len(own), own.astype("<u4").tobytes(), task, int(ranks[len(own)])))
-                        ranks[len(own)] += 1
+                split = [(t or "").encode().split() for t in part.column(1).to_pylist()]  # at \x20 and \x09-\x0D
+                flat, bounds, _, _ = memory.look_up(split)
+                flat = flat.astype("<u4")
+                for doc, a, b in zip(part.column(0).to_pylist(), bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+                    for piece, start in enumerate(range(0, b - a + 1, capacity)):
+                        own = flat[a + start : min(b, a + start + capacity)].tobytes()
+                        own += np.uint32(end).astype("<u4").tobytes() if len(own) < 4 * capacity else b""
+                        length = len(own) // 4
+                        rows.append((doc, piece, start, length, own, task, int(ranks[length])))
+                        ranks[length] += 1
                 kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], [x.split()[0] for x in PIECES.split(", ")])
 

@@ -127,8 +127,8 @@ def importance_resample(
     mean = F.when(F.col("n_grams") > 0, F.col("log_weight") / F.col("n_grams")).otherwise(0.0)
     scored = scratch.table(weighed.withColumn("mean_ratio", mean).withColumn("gumbel_key", F.col("mean_ratio") * length - F.log(-F.log(uniform))))
     known = spark.createDataFrame([(r.doc_id, r.flag) for r in sample], "doc_id long, flag int")
-    seen = scored.join(F.broadcast(known), "doc_id").select("mean_ratio", "flag").limit(4 * max_labelled).toPandas()
-    threshold = best_threshold(seen.mean_ratio.to_numpy(), seen.flag.to_numpy() == 1)
+    seen = scored.join(F.broadcast(known), "doc_id").groupBy("doc_id").agg(F.min("mean_ratio").alias("mean_ratio"), F.min("flag").alias("flag")).toArrow()
+    threshold = best_threshold(seen.column("mean_ratio").to_numpy(), seen.column("flag").to_numpy() == 1)
     k = scored.where(F.col("mean_ratio") >= threshold).count()
     # a double's order as a long: thousandths of a nat keep 2**53 apart
     ordered = scored.select((F.col("gumbel_key") * 1000).cast("long").alias("o"))

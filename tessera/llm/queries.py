@@ -91,6 +91,19 @@ def op8_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance_resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from tessera.llm.sentencepiece import decode, encode
+
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    out = decode(encode(_table(spark, sf_dir, "documents").select("doc_id", "text"), model, parity=True), model)
+    return out.select(
+        "doc_id", F.size("ids").alias("n_tokens"), F.sha2(F.array_join("ids", " "), 256).alias("ids_sha256"), "parity",
+        F.sha2("decoded", 256).alias("decoded_sha256"), (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("lossless"),
+    )
+
+
 URL_RULES = (("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block"))
 
 
@@ -122,5 +135,5 @@ SELECT page_id, host, path, rule,
 FROM judged
 """
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_line_dedup, op3_toxicity, op4_near_duplicates, op5_ppm_scores, op6_winnowing, op7_png_columns, op8_importance_resampling, op10_url_filter)}
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_line_dedup, op3_toxicity, op4_near_duplicates, op5_ppm_scores, op6_winnowing, op7_png_columns, op8_importance_resampling, op9_sentencepiece, op10_url_filter)}
 ORACLES = {"op2_line_dedup": OP2_SQL, "op10_url_filter": OP10_SQL}

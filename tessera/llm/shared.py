@@ -165,3 +165,52 @@ def signed(h: np.ndarray) -> np.ndarray:
 def lists(values: np.ndarray, bounds: np.ndarray, kind: pa.DataType | None = None) -> pa.ListArray:
     """An Arrow list column over flat values."""
     return pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(values, kind))
+
+
+# ------------------------------------------------------------------ texts encoded part by part
+class PartMemory:
+    """Ids of texts from the ids of their distinct parts, each encoded once.
+
+    ``encode`` takes a list of new parts and returns their ids, flat, and the number of each.  More than ``most`` parts
+    empty the memory, which costs time only.
+    """
+
+    def __init__(self, encode, most: int = 1 << 20):
+        self.encode, self.most = encode, most
+        self.clear()
+
+    def clear(self) -> None:
+        self.known: dict = {}
+        self.flat, self.start, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def look_up(self, split: list[list]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """All ids, where each text's begin, the numbers of all parts, and where each text's parts begin."""
+        if len(self.known) > self.most:
+            self.clear()
+        parts = [p for own in split for p in own]
+        found = list(map(self.known.get, parts))
+        if None in found:
+            new = list(dict.fromkeys(p for p, i in zip(parts, found, strict=True) if i is None))
+            flat, size = self.encode(new)
+            at = len(self.known)
+            self.known.update(zip(new, range(at, at + len(new)), strict=True))
+            self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(size) - size])
+            self.size, self.flat = np.concatenate([self.size, size]), np.concatenate([self.flat, flat])
+            found = list(map(self.known.__getitem__, parts))
+        index = np.array(found, np.int64)
+        size = self.size[index]
+        end = np.cumsum(size)
+        ids = self.flat[np.repeat(self.start[index] - end + size, size) + np.arange(int(end[-1]) if len(end) else 0)]
+        part_bounds = np.concatenate([[0], np.cumsum([len(own) for own in split])])
+        return ids, np.concatenate([[0], end])[part_bounds], index, part_bounds
+
+
+def encode_parts(tokenizer, parts: list[str], at_once: int = 2000) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of parts by the tokenizers library, flat, and the number of each; ``at_once`` parts make one sequence."""
+    ids, sizes = [np.zeros(0, np.int64)], []
+    runs = [parts[i : i + at_once] for i in range(0, len(parts), at_once)]
+    for lo in range(0, len(runs), 16):
+        for run, e in zip(runs[lo : lo + 16], tokenizer.encode_batch(runs[lo : lo + 16], is_pretokenized=True, add_special_tokens=False), strict=True):
+            ids.append(np.array(e.ids, np.int64))
+            sizes.append(np.bincount(np.array(e.word_ids, np.int64), minlength=len(run)))
+    return np.concatenate(ids), np.concatenate(sizes) if sizes else np.zeros(0, np.int64)
