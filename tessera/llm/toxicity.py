@@ -77,7 +77,7 @@ class OrdinalModel:
         return cls(buckets, p[:d], p[d] + np.concatenate([[0.0], np.cumsum(np.exp(np.clip(p[d + 1 :], -8, 8)))]))
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", flag: str = "toxic", grades: int = 3, max_labelled: int = 20_000, features: int = 4096) -> OrdinalModel | None:
+def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", flag: str = "toxic", grades: int = 3, max_labelled: int = 20_000, features: int = 2048) -> OrdinalModel | None:
     """Fits on at most ``max_labelled`` labelled rows; None where labels of both kinds aren't there.
 
     Labels only say whether a text is toxic.  Grades 1 to ``grades`` of toxic texts are equal shares by the number of
@@ -99,11 +99,12 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     buckets = np.array(sorted(r.bucket for r in best), np.int64)
     marked = {r.bucket for r in best if r.t * nc > 20 * r.c * nt and r.t >= 20} or {r.bucket for r in best if r.t * nc > 20 * r.c * nt}
     chosen = F.broadcast(spark.createDataFrame([(int(b),) for b in buckets], "bucket long"))
-    rows = table.join(chosen, "bucket").select("doc_id", "n_words", "bucket", "times").toPandas()  # bounded by the sample
+    rows = table.join(chosen, "bucket").select("doc_id", "n_words", "bucket", "times").toArrow()  # bounded by the sample
+    doc, n_words, bucket, times = (rows.column(c).to_numpy() for c in ("doc_id", "n_words", "bucket", "times"))
     ids = np.array(sorted(sample), np.int64)
-    row, column = np.searchsorted(ids, rows.doc_id.to_numpy()), np.searchsorted(buckets, rows.bucket.to_numpy())
+    row, column = np.searchsorted(ids, doc), np.searchsorted(buckets, bucket)
     toxic = np.array([sample[i] for i in ids.tolist()], bool)
-    load = np.bincount(row, np.isin(rows.bucket, list(marked)) * rows.times / np.maximum(rows.n_words, 1), len(ids))
+    load = np.bincount(row, np.isin(bucket, list(marked)) * times / np.maximum(n_words, 1), len(ids))
     order = np.argsort(np.argsort(load[toxic], kind="stable"), kind="stable")
     grade = np.zeros(len(ids), np.int64)
     grade[toxic] = 1 + order * grades // max(1, len(order))
