@@ -1,15 +1,67 @@
-"""From raw documents to packed training sequences."""
+"""From raw documents to packed training sequences: reject junk, reject toxic texts, drop repeated lines, keep one of each
+group of near copies, pack.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; its result is written as Parquet and read again as the next
+stage's documents.  All but the last return the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tessera.llm.line_dedup import drop_frequent_lines
+from tessera.llm.near_dedup import near_duplicates
+from tessera.llm.packing import pack
+from tessera.llm.quality import importance_resample
+from tessera.llm.shared import Scratch
+from tessera.llm.toxicity import fit, severity
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/labels.parquet")
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that importance resampling selects."""
+    return importance_resample(docs, _labels(spark, sf_dir)).where("selected").select(*COLUMNS)
+
+
+def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of severity grade 0."""
+    return severity(docs, fit(docs, _labels(spark, sf_dir))).where("not toxic").select(*COLUMNS)
+
+
+def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the lines that many of them share; a document of such lines alone goes."""
+    kept = drop_frequent_lines(docs)
+    left = kept.where((F.col("n_dropped") == 0) | (F.trim("text") != ""))
+    return left.withColumn("n_chars", F.char_length("text").cast("long")).select(*COLUMNS)
+
+
+def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies, the one of the smallest id."""
+    kept = near_duplicates(docs).where("kept and doc_id is not null").select("doc_id").distinct()
+    return docs.join(kept, "doc_id", "left_semi").unionByName(docs.where("doc_id is null")).select(*COLUMNS)  # without an id: no verdict
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the remaining documents with their places in sequences of 2048 tokens."""
+    import public_tokenizers
+
+    return pack(docs, public_tokenizers.path("word_bpe_49k.json")).select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
+
+
+STAGES = [("quality", quality_stage), ("toxicity", toxicity_stage), ("line_dedup", line_stage), ("near_dedup", near_stage), ("packing", packing_stage)]
 
-STAGES: list = []
+#: The classifiers and the tokenizer can't be said in SQL.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    docs, scratch = spark.read.parquet(f"{sf_dir}/documents.parquet"), Scratch(spark, "pipeline")
+    for _, stage in STAGES[:-1]:
+        docs = scratch.table(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)

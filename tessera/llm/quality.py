@@ -53,17 +53,15 @@ def _counts(held):
     return run
 
 
-def _weights(held):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ratio = held.value
-        for batch in batches:
-            data, bounds = shared.text_bytes(batch.column(1))
-            for lo, hi, part, at in shared.chunks(data, bounds):
-                grams, cut = _grams(part, at)
-                total = np.concatenate([[0.0], np.cumsum(ratio[grams])])
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo).cast(pa.int64()), pa.array(np.diff(cut).astype(np.int64)), pa.array(np.round(total[cut[1:]] - total[cut[:-1]], 9))], ["doc_id", "n_grams", "log_weight"])
+def _weights(docs: DataFrame, text_col: str, ratio: np.ndarray) -> DataFrame:
+    held = docs.sparkSession.sparkContext.broadcast(ratio)
 
-    return run
+    def compute(data: np.ndarray, bounds: np.ndarray) -> list[pa.Array]:
+        grams, cut = _grams(data, bounds)
+        total = np.concatenate([[0.0], np.cumsum(held.value[grams])])
+        return [pa.array(np.diff(cut).astype(np.int64)), pa.array(np.round(total[cut[1:]] - total[cut[:-1]], 9))]
+
+    return shared.with_text_columns(docs, text_col, "n_grams long, log_weight double", compute)
 
 
 def labelled_sample(labels: DataFrame, flag: str, most: int, id_col: str = "doc_id") -> list:
@@ -104,34 +102,35 @@ def kth_largest(keys: DataFrame, column: str, k: int) -> int | None:
 def importance_resample(
     docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", flag: str = "quality", max_labelled: int = 20_000, length: int = 512, seed: int = 7, alpha: float = 1.0
 ) -> DataFrame:
-    """One row for each document: (doc_id, n_grams, log_weight, mean_ratio, gumbel_key, selected).
+    """``docs`` with columns n_grams, log_weight, mean_ratio, gumbel_key and selected; those of these names are replaced.
 
     The target texts are those of at most ``max_labelled`` labelled rows; counts of the raw corpus cover all documents.
     Null and empty texts have no n-grams and the weight 0.  Rows of one id have the same noise; documents with equal
-    keys are selected together.  Null ids are unlabelled.  Without labels of both kinds everything is selected.
-    Other columns are ignored.  An empty table gives an empty result.
+    keys (to a thousandth) are selected together.  Null ids are unlabelled.  Without labels of both kinds everything is
+    selected.  An empty table gives an empty result.
     """
     spark = docs.sparkSession
     scratch = shared.Scratch(spark, "quality")
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     sample = labelled_sample(labels, flag, max_labelled)
     good = np.array(sorted(r.doc_id for r in sample if r.flag == 1), np.int64)
-    counted = docs.mapInArrow(_counts(spark.sparkContext.broadcast(good)), "bucket long, raw long, target long")
+    counted = own.mapInArrow(_counts(spark.sparkContext.broadcast(good)), "bucket long, raw long, target long")
     raw, target = np.zeros(BUCKETS), np.zeros(BUCKETS)
     for r in counted.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).collect():  # at most BUCKETS
         raw[r.bucket], target[r.bucket] = r.raw, r.target
     share = lambda c: np.log((c + alpha) / (c.sum() + alpha * BUCKETS))
     ratio = share(target) - share(raw) if target.any() else np.zeros(BUCKETS)
-    weighed = docs.mapInArrow(_weights(spark.sparkContext.broadcast(ratio)), "doc_id long, n_grams long, log_weight double")
-    uniform = (F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1 << 52)) + 0.5) / float(1 << 52)
+    uniform = (F.pmod(F.xxhash64(F.lit(seed), F.col(f"`{id_col}`").cast("long")), F.lit(1 << 52)) + 0.5) / float(1 << 52)
     mean = F.when(F.col("n_grams") > 0, F.col("log_weight") / F.col("n_grams")).otherwise(0.0)
-    scored = scratch.table(weighed.withColumn("mean_ratio", mean).withColumn("gumbel_key", F.col("mean_ratio") * length - F.log(-F.log(uniform))))
+    thousandths = (F.col("gumbel_key") * 1000).cast("long")
+
+    def scored(frame: DataFrame, text: str) -> DataFrame:
+        return _weights(frame, text, ratio).withColumn("mean_ratio", mean).withColumn("gumbel_key", F.col("mean_ratio") * length - F.log(-F.log(uniform)))
+
+    small = scratch.table(scored(own.withColumnRenamed("doc_id", id_col), "text").select(F.col(f"`{id_col}`").alias("doc_id"), "mean_ratio", thousandths.alias("key")))
     known = spark.createDataFrame([(r.doc_id, r.flag) for r in sample], "doc_id long, flag int")
-    seen = scored.join(F.broadcast(known), "doc_id").groupBy("doc_id").agg(F.min("mean_ratio").alias("mean_ratio"), F.min("flag").alias("flag")).toArrow()
+    seen = small.join(F.broadcast(known), "doc_id").groupBy("doc_id").agg(F.min("mean_ratio").alias("mean_ratio"), F.min("flag").alias("flag")).toArrow()
     threshold = best_threshold(seen.column("mean_ratio").to_numpy(), seen.column("flag").to_numpy() == 1)
-    k = scored.where(F.col("mean_ratio") >= threshold).count()
-    # a double's order as a long: thousandths of a nat keep 2**53 apart
-    ordered = scored.select((F.col("gumbel_key") * 1000).cast("long").alias("o"))
-    least = kth_largest(ordered, "o", k)
-    selected = F.lit(False) if least is None else (F.col("gumbel_key") * 1000).cast("long") >= least
-    return scored.withColumn("selected", selected)
+    least = kth_largest(small, "key", small.where(F.col("mean_ratio") >= threshold).count())
+    scratch.drop(small)
+    return scored(docs, text_col).withColumn("selected", F.lit(False) if least is None else thousandths >= least)

@@ -54,7 +54,8 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.toxicity import fit, severity
 
     docs = _table(spark, sf_dir, "documents")
-    return severity(docs, fit(docs, _table(spark, sf_dir, "labels")))
+    model = fit(docs, _table(spark, sf_dir, "labels"))
+    return severity(docs.select("doc_id", "text"), model).drop("text")
 
 
 def op5_ppm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,7 +89,7 @@ def op7_png_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.quality import importance_resample
 
-    return importance_resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    return importance_resample(_table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "labels")).drop("text")
 
 
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

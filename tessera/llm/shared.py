@@ -214,3 +214,23 @@ def encode_parts(tokenizer, parts: list[str], at_once: int = 2000) -> tuple[np.n
             ids.append(np.array(e.ids, np.int64))
             sizes.append(np.bincount(np.array(e.word_ids, np.int64), minlength=len(run)))
     return np.concatenate(ids), np.concatenate(sizes) if sizes else np.zeros(0, np.int64)
+
+
+def with_text_columns(docs: DataFrame, text_col: str, extra: str, compute) -> DataFrame:
+    """``docs`` with more columns, computed from runs of texts; no row is shuffled.
+
+    ``extra`` is their schema; columns of these names are replaced.  ``compute`` takes bytes and bounds of some texts
+    and returns a list of Arrow arrays.
+    """
+    names = [x.split()[0] for x in extra.split(", ")]
+    kept = [c for c in docs.columns if c not in names]
+    at = kept.index(text_col)
+    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept) + ", " + extra
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, bounds = text_bytes(batch.column(at))
+            for lo, hi, part, cut in chunks(data, bounds):
+                yield pa.RecordBatch.from_arrays([*batch.slice(lo, hi - lo).columns, *compute(part, cut)], [*kept, *names])
+
+    return docs.select(*(F.col(f"`{c}`") for c in kept)).mapInArrow(run, schema)

@@ -111,36 +111,27 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     return OrdinalModel.fit(buckets, row, column, grade, grades)
 
 
-def _predict(held):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = held.value
-        table = np.zeros(BUCKETS)
-        if model is not None:
-            table[model.buckets] = model.weights
-        for batch in batches:
-            data, bounds = shared.text_bytes(batch.column(1))
-            for lo, hi, part, at in shared.chunks(data, bounds):
-                h, cut = shared.token_hashes(part, at, shared.PUNCT_CLASS)
-                bucket = (h >> np.uint64(44)).astype(np.int64)
-                some = np.flatnonzero(table[bucket])
-                code = np.unique(((np.searchsorted(cut, some, "right") - 1).astype(np.int64) << 20) | bucket[some])
-                score = np.bincount(code >> 20, table[code & (BUCKETS - 1)], hi - lo)
-                if model is None:
-                    severity, grade = np.zeros(hi - lo), np.zeros(hi - lo, np.int64)
-                else:
-                    above = model.above(score)
-                    severity, grade = above.sum(1), (above >= 0.5).sum(1)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo).cast(pa.int64()), pa.array(np.round(severity, 6)), pa.array(grade.astype(np.int32)), pa.array(grade > 0)], ["doc_id", "severity", "grade", "toxic"])
-
-    return run
-
-
-def severity(docs: DataFrame, model: OrdinalModel | None, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each document: (doc_id, severity, grade, toxic).
+def severity(docs: DataFrame, model: OrdinalModel | None, *, text_col: str = "text") -> DataFrame:
+    """``docs`` with columns severity, grade and toxic; those of these names are replaced.
 
     Null and empty texts have no features: they get what the thresholds alone say, which is grade 0 wherever most of
-    the sample is.  Repeated rows get equal results; a null id stays null.  Other columns are ignored.
-    Without a model every severity is 0.  An empty table gives an empty result.
+    the sample is.  Repeated rows get equal results; all rows stay, null ids included.  Without a model every severity
+    is 0.  An empty table gives an empty result.
     """
     held = docs.sparkSession.sparkContext.broadcast(model)
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(_predict(held), "doc_id long, severity double, grade int, toxic boolean")
+
+    def compute(data: np.ndarray, bounds: np.ndarray) -> list[pa.Array]:
+        own, n = held.value, len(bounds) - 1
+        if own is None:
+            return [pa.array(np.zeros(n)), pa.array(np.zeros(n, np.int32)), pa.array(np.zeros(n, bool))]
+        h, cut = shared.token_hashes(data, bounds, shared.PUNCT_CLASS)
+        bucket = (h >> np.uint64(44)).astype(np.int64)
+        table = np.zeros(BUCKETS)
+        table[own.buckets] = own.weights
+        some = np.flatnonzero(table[bucket])
+        code = np.unique(((np.searchsorted(cut, some, "right") - 1).astype(np.int64) << 20) | bucket[some])
+        above = own.above(np.bincount(code >> 20, table[code & (BUCKETS - 1)], n))
+        grade = (above >= 0.5).sum(1)
+        return [pa.array(np.round(above.sum(1), 6)), pa.array(grade.astype(np.int32)), pa.array(grade > 0)]
+
+    return shared.with_text_columns(docs, text_col, "severity double, grade int, toxic boolean", compute)
