@@ -11,6 +11,8 @@ from __future__ import annotations
 
 import bisect
 import functools
+import os
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,33 +26,74 @@ from tessera.llm import shared
 PIECES = "doc_id long, piece int, start long, length long, ids binary, task int, rank long"
 
 
+#: Letters, digits, the apostrophe and other bytes against signs: no rule of the tokenizer reaches from one to the other,
+#: but for signs outside ASCII, whose texts are cut at blanks only.
+PART_CLASS = shared.PUNCT_CLASS.copy()
+PART_CLASS[ord("'")] = 1
+_OTHER_SIGNS = re.compile(r"[^\x00-\x7f\w]")
+
+
 @functools.cache
 def word_memory(path: str) -> shared.PartMemory:
-    """A worker's memory of the ids of distinct blank-separated words.
+    """A worker's memory of the ids of distinct parts of texts.
 
-    Exact for tokenizers whose rules never reach across blanks and drop them (as the lower-casing BPE with word ends).
+    Exact for tokenizers that lower the case, drop blanks and cut letters, digits and signs (as the BPE with word ends).
     """
     from tokenizers import Tokenizer
 
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks fill the cores
     tokenizer = Tokenizer.from_file(path)
     tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-    return shared.PartMemory(lambda new: shared.encode_parts(tokenizer, [w.decode() for w in new]))
+    model = tokenizer.model
+
+    def encode(new: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        plain = [w.isascii() and w.isalpha() for w in new]  # no normalising or cutting: the model's own words
+        rest, sizes = shared.encode_parts(tokenizer, [w.decode() for w, p in zip(new, plain, strict=True) if not p])
+        cut = np.concatenate([[0], np.cumsum(sizes)]).tolist()
+        ids, size, k, rest = [], [], 0, rest.tolist()
+        for w, p in zip(new, plain, strict=True):
+            if p:
+                own = [t.id for t in model.tokenize(w.decode())]
+            else:
+                own = rest[cut[k] : cut[k + 1]]
+                k += 1
+            ids += own
+            size.append(len(own))
+        return np.array(ids, np.int64), np.array(size, np.int64)
+
+    return shared.PartMemory(encode)
+
+
+def token_ids(memory: shared.PartMemory, texts: pa.Array) -> list[np.ndarray]:
+    """The ids of each text; a null one has none."""
+    out: list = [None] * len(texts)
+    odd = [i for i, t in enumerate(texts.to_pylist()) if t and not t.isascii() and _OTHER_SIGNS.search(t)]
+    usual = np.setdiff1d(np.arange(len(texts)), odd)
+    if odd:
+        ids, bounds, _, _ = memory.look_up([texts[i].as_py().encode().lower().split() for i in odd])  # at \x20 and \x09-\x0D
+        for k, i in enumerate(odd):
+            out[i] = ids[bounds[k] : bounds[k + 1]]
+    data, cut = shared.text_bytes(texts.take(pa.array(usual)))
+    for lo, _, part, at in shared.chunks(shared.FOLD[data], cut):
+        ids, bounds = memory.look_up_tokens(part, at, PART_CLASS)
+        for k in range(len(bounds) - 1):
+            out[usual[lo + k]] = ids[bounds[k] : bounds[k + 1]]
+    return out
 
 
 def _pieces(path: str, capacity: int, end: int):
+    last = np.uint32(end).astype("<u4").tobytes()
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memory, ranks, task = word_memory(path), np.zeros(capacity + 1, np.int64), TaskContext.get().partitionId()
         for batch in batches:
             for lo in range(0, len(batch), 512):
                 part = batch.slice(lo, 512)
                 rows: list[tuple] = []
-                split = [(t or "").encode().split() for t in part.column(1).to_pylist()]  # at \x20 and \x09-\x0D
-                flat, bounds, _, _ = memory.look_up(split)
-                flat = flat.astype("<u4")
-                for doc, a, b in zip(part.column(0).to_pylist(), bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
-                    for piece, start in enumerate(range(0, b - a + 1, capacity)):
-                        own = flat[a + start : min(b, a + start + capacity)].tobytes()
-                        own += np.uint32(end).astype("<u4").tobytes() if len(own) < 4 * capacity else b""
+                for doc, ids in zip(part.column(0).to_pylist(), token_ids(memory, part.column(1)), strict=True):
+                    whole = ids.astype("<u4").tobytes() + last
+                    for piece, start in enumerate(range(0, len(whole) // 4, capacity)):
+                        own = whole[4 * start : 4 * (start + capacity)]
                         length = len(own) // 4
                         rows.append((doc, piece, start, length, own, task, int(ranks[length])))
                         ranks[length] += 1
@@ -104,7 +147,7 @@ def pack(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", text_col: s
 
     ``ids`` holds the piece's ids as little-endian unsigned 32-bit numbers.  Each text ends with the id ``end``, so a
     null or empty text is a piece of one token.  Longer texts are cut into pieces of ``capacity`` ids; the last may be
-    shorter.  Rows that repeat an id, and rows with a null id, are packed like others.  Other columns are ignored.
+    shorter.  Rows that repeat an id, and rows with a null id, are packed like others.  Parts of texts are told apart by 64-bit hashes.  Other columns are ignored.
     An empty table gives no pieces.
     """
     spark = docs.sparkSession

@@ -124,8 +124,9 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(33))
 
 
-def token_hashes(data: np.ndarray, bounds: np.ndarray, classes: np.ndarray = WORD_CLASS, fold: np.ndarray = FOLD) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of all tokens (runs of one nonzero class) and, for each text, where its tokens begin.
+def token_hashes(data: np.ndarray, bounds: np.ndarray, classes: np.ndarray = WORD_CLASS, fold: np.ndarray = FOLD, spans: bool = False) -> tuple:
+    """64-bit hashes of all tokens (runs of one nonzero class) and, for each text, where its tokens begin; with ``spans``
+    also where each token begins and ends.
 
     A token's hash is a polynomial in its bytes taken from prefix sums, so that equal tokens have equal hashes
     wherever they stand.
@@ -145,7 +146,8 @@ def token_hashes(data: np.ndarray, bounds: np.ndarray, classes: np.ndarray = WOR
     prefix[0] = 0
     np.cumsum((fold[data].astype(np.uint64) + np.uint64(1)) * power[:n], out=prefix[1:])
     h = (prefix[ends] - prefix[starts]) * inverse[starts]
-    return mix(h ^ ((ends - starts).astype(np.uint64) * _LENGTH)), np.searchsorted(starts, bounds)
+    h = mix(h ^ ((ends - starts).astype(np.uint64) * _LENGTH))
+    return (h, np.searchsorted(starts, bounds), starts, ends) if spans else (h, np.searchsorted(starts, bounds))
 
 
 def join_hashes(h: np.ndarray, n: int) -> np.ndarray:
@@ -181,7 +183,29 @@ class PartMemory:
 
     def clear(self) -> None:
         self.known: dict = {}
-        self.flat, self.start, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        # the arrays double as they fill
+        self.flat, self.start, self.size, self.used = np.zeros(1 << 12, np.int32), np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64), 0
+
+    def _learn(self, keys: list, new: list) -> None:
+        flat, size = self.encode(new)
+        at = len(self.known)
+        self.known.update(zip(keys, range(at, at + len(new)), strict=True))
+        self.start = self._put(self.start, at, self.used + np.cumsum(size) - size)
+        self.size, self.flat = self._put(self.size, at, size), self._put(self.flat, self.used, flat)
+        self.used += len(flat)
+
+    @staticmethod
+    def _put(held: np.ndarray, at: int, more: np.ndarray) -> np.ndarray:
+        if at + len(more) > len(held):
+            held = np.concatenate([held[:at], np.zeros(at + 2 * len(more), held.dtype)])
+        held[at : at + len(more)] = more
+        return held
+
+    def _ids(self, index: np.ndarray, part_bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        size = self.size[index]
+        end = np.cumsum(size)
+        ids = self.flat[np.repeat(self.start[index] - end + size, size) + np.arange(int(end[-1]) if len(end) else 0)]
+        return ids, np.concatenate([[0], end])[part_bounds]
 
     def look_up(self, split: list[list]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """All ids, where each text's begin, the numbers of all parts, and where each text's parts begin."""
@@ -191,18 +215,26 @@ class PartMemory:
         found = list(map(self.known.get, parts))
         if None in found:
             new = list(dict.fromkeys(p for p, i in zip(parts, found, strict=True) if i is None))
-            flat, size = self.encode(new)
-            at = len(self.known)
-            self.known.update(zip(new, range(at, at + len(new)), strict=True))
-            self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(size) - size])
-            self.size, self.flat = np.concatenate([self.size, size]), np.concatenate([self.flat, flat])
+            self._learn(new, new)
             found = list(map(self.known.__getitem__, parts))
         index = np.array(found, np.int64)
-        size = self.size[index]
-        end = np.cumsum(size)
-        ids = self.flat[np.repeat(self.start[index] - end + size, size) + np.arange(int(end[-1]) if len(end) else 0)]
         part_bounds = np.concatenate([[0], np.cumsum([len(own) for own in split])])
-        return ids, np.concatenate([[0], end])[part_bounds], index, part_bounds
+        return *self._ids(index, part_bounds), index, part_bounds
+
+    def look_up_tokens(self, data: np.ndarray, bounds: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All ids, and where each text's begin, where the parts are tokens of ``data``, told apart by 64-bit hashes."""
+        if len(self.known) > self.most:
+            self.clear()
+        h, at, starts, ends = token_hashes(data, bounds, classes, SAME, spans=True)
+        distinct, first, where = np.unique(h, return_index=True, return_inverse=True)
+        keys = distinct.tolist()
+        found = list(map(self.known.get, keys))
+        if None in found:
+            new = [i for i, x in enumerate(found) if x is None]
+            raw, a, b = data.tobytes(), starts[first[new]].tolist(), ends[first[new]].tolist()
+            self._learn([keys[i] for i in new], [raw[x:y] for x, y in zip(a, b, strict=True)])
+            found = list(map(self.known.__getitem__, keys))
+        return self._ids(np.array(found, np.int64)[where], at)
 
 
 def encode_parts(tokenizer, parts: list[str], at_once: int = 2000) -> tuple[np.ndarray, np.ndarray]:
