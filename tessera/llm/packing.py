@@ -75,7 +75,7 @@ def token_ids(memory: shared.PartMemory, texts: pa.Array) -> list[np.ndarray]:
             out[i] = ids[bounds[k] : bounds[k + 1]]
     data, cut = shared.text_bytes(texts.take(pa.array(usual)))
     for lo, _, part, at in shared.chunks(shared.FOLD[data], cut):
-        ids, bounds = memory.look_up_tokens(part, at, PART_CLASS)
+        ids, bounds, _, _ = memory.look_up_tokens(part, at, PART_CLASS)
         for k in range(len(bounds) - 1):
             out[usual[lo + k]] = ids[bounds[k] : bounds[k + 1]]
     return out

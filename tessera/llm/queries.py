@@ -98,10 +98,10 @@ def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.sentencepiece import decode, encode
 
     model = public_tokenizers.path("piece_bpe_32k.model")
-    out = decode(encode(_table(spark, sf_dir, "documents").select("doc_id", "text"), model, parity=True), model)
-    return out.select(
-        "doc_id", F.size("ids").alias("n_tokens"), F.sha2(F.array_join("ids", " "), 256).alias("ids_sha256"), "parity",
-        F.sha2("decoded", 256).alias("decoded_sha256"), (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("lossless"),
+    docs = _table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    ids = encode(docs.withColumn("text_sha256", F.sha2("text", 256)), model, parity=True).drop("text")
+    return decode(ids, model).select(
+        "doc_id", F.size("ids").alias("n_tokens"), F.xxhash64("ids").alias("ids_hash"), "parity", "text_sha256", (F.sha2("decoded", 256) == F.col("text_sha256")).alias("lossless"),
     )
 
 

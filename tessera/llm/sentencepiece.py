@@ -125,19 +125,25 @@ class Encoder:
     """Encodes texts part by part and remembers the parts.
 
     A part is a run of markers with the characters after it, or a line feed (where no piece of the vocabulary has one)
-    with what follows up to the next marker.
+    with what follows up to the next marker.  Signs that no piece has beside other characters are cut off as well.
     """
 
     def __init__(self, model_file: str, parity: bool, threads: int):
         with open(model_file, "rb") as f:
             self.model = Model.parse(f.read())
         self.whole, self.parts = build(self.model), build(self.model, normalise=False)
-        self.lines = not any("\n" in p for p, _, _ in self.model.pieces)
-        self.separable = self.model.separable()
-        self.cut = re.compile(f"{MARK}*[^{MARK}\n]+|{MARK}+|\n[^{MARK}\n]*" if self.lines else f"{MARK}*[^{MARK}]+|{MARK}+")
-        m = self.model
-        self.plain = m.dummy_prefix and m.mark_blanks and not m.strip_blanks and not m.charsmap and self.separable and self.lines
-        self.memory = shared.PartMemory(self._encode)
+        m, pieces = self.model, [p for p, _, t in self.model.pieces if t in (NORMAL, USER)]
+        lines = not any("\n" in p for p in pieces)
+        self.separable = m.separable()
+        self.cut = re.compile(f"{MARK}*[^{MARK}\n]+|{MARK}+|\n[^{MARK}\n]*" if lines else f"{MARK}*[^{MARK}]+|{MARK}+")
+        self.plain = m.dummy_prefix and m.mark_blanks and not m.strip_blanks and not m.charsmap and self.separable and lines
+        signs = {chr(b) for b in range(33, 127) if not chr(b).isalnum()}
+        while mixed := {c for p in pieces for c in signs.intersection(p) if set(p) - signs - {MARK}}:
+            signs -= mixed  # what is left stands in pieces beside signs that are left alone
+        self.classes = np.ones(256, np.uint8)
+        self.classes[[10, 32]] = 0
+        self.classes[[ord(c) for c in signs]] = 2
+        self.memory = shared.PartMemory(self._encode, 1 << 19)
         self.same = np.zeros(0, bool)
         self.threads, self.reference = threads, None
         if parity:
@@ -145,23 +151,25 @@ class Encoder:
 
             self.reference = SentencePieceProcessor(model_file=model_file)
 
+    def _usual(self, text: str) -> bool:
+        """Single blanks between words, line feeds between lines and no markers."""
+        return self.plain and not ("  " in text or " \n" in text or "\n " in text or "\n\n" in text or MARK in text or "\0" in text or text[:1] in ("", " ", "\n") or text[-1] in " \n")
+
     def _split(self, text: str) -> list:
-        if not text:
-            return []
-        if self.plain and "  " not in text and " \n" not in text and MARK not in text and text[0] not in " \n" and text[-1] != " ":
-            return text.replace("\n", " \n").split(" ")  # the usual case: strings, without the marker; else tuples
         normal = self.whole.normalizer.normalize_str(text) if self.whole.normalizer else text
-        return [(p,) for p in (self.cut.findall(normal) if self.separable else [normal])]
+        return [(p,) for p in (self.cut.findall(normal) if self.separable else [normal])] if text else []
 
     @staticmethod
-    def _written(part: str | tuple[str]) -> str:
-        """A part as the vocabulary writes it."""
-        return part[0] if isinstance(part, tuple) else part if part[:1] == "\n" else MARK + part
+    def _written(part: bytes | tuple[str]) -> str:
+        """A part as the vocabulary writes it; bytes begin with what stands before them."""
+        if isinstance(part, tuple):
+            return part[0]
+        return (MARK if part[0] == 32 else "" if part[0] == 0 else "\n") + part[1:].decode()
 
     def _encode(self, new: list) -> tuple[np.ndarray, np.ndarray]:
         parts = [self._written(p) for p in new]
         flat, size = shared.encode_parts(self.parts, parts)
-        if len(self.memory.known) == 0:
+        if not self.memory.known:
             self.same = np.zeros(0, bool)
         same = np.ones(len(new), bool)
         if self.reference:
@@ -174,16 +182,32 @@ class Encoder:
         """The original library's ids of parts; one that doesn't start with a marker is put behind a line feed."""
         if not self.model.dummy_prefix:
             return self.reference.encode([p.replace(MARK, " ") for p in parts], num_threads=self.threads)
-        open_ = [p.startswith(MARK) for p in parts]
+        # the library drops a marker that stands alone
+        open_ = [p.startswith(MARK) and p != MARK for p in parts]
         lead = len(self.reference.encode("\n"))
         out = self.reference.encode([p[1:].replace(MARK, " ") if o else "\n" + p.replace(MARK, " ") for p, o in zip(parts, open_, strict=True)], num_threads=self.threads)
         return [x if o else x[lead:] for x, o in zip(out, open_, strict=True)]
 
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """All ids, where each text's begin, and whether all parts of a text have the original library's ids."""
-        ids, bounds, index, at = self.memory.look_up([self._split(t) for t in texts])
-        wrong = np.concatenate([[0], np.cumsum(~self.same[index])])
-        return ids, bounds, wrong[at[1:]] == wrong[at[:-1]]
+        plain = [t or "" for t in texts.to_pylist()]
+        usual = np.array([i for i, t in enumerate(plain) if self._usual(t)], np.int64)
+        odd = np.setdiff1d(np.arange(len(plain)), usual)
+        found: list = [None] * len(plain)
+        same = np.ones(len(plain), bool)
+
+        def put(rows: np.ndarray, ids: np.ndarray, bounds: np.ndarray, index: np.ndarray, at: np.ndarray) -> None:
+            wrong = np.concatenate([[0], np.cumsum(~self.same[index])])
+            same[rows] = wrong[at[1:]] == wrong[at[:-1]]
+            for k, i in enumerate(rows.tolist()):
+                found[i] = ids[bounds[k] : bounds[k + 1]]
+
+        if len(odd):
+            put(odd, *self.memory.look_up([self._split(plain[i]) for i in odd]))
+        data, cut = shared.text_bytes(texts.take(pa.array(usual)))
+        for lo, hi, part, at in shared.chunks(data, cut):
+            put(usual[lo:hi], *self.memory.look_up_tokens(part, at, self.classes, before=True))
+        return np.concatenate([np.zeros(0, np.int32), *found]), np.concatenate([[0], np.cumsum([len(x) for x in found])]), same
 
 
 @functools.cache
@@ -237,7 +261,7 @@ def encode(docs: DataFrame, model_file: str, *, text_col: str = "text", parity:
         for batch in batches:
             for lo in range(0, len(batch), 512):
                 part = batch.slice(lo, 512)
-                ids, bounds, same = own.encode([t or "" for t in part.column(kept.index(text_col)).to_pylist()])
+                ids, bounds, same = own.encode(part.column(kept.index(text_col)))
                 lists = shared.lists(ids.astype(np.int32), bounds, pa.int32())
                 yield pa.RecordBatch.from_arrays([*part.columns, lists, *([pa.array(same)] if parity else [])], [*kept, "ids", *(["parity"] if parity else [])])
 

@@ -221,20 +221,32 @@ class PartMemory:
         part_bounds = np.concatenate([[0], np.cumsum([len(own) for own in split])])
         return *self._ids(index, part_bounds), index, part_bounds
 
-    def look_up_tokens(self, data: np.ndarray, bounds: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """All ids, and where each text's begin, where the parts are tokens of ``data``, told apart by 64-bit hashes."""
+    def look_up_tokens(self, data: np.ndarray, bounds: np.ndarray, classes: np.ndarray, before: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """As ``look_up``, where the parts are tokens of ``data``, told apart by 64-bit hashes.
+
+        With ``before``, a part is the token with the byte before it: a blank, a line feed, or another byte where a token
+        ends there (written as a zero); the text's beginning counts as a blank.
+        """
         if len(self.known) > self.most:
             self.clear()
         h, at, starts, ends = token_hashes(data, bounds, classes, SAME, spans=True)
+        if before and len(h):
+            lead = data[np.maximum(starts - 1, 0)]
+            lead = np.where(classes[lead] > 0, 0, lead)
+            own = at[:-1][at[:-1] < at[1:]]
+            lead[own[np.isin(starts[own], bounds)]] = 32
+            h = mix(h + lead.astype(np.uint64))
         distinct, first, where = np.unique(h, return_index=True, return_inverse=True)
         keys = distinct.tolist()
         found = list(map(self.known.get, keys))
         if None in found:
             new = [i for i, x in enumerate(found) if x is None]
             raw, a, b = data.tobytes(), starts[first[new]].tolist(), ends[first[new]].tolist()
-            self._learn([keys[i] for i in new], [raw[x:y] for x, y in zip(a, b, strict=True)])
+            heads = [bytes([x]) for x in lead[first[new]].tolist()] if before else [b""] * len(new)
+            self._learn([keys[i] for i in new], [z + raw[x:y] for x, y, z in zip(a, b, heads, strict=True)])
             found = list(map(self.known.__getitem__, keys))
-        return self._ids(np.array(found, np.int64)[where], at)
+        index = np.array(found, np.int64)[where]
+        return *self._ids(index, at), index, at
 
 
 def encode_parts(tokenizer, parts: list[str], at_once: int = 2000) -> tuple[np.ndarray, np.ndarray]:
