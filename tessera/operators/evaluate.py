@@ -1,0 +1,110 @@
+"""Factor evaluation: information coefficients, quantile returns, turnover, correlation, and their summaries."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from tessera.functions import xs
+from tessera.functions.guard import correlation, ratio
+from tessera.sources.panel import KEYS
+
+
+def daily_ic(long: DataFrame, least: int, group: tuple[str, ...] = ()) -> DataFrame:
+    """(datetime, factor, *group, ic, rank_ic, pairs, status) from (datetime, instrument, factor, value, label).
+
+    Ranks are taken on the valid pairs only.  Dates under ``least`` pairs are insufficient, those with one side constant
+    are constant; both have NULL coefficients.
+    """
+    by = ["datetime", "factor", *group]
+    valid = long.where(F.col("value").isNotNull() & F.col("label").isNotNull())
+    ranked = valid.withColumns({"__v": xs.average_rank(F.col("value"), *by), "__l": xs.average_rank(F.col("label"), *by)})
+    out = ranked.groupBy(*by).agg(correlation("value", "label").alias("ic"), correlation("__v", "__l").alias("rank_ic"), F.count("*").alias("pairs"), F.min("value").alias("__a"), F.max("value").alias("__b"), F.min("label").alias("__c"), F.max("label").alias("__d"))
+    status = F.when(F.col("pairs") < least, "insufficient").when((F.col("__a") == F.col("__b")) | (F.col("__c") == F.col("__d")), "constant").otherwise("ok")
+    return out.withColumn("status", status).withColumns({c: F.when(F.col("status") == "ok", F.col(c)) for c in ("ic", "rank_ic")}).drop("__a", "__b", "__c", "__d")
+
+
+def ic_summary(daily: DataFrame, by: tuple[str, ...] = ("factor",)) -> DataFrame:
+    """Means, ratios to the sample deviation, share of positive days, days."""
+    ok = daily.where("status = 'ok'")
+    return ok.groupBy(*by).agg(
+        F.count("*").alias("days"), F.avg("ic").alias("ic_mean"), ratio(F.avg("ic"), F.stddev_samp("ic")).alias("icir"), F.avg("rank_ic").alias("rank_ic_mean"),
+        ratio(F.avg("rank_ic"), F.stddev_samp("rank_ic")).alias("rank_icir"), F.avg((F.col("rank_ic") > 0).cast("double")).alias("win_rate"), F.avg("pairs").alias("mean_pairs"),
+    )
+
+
+def group_returns(panel: DataFrame, factor: str, label: str, q: int, scope: str = "valid") -> DataFrame:
+    """(datetime, bucket, mean_label, members); buckets are set among valid pairs, or (scope='all') before the label mask."""
+    rows = panel.where(F.col(factor).isNotNull())
+    if scope == "valid":
+        rows = rows.where(F.col(label).isNotNull())
+    out = xs.bucket(rows, factor, "bucket", q).where(F.col("bucket").isNotNull() & F.col(label).isNotNull())
+    return out.groupBy("datetime", "bucket").agg(F.avg(label).alias("mean_label"), F.count("*").alias("members"))
+
+
+def monotonicity(groups: DataFrame) -> DataFrame:
+    """One row: the correlation of bucket number and mean return over buckets, steps upward, top minus bottom."""
+    means = groups.groupBy("bucket").agg(F.avg("mean_label").alias("m"))
+    w = Window.orderBy("bucket")
+    steps = means.withColumns({"__r": F.rank().over(Window.orderBy("m")).cast("double"), "__b": F.col("bucket").cast("double"), "__up": (F.col("m") >= F.lag("m").over(w)).cast("int")})
+    return steps.agg(correlation("__b", "__r").alias("monotonicity"), F.sum("__up").alias("steps_up"), (F.max_by("m", "bucket") - F.min_by("m", "bucket")).alias("spread"))
+
+
+def turnover(panel: DataFrame, factor: str, q: int) -> DataFrame:
+    """(datetime, size, entered, turnover) of the top bucket against that of the previous eligible date.
+
+    turnover = entered / size; the first date has no row.
+    """
+    ranked = xs.bucket(panel.where(F.col(factor).isNotNull()), factor, "bucket", q).where(F.col("bucket").isNotNull())
+    top = ranked.where(F.col("bucket") == q).select(*KEYS)
+    days = top.select("datetime").distinct().withColumn("__n", F.row_number().over(Window.orderBy("datetime")))
+    held = top.join(F.broadcast(days), "datetime")
+    before = held.select("instrument", (F.col("__n") + 1).alias("__n"), F.lit(1).alias("__kept"))
+    out = held.join(before, ["instrument", "__n"], "left").groupBy("datetime", "__n").agg(F.count("*").alias("size"), F.count_if(F.col("__kept").isNull()).alias("entered"))
+    return out.where("__n > 1").select("datetime", "size", "entered", ratio(F.col("entered"), F.col("size")).alias("turnover"))
+
+
+def pair_correlation(long: DataFrame, least: int) -> DataFrame:
+    """(datetime, factor_a, factor_b, rho, common, reason): daily Spearman correlation of factor pairs on common rows."""
+    a, b = (long.select(*KEYS, F.col("factor").alias(f), F.col("value").alias(v)) for f, v in (("factor_a", "__x"), ("factor_b", "__y")))
+    both = a.join(b, KEYS).where("factor_a < factor_b and __x is not null and __y is not null")
+    by = ("datetime", "factor_a", "factor_b")
+    ranked = both.withColumns({"__x": xs.average_rank(F.col("__x"), *by), "__y": xs.average_rank(F.col("__y"), *by)})
+    out = ranked.groupBy(*by).agg(correlation("__x", "__y").alias("rho"), F.count("*").alias("common"))
+    reason = F.when(F.col("common") < least, "insufficient").when(F.col("rho").isNull(), "constant").otherwise("ok")
+    return out.withColumn("reason", reason).withColumn("rho", F.when(F.col("reason") == "ok", F.col("rho")))
+
+
+def factor_returns(panel: DataFrame, factor: str, label: str) -> DataFrame:
+    """(datetime, factor_return, universe_return) with weights (f - mean) / sum |f - mean|."""
+    w = xs.over()
+    rows = panel.where(F.col(factor).isNotNull() & F.col(label).isNotNull()).withColumn("__d", F.col(factor) - F.avg(factor).over(w))
+    return rows.groupBy("datetime").agg(ratio(F.sum(F.col("__d") * F.col(label)), F.sum(F.abs("__d"))).alias("factor_return"), F.avg(label).alias("universe_return"))
+
+
+def rank_autocorrelation(panel: DataFrame, factor: str, lag: int) -> DataFrame:
+    """(datetime, autocorrelation) of ranks at a lag of dates."""
+    ranked = panel.where(F.col(factor).isNotNull()).withColumn("__r", xs.average_rank(F.col(factor)))
+    days = ranked.select("datetime").distinct().withColumn("__n", F.row_number().over(Window.orderBy("datetime")))
+    held = ranked.join(F.broadcast(days), "datetime").select(*KEYS, "__n", "__r")
+    before = held.select("instrument", (F.col("__n") + lag).alias("__n"), F.col("__r").alias("__b"))
+    return held.join(before, ["instrument", "__n"]).groupBy("datetime").agg(correlation("__r", "__b").alias("autocorrelation"))
+
+
+def long_short(panel: DataFrame, factor: str, label: str, share: float) -> DataFrame:
+    """(datetime, long, short, spread, members): means of the top and bottom floor(n * share), ties by instrument."""
+    rows = panel.where(F.col(factor).isNotNull() & F.col(label).isNotNull())
+    n = F.floor(F.count("*").over(xs.over()) * share)
+    w = Window.partitionBy("datetime")
+    sides = rows.withColumns({"__top": F.row_number().over(w.orderBy(F.desc(factor), "instrument")) <= n, "__low": F.row_number().over(w.orderBy(factor, "instrument")) <= n})
+    out = sides.groupBy("datetime").agg(F.avg(F.when(F.col("__top"), F.col(label))).alias("long"), F.avg(F.when(F.col("__low"), F.col(label))).alias("short"), F.count_if("__top").alias("members"))
+    return out.where("members > 0").withColumn("spread", F.col("long") - F.col("short"))
+
+
+def spells(held: DataFrame, calendar: DataFrame) -> DataFrame:
+    """(instrument, start, end, duration, censored): unbroken membership on the calendar."""
+    placed = held.select(*KEYS).join(calendar, "datetime")
+    island = F.col("pos") - F.row_number().over(Window.partitionBy("instrument").orderBy("pos"))
+    last = calendar.agg(F.max("datetime").alias("last"))
+    out = placed.withColumn("__i", island).groupBy("instrument", "__i").agg(F.min("datetime").alias("start"), F.max("datetime").alias("end"), F.count("*").alias("duration"))
+    return out.crossJoin(F.broadcast(last)).select("instrument", "start", "end", "duration", (F.col("end") == F.col("last")).alias("censored"))

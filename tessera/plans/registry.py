@@ -2,10 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+
+from tessera.plans import base, evaluation, features, panel  # noqa: F401  (they register themselves)
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return base.QUERIES["flagship_reversal"](spark, sf_dir)
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return base.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return base.ORACLES
