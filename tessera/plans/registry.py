@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.plans import base, evaluation, features, panel  # noqa: F401  (they register themselves)
+from tessera.plans import base, evaluation, features, more, panel  # noqa: F401  (they register themselves)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
