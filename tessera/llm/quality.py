@@ -1,6 +1,6 @@
 """Quality by importance resampling.
 
-Two bags of hashed words and word pairs describe the target texts (labelled as good) and the raw corpus (all texts).  A
+Two bags of hashed words and word pairs (a word beside itself is one pair for all words) describe the target texts (labelled as good) and the raw corpus (all texts).  A
 text's log importance weight is the sum, over its n-grams, of the log ratio of the two.  For sampling, each weight is
 taken at the standard length of ``length`` n-grams, so that long texts are neither favoured nor punished.  Gumbel noise is
 added, and the top k documents are the sample; ``k`` is the number of documents whose mean ratio is at or above a
@@ -23,7 +23,10 @@ BUCKETS = 1 << 16
 
 
 def _grams(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of all words and runs of signs and of neighbouring pairs, case kept, and where each text's begin."""
+    """Buckets of all words and runs of signs and of neighbouring pairs, case kept, and where each text's begin.
+
+    All pairs of a token and itself share a bucket, so that repetition itself is seen.
+    """
     h, at = shared.token_hashes(data, bounds, shared.PUNCT_CLASS, shared.SAME)
     if not len(h):
         return np.zeros(0, np.int64), at
@@ -32,6 +35,8 @@ def _grams(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray
     both[0::2], both[1::2] = h, np.concatenate([pair, h[-1:]])
     first = at[1:][at[1:] > at[:-1]] - 1  # a text's last token has no pair: its own bucket counts again
     both[2 * first + 1] = h[first]
+    again = np.flatnonzero(h[1:] == h[:-1])
+    both[2 * again[~np.isin(again, first)] + 1] = 0  # a token after itself is one pair, whatever the token
     return (both >> np.uint64(48)).astype(np.int64), 2 * at
 
 

@@ -124,9 +124,9 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(33))
 
 
-def token_hashes(data: np.ndarray, bounds: np.ndarray, classes: np.ndarray = WORD_CLASS, fold: np.ndarray = FOLD, spans: bool = False) -> tuple:
+def token_hashes(data: np.ndarray, bounds: np.ndarray, classes: np.ndarray = WORD_CLASS, fold: np.ndarray = FOLD, spans: bool = False, heads: tuple[int, ...] = ()) -> tuple:
     """64-bit hashes of all tokens (runs of one nonzero class) and, for each text, where its tokens begin; with ``spans``
-    also where each token begins and ends.
+    also where each token begins and ends; with ``heads`` also hashes of the tokens' first so many bytes.
 
     A token's hash is a polynomial in its bytes taken from prefix sums, so that equal tokens have equal hashes
     wherever they stand.
@@ -147,7 +147,10 @@ def token_hashes(data: np.ndarray, bounds: np.ndarray, classes: np.ndarray = WOR
     np.cumsum((fold[data].astype(np.uint64) + np.uint64(1)) * power[:n], out=prefix[1:])
     h = (prefix[ends] - prefix[starts]) * inverse[starts]
     h = mix(h ^ ((ends - starts).astype(np.uint64) * _LENGTH))
-    return (h, np.searchsorted(starts, bounds), starts, ends) if spans else (h, np.searchsorted(starts, bounds))
+    out = (h, np.searchsorted(starts, bounds))
+    if heads:
+        out += tuple(mix((prefix[np.minimum(ends, starts + n)] - prefix[starts]) * inverse[starts] ^ np.uint64(n)) for n in heads)
+    return out + (starts, ends) if spans else out
 
 
 def join_hashes(h: np.ndarray, n: int) -> np.ndarray:
