@@ -1,7 +1,7 @@
 """Severity of toxicity by cumulative-link ordinal regression on sparse text features.
 
 P(grade >= j) = logistic(w.x - t_j): one weight vector for all grades, ordered thresholds t_1 < t_2 < ...  Features are the
-presence of hashed words that differ between labelled toxic and other texts.  The prediction is the expected severity,
+presence of hashed words and beginnings of words that differ between labelled toxic and other texts.  The prediction is the expected severity,
 the sum of P(grade >= j), and the grade that is at least as likely as not.
 """
 
@@ -20,8 +20,15 @@ from tessera.llm.quality import labelled_sample
 BUCKETS = 1 << 20
 
 
+def _features(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of words and of their first four and five bytes, and each feature's text."""
+    h, cut, *heads = shared.token_hashes(data, bounds, shared.PUNCT_CLASS, heads=(4, 5))
+    bucket = (np.concatenate([h, *heads]) >> np.uint64(44)).astype(np.int64)
+    return bucket, np.tile(np.repeat(np.arange(len(bounds) - 1), np.diff(cut)), 1 + len(heads))
+
+
 def _buckets(held):
-    """(doc_id, n_words, bucket, times) of the sampled documents."""
+    """(doc_id, bucket, times) of the sampled documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wanted = held.value
@@ -31,11 +38,10 @@ def _buckets(held):
             data, bounds = shared.text_bytes(batch.column(1))
             ids = batch.column(0).to_numpy()
             for lo, hi, part, at in shared.chunks(data, bounds):
-                h, cut = shared.token_hashes(part, at, shared.PUNCT_CLASS)
-                code = (np.repeat(np.arange(lo, hi), np.diff(cut)).astype(np.uint64) << np.uint64(20)) | (h >> np.uint64(44))
-                code, times = np.unique(code, return_counts=True)
-                row = (code >> np.uint64(20)).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[row]), pa.array(np.diff(cut)[row - lo].astype(np.int64)), pa.array((code & np.uint64(BUCKETS - 1)).astype(np.int64)), pa.array(times.astype(np.int64))], ["doc_id", "n_words", "bucket", "times"])
+                bucket, row = _features(part, at)
+                code, times = np.unique(((row + lo) << 20) | bucket, return_counts=True)
+                row = code >> 20
+                yield pa.RecordBatch.from_arrays([pa.array(ids[row]), pa.array(code & (BUCKETS - 1)), pa.array(times.astype(np.int64))], ["doc_id", "bucket", "times"])
 
     return run
 
@@ -51,7 +57,7 @@ class OrdinalModel:
         return 1 / (1 + np.exp(-np.clip(score[:, None] - self.cuts[None, :], -500, 500)))
 
     @classmethod
-    def fit(cls, buckets: np.ndarray, row: np.ndarray, column: np.ndarray, grade: np.ndarray, grades: int, rounds: int = 400, decay: float = 1e-4) -> OrdinalModel:
+    def fit(cls, buckets: np.ndarray, row: np.ndarray, column: np.ndarray, grade: np.ndarray, grades: int, rounds: int = 1000, decay: float = 1e-5) -> OrdinalModel:
         """Maximum likelihood by full-batch gradient steps with adaptive moments; the gaps of the cuts are kept positive."""
         n, d = len(grade), len(buckets)
         p = np.concatenate([np.zeros(d), [2.0], np.zeros(grades - 1)])
@@ -77,16 +83,16 @@ class OrdinalModel:
         return cls(buckets, p[:d], p[d] + np.concatenate([[0.0], np.cumsum(np.exp(np.clip(p[d + 1 :], -8, 8)))]))
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", flag: str = "toxic", grades: int = 3, max_labelled: int = 20_000, features: int = 2048) -> OrdinalModel | None:
+def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", flag: str = "toxic", grades: int = 3, max_labelled: int = 20_000, features: int = 1024) -> OrdinalModel | None:
     """Fits on at most ``max_labelled`` labelled rows; None where labels of both kinds aren't there.
 
-    Labels only say whether a text is toxic.  Grades 1 to ``grades`` of toxic texts are equal shares by the number of
-    their words, for each hundred, that almost only toxic texts have.
+    Labels only say whether a text is toxic.  Toxic texts get grades 1 to ``grades`` by how often they have features
+    that almost only toxic texts have, cut at equal shares; texts with as many have the same grade.
     """
     spark = docs.sparkSession
     sample = {r.doc_id: r.flag for r in labelled_sample(labels, flag, max_labelled)}
     held = spark.sparkContext.broadcast(np.array(sorted(sample), np.int64))
-    found = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(_buckets(held), "doc_id long, n_words long, bucket long, times long")
+    found = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(_buckets(held), "doc_id long, bucket long, times long")
     table = shared.Scratch(spark, "toxic").table(found)
     known = F.broadcast(spark.createDataFrame(list(sample.items()), "doc_id long, flag int"))
     by = table.join(known, "doc_id").groupBy("bucket").agg(F.sum("flag").alias("t"), F.sum(1 - F.col("flag")).alias("c"))
@@ -99,15 +105,14 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     buckets = np.array(sorted(r.bucket for r in best), np.int64)
     marked = {r.bucket for r in best if r.t * nc > 20 * r.c * nt and r.t >= 20} or {r.bucket for r in best if r.t * nc > 20 * r.c * nt}
     chosen = F.broadcast(spark.createDataFrame([(int(b),) for b in buckets], "bucket long"))
-    rows = table.join(chosen, "bucket").select("doc_id", "n_words", "bucket", "times").toArrow()  # bounded by the sample
-    doc, n_words, bucket, times = (rows.column(c).to_numpy() for c in ("doc_id", "n_words", "bucket", "times"))
+    rows = table.join(chosen, "bucket").select("doc_id", "bucket", "times").toArrow()  # bounded by the sample
+    doc, bucket, times = (rows.column(c).to_numpy() for c in ("doc_id", "bucket", "times"))
     ids = np.array(sorted(sample), np.int64)
     row, column = np.searchsorted(ids, doc), np.searchsorted(buckets, bucket)
     toxic = np.array([sample[i] for i in ids.tolist()], bool)
-    load = np.bincount(row, np.isin(bucket, list(marked)) * times / np.maximum(n_words, 1), len(ids))
-    order = np.argsort(np.argsort(load[toxic], kind="stable"), kind="stable")
-    grade = np.zeros(len(ids), np.int64)
-    grade[toxic] = 1 + order * grades // max(1, len(order))
+    load = np.bincount(row, np.isin(bucket, list(marked)) * times, len(ids))
+    cuts = np.quantile(load[toxic], np.arange(1, grades) / grades)
+    grade = np.where(toxic, 1 + np.searchsorted(cuts, load), 0)
     return OrdinalModel.fit(buckets, row, column, grade, grades)
 
 
@@ -124,12 +129,11 @@ def severity(docs: DataFrame, model: OrdinalModel | None, *, text_col: str = "te
         own, n = held.value, len(bounds) - 1
         if own is None:
             return [pa.array(np.zeros(n)), pa.array(np.zeros(n, np.int32)), pa.array(np.zeros(n, bool))]
-        h, cut = shared.token_hashes(data, bounds, shared.PUNCT_CLASS)
-        bucket = (h >> np.uint64(44)).astype(np.int64)
+        bucket, row = _features(data, bounds)
         table = np.zeros(BUCKETS)
         table[own.buckets] = own.weights
         some = np.flatnonzero(table[bucket])
-        code = np.unique(((np.searchsorted(cut, some, "right") - 1).astype(np.int64) << 20) | bucket[some])
+        code = np.unique((row[some] << 20) | bucket[some])
         above = own.above(np.bincount(code >> 20, table[code & (BUCKETS - 1)], n))
         grade = (above >= 0.5).sum(1)
         return [pa.array(np.round(above.sum(1), 6)), pa.array(grade.astype(np.int32)), pa.array(grade > 0)]
