@@ -61,7 +61,7 @@ def word_memory(path: str) -> shared.PartMemory:
             size.append(len(own))
         return np.array(ids, np.int64), np.array(size, np.int64)
 
-    return shared.PartMemory(encode, 1 << 19)
+    return shared.PartMemory(encode, 1 << 18)
 
 
 def token_ids(memory: shared.PartMemory, texts: pa.Array) -> list[np.ndarray]:
