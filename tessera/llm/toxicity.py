@@ -57,8 +57,9 @@ class OrdinalModel:
         return 1 / (1 + np.exp(-np.clip(score[:, None] - self.cuts[None, :], -500, 500)))
 
     @classmethod
-    def fit(cls, buckets: np.ndarray, row: np.ndarray, column: np.ndarray, grade: np.ndarray, grades: int, rounds: int = 1000, decay: float = 1e-5) -> OrdinalModel:
-        """Maximum likelihood by full-batch gradient steps with adaptive moments; the gaps of the cuts are kept positive."""
+    def fit(cls, buckets: np.ndarray, row: np.ndarray, column: np.ndarray, grade: np.ndarray, grades: int, rounds: int = 1000, decay: float = 0.2) -> OrdinalModel:
+        """Maximum likelihood with a normal prior of precision ``decay`` on weights, by full-batch gradient steps with
+        adaptive moments; the gaps of the cuts are kept positive."""
         n, d = len(grade), len(buckets)
         p = np.concatenate([np.zeros(d), [2.0], np.zeros(grades - 1)])
         m, v = np.zeros_like(p), np.zeros_like(p)
@@ -77,7 +78,7 @@ class OrdinalModel:
             by_cut[i, grade + 1] += slope[i, grade + 1] / likely
             to_cut = by_cut[:, 1:-1].mean(0)
             after = to_cut[::-1].cumsum()[::-1]
-            gain = np.concatenate([np.bincount(column, by_score[row], d) / n - decay * w if d else np.zeros(0), [to_cut.sum()], after[1:] * gaps])
+            gain = np.concatenate([np.bincount(column, by_score[row], d) / n - decay / n * w if d else np.zeros(0), [to_cut.sum()], after[1:] * gaps])
             m, v = 0.9 * m + 0.1 * gain, 0.99 * v + 0.01 * gain * gain
             p = p + 0.1 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-10)
         return cls(buckets, p[:d], p[d] + np.concatenate([[0.0], np.cumsum(np.exp(np.clip(p[d + 1 :], -8, 8)))]))
