@@ -238,3 +238,19 @@ def evaluate_signal_decay(spark, sf_dir):
     w = monthly_panel(spark, sf_dir).select(*KEYS, (ratio(ts.ref(c, -1), c) - 1).alias("h1"), (ratio(ts.ref(c, -2), c) - 1).alias("h2"), (-ts.change(c)).alias("value"))
     long = w.unpivot([*KEYS, "value"], ["h1", "h2"], "factor", "label")
     return evaluate.daily_ic(long, 5).where("status = 'ok'").groupBy(F.col("factor").alias("horizon")).agg(F.count("*").alias("days"), F.avg("rank_ic").alias("rank_ic_mean"))
+
+
+@query("""
+m AS (SELECT instrument, avg(close) AS mean_close FROM panel GROUP BY 1)
+SELECT datetime, instrument, mean_close FROM panel JOIN m USING (instrument)""", floats="mean_close")
+def join_lookup(spark, sf_dir):
+    """Many to one, with the right keys checked to be unique."""
+    p = monthly_panel(spark, sf_dir)
+    return joins.looked_up(p, p.groupBy("instrument").agg(F.avg("close").alias("mean_close")), ["instrument"]).select("datetime", "instrument", "mean_close")
+
+
+@query("SELECT datetime, instrument, open, CASE WHEN instrument[-1] = '7' THEN close * 2 END AS close FROM panel", floats="open close")
+def join_replaced_columns(spark, sf_dir):
+    p = monthly_panel(spark, sf_dir)
+    corrected = p.where(F.substring("instrument", -1, 1) == "7").withColumn("close", F.col("close") * 2)
+    return joins.replaced_columns(p.select(*KEYS, "open", "close"), corrected, ["close"])
