@@ -160,8 +160,7 @@ def near_duplicates(
     runs = F.transform(F.sequence(F.lit(1), F.size("sketch") - 3), lambda i: F.xxhash64(F.slice("sketch", i, 4)))
     longer = (
         reps.where(F.size("sketch") > 3).join(placed.where(F.col("company") > short).select("rep").distinct(), "rep", "left_semi")
-        .select("rep", "n", F.explode(runs).alias("key"))
-        .join(families, "rep", "left").withColumn("family", F.coalesce("family", "rep"))
+        .join(families, "rep", "left").select("rep", "n", F.coalesce("family", "rep").alias("family"), F.explode(runs).alias("key"))
     )
     company = longer.groupBy("key").agg(F.count("*").alias("company"), F.min("family").alias("lo"), F.max("family").alias("hi")).where("lo < hi").select("key", "company")
     longer = scratch.table(longer.join(company, "key"))
