@@ -105,8 +105,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     best = by.where("t + c > 4").select("bucket", "t", "c", (rate * rate / (pooled * (1.0001 - pooled))).alias("z")).orderBy(F.desc("z"), "bucket").limit(features).collect()
     buckets = np.array(sorted(r.bucket for r in best), np.int64)
     marked = {r.bucket for r in best if r.t * nc > 20 * r.c * nt and r.t >= 20} or {r.bucket for r in best if r.t * nc > 20 * r.c * nt}
-    chosen = F.broadcast(spark.createDataFrame([(int(b),) for b in buckets], "bucket long"))
-    rows = table.join(chosen, "bucket").select("doc_id", "bucket", "times").toArrow()  # bounded by the sample
+    rows = table.where(F.col("bucket").isin(buckets.tolist())).select("doc_id", "bucket", "times").toArrow()  # bounded by the sample
     doc, bucket, times = (rows.column(c).to_numpy() for c in ("doc_id", "bucket", "times"))
     ids = np.array(sorted(sample), np.int64)
     row, column = np.searchsorted(ids, doc), np.searchsorted(buckets, bucket)
