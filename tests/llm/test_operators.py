@@ -214,6 +214,17 @@ def test_near_copies_of_near_copies(spark):
     assert Counter((x.doc_id, x.n_shingles, x.component_id) for x in out) == components(rows, 85)
 
 
+def test_contained_texts_at_the_threshold(spark):
+    r = random.Random(3)
+    rows = []
+    for i in range(1800):  # sets of 80 to 140 shingles, one holding the other, at a similarity of exactly 0.8
+        small = (80, 96, 104)[i % 3]
+        w = [f"w{r.randrange(10**9)}" for _ in range(small * 5 // 4 + 4)]
+        rows += [(2 * i, " ".join(w)), (2 * i + 1, " ".join(w[: small + 4]))]
+    out = near_dedup.near_duplicates(table(spark, rows), percent=80).collect()
+    assert {r.doc_id for r in out if r.component_id != r.doc_id // 2 * 2} == set()
+
+
 # ------------------------------------------------------------------ 5 language model
 def brute_ppm(train, texts, order):
     counts = [defaultdict(Counter) for _ in range(order + 1)]
