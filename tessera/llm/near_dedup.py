@@ -235,17 +235,23 @@ def _unsettled(groups: DataFrame) -> DataFrame:
     return groups.join(largest, "group").select("group", "rep", "component", (F.col("component") == F.col("l.component")).alias("main"))
 
 
-def _in_blocks(groups: DataFrame, full: DataFrame, percent: int, most: int = 1 << 20) -> DataFrame:
-    """Links (a, b) between different components of a group, exactly, from blocks of about ``most`` shingles.
-
-    Every two blocks meet in a task of their own, but for blocks of the group's largest component among themselves.
-    """
+def _blocks(groups: DataFrame, full: DataFrame, most: int = 1 << 20, texts: int = 2048) -> DataFrame:
+    """The rows of every two blocks (x, y) that meet.  A block has about ``most`` shingles and ``texts`` texts at the most,
+    so what a meeting needs is bounded, however large the group."""
     rows = groups.join(full, "rep")
-    blocks = rows.groupBy("group").agg(*(F.ceil(F.sum(F.when(w, F.size("shingles")).otherwise(0)) / most).cast("int").alias(c) for c, w in (("others", ~F.col("main")), ("mains", F.col("main")))))
+    number = lambda w: F.ceil(F.greatest(F.sum(F.when(w, F.size("shingles")).otherwise(0)) / most, F.count_if(w) / texts)).cast("int")
+    blocks = rows.groupBy("group").agg(number(~F.col("main")).alias("others"), number(F.col("main")).alias("mains"))
     rows = rows.join(blocks, "group").withColumn("block", F.when(F.col("main"), F.col("others") + F.pmod(F.xxhash64("rep"), F.greatest("mains", F.lit(1)))).otherwise(F.pmod(F.xxhash64("rep"), F.greatest("others", F.lit(1)))).cast("int"))
     last = F.when(F.col("main"), F.col("others")).otherwise(F.col("others") + F.col("mains")) - 1
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), last)))
-    rows = rows.select("group", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "rep", "component", "shingles")
+    return rows.select("group", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "rep", "component", "shingles")
+
+
+def _in_blocks(groups: DataFrame, full: DataFrame, percent: int, **bounds: int) -> DataFrame:
+    """Links (a, b) between different components of a group, exactly, from blocks of bounded size.
+
+    Every two blocks meet in a task of their own, but for blocks of the group's largest component among themselves.
+    """
 
     def links(key: tuple, table: pa.Table) -> pa.Table:
         x, y = key[1].as_py(), key[2].as_py()
@@ -272,9 +278,14 @@ def _in_blocks(groups: DataFrame, full: DataFrame, percent: int, most: int = 1 <
             a[place[row[now & in_left]], column[now & in_left] - lo] = 1
             b[place_right[row[now & in_right]], column[now & in_right] - lo] = 1
             both += a @ b.T
-        union = sizes[left][:, None] + sizes[right][None, :] - both
-        i, j = np.nonzero((both * 100 >= union * percent) & (part[left][:, None] != part[right][None, :]))
-        p, q = rep[left[i]], rep[right[j]]
+        p, q = [rep[:0]], [rep[:0]]
+        for lo in range(0, len(left), 256):  # in stripes: whole numbers of 64 bits are exact but large
+            own = left[lo : lo + 256]
+            linked = both[lo : lo + 256].astype(np.int64) * (100 + percent) >= (sizes[own][:, None] + sizes[right]) * percent
+            i, j = np.nonzero(linked & (part[own][:, None] != part[right]))
+            p.append(rep[own[i]])
+            q.append(rep[right[j]])
+        p, q = np.concatenate(p), np.concatenate(q)
         return pa.table({"a": np.minimum(p, q), "b": np.maximum(p, q)})
 
-    return rows.groupBy("group", "x", "y").applyInArrow(links, "a long, b long")
+    return _blocks(groups, full, **bounds).groupBy("group", "x", "y").applyInArrow(links, "a long, b long")

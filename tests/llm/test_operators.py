@@ -225,6 +225,15 @@ def test_contained_texts_at_the_threshold(spark):
     assert {r.doc_id for r in out if r.component_id != r.doc_id // 2 * 2} == set()
 
 
+def test_blocks_of_short_texts_are_bounded(spark):
+    full = spark.range(9000).select(F.col("id").alias("rep"), F.transform(F.sequence(F.lit(0), F.lit(7)), lambda k: (F.floor(F.col("id") / 2) * 20 + k + F.col("id") % 2 * F.when(k == 7, 1).otherwise(0)).cast("long")).alias("shingles"))
+    groups = full.select(F.lit(1).alias("group"), "rep", F.col("rep").alias("component"), (F.col("rep") == 0).alias("main"))
+    sizes = near_dedup._blocks(groups, full).groupBy("x", "y", "block").count().agg(F.max("count"), F.countDistinct("x", "y")).first()
+    assert sizes[0] <= 2048 * 1.1 and sizes[1] >= 15
+    got = {tuple(r) for r in near_dedup._in_blocks(groups, full, 75).collect()}
+    assert got == {(i, i + 1) for i in range(0, 9000, 2)}  # 7 of 9 in common
+
+
 # ------------------------------------------------------------------ 5 language model
 def brute_ppm(train, texts, order):
     counts = [defaultdict(Counter) for _ in range(order + 1)]
