@@ -12,9 +12,10 @@ A document's set holds the hashes of its distinct word shingles.  The smallest `
    entry of a list, however long the list.  Pairs are estimated on the sketch of the union, then confirmed on full sets.
 4. Connected components follow.  What may still link two components is then compared as well:
    classes that are alike but not linked (families, by estimate) and the entries of lists, within lists of at most
-   ``short`` entries pair by pair.  Longer lists are replaced by lists of four neighbours in the whole sketch, and those
-   that are still long, like families, are compared exactly in blocks of bounded size, by products of incidence matrices.
-   So no link between components is lost; links inside one change nothing.
+   ``short`` entries pair by pair.  For the classes of longer lists, lists by the prefixes of their full sets take their
+   place: ordered by how common a shingle is, two linked sets of sizes n share one of their n - ceil(s*n) + 1 first for
+   certain.  Those that are still long, like families, are compared exactly in blocks of bounded size, by products of
+   incidence matrices.  So no link between components is lost; links inside one change nothing.
 """
 
 from __future__ import annotations
@@ -31,6 +32,9 @@ from tessera.llm import shared
 #: Positions of the bitmap that keeps texts out of the verification pass; its size is fixed, whatever the input.
 BITMAP = 1 << 20
 
+#: Shingles that are ranked by how common they are, at most; the others come first, in any order.
+RANKED = 1 << 16
+
 
 def _sets(data: np.ndarray, bounds: np.ndarray, n: int) -> Iterator[np.ndarray]:
     """The sorted distinct shingle hashes of each text; a text of fewer words is one shingle."""
@@ -91,6 +95,41 @@ def _full_sets(shingle: int, wanted: np.ndarray):
     return run
 
 
+def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How many sets of a batch have each shingle."""
+    for batch in batches:
+        keys, counts = np.unique(batch.column(0).flatten().to_numpy(), return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(counts, pa.int64())], names=["key", "count"])
+
+
+def _prefixes(common: np.ndarray, percent: int):
+    """The first shingles of each set in one order of all shingles: rising by place in ``common`` (-1 outside), then by value.
+
+    Sets of sizes n and m that are linked have ceil(percent * n / 100) shingles in common or more, so the first
+    n - ceil(percent * n / 100) + 1 of one and of the other have one in common, whatever the order is.
+    """
+    schema = pa.schema([("rep", pa.int64()), ("n", pa.int64()), ("family", pa.int64()), ("key", pa.int64())])
+    by_value = np.argsort(common)
+    values = common[by_value]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = batch.column(2)
+            n, flat = sets.value_lengths().to_numpy().astype(np.int64), sets.flatten().to_numpy()
+            rank = np.full(len(flat), -1)
+            if len(values):
+                at = np.minimum(np.searchsorted(values, flat), len(values) - 1)
+                rank = np.where(values[at] == flat, by_value[at], -1)
+            row = np.repeat(np.arange(len(n)), n)
+            order = np.lexsort((flat, rank, row))
+            place = np.arange(len(flat)) - np.repeat(np.cumsum(n) - n, n)
+            first = place <= (n - (n * percent + 99) // 100)[row]
+            of = row[first]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(of)), pa.array(n[of]), batch.column(1).take(pa.array(of)), pa.array(flat[order[first]])], schema=schema)
+
+    return run
+
+
 def components(scratch: shared.Scratch, edges: DataFrame) -> DataFrame:
     """(node, component) for the nodes of ``edges`` (a, b): the smallest node reachable.
 
@@ -151,7 +190,9 @@ def near_duplicates(
         .distinct()
     )
     likely = scratch.table(_estimated(reps, starred, percent, sketch, slack))
-    links = scratch.table(_confirmed(likely, _full(scratch, docs, reps, likely.select(F.explode(F.array("a", "b")).alias("rep")), shingle), percent))
+    crowded = scratch.table(shared_entries.where(F.col("company") > short).select("rep").distinct())
+    full = _full(scratch, docs, reps, likely.select(F.explode(F.array("a", "b")).alias("rep")).union(crowded), shingle)
+    links = scratch.table(_confirmed(likely, full, percent))
     parts = components(scratch, links)
     families = components(scratch, likely).select(F.col("node").alias("rep"), F.col("component").alias("family"))
 
@@ -159,11 +200,15 @@ def near_duplicates(
         shared_entries.select("key", "rep", "n", "company").join(families, "rep", "left").withColumn("family", F.coalesce("family", "rep"))
     )
     few = _crossing(placed.where(F.col("company") <= short), fits)
-    runs = F.transform(F.sequence(F.lit(1), F.size("sketch") - 3), lambda i: F.xxhash64(F.slice("sketch", i, 4)))
+    sets = full.join(crowded, "rep", "left_semi")
+    counts = sets.select("shingles").mapInArrow(_counts, "key long, count long").groupBy("key").agg(F.sum("count").alias("count"))
+    common = counts.where("count > 1").orderBy(F.desc("count"), "key").limit(RANKED).select("key").toArrow()  # at most RANKED rows
+    common = common.column("key").to_numpy()[::-1]
     longer = (
-        reps.where(F.size("sketch") > 3).join(placed.where(F.col("company") > short).select("rep").distinct(), "rep", "left_semi")
-        .join(families, "rep", "left").select("rep", "n", F.coalesce("family", "rep").alias("family"), F.explode(runs).alias("key"))
+        sets.join(families, "rep", "left").select("rep", F.coalesce("family", "rep").alias("family"), "shingles")
+        .mapInArrow(_prefixes(common, percent), "rep long, n long, family long, key long")
     )
+    longer = scratch.table(longer)
     company = longer.groupBy("key").agg(F.count("*").alias("company"), F.min("family").alias("lo"), F.max("family").alias("hi")).where("lo < hi").select("key", "company")
     longer = scratch.table(longer.join(company, "key"))
     rest = scratch.table(few.union(_crossing(longer.where(F.col("company") <= short), fits)).distinct().join(starred, ["a", "b"], "left_anti"))

@@ -225,6 +225,38 @@ def test_contained_texts_at_the_threshold(spark):
     assert {r.doc_id for r in out if r.component_id != r.doc_id // 2 * 2} == set()
 
 
+def test_long_lists_of_short_texts(spark):
+    r = random.Random(4)
+    word = lambda: f"w{r.randrange(10**9)}"
+    rows, i = [], 0
+    for _ in range(8):  # a sentence of 8 words: in 150 texts with more, then alone and with one word
+        stock = [word() for _ in range(8)]
+        for _ in range(150):
+            rows.append((i := i + 1, " ".join([*stock, word(), word(), word()])))
+        rows += [(i := i + 1, " ".join(stock)), (i := i + 1, " ".join([*stock, word()]))]
+    out = near_dedup.near_duplicates(table(spark, rows), percent=80).collect()
+    assert Counter((x.doc_id, x.n_shingles, x.component_id) for x in out) == components(rows, 80)
+
+
+def test_prefixes_of_linked_sets_meet():
+    r = np.random.default_rng(6)
+    for percent in (60, 75, 80, 85, 100):
+        common = r.permutation(np.arange(60))[:30]
+        sets = [np.sort(r.choice(np.arange(60), r.integers(1, 40), replace=False)) for _ in range(120)]
+        sets += [np.sort(np.union1d(s[: len(s) * 9 // 10], r.integers(60, 90, 2))) for s in sets]
+        sets += sets[:5]
+        cut = np.concatenate([[0], np.cumsum([len(s) for s in sets])])
+        ids = shared.pa.array(np.arange(len(sets)))
+        batch = shared.pa.RecordBatch.from_arrays([ids, ids, shared.lists(np.concatenate(sets), cut)], names=["rep", "family", "shingles"])
+        keys = defaultdict(set)
+        for out in near_dedup._prefixes(common, percent)(iter([batch])):
+            for row in out.to_pylist():
+                assert row["n"] == len(sets[row["rep"]]) and row["key"] in sets[row["rep"]]
+                keys[row["rep"]].add(row["key"])
+        met = [keys[a] & keys[b] for a in range(len(sets)) for b in range(a) if 100 * len(np.intersect1d(sets[a], sets[b])) >= percent * len(np.union1d(sets[a], sets[b]))]
+        assert met and all(met)
+
+
 def test_blocks_of_short_texts_are_bounded(spark):
     full = spark.range(9000).select(F.col("id").alias("rep"), F.transform(F.sequence(F.lit(0), F.lit(7)), lambda k: (F.floor(F.col("id") / 2) * 20 + k + F.col("id") % 2 * F.when(k == 7, 1).otherwise(0)).cast("long")).alias("shingles"))
     groups = full.select(F.lit(1).alias("group"), "rep", F.col("rep").alias("component"), (F.col("rep") == 0).alias("main"))
