@@ -33,49 +33,120 @@ PART_CLASS[ord("'")] = 1
 _OTHER_SIGNS = re.compile(r"[^\x00-\x7f\w]")
 
 
-@functools.cache
-def word_memory(path: str) -> shared.PartMemory:
-    """A worker's memory of the ids of distinct parts of texts.
+class PartMemory:
+    """A worker's memory of the ids of distinct parts of texts, by their bytes.
 
     Exact for tokenizers that lower the case, drop blanks and cut letters, digits and signs (as the BPE with word ends).
+    More than ``most`` parts empty it, which costs time only.
     """
-    from tokenizers import Tokenizer
 
-    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks fill the cores
-    tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-    model = tokenizer.model
+    def __init__(self, path: str, most: int = 1 << 17):
+        from tokenizers import Tokenizer
+
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks fill the cores
+        self.tokenizer, self.most = Tokenizer.from_file(path), most
+        self.model = self.tokenizer.model
+        #: Texts that hold one of these strings go to the tokenizer whole: it cuts them out before anything else.
+        self.added = re.compile("|".join(re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()) or r"(?!)", re.IGNORECASE)
+        self.clear()
+
+    def clear(self) -> None:
+        self.known: dict[bytes, int] = {}
+        # the arrays double as they fill
+        self.flat, self.start, self.size, self.used = np.zeros(1 << 12, np.uint32), np.zeros(1 << 12, np.int32), np.zeros(1 << 12, np.int32), 0
 
-    def encode(new: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    def _encode(self, new: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         plain = [w.isascii() and w.isalpha() for w in new]  # no normalising or cutting: the model's own words
-        rest, sizes = shared.encode_parts(tokenizer, [w.decode() for w, p in zip(new, plain, strict=True) if not p])
+        rest, sizes = encode_parts(self.tokenizer, [w.decode() for w, p in zip(new, plain, strict=True) if not p])
         cut = np.concatenate([[0], np.cumsum(sizes)]).tolist()
         ids, size, k, rest = [], [], 0, rest.tolist()
         for w, p in zip(new, plain, strict=True):
             if p:
-                own = [t.id for t in model.tokenize(w.decode())]
+                own = [t.id for t in self.model.tokenize(w.decode())]
             else:
                 own = rest[cut[k] : cut[k + 1]]
                 k += 1
             ids += own
             size.append(len(own))
-        return np.array(ids, np.int64), np.array(size, np.int64)
+        return np.array(ids, np.uint32), np.array(size, np.int32)
+
+    @staticmethod
+    def _put(held: np.ndarray, at: int, more: np.ndarray) -> np.ndarray:
+        if at + len(more) > len(held):
+            held = np.concatenate([held[:at], np.zeros(at + 2 * len(more), held.dtype)])
+        held[at : at + len(more)] = more
+        return held
+
+    def _places(self, parts: list[bytes]) -> list[int]:
+        found = list(map(self.known.get, parts))
+        if None in found:
+            if len(self.known) > self.most:
+                self.clear()
+            new = list(dict.fromkeys(p for p in parts if p not in self.known))
+            flat, size = self._encode(new)
+            at = len(self.known)
+            self.known.update(zip(new, range(at, at + len(new)), strict=True))
+            self.start = self._put(self.start, at, (self.used + np.cumsum(size) - size).astype(np.int32))
+            self.size, self.flat = self._put(self.size, at, size), self._put(self.flat, self.used, flat)
+            self.used += len(flat)
+            found = list(map(self.known.__getitem__, parts))
+        return found
+
+    def _ids(self, index: np.ndarray, part_bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        size = self.size[index].astype(np.int64)
+        end = np.cumsum(size)
+        ids = self.flat[np.repeat(self.start[index] - end + size, size) + np.arange(int(end[-1]) if len(end) else 0)]
+        return ids, np.concatenate([[0], end])[part_bounds]
+
+    def of_parts(self, split: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of texts given as lists of parts, and where each text's begin."""
+        index = np.array(self._places([p for own in split for p in own]), np.int64)
+        return self._ids(index, np.concatenate([[0], np.cumsum([len(own) for own in split])]))
+
+    def of_tokens(self, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The same for texts as bytes, cut by PART_CLASS; hashes only group equal tokens inside this call."""
+        h, at, starts, ends = shared.token_hashes(data, bounds, PART_CLASS, shared.SAME, spans=True)
+        _, first, where = np.unique(h, return_index=True, return_inverse=True)
+        raw = data.tobytes()
+        parts = [raw[x:y] for x, y in zip(starts[first].tolist(), ends[first].tolist(), strict=True)]
+        return self._ids(np.array(self._places(parts), np.int64)[where], at)
+
+
+def encode_parts(tokenizer, parts: list[str], at_once: int = 2000) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of parts by the tokenizers library, flat, and the number of each; ``at_once`` parts make one sequence."""
+    ids, sizes = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    runs = [parts[i : i + at_once] for i in range(0, len(parts), at_once)]
+    for lo in range(0, len(runs), 16):
+        for run, e in zip(runs[lo : lo + 16], tokenizer.encode_batch(runs[lo : lo + 16], is_pretokenized=True, add_special_tokens=False), strict=True):
+            ids.append(np.array(e.ids, np.int64))
+            sizes.append(np.bincount(np.array(e.word_ids, np.int64), minlength=len(run)))
+    return np.concatenate(ids), np.concatenate(sizes)
 
-    return shared.PartMemory(encode, 1 << 18)
+
+@functools.cache
+def word_memory(path: str) -> PartMemory:
+    """A worker's memory; the tokenizer stays, the parts are forgotten at the end of a partition."""
+    return PartMemory(path)
 
 
-def token_ids(memory: shared.PartMemory, texts: pa.Array) -> list[np.ndarray]:
+def token_ids(memory: PartMemory, texts: pa.Array) -> list[np.ndarray]:
     """The ids of each text; a null one has none."""
     out: list = [None] * len(texts)
-    odd = [i for i, t in enumerate(texts.to_pylist()) if t and not t.isascii() and _OTHER_SIGNS.search(t)]
-    usual = np.setdiff1d(np.arange(len(texts)), odd)
+    whole, odd = [], []
+    for i, t in enumerate(texts.to_pylist()):
+        if t and memory.added.search(t):
+            whole.append(i)
+            out[i] = np.array(memory.tokenizer.encode(t, add_special_tokens=False).ids, np.uint32)
+        elif t and not t.isascii() and _OTHER_SIGNS.search(t):
+            odd.append(i)
+    usual = np.setdiff1d(np.arange(len(texts)), whole + odd)
     if odd:
-        ids, bounds, _, _ = memory.look_up([texts[i].as_py().encode().lower().split() for i in odd])  # at \x20 and \x09-\x0D
+        ids, bounds = memory.of_parts([texts[i].as_py().encode().lower().split() for i in odd])  # at \x20 and \x09-\x0D
         for k, i in enumerate(odd):
             out[i] = ids[bounds[k] : bounds[k + 1]]
     data, cut = shared.text_bytes(texts.take(pa.array(usual)))
     for lo, _, part, at in shared.chunks(shared.FOLD[data], cut):
-        ids, bounds, _, _ = memory.look_up_tokens(part, at, PART_CLASS)
+        ids, bounds = memory.of_tokens(part, at)
         for k in range(len(bounds) - 1):
             out[usual[lo + k]] = ids[bounds[k] : bounds[k + 1]]
     return out
@@ -87,8 +158,8 @@ def _pieces(path: str, capacity: int, end: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memory, ranks, task = word_memory(path), np.zeros(capacity + 1, np.int64), TaskContext.get().partitionId()
         for batch in batches:
-            for lo in range(0, len(batch), 512):
-                part = batch.slice(lo, 512)
+            for lo in range(0, len(batch), 256):
+                part = batch.slice(lo, 256)
                 rows: list[tuple] = []
                 for doc, ids in zip(part.column(0).to_pylist(), token_ids(memory, part.column(1)), strict=True):
                     whole = ids.astype("<u4").tobytes() + last
@@ -99,8 +170,9 @@ def _pieces(path: str, capacity: int, end: int):
                         ranks[length] += 1
                 kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], [x.split()[0] for x in PIECES.split(", ")])
+        memory.clear()
 
-    return run
+    return shared.frugal(run)
 
 
 def plan(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int, int]]:
@@ -147,12 +219,15 @@ def pack(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", text_col: s
 
     ``ids`` holds the piece's ids as little-endian unsigned 32-bit numbers.  Each text ends with the id ``end``, so a
     null or empty text is a piece of one token.  Longer texts are cut into pieces of ``capacity`` ids; the last may be
-    shorter.  Rows that repeat an id, and rows with a null id, are packed like others.  Parts of texts are told apart by 64-bit hashes.  Other columns are ignored.
-    An empty table gives no pieces.
+    shorter.  Rows that repeat an id, and rows with a null id, are packed like others.  Strings of the tokenizer's added
+    tokens become those tokens, as in the library.  Parts of a chunk of text are grouped by 64-bit hashes.  Other columns
+    are ignored.  An empty table gives no pieces.
     """
     spark = docs.sparkSession
-    pieces = shared.Scratch(spark, "pack").table(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(_pieces(tokenizer, capacity, end), PIECES))
-    counts = pieces.groupBy("task", "length").agg(F.count("*").alias("n"))
+    scratch = shared.Scratch(spark, "pack")
+    shared.small_batches(spark)
+    pieces = scratch.table(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(_pieces(tokenizer, capacity, end), PIECES))
+    counts = scratch.table(pieces.groupBy("task", "length").agg(F.count("*").alias("n")))
     before = F.coalesce(F.sum("n").over(Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     earlier = counts.select("task", "length", before.alias("before"))
     totals = {r.length: r.n for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most ``capacity`` rows

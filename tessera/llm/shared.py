@@ -7,12 +7,14 @@ Word rules follow one convention everywhere: A-Z are lower-cased and words are r
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,19 +22,56 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BLANKS = " \t\n\x0b\f\r"
 
 #: Bytes of text that one vectorised step handles; the arrays of a step take about fifty times as much.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
+
+#: A token of more bytes gets the hash of a library instead of the polynomial, whose collisions can be constructed.
+LONG_TOKEN = 256
 
 
 # ------------------------------------------------------------------ scratch tables
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; a temporary one only where it is unset."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``.
+
+    Where it is unset, a local master gets a temporary folder; a cluster, which could not read that, gets an error.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="tessera-checkpoints-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
 
 
+# ------------------------------------------------------------------ memory of tasks
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Arrow batches of at most ``rows`` rows, unless the session has its own number: texts can be long, and a batch and its
+    copies are held whole on both sides of the pipe."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(key)) == 10_000:  # Spark's default
+        spark.conf.set(key, str(rows))
+
+
+def _give_back() -> None:
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def frugal(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A partition function whose worker returns its free memory to the system at the end: workers live on and are used again."""
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            _give_back()
+
+    return whole
+
+
 class Scratch:
     """Written tables that cut lineage: a lost executor rereads them instead of recomputing what led to them."""
 
@@ -107,21 +146,24 @@ _powers: list[np.ndarray] = []
 
 
 def _radix_powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd radix modulo 2**64 and of its inverse, kept for the life of a worker."""
-    if not _powers or len(_powers[0]) < n:
-        inverse = np.uint64(pow(int(_RADIX), -1, 1 << 64))
-        size = max(n, CHUNK + (CHUNK >> 2))
-        _powers[:] = [np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(size - 1, x, np.uint64)])) for x in (_RADIX, inverse)]
-    return _powers[0], _powers[1]
+    """Powers of an odd radix modulo 2**64 and of its inverse; those for a usual chunk are kept for the life of a worker."""
+    if _powers and len(_powers[0]) >= n:
+        return _powers[0], _powers[1]
+    inverse, usual = np.uint64(pow(int(_RADIX), -1, 1 << 64)), CHUNK + (CHUNK >> 2)
+    made = [np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(max(n, usual) - 1, x, np.uint64)])) for x in (_RADIX, inverse)]
+    if n <= usual:
+        _powers[:] = made
+    return made[0], made[1]
 
 
 def mix(h: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser (xor-shift and multiply rounds); one to one."""
     h = h ^ (h >> np.uint64(33))
-    h = h * np.uint64(0xFF51AFD7ED558CCD)
+    h *= np.uint64(0xFF51AFD7ED558CCD)
     h ^= h >> np.uint64(33)
     h *= np.uint64(0xC4CEB9FE1A85EC53)
-    return h ^ (h >> np.uint64(33))
+    h ^= h >> np.uint64(33)
+    return h
 
 
 def token_hashes(data: np.ndarray, bounds: np.ndarray, classes: np.ndarray = WORD_CLASS, fold: np.ndarray = FOLD, spans: bool = False, heads: tuple[int, ...] = ()) -> tuple:
@@ -129,7 +171,7 @@ def token_hashes(data: np.ndarray, bounds: np.ndarray, classes: np.ndarray = WOR
     also where each token begins and ends; with ``heads`` also hashes of the tokens' first so many bytes.
 
     A token's hash is a polynomial in its bytes taken from prefix sums, so that equal tokens have equal hashes
-    wherever they stand.
+    wherever they stand; that of a token of more than LONG_TOKEN bytes is taken from its bytes one by one.
     """
     n = len(data)
     kind = classes[data]
@@ -144,9 +186,15 @@ def token_hashes(data: np.ndarray, bounds: np.ndarray, classes: np.ndarray = WOR
     power, inverse = _radix_powers(n + 1)
     prefix = np.empty(n + 1, np.uint64)
     prefix[0] = 0
-    np.cumsum((fold[data].astype(np.uint64) + np.uint64(1)) * power[:n], out=prefix[1:])
+    term = fold[data].astype(np.uint64)
+    term += np.uint64(1)
+    term *= power[:n]
+    np.cumsum(term, out=prefix[1:])
+    del term
     h = (prefix[ends] - prefix[starts]) * inverse[starts]
     h = mix(h ^ ((ends - starts).astype(np.uint64) * _LENGTH))
+    for i in np.flatnonzero(ends - starts > LONG_TOKEN).tolist():
+        h[i] = xxhash.xxh3_64_intdigest(fold[data[starts[i] : ends[i]]].tobytes())
     out = (h, np.searchsorted(starts, bounds))
     if heads:
         out += tuple(mix((prefix[np.minimum(ends, starts + n)] - prefix[starts]) * inverse[starts] ^ np.uint64(n)) for n in heads)
@@ -172,97 +220,6 @@ def lists(values: np.ndarray, bounds: np.ndarray, kind: pa.DataType | None = Non
     return pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(values, kind))
 
 
-# ------------------------------------------------------------------ texts encoded part by part
-class PartMemory:
-    """Ids of texts from the ids of their distinct parts, each encoded once.
-
-    ``encode`` takes a list of new parts and returns their ids, flat, and the number of each.  More than ``most`` parts
-    empty the memory, which costs time only.
-    """
-
-    def __init__(self, encode, most: int = 1 << 20):
-        self.encode, self.most = encode, most
-        self.clear()
-
-    def clear(self) -> None:
-        self.known: dict = {}
-        # the arrays double as they fill
-        self.flat, self.start, self.size, self.used = np.zeros(1 << 12, np.int32), np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64), 0
-
-    def _learn(self, keys: list, new: list) -> None:
-        flat, size = self.encode(new)
-        at = len(self.known)
-        self.known.update(zip(keys, range(at, at + len(new)), strict=True))
-        self.start = self._put(self.start, at, self.used + np.cumsum(size) - size)
-        self.size, self.flat = self._put(self.size, at, size), self._put(self.flat, self.used, flat)
-        self.used += len(flat)
-
-    @staticmethod
-    def _put(held: np.ndarray, at: int, more: np.ndarray) -> np.ndarray:
-        if at + len(more) > len(held):
-            held = np.concatenate([held[:at], np.zeros(at + 2 * len(more), held.dtype)])
-        held[at : at + len(more)] = more
-        return held
-
-    def _ids(self, index: np.ndarray, part_bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        size = self.size[index]
-        end = np.cumsum(size)
-        ids = self.flat[np.repeat(self.start[index] - end + size, size) + np.arange(int(end[-1]) if len(end) else 0)]
-        return ids, np.concatenate([[0], end])[part_bounds]
-
-    def look_up(self, split: list[list]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """All ids, where each text's begin, the numbers of all parts, and where each text's parts begin."""
-        if len(self.known) > self.most:
-            self.clear()
-        parts = [p for own in split for p in own]
-        found = list(map(self.known.get, parts))
-        if None in found:
-            new = list(dict.fromkeys(p for p, i in zip(parts, found, strict=True) if i is None))
-            self._learn(new, new)
-            found = list(map(self.known.__getitem__, parts))
-        index = np.array(found, np.int64)
-        part_bounds = np.concatenate([[0], np.cumsum([len(own) for own in split])])
-        return *self._ids(index, part_bounds), index, part_bounds
-
-    def look_up_tokens(self, data: np.ndarray, bounds: np.ndarray, classes: np.ndarray, before: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """As ``look_up``, where the parts are tokens of ``data``, told apart by 64-bit hashes.
-
-        With ``before``, a part is the token with the byte before it: a blank, a line feed, or another byte where a token
-        ends there (written as a zero); the text's beginning counts as a blank.
-        """
-        if len(self.known) > self.most:
-            self.clear()
-        h, at, starts, ends = token_hashes(data, bounds, classes, SAME, spans=True)
-        if before and len(h):
-            lead = data[np.maximum(starts - 1, 0)]
-            lead = np.where(classes[lead] > 0, 0, lead)
-            own = at[:-1][at[:-1] < at[1:]]
-            lead[own[np.isin(starts[own], bounds)]] = 32
-            h = mix(h + lead.astype(np.uint64))
-        distinct, first, where = np.unique(h, return_index=True, return_inverse=True)
-        keys = distinct.tolist()
-        found = list(map(self.known.get, keys))
-        if None in found:
-            new = [i for i, x in enumerate(found) if x is None]
-            raw, a, b = data.tobytes(), starts[first[new]].tolist(), ends[first[new]].tolist()
-            heads = [bytes([x]) for x in lead[first[new]].tolist()] if before else [b""] * len(new)
-            self._learn([keys[i] for i in new], [z + raw[x:y] for x, y, z in zip(a, b, heads, strict=True)])
-            found = list(map(self.known.__getitem__, keys))
-        index = np.array(found, np.int64)[where]
-        return *self._ids(index, at), index, at
-
-
-def encode_parts(tokenizer, parts: list[str], at_once: int = 2000) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of parts by the tokenizers library, flat, and the number of each; ``at_once`` parts make one sequence."""
-    ids, sizes = [np.zeros(0, np.int64)], []
-    runs = [parts[i : i + at_once] for i in range(0, len(parts), at_once)]
-    for lo in range(0, len(runs), 16):
-        for run, e in zip(runs[lo : lo + 16], tokenizer.encode_batch(runs[lo : lo + 16], is_pretokenized=True, add_special_tokens=False), strict=True):
-            ids.append(np.array(e.ids, np.int64))
-            sizes.append(np.bincount(np.array(e.word_ids, np.int64), minlength=len(run)))
-    return np.concatenate(ids), np.concatenate(sizes) if sizes else np.zeros(0, np.int64)
-
-
 def with_text_columns(docs: DataFrame, text_col: str, extra: str, compute) -> DataFrame:
     """``docs`` with more columns, computed from runs of texts; no row is shuffled.
 
@@ -280,4 +237,5 @@ def with_text_columns(docs: DataFrame, text_col: str, extra: str, compute) -> Da
             for lo, hi, part, cut in chunks(data, bounds):
                 yield pa.RecordBatch.from_arrays([*batch.slice(lo, hi - lo).columns, *compute(part, cut)], [*kept, *names])
 
-    return docs.select(*(F.col(f"`{c}`") for c in kept)).mapInArrow(run, schema)
+    small_batches(docs.sparkSession)
+    return docs.select(*(F.col(f"`{c}`") for c in kept)).mapInArrow(frugal(run), schema)
