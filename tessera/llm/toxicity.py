@@ -20,28 +20,54 @@ from tessera.llm.quality import labelled_sample
 BUCKETS = 1 << 20
 
 
-def _features(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of words and of their first four and five bytes, and each feature's text."""
+def _features(data: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Buckets of words, then of their first four, then of their first five bytes, and each bucket's text."""
     h, cut, *heads = shared.token_hashes(data, bounds, shared.PUNCT_CLASS, heads=(4, 5))
-    bucket = (np.concatenate([h, *heads]) >> np.uint64(44)).astype(np.int64)
-    return bucket, np.tile(np.repeat(np.arange(len(bounds) - 1), np.diff(cut)), 1 + len(heads))
+    row = np.repeat(np.arange(len(bounds) - 1), np.diff(cut))
+    for own in (h, *heads):
+        yield (own >> np.uint64(44)).astype(np.int64), row
 
 
-def _buckets(held):
-    """(doc_id, bucket, times) of the sampled documents."""
+def n_words(data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Words and runs of signs of each text."""
+    return np.diff(shared.token_hashes(data, bounds, shared.PUNCT_CLASS)[1])
+
+
+def _presence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(bucket, t, c): in how many toxic and other texts of a partition each bucket occurs."""
+    seen = np.zeros((2, BUCKETS), np.int32)
+    for batch in batches:
+        flag = batch.column(1).to_numpy()
+        data, bounds = shared.text_bytes(batch.column(0))
+        for lo, _, part, at in shared.chunks(data, bounds):
+            found = np.unique(np.concatenate([(row << 20) | bucket for bucket, row in _features(part, at)]))
+            toxic = flag[lo + (found >> 20)] == 1
+            for kind, own in ((1, found[toxic]), (0, found[~toxic])):
+                seen[kind] += np.bincount(own & (BUCKETS - 1), minlength=BUCKETS).astype(np.int32)
+    some = np.flatnonzero(seen.any(0))
+    for lo in range(0, len(some), 1 << 17):
+        own = some[lo : lo + (1 << 17)]
+        yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(seen[1, own].astype(np.int64)), pa.array(seen[0, own].astype(np.int64))], ["bucket", "t", "c"])
+
+
+def _chosen(buckets: np.ndarray):
+    """(doc_id, flag, words, columns, times): the chosen features of each text, as packed 16-bit numbers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted = held.value
+        place = np.full(BUCKETS, -1, np.int32)
+        place[buckets] = np.arange(len(buckets))
         for batch in batches:
-            ids = batch.column(0)
-            batch = batch.filter(pa.array(np.isin(ids.fill_null(-1).to_numpy(), wanted) & ids.is_valid().to_numpy(zero_copy_only=False)))
-            data, bounds = shared.text_bytes(batch.column(1))
-            ids = batch.column(0).to_numpy()
+            data, bounds = shared.text_bytes(batch.column(2))
             for lo, hi, part, at in shared.chunks(data, bounds):
-                bucket, row = _features(part, at)
-                code, times = np.unique(((row + lo) << 20) | bucket, return_counts=True)
-                row = code >> 20
-                yield pa.RecordBatch.from_arrays([pa.array(ids[row]), pa.array(code & (BUCKETS - 1)), pa.array(times.astype(np.int64))], ["doc_id", "bucket", "times"])
+                codes = []
+                for bucket, row in _features(part, at):
+                    column = place[bucket]
+                    codes.append((row[column >= 0] << 20) | column[column >= 0])
+                code, times = np.unique(np.concatenate(codes), return_counts=True)
+                cut = np.searchsorted(code >> 20, np.arange(hi - lo + 1)).tolist()
+                columns, times = (code & (BUCKETS - 1)).astype("<u2"), np.minimum(times, 65535).astype("<u2")
+                packed = ([x[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)] for x in (columns, times))
+                yield pa.RecordBatch.from_arrays([*batch.slice(lo, hi - lo).columns[:2], pa.array(n_words(part, at)), *(pa.array(x, pa.binary()) for x in packed)], ["doc_id", "flag", "words", "columns", "times"])
 
     return run
 
@@ -56,64 +82,88 @@ class OrdinalModel:
         """P(grade >= j) for j from 1, a column each."""
         return 1 / (1 + np.exp(-np.clip(score[:, None] - self.cuts[None, :], -500, 500)))
 
+    @staticmethod
+    def objective(p: np.ndarray, d: int, row: np.ndarray, column: np.ndarray, grade: np.ndarray, decay: float) -> tuple[float, np.ndarray]:
+        """The mean log likelihood less the prior's share, and its gradient.  ``p``: weights, first cut, logs of the gaps."""
+        n = len(grade)
+        w, gaps = p[:d], np.exp(np.clip(p[d + 1 :], -8, 8))
+        cuts = p[d] + np.concatenate([[0.0], np.cumsum(gaps)])
+        score = np.bincount(row, w[column], n) if len(row) else np.zeros(n)
+        above = 1 / (1 + np.exp(-np.clip(score[:, None] - cuts[None, :], -500, 500)))
+        edge = np.concatenate([np.ones((n, 1)), above, np.zeros((n, 1))], 1)
+        slope = edge * (1 - edge)
+        i = np.arange(n)
+        likely = np.maximum(edge[i, grade] - edge[i, grade + 1], 1e-12)
+        by_score = (slope[i, grade] - slope[i, grade + 1]) / likely
+        by_cut = np.zeros((n, len(cuts) + 2))
+        by_cut[i, grade] -= slope[i, grade] / likely
+        by_cut[i, grade + 1] += slope[i, grade + 1] / likely
+        to_cut = by_cut[:, 1:-1].mean(0)
+        after = to_cut[::-1].cumsum()[::-1]
+        gain = np.concatenate([np.bincount(column, by_score[row], d) / n - decay / n * w if d else np.zeros(0), [to_cut.sum()], after[1:] * gaps])
+        return float(np.log(likely).mean() - decay / n / 2 * (w @ w)), gain
+
     @classmethod
     def fit(cls, buckets: np.ndarray, row: np.ndarray, column: np.ndarray, grade: np.ndarray, grades: int, rounds: int = 1000, decay: float = 0.2) -> OrdinalModel:
         """Maximum likelihood with a normal prior of precision ``decay`` on weights, by full-batch gradient steps with
         adaptive moments; the gaps of the cuts are kept positive."""
-        n, d = len(grade), len(buckets)
+        d = len(buckets)
         p = np.concatenate([np.zeros(d), [2.0], np.zeros(grades - 1)])
         m, v = np.zeros_like(p), np.zeros_like(p)
         for step in range(1, rounds + 1):
-            w, gaps = p[:d], np.exp(np.clip(p[d + 1 :], -8, 8))
-            cuts = p[d] + np.concatenate([[0.0], np.cumsum(gaps)])
-            score = np.bincount(row, w[column], n) if len(row) else np.zeros(n)
-            above = 1 / (1 + np.exp(-np.clip(score[:, None] - cuts[None, :], -500, 500)))
-            edge = np.concatenate([np.ones((n, 1)), above, np.zeros((n, 1))], 1)
-            slope = np.concatenate([np.zeros((n, 1)), above * (1 - above), np.zeros((n, 1))], 1)
-            i = np.arange(n)
-            likely = np.maximum(edge[i, grade] - edge[i, grade + 1], 1e-12)
-            by_score = (slope[i, grade] - slope[i, grade + 1]) / likely
-            by_cut = np.zeros((n, grades + 2))
-            by_cut[i, grade] -= slope[i, grade] / likely
-            by_cut[i, grade + 1] += slope[i, grade + 1] / likely
-            to_cut = by_cut[:, 1:-1].mean(0)
-            after = to_cut[::-1].cumsum()[::-1]
-            gain = np.concatenate([np.bincount(column, by_score[row], d) / n - decay / n * w if d else np.zeros(0), [to_cut.sum()], after[1:] * gaps])
+            _, gain = cls.objective(p, d, row, column, grade, decay)
             m, v = 0.9 * m + 0.1 * gain, 0.99 * v + 0.01 * gain * gain
             p = p + 0.1 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-10)
         return cls(buckets, p[:d], p[d] + np.concatenate([[0.0], np.cumsum(np.exp(np.clip(p[d + 1 :], -8, 8)))]))
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", flag: str = "toxic", grades: int = 3, max_labelled: int = 20_000, features: int = 1024) -> OrdinalModel | None:
-    """Fits on at most ``max_labelled`` labelled rows; None where labels of both kinds aren't there.
+def grades_by_load(load: np.ndarray, toxic: np.ndarray, grades: int) -> np.ndarray:
+    """0 for other texts; 1 to ``grades`` for toxic ones by load, cut at equal shares, texts of equal load together."""
+    cuts = np.quantile(load[toxic], np.arange(1, grades) / grades)
+    return np.where(toxic, 1 + np.searchsorted(cuts, load), 0)
+
+
+def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", flag: str = "toxic", grades: int = 3, max_labelled: int = 20_000, features: int = 1024, least: int = 5) -> OrdinalModel | None:
+    """Fits on at most ``max_labelled`` labelled ids; None where labels of both kinds aren't there.
 
-    Labels only say whether a text is toxic.  Toxic texts get grades 1 to ``grades`` by how often they have features
-    that almost only toxic texts have, cut at equal shares; texts with as many have the same grade.
+    The ``features`` buckets whose shares in toxic and other texts differ most, among those in ``least`` texts or more, are
+    features; buckets of equal difference are taken by number.  Labels only say whether a text is toxic.  Toxic texts get
+    grades 1 to ``grades`` by their load: the share of their words that have features which almost only toxic texts
+    have.  So grades say how dense such words are, not how long a text is, and lean on the labels that chose them.
+
+    Labels without an id or a flag don't count; of several flags of an id the least holds, of several texts of an id the
+    last in alphabetic order.  Null and empty texts are texts without features.  Columns besides id, text and flag are
+    ignored, whatever their names.
     """
     spark = docs.sparkSession
-    sample = {r.doc_id: r.flag for r in labelled_sample(labels, flag, max_labelled)}
-    held = spark.sparkContext.broadcast(np.array(sorted(sample), np.int64))
-    found = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(_buckets(held), "doc_id long, bucket long, times long")
-    table = shared.Scratch(spark, "toxic").table(found)
-    known = F.broadcast(spark.createDataFrame(list(sample.items()), "doc_id long, flag int"))
-    by = table.join(known, "doc_id").groupBy("bucket").agg(F.sum("flag").alias("t"), F.sum(1 - F.col("flag")).alias("c"))
-    nt, nc = sum(sample.values()), len(sample) - sum(sample.values())
+    chosen_ids = labelled_sample(labels, flag, max_labelled)
+    known = spark.createDataFrame([(r.doc_id, r.flag) for r in chosen_ids], "doc_id long, flag int")  # ``max_labelled`` rows at most
+    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    scratch = shared.Scratch(spark, "toxic")
+    shared.small_batches(spark)
+    table = scratch.table(own.join(F.broadcast(known), "doc_id").groupBy("doc_id", "flag").agg(F.max("text").alias("text")))
+    by = table.select("text", "flag").mapInArrow(shared.frugal(_presence), "bucket long, t long, c long").groupBy("bucket").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
+    sizes = {r.flag: r["count"] for r in table.groupBy("flag").count().collect()}
+    nt, nc = sizes.get(1, 0), sizes.get(0, 0)
     if not nt or not nc:
         return None
     # squared standardised difference of the two shares
     rate, pooled = F.col("t") / nt - F.col("c") / nc, (F.col("t") + F.col("c")) / (nt + nc)
-    best = by.where("t + c > 4").select("bucket", "t", "c", (rate * rate / (pooled * (1.0001 - pooled))).alias("z")).orderBy(F.desc("z"), "bucket").limit(features).collect()
-    buckets = np.array(sorted(r.bucket for r in best), np.int64)
-    marked = {r.bucket for r in best if r.t * nc > 20 * r.c * nt and r.t >= 20} or {r.bucket for r in best if r.t * nc > 20 * r.c * nt}
-    rows = table.where(F.col("bucket").isin(buckets.tolist())).select("doc_id", "bucket", "times").toArrow()  # bounded by the sample
-    doc, bucket, times = (rows.column(c).to_numpy() for c in ("doc_id", "bucket", "times"))
-    ids = np.array(sorted(sample), np.int64)
-    row, column = np.searchsorted(ids, doc), np.searchsorted(buckets, bucket)
-    toxic = np.array([sample[i] for i in ids.tolist()], bool)
-    load = np.bincount(row, np.isin(bucket, list(marked)) * times, len(ids))
-    cuts = np.quantile(load[toxic], np.arange(1, grades) / grades)
-    grade = np.where(toxic, 1 + np.searchsorted(cuts, load), 0)
-    return OrdinalModel.fit(buckets, row, column, grade, grades)
+    best = by.where(F.col("t") + F.col("c") >= least).select("bucket", "t", "c", (rate * rate / (pooled * (1.0001 - pooled))).alias("z")).orderBy(F.desc("z"), "bucket").limit(features).collect()
+    best.sort(key=lambda r: r.bucket)
+    buckets = np.array([r.bucket for r in best], np.int64)
+    almost = np.array([r.t * nc > 20 * r.c * nt for r in best], bool)
+    often = almost & np.array([r.t >= 20 for r in best], bool)
+    marked = often if often.any() else almost
+    rows = table.select("doc_id", "flag", "text").mapInArrow(shared.frugal(_chosen(buckets)), "doc_id long, flag int, words long, columns binary, times binary").toArrow()  # a row for each sampled id
+    order = np.argsort(rows.column("doc_id").to_numpy())
+    toxic = rows.column("flag").to_numpy()[order] == 1
+    columns, times = ([np.frombuffer(x, "<u2") for x in rows.column(c).take(pa.array(order)).to_pylist()] for c in ("columns", "times"))
+    scratch.drop(table)
+    row = np.repeat(np.arange(len(columns)), [len(x) for x in columns])
+    column, times = np.concatenate(columns).astype(np.int64), np.concatenate(times)
+    load = np.bincount(row, marked[column] * times, len(columns)) / np.maximum(rows.column("words").to_numpy()[order], 1)
+    return OrdinalModel.fit(buckets, row, column, grades_by_load(load, toxic, grades), grades)
 
 
 def severity(docs: DataFrame, model: OrdinalModel | None, *, text_col: str = "text") -> DataFrame:
@@ -123,18 +173,22 @@ def severity(docs: DataFrame, model: OrdinalModel | None, *, text_col: str = "te
     the sample is.  Repeated rows get equal results; all rows stay, null ids included.  Without a model every severity
     is 0.  An empty table gives an empty result.
     """
-    held = docs.sparkSession.sparkContext.broadcast(model)
+    lookup: list[np.ndarray] = []
 
     def compute(data: np.ndarray, bounds: np.ndarray) -> list[pa.Array]:
-        own, n = held.value, len(bounds) - 1
-        if own is None:
+        n = len(bounds) - 1
+        if model is None:
             return [pa.array(np.zeros(n)), pa.array(np.zeros(n, np.int32)), pa.array(np.zeros(n, bool))]
-        bucket, row = _features(data, bounds)
-        table = np.zeros(BUCKETS)
-        table[own.buckets] = own.weights
-        some = np.flatnonzero(table[bucket])
-        code = np.unique((row[some] << 20) | bucket[some])
-        above = own.above(np.bincount(code >> 20, table[code & (BUCKETS - 1)], n))
+        if not lookup:  # once for each task
+            lookup.append(np.zeros(BUCKETS, np.float32))
+            lookup[0][model.buckets] = 1
+        codes = []
+        for bucket, row in _features(data, bounds):
+            some = lookup[0][bucket] > 0
+            codes.append((row[some] << 20) | bucket[some])
+        code = np.unique(np.concatenate(codes))
+        weights = model.weights[np.searchsorted(model.buckets, code & (BUCKETS - 1))] if len(code) else np.zeros(0)
+        above = model.above(np.bincount(code >> 20, weights, n))
         grade = (above >= 0.5).sum(1)
         return [pa.array(np.round(above.sum(1), 6)), pa.array(grade.astype(np.int32)), pa.array(grade > 0)]
 
