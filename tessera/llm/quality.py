@@ -1,11 +1,10 @@
 """Quality by importance resampling.
 
 Two bags of hashed words and word pairs (a word beside itself is one pair for all words) describe the target texts (labelled as good) and the raw corpus (all texts).  A
-text's log importance weight is the sum, over its n-grams, of the log ratio of the two.  For sampling, each weight is
-taken at the standard length of ``length`` n-grams, so that long texts are neither favoured nor punished.  Gumbel noise is
-added, and the top k documents are the sample; ``k`` is the number of documents whose mean ratio is at or above a
-threshold that separates the labelled ones.  The k-th largest key is found exactly, by counting its leading bits, and
-never by sorting or collecting documents.
+text's log importance weight is the sum, over its n-grams, of the log ratio of the two.  Gumbel noise is added to the
+weight over the temperature, and the k largest sums are the sample: that is sampling k documents without replacement, each draw with
+probabilities in proportion to weight ** (1 / temperature).  The k-th largest key is found exactly, by counting its
+leading bits, and never by sorting or collecting documents.
 """
 
 from __future__ import annotations
@@ -40,9 +39,8 @@ def _grams(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return (both >> np.uint64(48)).astype(np.int64), 2 * at
 
 
-def _counts(held):
+def _counts(good: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        good = held.value
         raw, target = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
         for batch in batches:
             data, bounds = shared.text_bytes(batch.column(1))
@@ -55,15 +53,13 @@ def _counts(held):
         some = np.flatnonzero(raw)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(raw[some]), pa.array(target[some])], ["bucket", "raw", "target"])
 
-    return run
+    return shared.frugal(run)
 
 
 def _weights(docs: DataFrame, text_col: str, ratio: np.ndarray) -> DataFrame:
-    held = docs.sparkSession.sparkContext.broadcast(ratio)
-
     def compute(data: np.ndarray, bounds: np.ndarray) -> list[pa.Array]:
         grams, cut = _grams(data, bounds)
-        total = np.concatenate([[0.0], np.cumsum(held.value[grams])])
+        total = np.concatenate([[0.0], np.cumsum(ratio[grams])])
         return [pa.array(np.diff(cut).astype(np.int64)), pa.array(np.round(total[cut[1:]] - total[cut[:-1]], 9))]
 
     return shared.with_text_columns(docs, text_col, "n_grams long, log_weight double", compute)
@@ -75,15 +71,12 @@ def labelled_sample(labels: DataFrame, flag: str, most: int, id_col: str = "doc_
     return ids.groupBy("doc_id").agg(F.min("flag").alias("flag")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).collect()
 
 
-def best_threshold(values: np.ndarray, good: np.ndarray) -> float:
-    """The cut with the fewest errors, in the middle of its gap; good values lie at or above it."""
-    if not good.any() or good.all():
-        return -np.inf
-    order = np.argsort(values)
-    v, g = values[order], good[order]
-    errors = np.concatenate([[0], np.cumsum(g)]) + np.concatenate([[(~g).sum()], (~g).sum() - np.cumsum(~g)])
-    i = int(errors.argmin())
-    return float(v[0] - 1 if i == 0 else v[-1] + 1 if i == len(v) else (v[i - 1] + v[i]) / 2)
+def expected_shares(values: np.ndarray, good: np.ndarray, bins: int = 64) -> tuple[np.ndarray, np.ndarray]:
+    """Inner edges of about equally full bins of labelled values, and the share of good ones in each bin."""
+    edges = np.unique(np.quantile(values, np.arange(1, bins) / bins))
+    at = np.searchsorted(edges, values, "right")
+    n = np.bincount(at, minlength=len(edges) + 1)
+    return edges, np.bincount(at, good, len(edges) + 1) / np.maximum(n, 1)
 
 
 def kth_largest(keys: DataFrame, column: str, k: int) -> int | None:
@@ -105,37 +98,52 @@ def kth_largest(keys: DataFrame, column: str, k: int) -> int | None:
 
 
 def importance_resample(
-    docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", flag: str = "quality", max_labelled: int = 20_000, length: int = 512, seed: int = 7, alpha: float = 1.0
+    docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", flag: str = "quality", k: int | float | None = None, temperature: float = 1.0, max_labelled: int = 20_000, seed: int = 7, alpha: float = 1.0
 ) -> DataFrame:
-    """``docs`` with columns n_grams, log_weight, mean_ratio, gumbel_key and selected; those of these names are replaced.
+    """``docs`` with columns n_grams, log_weight, gumbel_key and selected; those of these names are replaced.
+
+    ``k`` documents are selected: a number of rows, a share of them (a float), or None for as many as the labels let expect to be good:
+    the share of good labelled texts in each of 64 bins of log weights, times the bin's documents.  A high
+    ``temperature`` samples evenly, a low one takes the largest weights.
 
     The target texts are those of at most ``max_labelled`` labelled rows; counts of the raw corpus cover all documents.
-    Null and empty texts have no n-grams and the weight 0.  Rows of one id have the same noise; documents with equal
-    keys (to a thousandth) are selected together.  Null ids are unlabelled.  Without labels of both kinds everything is
-    selected.  An empty table gives an empty result.
+    Null and empty texts have no n-grams and the log weight 0.  Rows that repeat an id and a text have the same noise and so
+    the same key; documents of equal keys (to a millionth) are selected together, and only they can exceed ``k``.  Null ids are
+    unlabelled.  Without labels of both kinds everything is selected, unless ``k`` is given.  An empty table gives an empty result.
     """
     spark = docs.sparkSession
     scratch = shared.Scratch(spark, "quality")
+    shared.small_batches(spark)
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     sample = labelled_sample(labels, flag, max_labelled)
     good = np.array(sorted(r.doc_id for r in sample if r.flag == 1), np.int64)
-    counted = own.mapInArrow(_counts(spark.sparkContext.broadcast(good)), "bucket long, raw long, target long")
+    counted = own.mapInArrow(_counts(good), "bucket long, raw long, target long")
     raw, target = np.zeros(BUCKETS), np.zeros(BUCKETS)
     for r in counted.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).collect():  # at most BUCKETS
         raw[r.bucket], target[r.bucket] = r.raw, r.target
     share = lambda c: np.log((c + alpha) / (c.sum() + alpha * BUCKETS))
     ratio = share(target) - share(raw) if target.any() else np.zeros(BUCKETS)
-    uniform = (F.pmod(F.xxhash64(F.lit(seed), F.col(f"`{id_col}`").cast("long")), F.lit(1 << 52)) + 0.5) / float(1 << 52)
-    mean = F.when(F.col("n_grams") > 0, F.col("log_weight") / F.col("n_grams")).otherwise(0.0)
-    thousandths = (F.col("gumbel_key") * 1000).cast("long")
-
-    def scored(frame: DataFrame, text: str) -> DataFrame:
-        return _weights(frame, text, ratio).withColumn("mean_ratio", mean).withColumn("gumbel_key", F.col("mean_ratio") * length - F.log(-F.log(uniform)))
-
-    small = scratch.table(scored(own.withColumnRenamed("doc_id", id_col), "text").select(F.col(f"`{id_col}`").alias("doc_id"), "mean_ratio", thousandths.alias("key")))
-    known = spark.createDataFrame([(r.doc_id, r.flag) for r in sample], "doc_id long, flag int")
-    seen = small.join(F.broadcast(known), "doc_id").groupBy("doc_id").agg(F.min("mean_ratio").alias("mean_ratio"), F.min("flag").alias("flag")).toArrow()
-    threshold = best_threshold(seen.column("mean_ratio").to_numpy(), seen.column("flag").to_numpy() == 1)
-    least = kth_largest(small, "key", small.where(F.col("mean_ratio") >= threshold).count())
+    micro = (F.col("gumbel_key") * 1e6).cast("long")
+
+    def scored(frame: DataFrame, row_id: str, text: str) -> DataFrame:
+        # the noise belongs to the id and the text
+        uniform = (F.pmod(F.xxhash64(F.lit(seed), F.col(f"`{row_id}`").cast("long"), F.when(F.col(f"`{row_id}`").isNull(), F.col(f"`{text}`"))), F.lit(1 << 52)) + 0.5) / float(1 << 52)
+        return _weights(frame.withColumn("__noise", -F.log(-F.log(uniform))), text, ratio).withColumn("gumbel_key", F.col("log_weight") / temperature + F.col("__noise")).drop("__noise")
+
+    small = scratch.table(scored(own, "doc_id", "text").select("doc_id", "log_weight", micro.alias("key")))
+    if isinstance(k, float):
+        k = round(k * small.count())
+    elif k is None:
+        known = spark.createDataFrame([(r.doc_id, r.flag) for r in sample], "doc_id long, flag int")
+        seen = small.join(F.broadcast(known), "doc_id").groupBy("doc_id").agg(F.min("log_weight").alias("w"), F.min("flag").alias("flag")).toArrow()
+        flags = seen.column("flag").to_numpy() == 1
+        if not flags.any() or flags.all():
+            k = small.count()
+        else:
+            edges, shares = expected_shares(seen.column("w").to_numpy(), flags)
+            bin_ = F.size(F.filter(F.array(*(F.lit(float(e)) for e in edges)), lambda e: e <= F.col("log_weight")))
+            k = round(sum(r["count"] * float(shares[r.bin]) for r in small.groupBy(bin_.alias("bin")).count().collect()))
+    least = kth_largest(small, "key", k)
+    everything = least is None and k > 0  # fewer documents than k
     scratch.drop(small)
-    return scored(docs, text_col).withColumn("selected", F.lit(False) if least is None else thousandths >= least)
+    return scored(docs, id_col, text_col).withColumn("selected", F.lit(everything) if least is None else micro >= least)
