@@ -5,7 +5,8 @@ least ``min_docs`` documents hold are frequent; all their lines go except those
 
 Key hashes (128 bits) are counted by document.  The frequent ones are dealt to shards of about ``shard_keys`` keys, and
 each shard gets a minimal perfect hash: cascaded bit arrays in which a key that hits a place alone owns it, ranked by the
-bits before it.  The rank indexes arrays of 64-bit fingerprints, counts and document ids, about 22 bytes a key.
+bits before it.  Places are taken from both halves of a key, so keys that share a half part at some level.  The rank indexes
+arrays of 64-bit fingerprints, counts and document ids, about 22 bytes a key.
 Documents probe these arrays; no line is joined.  Up to ``broadcast_bytes`` the shards go to every task; beyond it, line
 hashes are dealt to (shard, part) groups of bounded size and probe the one shard that they meet there.
 """
@@ -27,39 +28,40 @@ _SEED = np.uint64(0x9E3779B97F4A7C15)
 
 
 class PerfectHash:
-    """A minimal perfect hash over distinct 64-bit keys."""
+    """A minimal perfect hash over distinct keys of two 64-bit halves."""
 
     def __init__(self, levels: list[tuple[int, np.ndarray, np.ndarray]]):
         self.levels = levels  # (number of places, packed bits, keys before each byte)
 
     @classmethod
-    def build(cls, keys: np.ndarray) -> PerfectHash:
+    def build(cls, high: np.ndarray, low: np.ndarray) -> PerfectHash:
         levels, before = [], 0
-        while len(keys):
-            m = (2 * len(keys) + 7) // 8 * 8
-            at = cls._place(keys, len(levels), m)
+        while len(high):
+            m = (2 * len(high) + 7) // 8 * 8
+            at = cls._place(high, low, len(levels), m)
             alone = np.bincount(at, minlength=m) == 1
             packed = np.packbits(alone, bitorder="little")
             held = _BITS[packed]
             levels.append((m, packed, (before + np.cumsum(held) - held).astype(np.int64)))
             before += int(held.sum())
-            keys = keys[~alone[at]]
+            high, low = high[~alone[at]], low[~alone[at]]
         return cls(levels)
 
     @staticmethod
-    def _place(keys: np.ndarray, level: int, m: int) -> np.ndarray:
-        return (shared.mix(keys + np.uint64(int(_SEED) * (level + 1) % (1 << 64))) % np.uint64(m)).astype(np.int64)
+    def _place(high: np.ndarray, low: np.ndarray, level: int, m: int) -> np.ndarray:
+        step = np.uint64(int(_SEED) * (level + 1) % (1 << 64))
+        return (shared.mix(shared.mix(high + step) + low) % np.uint64(m)).astype(np.int64)
 
-    def __call__(self, keys: np.ndarray) -> np.ndarray:
+    def __call__(self, high: np.ndarray, low: np.ndarray) -> np.ndarray:
         """The index of each key; -1, or that of another key, for a key that wasn't built in."""
-        out = np.full(len(keys), -1, np.int64)
-        left = np.arange(len(keys))
+        out = np.full(len(high), -1, np.int64)
+        left = np.arange(len(high))
         for level, (m, packed, before) in enumerate(self.levels):
-            at = self._place(keys[left], level, m)
+            at = self._place(high[left], low[left], level, m)
             byte, bit = packed[at >> 3], at & 7
             hit = (byte >> bit.astype(np.uint8)) & 1 > 0
-            low = byte & ((1 << bit) - 1).astype(np.uint8)
-            out[left[hit]] = (before[at >> 3] + _BITS[low])[hit]
+            earlier = byte & ((1 << bit) - 1).astype(np.uint8)
+            out[left[hit]] = (before[at >> 3] + _BITS[earlier])[hit]
             left = left[~hit]
         return out
 
@@ -90,7 +92,7 @@ class Shard:
         """Which keys are frequent, and the document that keeps each of those."""
         if not len(self.marks):
             return np.zeros(len(h1), bool), np.zeros(len(h1), np.int64)
-        at = self.hash(h1.view(np.uint64))
+        at = self.hash(h1.view(np.uint64), h2.view(np.uint64))
         known = (at >= 0) & (self.marks[at] == h2)
         return known, self.docs[at]
 
@@ -100,8 +102,8 @@ INDEX = "shard long, keys long, hash binary, fingerprints binary, counts binary,
 
 def _build(table: pa.Table) -> pa.Table:
     h1, h2, n, doc = (table.column(c).to_numpy() for c in ("h1", "h2", "n", "doc"))
-    table_hash = PerfectHash.build(h1.view(np.uint64))
-    at = table_hash(h1.view(np.uint64))
+    table_hash = PerfectHash.build(h1.view(np.uint64), h2.view(np.uint64))
+    at = table_hash(h1.view(np.uint64), h2.view(np.uint64))
     place = lambda x: [x[np.argsort(at)].astype(np.int64).tobytes()]
     return pa.table({"shard": [table.column("shard")[0].as_py()], "keys": [len(h1)], "hash": [table_hash.dump()], "fingerprints": place(h2), "counts": place(n), "documents": place(doc)})
 
@@ -121,7 +123,7 @@ def _lines(text: bytes, min_chars: int) -> tuple[list[bytes], list[int], list[by
 
 def _hashes(keys: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     both = np.frombuffer(b"".join(keys), np.int64).reshape(-1, 2)
-    return both[:, 0], both[:, 1]
+    return np.ascontiguousarray(both[:, 0]), np.ascontiguousarray(both[:, 1])
 
 
 def _line_hashes(min_chars: int):
@@ -135,7 +137,7 @@ def _line_hashes(min_chars: int):
             h1, h2 = _hashes(keys)
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(h1), pa.array(h2)], ["doc", "h1", "h2"])
 
-    return run
+    return shared.frugal(run)
 
 
 def drop_frequent_lines(
@@ -145,15 +147,18 @@ def drop_frequent_lines(
 
     Columns of these two names are replaced; all others stay.  A null text is one empty line and becomes an empty text.
     Rows that repeat an id count as one document.  Rows with a null id aren't counted and lose nothing.  Two lines
-    are the same when 128-bit hashes of their keys are.  An empty table gives an empty result.
+    are the same when 128-bit hashes of their keys are; a line whose key isn't frequent is taken for a frequent one only if
+    it lands on its place and has its 64-bit fingerprint.  Of equal lines in the document that keeps them all stay.
+    An empty table gives an empty result.
     """
     spark = docs.sparkSession
+    shared.small_batches(spark)
     scratch = shared.Scratch(spark, "lines")
     found = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(_line_hashes(min_chars), "doc long, h1 long, h2 long")
     by_doc = found.groupBy("h1", "h2", "doc").agg(F.lit(1).alias("one"))
-    frequent = scratch.table(by_doc.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.max("doc").alias("doc")).where(F.col("n") >= min_docs).dropDuplicates(["h1"]))
+    frequent = scratch.table(by_doc.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.max("doc").alias("doc")).where(F.col("n") >= min_docs))
     shards = max(1, -(-frequent.count() // shard_keys))
-    shard = F.pmod(F.xxhash64("h1"), F.lit(shards)).alias("shard")
+    shard = F.pmod("h1", F.lit(shards)).alias("shard")
     index = scratch.table(frequent.select(shard, "*").groupBy("shard").applyInArrow(_build, INDEX))
     size = index.agg(F.coalesce(F.sum(F.octet_length("hash") + 24 * F.col("keys")), F.lit(0))).first()[0]
     kept = [f for f in docs.columns if f not in ("n_lines", "n_dropped", text_col)]
@@ -167,26 +172,9 @@ def drop_frequent_lines(
     return rows.join(hits, rows["__id"] == hits["doc"], "left").drop("doc").mapInArrow(_prune(min_chars, None, shards), schema)
 
 
-def _shard_of(h1: np.ndarray, shards: int) -> np.ndarray:
-    """Spark's own xxhash64 of a long (seed 42), so that executors and shuffles agree on the shard."""
-    if shards == 1:
-        return np.zeros(len(h1), np.int64)
-    p1, p2, p3, p4, p5 = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
-    rot = lambda x, r: (x << np.uint64(r)) | (x >> np.uint64(64 - r))
-    with np.errstate(over="ignore"):
-        h = (np.uint64(42) + p5 + np.uint64(8)) ^ (rot(h1.view(np.uint64) * p2, 31) * p1)
-        h = rot(h, 27) * p1 + p4
-        h ^= h >> np.uint64(33)
-        h *= p2
-        h ^= h >> np.uint64(29)
-        h *= p3
-        h ^= h >> np.uint64(32)
-    return np.mod(h.view(np.int64), shards)
-
-
 def _hits(spark, found: DataFrame, index: DataFrame, shards: int, most: int = 1 << 20) -> DataFrame:
-    """(doc, hits): the first halves of a document's keys whose lines go, found shard by shard."""
-    keyed = found.select("doc", "h1", "h2", F.pmod(F.xxhash64("h1"), F.lit(shards)).alias("shard"))
+    """(doc, hits): the keys of a document whose lines go, as pairs of halves, found shard by shard."""
+    keyed = found.select("doc", "h1", "h2", F.pmod("h1", F.lit(shards)).alias("shard"))
     parts = keyed.groupBy("shard").agg(F.ceil(F.count("*") / most).cast("int").alias("parts"))
     dealt = keyed.join(parts, "shard").withColumn("part", F.pmod(F.xxhash64("doc"), F.col("parts"))).drop("parts")
     copies = index.join(parts, "shard").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("part", F.col("part").cast("long")).drop("parts")
@@ -197,10 +185,10 @@ def _hits(spark, found: DataFrame, index: DataFrame, shards: int, most: int = 1
         for row in right.to_pylist():
             known, keeper = Shard(row).keeper(h1, h2)
             gone |= known & (keeper != doc)
-        return pa.table({"doc": doc[gone], "h1": h1[gone]})
+        return pa.table({"doc": doc[gone], "h1": h1[gone], "h2": h2[gone]})
 
-    hit = dealt.groupBy("shard", "part").cogroup(copies.groupBy("shard", "part")).applyInArrow(probe, "doc long, h1 long")
-    return hit.groupBy("doc").agg(F.collect_set("h1").alias("hits"))
+    hit = dealt.groupBy("shard", "part").cogroup(copies.groupBy("shard", "part")).applyInArrow(probe, "doc long, h1 long, h2 long")
+    return hit.groupBy("doc").agg(F.collect_set(F.struct("h1", "h2")).alias("hits"))
 
 
 def _prune(min_chars: int, held, shards: int):
@@ -220,14 +208,14 @@ def _prune(min_chars: int, held, shards: int):
             none = ids.is_null().to_numpy(zero_copy_only=False)
             own = ids.fill_null(0).to_numpy()
             if index is not None:
-                at = _shard_of(h1, shards)
+                at = np.mod(h1, shards)
                 for k, shard in index:
                     mine = np.flatnonzero(at == k)
                     known, keeper = shard.keeper(h1[mine], h2[mine])
                     gone[mine] = known & (keeper != own[owner[mine]]) & ~none[owner[mine]]
             else:
-                lost = [set(x or ()) for x in batch.column(names.index("hits")).to_pylist()]
-                gone[:] = [h in lost[i] for i, h in zip(owner.tolist(), h1.tolist(), strict=True)]
+                lost = [{(y["h1"], y["h2"]) for y in x or ()} for x in batch.column(names.index("hits")).to_pylist()]
+                gone[:] = [h in lost[i] for i, h in zip(owner.tolist(), zip(h1.tolist(), h2.tolist(), strict=True), strict=True)]
             texts, dropped, at = [], [], 0
             for lines, numbers, _ in split:
                 out = {i for i, g in zip(numbers, gone[at : at + len(numbers)], strict=True) if g}
@@ -239,4 +227,4 @@ def _prune(min_chars: int, held, shards: int):
                 [*(f for f in names if f not in ("__id", "hits")), "n_lines", "n_dropped"],
             )
 
-    return run
+    return shared.frugal(run)
