@@ -3,11 +3,13 @@
 A document's set holds the hashes of its distinct word shingles.  The smallest ``sketch`` hashes are its sketch.
 
 1. Documents with equal sets form a class; its smallest id stands for it.
-2. Inverted lists: every two hashes that are neighbours among the ``lists`` smallest of a class give a key.  Two sets with
-   similarity s share two neighbours in the order of their union with probability s*s, so they share no key with
-   probability 5e-9 at s = 0.85 and 2e-7 at s = 0.8, if one holds the other, and less else (and share one for certain
-   while both sets lie inside the sketch).  A passage that many texts share seldom gives two neighbours, so it makes
-   few entries.
+2. Inverted lists of retained values: each of the ``lists`` smallest hashes of a class has a list, divided by the value
+   that follows it in the sketch; the two values are the list's key.  A list holds the classes whose sketches overlap in
+   these two values.  Two sets with similarity s share two neighbours in the order of their union with probability s*s, so
+   they share no key with probability 5e-9 at s = 0.85 and 2e-7 at s = 0.8, if one holds the other, and less else (and
+   share one for certain while both sets lie inside the sketch).  A list of one value alone would hold every text with
+   some shared passage; divided by the next value it seldom does.  How many values two sketches share is counted on
+   the union sketch, in step 3, for the pairs that the lists give.
 3. In each list the class with the most company is the centre; every other class is compared with it: one pair for each
    entry of a list, however long the list.  Pairs are estimated on the sketch of the union, then confirmed on full sets.
 4. Connected components follow.  What may still link two components is then compared as well:
@@ -48,11 +50,11 @@ def _sets(data: np.ndarray, bounds: np.ndarray, n: int) -> Iterator[np.ndarray]:
 
 
 def _sketches(shingle: int, k: int, r: int):
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("key_1", pa.int64()), ("key_2", pa.int64()), ("sketch", pa.list_(pa.int64())), ("keys", pa.list_(pa.int64()))])
+    schema = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("n", pa.int64()), ("key_1", pa.int64()), ("key_2", pa.int64()), ("sketch", pa.list_(pa.int64())), ("keys", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, bounds = shared.text_bytes(batch.column(1))
+            data, bounds = shared.text_bytes(batch.column(2))
             for lo, hi, part, at in shared.chunks(data, bounds):
                 sizes, keys, sketches, lists = [], [], [], []
                 for s in _sets(part, at, shingle):
@@ -66,7 +68,7 @@ def _sketches(shingle: int, k: int, r: int):
                 both = np.array(keys, np.uint64)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch.column(0).slice(lo, hi - lo).cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(both[:, 0].view(np.int64) if len(both) else [], pa.int64()),
+                        *batch.slice(lo, hi - lo).columns[:2], pa.array(sizes, pa.int64()), pa.array(both[:, 0].view(np.int64) if len(both) else [], pa.int64()),
                         pa.array(np.ascontiguousarray(both[:, 1]).view(np.int64), pa.int64()),
                         # the top bit is flipped: as signed numbers they keep the order in which they were chosen
                         shared.lists(shared.signed(np.concatenate(sketches) ^ np.uint64(1 << 63)), cut(sketches)), shared.lists(shared.signed(np.concatenate(lists)), cut(lists)),
@@ -74,7 +76,7 @@ def _sketches(shingle: int, k: int, r: int):
                     schema=schema,
                 )
 
-    return run
+    return shared.frugal(run)
 
 
 def _full_sets(shingle: int, wanted: np.ndarray):
@@ -92,7 +94,7 @@ def _full_sets(shingle: int, wanted: np.ndarray):
                 keys = np.array([s.sum(dtype=np.uint64) for s in sets], np.uint64)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo).cast(pa.int64()), pa.array(shared.signed(keys)), shared.lists(shared.signed(np.concatenate(sets)), cut)], schema=schema)
 
-    return run
+    return shared.frugal(run)
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -127,50 +129,65 @@ def _prefixes(common: np.ndarray, percent: int):
             of = row[first]
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(of)), pa.array(n[of]), batch.column(1).take(pa.array(of)), pa.array(flat[order[first]])], schema=schema)
 
-    return run
+    return shared.frugal(run)
+
+
+#: A key is hot if it has more than this share of all rows; so there are fewer hot keys than its inverse.
+HOT = 1 / 1024
 
 
 def components(scratch: shared.Scratch, edges: DataFrame) -> DataFrame:
     """(node, component) for the nodes of ``edges`` (a, b): the smallest node reachable.
 
     Each round takes the smallest label among the neighbours and then the label of that label; rounds are written
-    tables.  A node with many neighbours is no burden, since labels are reduced before the shuffle.
+    tables.  Labels are reduced before the shuffle, and those of hubs, at most 1023 nodes that a HOT share of all edges
+    leads to, are broadcast, so no task sees all edges of a hub.
     """
     both = scratch.table(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     labels = scratch.table(both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("node"), F.least("a", "b").alias("component")))
+    hubs = scratch.table(both.groupBy("b").count().where(F.col("count") > max(1000.0, both.count() * HOT)).select(F.col("b").alias("node")))
+    usual = both.join(F.broadcast(hubs), both.b == hubs.node, "left_anti")
+    some = not hubs.isEmpty()
     while True:
-        near = both.join(labels, both.b == labels.node).groupBy("a").agg(F.min("component").alias("near"))
+        near = usual.join(labels, usual.b == labels.node).select("a", "component")
+        if some:
+            of_hubs = labels.join(F.broadcast(hubs), "node", "left_semi")
+            near = near.union(both.join(F.broadcast(of_hubs), both.b == of_hubs.node).select("a", "component"))
+        near = near.groupBy("a").agg(F.min("component").alias("near"))
         step = labels.join(near, labels.node == near.a).select("node", F.col("component").alias("was"), F.least("component", "near").alias("component"))
         up = labels.select(F.col("node").alias("component"), F.col("component").alias("up"))
         new = scratch.table(step.join(up, "component").select("node", "was", F.least("component", "up").alias("component")))
         scratch.drop(labels)
         labels = new
         if labels.where("was <> component").isEmpty():
-            scratch.drop(both)
+            scratch.drop(both, hubs)
             return labels.select("node", "component")
 
 
 def near_duplicates(
     docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80, sketch: int = 64, lists: int = 24, short: int = 64, slack: float = 0.3
 ) -> DataFrame:
-    """One row for each document: (doc_id, n_shingles, component_id, kept).
+    """One row for each document: (doc_id, n_shingles, component_id, kept, text_key).
 
     Documents are linked when 100 * intersection >= percent * union of their word-shingle sets; ``component_id`` is the
     smallest id reachable over links and ``kept`` marks the document that bears it.  Pairs whose estimate lies
     ``slack`` below the threshold (nearly seven standard deviations at 64 hashes) aren't confirmed.
 
+    ``text_key``, a hash of the text, tells rows of one id apart.
+
     Null and blank texts have no shingles and are alone.  A text of fewer words than a shingle has one shingle.  Rows
     with the same id count as one document of several texts.  A null id is alone, with a null component, and kept.
     Other columns are ignored.  An empty table gives an empty result.
     """
     spark = docs.sparkSession
     scratch = shared.Scratch(spark, "near")
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    shared.small_batches(spark)
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text_col)).alias("text_key"), F.col(text_col).alias("text"))
     sketches = scratch.table(
-        docs.mapInArrow(_sketches(shingle, sketch, lists), "doc_id long, n long, key_1 long, key_2 long, sketch array<long>, keys array<long>")
+        docs.mapInArrow(_sketches(shingle, sketch, lists), "doc_id long, text_key long, n long, key_1 long, key_2 long, sketch array<long>, keys array<long>")
     )
     keyed = sketches.where("n > 0 and doc_id is not null")
-    classes = scratch.table(keyed.groupBy("key_1", "key_2", "n").agg(F.min("doc_id").alias("rep")))
+    classes = scratch.table(keyed.groupBy("key_1", "key_2", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")))
     reps = scratch.table(
         keyed.join(classes.select("key_1", "key_2", "n", F.col("rep").alias("doc_id")), ["key_1", "key_2", "n", "doc_id"], "left_semi")
         .dropDuplicates(["key_1", "key_2", "n", "doc_id"])
@@ -221,16 +238,25 @@ def near_duplicates(
     more = scratch.table(_confirmed(perhaps, full, percent).union(_in_blocks(groups, full, percent)).distinct())
     if not more.isEmpty():
         parts = components(scratch, links.union(more))
-    of_class = classes.join(parts.withColumnRenamed("node", "rep"), "rep", "left").select("key_1", "key_2", "n", F.coalesce("component", "rep").alias("component_id"))
-    return (
-        sketches.select("doc_id", "n", "key_1", "key_2")
-        .join(of_class, ["key_1", "key_2", "n"], "left")
-        .select(
-            "doc_id", F.col("n").alias("n_shingles"),
-            F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"),
-        )
-        .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
-    )
+    of_class = classes.join(parts.withColumnRenamed("node", "rep"), "rep", "left").select("key_1", "key_2", "n", "copies", F.coalesce("component", "rep").alias("component_id"))
+    return _of_documents(sketches.select("doc_id", "text_key", "n", "key_1", "key_2"), scratch.table(of_class))
+
+
+def _of_documents(keyed: DataFrame, of_class: DataFrame) -> DataFrame:
+    """Classes' components given back to documents.  The classes of very many copies, at most 1023 that hold a HOT share of
+    all rows, are broadcast; texts without shingles need no class."""
+    keys, total = ["key_1", "key_2", "n"], keyed.count()
+    hot = F.broadcast(of_class.where(F.col("copies") > total * HOT).drop("copies"))
+    alone = (F.col("n") == 0) | F.col("doc_id").isNull()
+    usual = keyed.where(~alone)
+    parts = (
+        keyed.where(alone).withColumn("component_id", F.col("doc_id")),
+        usual.join(hot, keys),
+        usual.join(hot, keys, "left_anti").join(of_class.where(F.col("copies") <= total * HOT).drop("copies"), keys),
+    )
+    columns = ("doc_id", F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"), "text_key")
+    first, second, third = (p.select(*columns) for p in parts)
+    return first.union(second).union(third)
 
 
 def _crossing(entries: DataFrame, fits) -> DataFrame:

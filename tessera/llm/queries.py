@@ -13,7 +13,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.near_dedup import near_duplicates
 
-    return near_duplicates(_table(spark, sf_dir, "documents"), percent=85)
+    return near_duplicates(_table(spark, sf_dir, "documents"), percent=85).drop("text_key")
 
 
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
