@@ -97,11 +97,26 @@ def _full_sets(shingle: int, wanted: np.ndarray):
     return shared.frugal(run)
 
 
-def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """How many sets of a batch have each shingle."""
+def _counts(batches: Iterator[pa.RecordBatch], most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """How many sets of a partition have each shingle; beyond ``most`` different ones, counts are passed on in parts."""
+
+    def rows(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+        keys, at = np.unique(np.concatenate([k for k, _ in held]), return_inverse=True)
+        return keys, np.bincount(at, np.concatenate([n for _, n in held]), len(keys)).astype(np.int64)
+
+    def given(keys: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(n, pa.int64())], names=["key", "count"])
+
+    held: list[tuple[np.ndarray, np.ndarray]] = []
     for batch in batches:
-        keys, counts = np.unique(batch.column(0).flatten().to_numpy(), return_counts=True)
-        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(counts, pa.int64())], names=["key", "count"])
+        held.append(np.unique(batch.column(0).flatten().to_numpy(), return_counts=True))
+        if len(held) > 8:
+            held = [rows(held)]
+            if len(held[0][0]) > most:
+                yield given(*held[0])
+                held = []
+    if held:
+        yield given(*rows(held))
 
 
 def _prefixes(common: np.ndarray, percent: int):
