@@ -40,7 +40,7 @@ class PartMemory:
     More than ``most`` parts empty it, which costs time only.
     """
 
-    def __init__(self, path: str, most: int = 1 << 17):
+    def __init__(self, path: str, most: int = 1 << 18):
         from tokenizers import Tokenizer
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks fill the cores
@@ -125,7 +125,7 @@ def encode_parts(tokenizer, parts: list[str], at_once: int = 2000) -> tuple[np.n
 
 @functools.cache
 def word_memory(path: str) -> PartMemory:
-    """A worker's memory; the tokenizer stays, the parts are forgotten at the end of a partition."""
+    """A worker's memory: most parts of a partition are in others as well."""
     return PartMemory(path)
 
 
@@ -145,7 +145,7 @@ def token_ids(memory: PartMemory, texts: pa.Array) -> list[np.ndarray]:
         for k, i in enumerate(odd):
             out[i] = ids[bounds[k] : bounds[k + 1]]
     data, cut = shared.text_bytes(texts.take(pa.array(usual)))
-    for lo, _, part, at in shared.chunks(shared.FOLD[data], cut):
+    for lo, _, part, at in shared.chunks(shared.FOLD[data], cut, 4 * shared.CHUNK):
         ids, bounds = memory.of_tokens(part, at)
         for k in range(len(bounds) - 1):
             out[usual[lo + k]] = ids[bounds[k] : bounds[k + 1]]
@@ -158,8 +158,8 @@ def _pieces(path: str, capacity: int, end: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memory, ranks, task = word_memory(path), np.zeros(capacity + 1, np.int64), TaskContext.get().partitionId()
         for batch in batches:
-            for lo in range(0, len(batch), 256):
-                part = batch.slice(lo, 256)
+            for lo in range(0, len(batch), 512):
+                part = batch.slice(lo, 512)
                 rows: list[tuple] = []
                 for doc, ids in zip(part.column(0).to_pylist(), token_ids(memory, part.column(1)), strict=True):
                     whole = ids.astype("<u4").tobytes() + last
@@ -170,7 +170,6 @@ def _pieces(path: str, capacity: int, end: int):
                         ranks[length] += 1
                 kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], [x.split()[0] for x in PIECES.split(", ")])
-        memory.clear()
 
     return shared.frugal(run)
 
