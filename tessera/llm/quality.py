@@ -65,6 +65,27 @@ def _weights(docs: DataFrame, text_col: str, ratio: np.ndarray) -> DataFrame:
     return shared.with_text_columns(docs, text_col, "n_grams long, log_weight double", compute)
 
 
+def _left_out(raw: np.ndarray, target: np.ndarray, alpha: float):
+    """(doc_id, flag, w): log weights of labelled texts by models of the target that don't hold the text itself, as those of
+    texts without a label don't."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        base = np.log((raw + alpha) / (raw.sum() + alpha * BUCKETS))
+        for batch in batches:
+            data, bounds = shared.text_bytes(batch.column(2))
+            flags, weights = batch.column(1).to_numpy(), []
+            for lo, _, part, at in shared.chunks(data, bounds):
+                grams, cut = _grams(part, at)
+                for k, (a, b) in enumerate(zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)):
+                    own, times = np.unique(grams[a:b], return_counts=True)
+                    less = times if flags[lo + k] == 1 else 0
+                    left = target.sum() - (b - a if flags[lo + k] == 1 else 0)
+                    weights.append(float(times @ (np.log((target[own] - less + alpha) / (left + alpha * BUCKETS)) - base[own])))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(weights, pa.float64())], ["doc_id", "flag", "w"])
+
+    return shared.frugal(run)
+
+
 def labelled_sample(labels: DataFrame, flag: str, most: int, id_col: str = "doc_id") -> list:
     """At most ``most`` labelled (id, flag) rows, chosen by a hash of the id; rows without id or flag don't count."""
     ids = labels.where(F.col(id_col).isNotNull() & F.col(flag).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(flag).cast("int").alias("flag"))
@@ -103,7 +124,8 @@ def importance_resample(
     """``docs`` with columns n_grams, log_weight, gumbel_key and selected; those of these names are replaced.
 
     ``k`` documents are selected: a number of rows, a share of them (a float), or None for as many as the labels let expect to be good:
-    the share of good labelled texts in each of 64 bins of log weights, times the bin's documents.  A high
+    the share of good labelled texts in each of 64 bins of log weights, each taken without the text itself in the target's
+    model, times the bin's documents.  A high
     ``temperature`` samples evenly, a low one takes the largest weights.
 
     The target texts are those of at most ``max_labelled`` labelled rows; counts of the raw corpus cover all documents.
@@ -135,7 +157,8 @@ def importance_resample(
         k = round(k * small.count())
     elif k is None:
         known = spark.createDataFrame([(r.doc_id, r.flag) for r in sample], "doc_id long, flag int")
-        seen = small.join(F.broadcast(known), "doc_id").groupBy("doc_id").agg(F.min("log_weight").alias("w"), F.min("flag").alias("flag")).toArrow()
+        seen = own.join(F.broadcast(known), "doc_id").select("doc_id", "flag", "text").mapInArrow(_left_out(raw, target, alpha), "doc_id long, flag int, w double")
+        seen = seen.groupBy("doc_id").agg(F.min("w").alias("w"), F.min("flag").alias("flag")).toArrow()  # at most ``max_labelled`` rows
         flags = seen.column("flag").to_numpy() == 1
         if not flags.any() or flags.all():
             k = small.count()
