@@ -1,9 +1,11 @@
 """Winnowing fingerprints of texts, in DataFrame and SQL functions only.
 
-A text's words (A-Z lower-cased) are hashed, every ``k`` neighbours give a k-gram hash, and of each ``window`` neighbouring
-k-grams the one with the smallest hash is kept, the rightmost among equals.  Any run of at least ``window + k - 1`` words
-that two texts share gives them a common hash, and no k-gram shorter than ``k`` words ever matches.  A text of fewer
-words than a k-gram has one hash for all its words, and one of fewer k-grams than a window has one window.
+A text's words (A-Z lower-cased) are hashed to 64 bits, and a cyclic polynomial rolls over them: a k-gram's hash is the exclusive or of
+its words' hashes, each rotated by the number of words that follow it.  It is put together from those of the two halves of the
+k-gram, so every step serves all k-grams that overlap.  Of each ``window`` neighbouring k-grams the one with the
+smallest hash is kept, ordered by the upper 32 bits, the rightmost among equals.  Any run of at least ``window + k - 1`` words
+that two texts share gives them a common hash; k-grams of different words share their 64 bits by chance alone.  A
+text of fewer words than a k-gram has one hash for all its words, and one of fewer k-grams than a window has one window.
 """
 
 from __future__ import annotations
@@ -20,47 +22,57 @@ def _later(a: Column, by: int) -> Column:
     return F.slice(a, by + 1, F.size(a))
 
 
+def _rotated(h: Column, by: int) -> Column:
+    return F.shiftleft(h, by % 64).bitwiseOR(F.shiftrightunsigned(h, 64 - by % 64)) if by % 64 else h
+
+
+def _rolled(by: int):
+    return lambda x, y: _rotated(x, by).bitwiseXOR(y)
+
+
+def _but_last(a: Column, n: int) -> Column:
+    return F.slice(a, F.lit(1), F.greatest(F.size(a) - n, F.lit(0)))
+
+
 def fingerprint(frame: DataFrame, text: str, into: str, *, k: int = 4, window: int = 8) -> DataFrame:
-    """``frame`` with the column ``into``: array<long>, for each kept k-gram a number that holds its hash and position.
+    """``frame`` with the column ``into``: array<struct<hash: long, position: int>>, the kept k-grams by position.
 
-    ``hashes`` and ``unpacked`` read it.  A position is the number of the k-gram's first word, from 0.  Null texts,
-    empty ones and those of blanks alone have an empty fingerprint.  ``window`` is a power of two.
+    A position is the number of the k-gram's first word, from 0.  Null texts, empty ones and those of blanks alone have an
+    empty fingerprint; repeated rows have equal ones.  ``k`` and ``window`` are powers of two.  A column named like
+    ``into`` is replaced.
     """
-    if window & (window - 1) or window < 1:
-        raise ValueError("window must be a power of two")
-    w, g = f"__{into}_words", f"__{into}_grams"
+    if k & (k - 1) or k < 1 or window & (window - 1) or window < 1:
+        raise ValueError("k and window must be powers of two")
+    w, g, m = f"__{into}_words", f"__{into}_grams", f"__{into}_least"
     out = frame.withColumn(w, F.transform(shared.words(shared.ascii_lower(F.coalesce(F.col(text), F.lit("")))), lambda x: F.xxhash64(x)))
-    # a hash of 32 bits above a position that falls from left to right: the least number is the rightmost least hash
-    head = lambda h: h.bitwiseAND(0xFFFFFFFF) * (_LOW + 1)
-    grams = F.transform(
-        F.slice(F.col(w), F.lit(1), F.greatest(F.size(w) - (k - 1), F.lit(0))),
-        lambda x, i: head(F.xxhash64(x, *(F.get(F.col(w), i + j) for j in range(1, k)))) + (F.lit(_LOW) - i),
-    )
+    rolled, step = F.col(w), 1
+    out = out.withColumn(g, rolled)
+    while step < k:  # 2, 4, 8, ... words; the last ones, of too few, are cut off
+        joined = F.zip_with(F.col(g), _later(F.col(g), step), _rolled(step))
+        out = out.withColumn(g, _but_last(joined, step))
+        step *= 2
     empty = F.array().cast("array<long>")
-    out = out.withColumn(g, F.when(F.size(w) == 0, empty).when(F.size(w) < k, F.array(head(F.xxhash64(F.col(w))) + _LOW)).otherwise(grams))
-    low, step = F.col(g), 1
-    out = out.withColumn(into, low)
-    while step < window:  # the least of 2, 4, 8, ... neighbours; the last ones, of too few, are cut off
+    out = out.withColumn(g, F.when(F.size(w) == 0, empty).when(F.size(w) < k, F.array(F.xxhash64(F.col(w)))).otherwise(F.col(g)))
+    # 32 bits of the hash above a position that falls from left to right: the least number is the rightmost least hash
+    out = out.withColumn(m, F.transform(g, lambda h, i: F.shiftrightunsigned(h, 32) * (_LOW + 1) + (F.lit(_LOW) - i)))
+    out, step = out.withColumn(into, F.col(m)), 1
+    while step < window:  # the least of 2, 4, 8, ... neighbours
         pairs = F.zip_with(F.col(into), _later(F.col(into), step), lambda x, y: F.least(x, y))
-        out = out.withColumn(into, F.when(F.size(g) >= window, F.slice(pairs, F.lit(1), F.greatest(F.size(into) - step, F.lit(0)))).otherwise(F.col(into)))
+        out = out.withColumn(into, F.when(F.size(m) >= window, _but_last(pairs, step)).otherwise(F.col(into)))
         step *= 2
-    kept = F.when(F.size(g) >= window, F.array_distinct(into)).when(F.size(g) == 0, empty).otherwise(F.array(F.array_min(g)))
-    return out.withColumn(into, kept).drop(w, g)
+    kept = F.when(F.size(m) >= window, F.array_distinct(into)).when(F.size(m) == 0, empty).otherwise(F.array(F.array_min(m)))
+    place = lambda v: (F.lit(_LOW) - v.bitwiseAND(_LOW)).cast("int")
+    return out.withColumn(into, F.transform(kept, lambda v: F.struct(F.get(F.col(g), place(v)).alias("hash"), place(v).alias("position")))).drop(w, g, m)
 
 
-def hashes(packed: Column) -> Column:
+def hashes(kept: Column) -> Column:
     """The distinct hashes of a fingerprint, by position."""
-    return F.array_distinct(F.transform(packed, lambda v: F.shiftright(v, 31)))
+    return F.array_distinct(kept["hash"])
 
 
-def unpacked(packed: Column) -> Column:
-    """array<struct<hash: long, position: int>> by position."""
-    return F.transform(packed, lambda v: F.struct(F.shiftright(v, 31).alias("hash"), (F.lit(_LOW) - v.bitwiseAND(_LOW)).cast("int").alias("position")))
-
-
-def shown(packed: Column) -> Column:
+def shown(kept: Column) -> Column:
     """A fingerprint as text: hash:position in hexadecimal digits, by position."""
-    return F.array_join(F.transform(packed, lambda v: F.concat(F.hex(F.shiftright(v, 31)), F.lit(":"), F.hex(F.lit(_LOW) - v.bitwiseAND(_LOW)))), " ")
+    return F.array_join(F.transform(kept, lambda v: F.concat(F.hex(v["hash"]), F.lit(":"), F.hex(v["position"]))), " ")
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -71,31 +83,51 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(union == 0, 1.0).otherwise(both / F.greatest(union, F.lit(1)))
 
 
-def ranges(docs: DataFrame, column: str, rows: int = 4096, most: int = 1024) -> list[int]:
-    """Bounds that deal a long column's values to ranges of about ``rows`` rows, ``most`` ranges at most."""
+def cuts(docs: DataFrame, column: str, rows: int = 4096, most: int = 1 << 15) -> list[int]:
+    """Bounds that deal a long column's values to ranges of about ``rows`` rows.
+
+    There are as many ranges as the table needs, up to ``most``; of more than ``rows * most`` rows the ranges grow.
+    """
     k = min(most, -(-docs.count() // rows))
     if k < 2:
         return []
-    return sorted(set(docs.agg(F.percentile_approx(column, [i / k for i in range(1, k)], 20 * most)).first()[0] or []))
+    return sorted(set(docs.agg(F.percentile_approx(column, [i / k for i in range(1, k)], 20 * k)).first()[0] or []))
+
+
+def place_of(value: Column, bounds: list[int], wide: int = 64) -> Column:
+    """How many of the sorted bounds lie at or below the value, found in two steps of about ``wide`` and n / ``wide`` comparisons."""
+    if not bounds:
+        return F.lit(0)
+    step = max(1, -(-len(bounds) // wide))
+    blocks = [bounds[i : i + step] for i in range(0, len(bounds), step)]
+    below = lambda a: F.size(F.filter(a, lambda c: c <= value))
+    block = F.greatest(below(F.array(*(F.lit(b[0]) for b in blocks))) - 1, F.lit(0))
+    return (block * step + below(F.get(F.array(*(F.array(*(F.lit(c) for c in b)) for b in blocks)), block))).cast("int")
 
 
-def in_order(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, Window]:
+def in_order(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", rows: int = 4096) -> tuple[DataFrame, Window]:
     """``docs`` dealt to ranges of ids, and the window in which ``lead`` finds the next row by ascending id.
 
     No task sees all rows: each range also holds, marked by ``__guest`` = 1, the first row of the next range (the last
-    range that of the first).  Drop those rows at the end.  Null ids come first; rows of one id are in the order of a
-    hash of their texts.
+    range that of the first).  Drop those rows at the end.  Null ids come first, dealt to ranges by a hash of their texts; rows of one id
+    are in the order of that hash and lie in one range.
     """
+    tie = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
     key = F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63)))
-    rows = docs.withColumn("__key", key).withColumn("__tie", F.xxhash64(F.col(text_col)))
-    ids = docs.select(key.alias("__key"))
-    cuts = ranges(ids, "__key")
-    place = F.size(F.filter(F.array(*(F.lit(c) for c in cuts)), lambda c: c <= F.col("__key"))) if cuts else F.lit(0)
-    firsts = sorted((r["__range"], r["k"]) for r in ids.withColumn("__range", place).groupBy("__range").agg(F.min("__key").alias("k")).collect())  # one for each range
-    both = rows.withColumns({"__range": place, "__guest": F.lit(0)})
+    both = docs.withColumns({"__key": key, "__tie": tie, "__none": F.col(id_col).isNull()})
+    ids = docs.where(F.col(id_col).isNotNull()).select(key.alias("__key"))
+    spread = -(-docs.where(F.col(id_col).isNull()).count() // rows)  # hashes are even, so equal widths are equal shares
+    of_null = F.floor((F.shiftrightunsigned("__tie", 1) - F.when(F.col("__tie") < 0, 1 << 62).otherwise(-(1 << 62))) / (2.0**63) * max(spread, 1)).cast("int")
+    both = both.withColumn("__range", F.when(F.col("__none"), F.least(of_null, F.lit(max(spread, 1) - 1))).otherwise(spread + place_of(F.col("__key"), cuts(ids, "__key", rows))))
+    both = both.withColumns({"__guest": F.lit(0)})
+    first = F.min(F.struct("__key", "__tie"))
+    firsts = sorted((r["__range"], r["f"]["__key"], r["f"]["__tie"]) for r in both.groupBy("__range").agg(first.alias("f")).collect())  # one for each range
     if firsts:
-        to = F.element_at(F.create_map(*(F.lit(x) for i, (_, k) in enumerate(firsts) for x in (k, firsts[i - 1][0]))), F.col("__key"))
-        both = both.unionByName(rows.where(F.col("__key").isin([k for _, k in firsts])).withColumns({"__range": to, "__guest": F.lit(1)}))
+        # the first row of a range goes to the range before it as well
+        spark = docs.sparkSession
+        to = spark.createDataFrame([(k, t, firsts[i - 1][0]) for i, (_, k, t) in enumerate(firsts)], "__k long, __t long, __to int")
+        guests = both.join(F.broadcast(to), (F.col("__key") == F.col("__k")) & (F.col("__tie") == F.col("__t")))
+        both = both.unionByName(guests.withColumns({"__range": F.col("__to"), "__guest": F.lit(1)}).drop("__k", "__t", "__to"))
     return both, Window.partitionBy("__range").orderBy("__guest", "__key", "__tie")
 
 
@@ -104,7 +136,9 @@ def compare_with_edits(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
 
     (doc_id, n_chars, edited, fingerprint, edited_fingerprint, near_edited, near_next).  The edited text has its last
     quarter of code points, rounded down, replaced by the beginning of the next text by ascending id (after the last:
-    the first).  Null texts are empty.  An only document is its own next one.  Other columns are ignored.
+    the first).  Null texts are empty.  Rows of one id, and rows without an id, which come first, follow each other in the
+    order of a hash of their texts; every row has a result.  An only document is its own next one.  Other columns are
+    ignored.  An empty table gives an empty result.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     rows, order = in_order(docs)
