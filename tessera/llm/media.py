@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.shared import frugal, small_batches
+
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
 GRID, LOW = 32, 8
 
@@ -20,10 +22,17 @@ def _chunk(kind: bytes, body: bytes) -> bytes:
 
 
 def encode_png(pixels: np.ndarray, level: int = 4) -> bytes:
-    """An 8-bit greyscale PNG of a (height, width) array, each row with filter 0."""
+    """An 8-bit greyscale PNG of a (height, width) array, each row with the one of the filters 0 (none), 1 (left) and 2 (up)
+    that leaves the least sum of distances from zero."""
     height, width = pixels.shape
-    rows = np.zeros((height, width + 1), np.uint8)
-    rows[:, 1:] = pixels
+    options = np.zeros((3, height, width), np.uint8)
+    options[0] = options[1] = options[2] = pixels
+    options[1, :, 1:] -= pixels[:, :-1]
+    options[2, 1:] -= pixels[:-1]
+    kinds = np.minimum(options, np.negative(options)).sum(2, dtype=np.int64).argmin(0)
+    rows = np.empty((height, width + 1), np.uint8)
+    rows[:, 0] = kinds
+    rows[:, 1:] = options[kinds, np.arange(height)]
     head = struct.pack(">IIBBBBB", width, height, 8, 0, 0, 0, 0)
     return SIGNATURE + _chunk(b"IHDR", head) + _chunk(b"IDAT", zlib.compress(rows.tobytes(), level)) + _chunk(b"IEND", b"")
 
@@ -31,32 +40,37 @@ def encode_png(pixels: np.ndarray, level: int = 4) -> bytes:
 def unfilter(rows: np.ndarray) -> np.ndarray:
     """Undoes PNG's row filters (0 none, 1 left, 2 up, 3 mean, 4 Paeth) of one-byte pixels."""
     kinds, out = rows[:, 0], rows[:, 1:].copy()
-    if not kinds.any():
-        return out
-    width = out.shape[1]
-    up = np.zeros(width, np.uint8)
-    for y, kind in enumerate(kinds):
-        row = out[y]
-        if kind == 1:
-            np.cumsum(row, dtype=np.uint8, out=row)
-        elif kind == 2:
-            row += up
-        elif kind in (3, 4):
-            left = corner = 0
-            for x, (value, above) in enumerate(zip(row.tolist(), up.tolist(), strict=True)):
-                if kind == 3:
-                    guess = (left + above) >> 1
-                else:
-                    pa_, pb, pc = abs(above - corner), abs(left - corner), abs(left + above - 2 * corner)
-                    guess = left if pa_ <= pb and pa_ <= pc else above if pb <= pc else corner
-                left, corner = (value + guess) & 255, above
-                row[x] = left
-        elif kind > 4:
-            raise ValueError(f"row {y} has the unknown filter {kind}")
-        up = row
+    if (kinds > 4).any():
+        raise ValueError(f"row {int((kinds > 4).argmax())} has an unknown filter")
+    if (kinds > 2).any():
+        return _by_diagonals(kinds, out)
+    left = kinds == 1
+    if left.any():
+        out[left] = np.cumsum(out[left], axis=1, dtype=np.uint8)
+    up = kinds == 2
+    if up.any():
+        # running sums of the differences since the last row that stands for itself
+        sums = np.cumsum(np.where(up[:, None], out, 0), axis=0, dtype=np.uint8)
+        base = np.maximum.accumulate(np.where(up, -1, np.arange(len(kinds))))
+        own = np.where(base[:, None] >= 0, out[base] - sums[base], 0).astype(np.uint8)
+        out = np.where(up[:, None], own + sums, out)
     return out
 
 
+def _by_diagonals(kinds: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """The same for all five filters: pixels of one diagonal need only those of the two before it."""
+    height, width = rows.shape
+    out = np.zeros((height + 1, width + 1), np.int32)
+    for t in range(height + width - 1):
+        y = np.arange(max(0, t - width + 1), min(height, t + 1))
+        x = t - y
+        a, b, c = out[y + 1, x], out[y, x + 1], out[y, x]  # left, above, above on the left
+        pa_, pb, pc = np.abs(b - c), np.abs(a - c), np.abs(a + b - 2 * c)
+        paeth = np.where((pa_ <= pb) & (pa_ <= pc), a, np.where(pb <= pc, b, c))
+        out[y + 1, x + 1] = (rows[y, x] + np.choose(kinds[y], (0, a, b, (a + b) >> 1, paeth))) & 255
+    return out[1:, 1:].astype(np.uint8)
+
+
 def decode_png(media: bytes) -> np.ndarray:
     """The (height, width) array of an 8-bit greyscale PNG; every chunk's checksum is tested."""
     if media[:8] != SIGNATURE:
@@ -110,6 +124,7 @@ def to_media(docs: DataFrame, *, text_col: str = "text", width: int = 64) -> Dat
     """``docs`` with binary column ``media``: the text's UTF-8 bytes, zeros up to whole rows, as a PNG; ``n_bytes`` unpadded.
 
     A null or empty text is one row of zeros.  Columns of these names are replaced, ``text_col`` and others stay.
+    Repeated rows and rows without an id are stored like others.  An empty table gives an empty result.
     """
     kept = [c for c in docs.columns if c not in ("media", "n_bytes")]
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept) + ", n_bytes long, media binary"
@@ -122,13 +137,15 @@ def to_media(docs: DataFrame, *, text_col: str = "text", width: int = 64) -> Dat
                 media = [encode_png(_payload(t, width)) for t in texts]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array([len(t) for t in texts], pa.int64()), pa.array(media, pa.binary())], [*kept, "n_bytes", "media"])
 
-    return docs.select(*(F.col(f"`{c}`") for c in kept)).mapInArrow(run, schema)
+    small_batches(docs.sparkSession)
+    return docs.select(*(F.col(f"`{c}`") for c in kept)).mapInArrow(frugal(run), schema)
 
 
 def read_media(frame: DataFrame, *, media_col: str = "media") -> DataFrame:
     """``frame`` with binary columns ``payload`` (the samples read back) and ``feature`` (the cosine hash).
 
-    A null medium gives nulls; a damaged one (wrong signature, checksum or filter) stops the job.
+    A null medium gives nulls; a damaged one (wrong signature, checksum or filter) stops the job.  Columns of these names
+    are replaced, others and repeated rows stay.  An empty table gives an empty result.
     """
     kept = [c for c in frame.columns if c not in ("payload", "feature")]
     schema = ", ".join(f"`{c}` {frame.schema[c].dataType.simpleString()}" for c in kept) + ", payload binary, feature binary"
@@ -141,4 +158,4 @@ def read_media(frame: DataFrame, *, media_col: str = "media") -> DataFrame:
                 payloads, features = ([None if x is None else f(x) for x in images] for f in (np.ndarray.tobytes, cosine_hash))
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(payloads, pa.binary()), pa.array(features, pa.binary())], [*kept, "payload", "feature"])
 
-    return frame.select(*(F.col(f"`{c}`") for c in kept)).mapInArrow(run, schema)
+    return frame.select(*(F.col(f"`{c}`") for c in kept)).mapInArrow(frugal(run), schema)
