@@ -1,15 +1,14 @@
 """SentencePiece models run by the tokenizers library.
 
 The model's protobuf is parsed here.  Its normaliser (character map, extra blanks, dummy prefix, the marker for blanks) and its
-model (unigram scores, or pairs to merge in the order of scores) become a tokenizer with byte fallback.  Texts are
-normalised whole, then cut before each run of markers: no piece of the vocabulary reaches over such a place, so the
-distinct parts of a batch are encoded once, in one multithreaded call.  Parity with the original library is tested part by part.
+model (unigram scores, or pairs to merge in the order of scores) become a tokenizer with byte fallback.  Batches of whole
+texts are encoded in multithreaded calls.  Parity is verified by encoding the whole texts with the original library.
 """
 
 from __future__ import annotations
 
 import functools
-import re
+import os
 import struct
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -85,13 +84,9 @@ class Model:
         found = [(rank[p], i, p[:i], p[i:]) for p in rank for i in range(1, len(p)) if p[:i] in rank and p[i:] in rank]
         return [(a, b) for _, _, a, b in sorted(found)]
 
-    def separable(self) -> bool:
-        """Whether no piece has a marker after another character."""
-        return not any(MARK in p.lstrip(MARK) for p, _, t in self.pieces if t in (NORMAL, USER))
 
-
-def build(model: Model, normalise: bool = True):
-    """A tokenizer of the tokenizers library for a model; without ``normalise`` for texts already normalised."""
+def build(model: Model):
+    """A tokenizer of the tokenizers library for a model."""
     from tokenizers import AddedToken, Regex, Tokenizer, decoders, models, normalizers
 
     vocab = {p: i for i, (p, _, _) in enumerate(model.pieces)}
@@ -112,7 +107,7 @@ def build(model: Model, normalise: bool = True):
         steps.append(normalizers.Prepend(" "))
     if model.mark_blanks:
         steps.append(normalizers.Replace(" ", MARK))
-    if normalise and steps:
+    if steps:
         tokenizer.normalizer = normalizers.Sequence(steps)
     if user:
         tokenizer.add_tokens(user)
@@ -122,98 +117,30 @@ def build(model: Model, normalise: bool = True):
 
 
 class Encoder:
-    """Encodes texts part by part and remembers the parts.
-
-    A part is a run of markers with the characters after it, or a line feed (where no piece of the vocabulary has one)
-    with what follows up to the next marker.  Signs that no piece has beside other characters are cut off as well.
-    """
+    """Encodes batches of whole texts in ``threads`` threads; with ``parity``, also by the original library."""
 
     def __init__(self, model_file: str, parity: bool, threads: int):
+        # read by the library's thread pool when it is first used; an encoder is made before that
+        os.environ["TOKENIZERS_PARALLELISM"], os.environ["RAYON_NUM_THREADS"] = str(threads > 1).lower(), str(threads)
         with open(model_file, "rb") as f:
-            self.model = Model.parse(f.read())
-        self.whole, self.parts = build(self.model), build(self.model, normalise=False)
-        m, pieces = self.model, [p for p, _, t in self.model.pieces if t in (NORMAL, USER)]
-        lines = not any("\n" in p for p in pieces)
-        self.separable = m.separable()
-        self.cut = re.compile(f"{MARK}*[^{MARK}\n]+|{MARK}+|\n[^{MARK}\n]*" if lines else f"{MARK}*[^{MARK}]+|{MARK}+")
-        self.plain = m.dummy_prefix and m.mark_blanks and not m.strip_blanks and not m.charsmap and self.separable and lines
-        signs = {chr(b) for b in range(33, 127) if not chr(b).isalnum()}
-        while mixed := {c for p in pieces for c in signs.intersection(p) if set(p) - signs - {MARK}}:
-            signs -= mixed  # what is left stands in pieces beside signs that are left alone
-        self.classes = np.ones(256, np.uint8)
-        self.classes[[10, 32]] = 0
-        self.classes[[ord(c) for c in signs]] = 2
-        self.memory = shared.PartMemory(self._encode, 1 << 19)
-        self.same = np.zeros(0, bool)
+            self.tokenizer = build(Model.parse(f.read()))
         self.threads, self.reference = threads, None
         if parity:
             from sentencepiece import SentencePieceProcessor
 
             self.reference = SentencePieceProcessor(model_file=model_file)
 
-    def _usual(self, text: str) -> bool:
-        """Single blanks between words, line feeds between lines and no markers."""
-        return self.plain and not ("  " in text or " \n" in text or "\n " in text or "\n\n" in text or MARK in text or "\0" in text or text[:1] in ("", " ", "\n") or text[-1] in " \n")
-
-    def _split(self, text: str) -> list:
-        normal = self.whole.normalizer.normalize_str(text) if self.whole.normalizer else text
-        return [(p,) for p in (self.cut.findall(normal) if self.separable else [normal])] if text else []
-
-    @staticmethod
-    def _written(part: bytes | tuple[str]) -> str:
-        """A part as the vocabulary writes it; bytes begin with what stands before them."""
-        if isinstance(part, tuple):
-            return part[0]
-        return (MARK if part[0] == 32 else "" if part[0] == 0 else "\n") + part[1:].decode()
-
-    def _encode(self, new: list) -> tuple[np.ndarray, np.ndarray]:
-        parts = [self._written(p) for p in new]
-        flat, size = shared.encode_parts(self.parts, parts)
-        if not self.memory.known:
-            self.same = np.zeros(0, bool)
-        same = np.ones(len(new), bool)
-        if self.reference:
-            end = np.cumsum(size)
-            same = np.array([a == flat[e - n : e].tolist() for a, e, n in zip(self._original(parts), end.tolist(), size.tolist(), strict=True)], bool)
-        self.same = np.concatenate([self.same, same])
-        return flat, size
-
-    def _original(self, parts: list[str]) -> list[list[int]]:
-        """The original library's ids of parts; one that doesn't start with a marker is put behind a line feed."""
-        if not self.model.dummy_prefix:
-            return self.reference.encode([p.replace(MARK, " ") for p in parts], num_threads=self.threads)
-        # the library drops a marker that stands alone
-        open_ = [p.startswith(MARK) and p != MARK for p in parts]
-        lead = len(self.reference.encode("\n"))
-        out = self.reference.encode([p[1:].replace(MARK, " ") if o else "\n" + p.replace(MARK, " ") for p, o in zip(parts, open_, strict=True)], num_threads=self.threads)
-        return [x if o else x[lead:] for x, o in zip(out, open_, strict=True)]
-
-    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """All ids, where each text's begin, and whether all parts of a text have the original library's ids."""
-        plain = [t or "" for t in texts.to_pylist()]
-        usual = np.array([i for i, t in enumerate(plain) if self._usual(t)], np.int64)
-        odd = np.setdiff1d(np.arange(len(plain)), usual)
-        found: list = [None] * len(plain)
-        same = np.ones(len(plain), bool)
-
-        def put(rows: np.ndarray, ids: np.ndarray, bounds: np.ndarray, index: np.ndarray, at: np.ndarray) -> None:
-            wrong = np.concatenate([[0], np.cumsum(~self.same[index])])
-            same[rows] = wrong[at[1:]] == wrong[at[:-1]]
-            for k, i in enumerate(rows.tolist()):
-                found[i] = ids[bounds[k] : bounds[k + 1]]
-
-        if len(odd):
-            put(odd, *self.memory.look_up([self._split(plain[i]) for i in odd]))
-        data, cut = shared.text_bytes(texts.take(pa.array(usual)))
-        for lo, hi, part, at in shared.chunks(data, cut):
-            put(usual[lo:hi], *self.memory.look_up_tokens(part, at, self.classes, before=True))
-        return np.concatenate([np.zeros(0, np.int32), *found]), np.concatenate([[0], np.cumsum([len(x) for x in found])]), same
+    def encode(self, texts: list[str]) -> tuple[list[list[int]], list[bool]]:
+        """The ids of each text, and whether the original library gives the same for the whole text."""
+        ids = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        if not self.reference:
+            return ids, []
+        return ids, [a == b for a, b in zip(ids, self.reference.encode(texts, num_threads=self.threads), strict=True)]
 
 
 @functools.cache
 def encoder(model_file: str, parity: bool, threads: int) -> Encoder:
     """A worker's encoder."""
-    _set_threads(threads)
     return Encoder(model_file, parity, threads)
 
 
@@ -241,17 +168,11 @@ def decoder(model_file: str) -> Decoder:
     return Decoder(model_file)
 
 
-def _set_threads(threads: int) -> None:
-    import os
-
-    os.environ.setdefault("TOKENIZERS_PARALLELISM", "true")
-    os.environ.setdefault("RAYON_NUM_THREADS", str(threads))
-
-
 def encode(docs: DataFrame, model_file: str, *, text_col: str = "text", parity: bool = False, threads: int = 2) -> DataFrame:
     """``docs`` with ``ids`` (array<int>) and, with ``parity``, ``parity``: the original library gives the same ids.
 
-    Null and empty texts have no ids.  Columns of these names are replaced, all others and repeated rows stay.
+    Null and empty texts have no ids.  Columns of these names are replaced, all others and repeated rows stay.  An
+    empty table gives an empty result.
     """
     kept = [c for c in docs.columns if c not in ("ids", "parity")]
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept) + ", ids array<int>" + ", parity boolean" * parity
@@ -259,17 +180,20 @@ def encode(docs: DataFrame, model_file: str, *, text_col: str = "text", parity:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(model_file, parity, threads)
         for batch in batches:
-            for lo in range(0, len(batch), 512):
-                part = batch.slice(lo, 512)
-                ids, bounds, same = own.encode(part.column(kept.index(text_col)))
-                lists = shared.lists(ids.astype(np.int32), bounds, pa.int32())
-                yield pa.RecordBatch.from_arrays([*part.columns, lists, *([pa.array(same)] if parity else [])], [*kept, "ids", *(["parity"] if parity else [])])
+            for lo in range(0, len(batch), 128):
+                part = batch.slice(lo, 128)
+                ids, same = own.encode([t or "" for t in part.column(kept.index(text_col)).to_pylist()])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(ids, pa.list_(pa.int32())), *([pa.array(same, pa.bool_())] if parity else [])], [*kept, "ids", *(["parity"] if parity else [])])
 
-    return docs.select(*(F.col(f"`{c}`") for c in kept)).mapInArrow(run, schema)
+    shared.small_batches(docs.sparkSession)
+    return docs.select(*(F.col(f"`{c}`") for c in kept)).mapInArrow(shared.frugal(run), schema)
 
 
 def decode(frame: DataFrame, model_file: str, *, ids_col: str = "ids", into: str = "decoded") -> DataFrame:
-    """``frame`` with the string column ``into``: the text of ``ids_col``.  Null ids give null, no ids the empty text."""
+    """``frame`` with the string column ``into``: the text of ``ids_col``.  Null ids give null, no ids the empty text.
+
+    A column of that name is replaced, others and repeated rows stay.  An empty table gives an empty result.
+    """
     kept = [c for c in frame.columns if c != into]
     schema = ", ".join(f"`{c}` {frame.schema[c].dataType.simpleString()}" for c in kept) + f", `{into}` string"
 
@@ -281,4 +205,4 @@ def decode(frame: DataFrame, model_file: str, *, ids_col: str = "ids", into: str
                 texts = [None if x is None else own.decode(x) for x in part.column(kept.index(ids_col)).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], [*kept, into])
 
-    return frame.select(*(F.col(f"`{c}`") for c in kept)).mapInArrow(run, schema)
+    return frame.select(*(F.col(f"`{c}`") for c in kept)).mapInArrow(shared.frugal(run), schema)
