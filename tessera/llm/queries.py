@@ -109,11 +109,11 @@ URL_RULES = (("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1
 
 
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from tessera.llm.url_filter import BLOCKED_LABELS, judge, label_rule, site_rule
+    from tessera.llm.url_filter import BLOCKED_WORDS, judge, site_rule, word_rule
 
     pages = _table(spark, sf_dir, "pages").select("page_id", "url")
     rules = [site_rule(text, verdict) for text, verdict in URL_RULES]
-    return judge(pages, rules, fallback=[label_rule(x, "block") for x in BLOCKED_LABELS]).select("page_id", "host", "path", "rule", "verdict")
+    return judge(pages, rules, fallback=[word_rule(x, "block") for x in BLOCKED_WORDS]).select("page_id", "host", "path", "rule", "verdict")
 
 
 OP10_SQL = r"""
@@ -132,7 +132,7 @@ WITH parts AS (
 )
 SELECT page_id, host, path, rule,
        CASE WHEN rule IN ('org/', 'com/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block'
-            WHEN regexp_matches(host, '(^|\.)(ads-track|free-bets|cheap-pills|spam-farm|casino-win|adult-x)\.') THEN 'block' ELSE 'allow' END AS verdict
+            WHEN regexp_matches(host, '(^|[._-])(ad|ads|adserver|adult|bet|bets|betting|casino|escort|gambling|jackpot|lottery|pharmacy|pills|poker|porn|popunder|sex|slots|spam|tracker|viagra|warez|xxx)([._-]|$)') THEN 'block' ELSE 'allow' END AS verdict
 FROM judged
 """
 

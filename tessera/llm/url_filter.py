@@ -13,8 +13,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Tokens are runs of these characters in host and path.
-TOKEN = r"[^A-Za-z0-9_-]+"
+from tessera.llm import shared
+
+#: What separates tokens in host and path.
+TOKEN = r"[^A-Za-z0-9]+"
 
 
 @dataclass(frozen=True)
@@ -36,13 +38,17 @@ def site_rule(text: str, verdict: str) -> Rule:
     return Rule(text, verdict, rf"(?s)^(?:[^/]*\.)?{re.escape(host)}{re.escape(path) if path else '(?=/|$)'}.*$", tuple(whole))
 
 
-def label_rule(label: str, verdict: str) -> Rule:
-    """A rule for hosts that have ``label`` as one of their labels."""
-    return Rule(f"||{label}.", verdict, rf"(?s)^(?:[^/]*\.)?{re.escape(label.lower())}\..*$", (label.lower(),))
+def word_rule(word: str, verdict: str) -> Rule:
+    """A rule for hosts of which ``word`` is a part between dots, hyphens or underscores."""
+    return Rule(f"||{word}^", verdict, rf"(?s)^(?:[^/]*[._-])?{re.escape(word.lower())}(?:[._-][^/]*)?(?:/.*)?$", (word.lower(),))
 
 
-#: Host labels that are blocked where no rule of the caller's fits.
-BLOCKED_LABELS = ("ads-track", "free-bets", "cheap-pills", "spam-farm", "casino-win", "adult-x")
+#: General words of hosts of advertising, gambling, drugs, adult content and spam; blocked where no rule of the caller's fits.
+#: They are this library's own choice, as word filters have them; give ``judge`` others for other corpora.
+BLOCKED_WORDS = (
+    "ad", "ads", "adserver", "adult", "bet", "bets", "betting", "casino", "escort", "gambling", "jackpot", "lottery", "pharmacy", "pills", "poker",
+    "porn", "popunder", "sex", "slots", "spam", "tracker", "viagra", "warez", "xxx",
+)
 
 
 def host(url: Column) -> Column:
@@ -58,7 +64,7 @@ def judge(pages: DataFrame, rules: list[Rule], *, fallback: list[Rule] | None =
 
     ``fallback`` rules give verdicts, but no ``rule``, to URLs that no rule fits; ``default`` goes to the rest.  Of rules
     of equal length the first in alphabetic order decides.  Null URLs and those without ``://`` have an empty host and
-    path.  Columns of the new names are replaced, others and repeated rows stay.
+    path.  Columns of the new names are replaced, others and repeated rows stay.  An empty table gives an empty result.
     Up to ``inline`` rules the index is a literal and no row is shuffled; more rules are joined by token.
     """
     every = [(r, 1) for r in rules] + [(r, 0) for r in (fallback or [])]
@@ -83,7 +89,8 @@ def judge(pages: DataFrame, rules: list[Rule], *, fallback: list[Rule] | None =
     else:
         flat = [(t, r["pattern"], r["own"], r["length"], r["order"], r["text"], r["verdict"]) for t, g in index.items() for r in g]
         table = pages.sparkSession.createDataFrame(flat, "token string, pattern string, own int, length int, `order` int, text string, verdict string")
-        keyed = rows.withColumn("__row", F.monotonically_increasing_id())
+        # numbered once: a second evaluation may number rows in another order
+        keyed = shared.Scratch(pages.sparkSession, "urls").table(rows.withColumn("__row", F.monotonically_increasing_id()))
         fetched = keyed.select("__row", site.alias("site"), F.explode(F.array_union(tokens, F.array(F.lit("")))).alias("token")).join(table, "token").where(F.expr("site rlike pattern"))
         chosen = fetched.groupBy("__row").agg(F.max(best({k: F.col(f"`{k}`") for k in ("own", "length", "order", "text", "verdict")})).alias("__best"))
         found = keyed.join(chosen, "__row", "left").drop("__row")
