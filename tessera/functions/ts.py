@@ -141,13 +141,31 @@ def drawdown(x: Column, n: int, least: int | None = None) -> Column:
     return _full(F.aggregate(held, start, step, lambda s: s["worst"]), x, n, least)
 
 
+def growth(x: Column, over=None) -> Column:
+    """Product of 1 + x over a window, or of a group: zero from the first return of -100 % on, with the sign of its factors."""
+    w = (lambda c: c.over(over)) if over is not None else (lambda c: c)
+    factor = 1 + x
+    size = F.exp(w(F.sum(F.when(factor != 0, F.ln(F.abs(factor))))))
+    sign = F.when(w(F.count_if(factor < 0)) % 2 == 1, -1.0).otherwise(1.0)
+    return F.when(w(F.count(x)) > 0, F.when(w(F.count_if(factor == 0)) > 0, 0.0).otherwise(sign * F.coalesce(size, F.lit(1.0))))
+
+
+def ema(x: Column, n: int, least: int | None = None) -> Column:
+    """Exponential mean of weight 2 / (n + 1), folded over the values so far; missing ones leave it as it is.  NULL before
+    ``least`` values (1 by default).  Every row holds its history: for instruments of some thousand dates."""
+    a = 2.0 / (n + 1)
+    held = F.array_agg(x).over(by_date().rowsBetween(Window.unboundedPreceding, 0))
+    value = F.aggregate(held, F.lit(None).cast("double"), lambda s, v: F.coalesce(s + a * (v - s), v))
+    return F.when(F.size(held) >= (least or 1), value)
+
+
 def running_total(x: Column) -> Column:
     return F.sum(x).over(by_date().rowsBetween(Window.unboundedPreceding, 0))
 
 
 def running_product(x: Column) -> Column:
     """Product of 1 + x so far."""
-    return F.exp(F.sum(F.when(x > -1, F.log1p(x))).over(by_date().rowsBetween(Window.unboundedPreceding, 0)))
+    return growth(x, by_date().rowsBetween(Window.unboundedPreceding, 0))
 
 
 def running_max(x: Column) -> Column:

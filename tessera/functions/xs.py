@@ -119,3 +119,33 @@ def residual_two(y: Column, x: Column, z: Column, least: int, *keys: str) -> Col
     second = ratio(cov(a, c) * cov(b, b) - cov(a, b) * cov(b, c), det)
     out = y - F.avg(a).over(w) - first * (x - F.avg(b).over(w)) - second * (z - F.avg(c).over(w))
     return F.when(all_ & (F.count(a).over(w) >= least), out)
+
+
+def clipped_zscore(frame, x: str, into: str, low: float = 0.01, high: float = 0.99, keys=("datetime",)):
+    """Adds the z-score of x clipped at two quantiles; NULL without spread."""
+    w = over(*keys)
+    frame = frame.withColumn("__q", F.percentile(F.col(x), F.array(F.lit(low), F.lit(high))).over(w))
+    frame = frame.withColumn("__x", clip(F.col(x), F.col("__q")[0], F.col("__q")[1]))
+    spread = F.stddev_samp("__x").over(w)
+    return frame.withColumn(into, F.when(spread > 0, (F.col("__x") - F.avg("__x").over(w)) / spread)).drop("__q", "__x")
+
+
+def rank_band(x: Column, tie: Column, bands: list[tuple[str, int]], rest: str, *keys: str) -> Column:
+    """The first band (name, last rank) that a row's rank from the largest lies in, ties by ``tie``."""
+    rank = F.row_number().over(over(*keys).orderBy(x.desc(), tie))
+    out = F.when(rank <= bands[0][1], bands[0][0])
+    for name, last in bands[1:]:
+        out = out.when(rank <= last, name)
+    return F.when(x.isNotNull(), out.otherwise(rest))
+
+
+def size_name(percentile: Column) -> Column:
+    return F.when(percentile <= 1 / 3, "Small").when(percentile <= 2 / 3, "Mid").when(percentile.isNotNull(), "Large")
+
+
+def rank_target(frame, label: str, least: int):
+    """(datetime, instrument, target): centred percent ranks on dates of ``least`` labels or more; and a receipt by date."""
+    counted = frame.withColumn("__n", count(F.col(label)))
+    target = counted.where(F.col(label).isNotNull()).withColumn("target", centred_rank(F.col(label))).where(F.col("__n") >= least).select("datetime", "instrument", "target")
+    receipt = frame.groupBy("datetime").agg(F.count(label).alias("pairs"))
+    return target, receipt.withColumn("eligible", F.col("pairs") >= least)

@@ -174,7 +174,7 @@ def period_summary(daily: DataFrame, periods: DataFrame, value: str, per_year: i
     """(period, days, mean, median, ratio, positive): daily values in closed periods; the ratio is annualised."""
     hit = daily.join(F.broadcast(periods), (F.col("datetime") >= F.col("start")) & (F.col("datetime") <= F.col("end")))
     return hit.groupBy("period").agg(
-        F.count(value).alias("days"), F.avg(value).alias("mean"), F.percentile(value, F.lit(0.5)).alias("median"), (ratio(F.avg(value), F.stddev_samp(value)) * F.sqrt(F.lit(float(per_year)))).alias("ratio"), F.avg((F.col(value) > 0).cast("double")).alias("positive"),
+        F.count(value).alias("days"), F.avg(value).alias("mean"), F.percentile(value, F.lit(0.5)).alias("median"), (ratio(F.avg(value), F.stddev_samp(value)) * F.sqrt(F.lit(float(per_year)))).alias("ratio"), F.avg((F.round(value, 9) > 0).cast("double")).alias("positive"),
     )
 
 

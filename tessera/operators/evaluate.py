@@ -29,7 +29,7 @@ def ic_summary(daily: DataFrame, by: tuple[str, ...] = ("factor",)) -> DataFrame
     ok = daily.where("status = 'ok'")
     return ok.groupBy(*by).agg(
         F.count("*").alias("days"), F.avg("ic").alias("ic_mean"), ratio(F.avg("ic"), F.stddev_samp("ic")).alias("icir"), F.avg("rank_ic").alias("rank_ic_mean"),
-        ratio(F.avg("rank_ic"), F.stddev_samp("rank_ic")).alias("rank_icir"), F.avg((F.col("rank_ic") > 0).cast("double")).alias("win_rate"), F.avg("pairs").alias("mean_pairs"),
+        ratio(F.avg("rank_ic"), F.stddev_samp("rank_ic")).alias("rank_icir"), F.avg((F.round("rank_ic", 9) > 0).cast("double")).alias("win_rate"), F.avg("pairs").alias("mean_pairs"),
     )
 
 
@@ -108,3 +108,30 @@ def spells(held: DataFrame, calendar: DataFrame) -> DataFrame:
     last = calendar.agg(F.max("datetime").alias("last"))
     out = placed.withColumn("__i", island).groupBy("instrument", "__i").agg(F.min("datetime").alias("start"), F.max("datetime").alias("end"), F.count("*").alias("duration"))
     return out.crossJoin(F.broadcast(last)).select("instrument", "start", "end", "duration", (F.col("end") == F.col("last")).alias("censored"))
+
+
+def pooled_correlation(wide: DataFrame, factors: list[str]) -> DataFrame:
+    """(factor_a, factor_b, spearman, rows) over all rows that have both, for each pair in the order of names."""
+    out = None
+    for i, a in enumerate(sorted(factors)):
+        for b in sorted(factors)[i + 1 :]:
+            both = wide.select(F.col(a).alias("x"), F.col(b).alias("y")).dropna()
+            # ranks by counting values: no task holds all rows
+            x, y = _pooled_rank(both, "x"), _pooled_rank(both, "y")
+            one = both.join(x, "x").join(y, "y").agg(correlation("rx", "ry").alias("spearman"), F.count("*").alias("rows"))
+            one = one.select(F.lit(a).alias("factor_a"), F.lit(b).alias("factor_b"), "spearman", "rows")
+            out = one if out is None else out.union(one)
+    return out
+
+
+def _pooled_rank(frame: DataFrame, column: str, parts: int = 64) -> DataFrame:
+    """(column, r<column>): average ranks over the whole table, from counts of values in ranges of about equal size."""
+    counts = frame.groupBy(column).count()
+    cuts = frame.agg(F.percentile_approx(column, [i / parts for i in range(1, parts)], 20 * parts)).first()[0] or []
+    cuts = sorted(set(cuts))
+    part = F.size(F.filter(F.array(*(F.lit(c) for c in cuts)), lambda c: c <= F.col(column))) if cuts else F.lit(0)
+    placed = counts.withColumn("__p", part)
+    before = placed.groupBy("__p").agg(F.sum("count").alias("n")).select("__p", F.coalesce(F.sum("n").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__b"))
+    inside = F.sum("count").over(Window.partitionBy("__p").orderBy(column).rowsBetween(Window.unboundedPreceding, -1))
+    ranked = placed.withColumn("__i", F.coalesce(inside, F.lit(0))).join(F.broadcast(before), "__p")
+    return ranked.select(column, (F.col("__b") + F.col("__i") + (F.col("count") + 1) / 2).alias(f"r{column}"))

@@ -125,29 +125,44 @@ def missing_spans(panel: DataFrame) -> DataFrame:
 def volume_indices(panel: DataFrame) -> DataFrame:
     """Adds nvi (negative volume index from 1000) and vpt (volume-price trend)."""
     p = panel.withColumns({"__ret": ts.change(C("close")), "__pv": ts.ref(C("volume"), 1)})
-    quiet = F.when((C("volume") < C("__pv")) & (C("__ret") > -1), F.log1p("__ret")).otherwise(0.0)
-    return p.withColumns({"nvi": 1000 * F.exp(ts.running_total(quiet)), "vpt": ts.running_total(F.coalesce(C("volume") * C("__ret"), F.lit(0.0)))}).drop("__ret", "__pv")
+    quiet = F.when(C("volume") < C("__pv"), F.coalesce("__ret", F.lit(0.0))).otherwise(0.0)
+    return p.withColumns({"nvi": 1000 * ts.running_product(quiet), "vpt": ts.running_total(F.coalesce(C("volume") * C("__ret"), F.lit(0.0)))}).drop("__ret", "__pv")
 
 
-def market_factors(panel: DataFrame) -> DataFrame:
-    """Momentum, highs, overnight and intraday returns, range volatility, illiquidity, deviation from VWAP and market beta,
-    with windows of 3, 6 and 12 periods.  The market is the equal-weight mean return of the date."""
-    p = panel.withColumn("__ret", ts.change(C("close"))).withColumn("__before", ts.ref(C("close"), 1))
+def market_factors(panel: DataFrame, *, month: int = 21, year: int = 252, short: int = 20, long: int = 60) -> DataFrame:
+    """Seventeen price, liquidity and risk factors at the close.  The market is the equal-weight mean return of the date."""
+    p = panel.withColumns({"__ret": ts.change(C("close")), "__before": ts.ref(C("close"), 1)})
     p = p.withColumn("__market", F.avg("__ret").over(xs.over()))
-    p = p.withColumns({"__night": ratio(C("open"), C("__before")) - 1, "__day": ratio(C("close"), C("open")) - 1, "__range": F.pow(F.ln(ratio(C("high"), C("low"))), F.lit(2.0)), "__illiquid": ratio(F.abs("__ret"), C("amount"))})
+    p = p.withColumns({
+        "__night": ratio(C("open"), C("__before")) - 1, "__day": ratio(C("close"), C("open")) - 1, "__range": F.pow(F.ln(ratio(C("high"), C("low"))), F.lit(2.0)),
+        "__illiquid": ratio(F.abs("__ret"), C("amount")), "__vwap": ratio(C("close"), C("vwap")) - 1, "__down": F.when(C("__ret") < 0, C("__ret")),
+        "__beta": ratio(ts.covariance(C("__ret"), C("__market"), long, 2 * long // 3), ts.variance(C("__market"), long, 2 * long // 3)),
+    })
+    p = p.withColumn("__own", C("__ret") - C("__beta") * C("__market"))
+    before = by_date_before(short)
     return p.select(
-        *KEYS, (ratio(ts.ref(C("close"), 3), ts.ref(C("close"), 12)) - 1).alias("momentum"), ratio(C("close"), ts.high(C("close"), 12, 6)).alias("high_share"), ts.mean(C("__night"), 6, 3).alias("overnight"),
-        ts.mean(C("__day"), 6, 3).alias("intraday"), F.sqrt(ts.mean(C("__range"), 6, 3) / (4 * F.ln(F.lit(2.0)))).alias("parkinson"), (ts.mean(C("__illiquid"), 6, 3) * 1e6).alias("amihud"),
-        (ratio(C("close"), C("vwap")) - 1).alias("vwap_deviation"), ts.beta(C("__ret"), C("__market"), 12, 8).alias("beta"),
+        *KEYS, (ratio(ts.ref(C("close"), month), ts.ref(C("close"), year)) - 1).alias("momentum"), (-(ratio(C("close"), ts.ref(C("close"), month)) - 1)).alias("reversal"),
+        ratio(C("close"), ts.high(C("close"), year, year // 2)).alias("high_share"), ts.mean(C("__night"), short, short // 2).alias("overnight"), ts.mean(C("__day"), short, short // 2).alias("intraday"),
+        ts.high(C("__ret"), month, month // 2 + 1).alias("max_return"), ts.std(C("__ret"), long, long // 2).alias("volatility"), ts.std(C("__down"), long, long // 4).alias("downside_volatility"),
+        ts.skew(C("__ret"), long, long // 2).alias("skewness"), F.sqrt(ts.mean(C("__range"), short, short // 2) / (4 * F.ln(F.lit(2.0)))).alias("parkinson"),
+        ts.drawdown(C("close"), long, long // 2).alias("max_drawdown"), (ts.mean(C("__illiquid"), short, short // 2) * 1e6).alias("amihud"),
+        (ratio(C("amount"), F.when(F.count("amount").over(before) >= short // 2, F.avg("amount").over(before))) - 1).alias("amount_momentum"),
+        C("__vwap").alias("vwap_deviation"), ts.mean(C("__vwap"), short, short // 2).alias("vwap_deviation_mean"), C("__beta").alias("beta"), ts.std(C("__own"), long, 2 * long // 3).alias("idiosyncratic"),
     )
 
 
+def by_date_before(n: int):
+    """The n rows before the current one."""
+    return ts.by_date().rowsBetween(-n, -1)
+
+
 def market_state(panel: DataFrame, n: int, band: float) -> DataFrame:
-    """(datetime, market_return, compounded, market_state) from the equal-weight return; one row a date, so the window
+    """(datetime, market_return, compounded, volatility, market_state) from the equal-weight return; one row a date, so the window
     over dates sees the calendar only."""
     daily = panel.withColumn("ret", ts.change(C("close"))).groupBy("datetime").agg(F.avg("ret").alias("market_return"))
     w = Window.orderBy("datetime").rowsBetween(-(n - 1), 0)
-    out = daily.withColumn("compounded", F.when(F.count("market_return").over(w) == n, F.exp(F.sum(F.log1p("market_return")).over(w)) - 1))
+    full = F.count("market_return").over(w) == n
+    out = daily.withColumns({"compounded": F.when(full, ts.growth(C("market_return"), w) - 1), "volatility": F.when(full, F.stddev_samp("market_return").over(w))})
     return out.withColumn("market_state", F.when(C("compounded").isNull(), "unknown").when(C("compounded") > band, "up").when(C("compounded") < -band, "down").otherwise("sideways"))
 
 

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import tempfile
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions import xs
+from tessera.functions import ts, xs
 from tessera.functions.guard import ratio
 from tessera.sources.panel import KEYS
 
@@ -19,6 +20,28 @@ def composite(long: DataFrame, weights: DataFrame, least: int = 1) -> DataFrame:
     return out.withColumn("score", F.when(F.col("parts") >= least, F.col("score")))
 
 
+def _signed(long: DataFrame, value: str, *keys: str) -> DataFrame:
+    """Rows that have a value, with __s: its rank on [-1, 1] inside the keys."""
+    return long.where(F.col(value).isNotNull()).withColumn("__s", xs.rank_signed(F.col(value), *keys)).where(F.col("__s").isNotNull())
+
+
+def hierarchy(long: DataFrame, families: DataFrame, least_members: float, least_families: float) -> DataFrame:
+    """(datetime, instrument, composite, score, families): signed ranks averaged by family, then by composite; at each level
+    a required share of the children must be there."""
+    sizes = families.groupBy("composite", "family").agg(F.count("*").alias("__m"))
+    wanted = sizes.groupBy("composite").agg(F.count("*").alias("__f"))
+    f = _signed(long, "value", "datetime", "factor").join(F.broadcast(families), "factor").groupBy(*KEYS, "family", "composite").agg(F.avg("__s").alias("__x"), F.count("*").alias("__n"))
+    f = f.join(F.broadcast(sizes), ["composite", "family"]).where(F.col("__n") >= F.ceil(F.col("__m") * least_members))
+    c = f.groupBy(*KEYS, "composite").agg(F.avg("__x").alias("score"), F.count("*").alias("families")).join(F.broadcast(wanted), "composite")
+    return c.where(F.col("families") >= F.ceil(F.col("__f") * least_families)).select(*KEYS, "composite", "score", "families")
+
+
+def sleeves(long: DataFrame, families: DataFrame) -> DataFrame:
+    """(datetime, instrument, score): members averaged inside families, families ranked again, then averaged."""
+    f = _signed(long, "value", "datetime", "factor").join(F.broadcast(families), "factor").groupBy(*KEYS, "family").agg(F.round(F.avg("__s"), 12).alias("__x"))
+    return _signed(f, "__x", "datetime", "family").groupBy(*KEYS).agg(F.avg("__s").alias("score"))
+
+
 def capped_weights(raw: DataFrame, cap: float, by: str = "split") -> DataFrame:
     """Adds weight: raw shares with none above ``cap``, the excess spread in proportion (water filling).
 
@@ -50,12 +73,12 @@ def top_k(panel: DataFrame, score: str, label: str, k: int, cost_bps: float) ->
 
 
 def performance(daily: DataFrame, value: str, per_year: int, by: str = "method") -> DataFrame:
-    """(by, days, annual_return, information_ratio, max_drawdown, win_rate)."""
+    """(by, days, annual_return, information_ratio, max_drawdown, win_rate); a wealth at or below zero is lost for good."""
     w = Window.partitionBy(by).orderBy("datetime").rowsBetween(Window.unboundedPreceding, 0)
-    d = daily.where(F.col(value).isNotNull()).withColumn("__g", F.sum(F.log1p(value)).over(w)).withColumn("__top", F.greatest(F.max("__g").over(w), F.lit(0.0)))
+    d = daily.where(F.col(value).isNotNull()).withColumn("__g", ts.growth(F.col(value), w)).withColumn("__top", F.greatest(F.max("__g").over(w), F.lit(1.0)))
     return d.groupBy(by).agg(
-        F.count("*").alias("days"), (F.exp(F.sum(F.log1p(value)) * per_year / F.count("*")) - 1).alias("annual_return"),
-        (ratio(F.avg(value), F.stddev_samp(value)) * F.sqrt(F.lit(float(per_year)))).alias("information_ratio"), F.min(F.exp(F.col("__g") - F.col("__top")) - 1).alias("max_drawdown"), F.avg((F.col(value) > 0).cast("double")).alias("win_rate"),
+        F.count("*").alias("days"), (F.pow(F.greatest(ts.growth(F.col(value)), F.lit(0.0)), per_year / F.count("*")) - 1).alias("annual_return"),
+        (ratio(F.avg(value), F.stddev_samp(value)) * F.sqrt(F.lit(float(per_year)))).alias("information_ratio"), F.min(F.col("__g") / F.col("__top") - 1).alias("max_drawdown"), F.avg((F.col(value) > 0).cast("double")).alias("win_rate"),
     )
 
 
@@ -133,16 +156,29 @@ def apply_rules(metrics: DataFrame, rules: DataFrame) -> DataFrame:
     return metrics.join(F.broadcast(rules), "metric").select("factor", "rule", F.coalesce(ok, F.lit(False)).alias("passed"))
 
 
+def checkpointed(frame: DataFrame) -> DataFrame:
+    """The frame written to the checkpoint folder (its lineage cut), which must be set: ``spark.checkpoint.dir``."""
+    context, folder = frame.sparkSession.sparkContext, frame.sparkSession.conf.get("spark.checkpoint.dir", None)
+    if not context.getCheckpointDir():
+        if not folder and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="tessera-checkpoints-"))
+    return frame.checkpoint()
+
+
 def redundancy_groups(edges: DataFrame) -> DataFrame:
     """(node, group): connected components of correlation edges (a, b); the smallest name is the group's.
 
-    Factors number in the hundreds; labels are lowered along edges until none changes.
+    Each round takes the smallest label among the neighbours, then the label of that label, so that a chain of n takes
+    about log n rounds.
     """
-    both = edges.select("a", "b").union(edges.select("b", "a")).distinct()
-    labels = both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("node"), F.least("a", "b").alias("group"))
+    both = checkpointed(edges.select("a", "b").union(edges.select("b", "a")).distinct())
+    labels = checkpointed(both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("node"), F.least("a", "b").alias("group")))
     while True:
         near = both.join(labels, both.b == labels.node).groupBy("a").agg(F.min("group").alias("g"))
-        new = labels.join(near, labels.node == near.a).select("node", F.col("group").alias("was"), F.least("group", "g").alias("group")).checkpoint()
+        step = labels.join(near, labels.node == near.a).select("node", F.col("group").alias("was"), F.least("group", "g").alias("group"))
+        up = labels.select(F.col("node").alias("group"), F.col("group").alias("up"))
+        new = checkpointed(step.join(up, "group").select("node", "was", F.least("group", "up").alias("group")))
         labels = new.select("node", "group")
         if new.where("was <> `group`").isEmpty():
             return labels
@@ -155,18 +191,21 @@ def representatives(groups: DataFrame, board: DataFrame, score: str) -> DataFram
 
 
 def greedy_pruning(board: DataFrame, edges: DataFrame, score: str) -> DataFrame:
-    """(factor, kept): in score order, a factor stays unless it is tied by an edge to one that stays.
+    """(factor, kept): in score order (ties by name), a factor stays unless an edge ties it to one that stays.
 
-    The order matters, so one small grouped task (a label's few hundred factors) walks it.
+    In each round, undecided factors that are ahead of all undecided neighbours stay, and their neighbours go: the same
+    result as walking the order, and each round is joins over written tables.  Rounds end when nobody is undecided.
     """
-    links = edges.select("a", "b").union(edges.select("b", "a")).groupBy("a").agg(F.collect_set("b").alias("others"))
-    rows = board.join(links, board["factor"] == links["a"], "left").select(F.lit(1).alias("g"), "factor", F.col(score).alias("s"), F.coalesce("others", F.array().cast("array<string>")).alias("others"))
-
-    def walk(p: pd.DataFrame) -> pd.DataFrame:
-        kept: set[str] = set()
-        for r in p.sort_values(["s", "factor"], ascending=[False, True]).itertuples():
-            if not kept.intersection(r.others):
-                kept.add(r.factor)
-        return p[["factor"]].assign(kept=p["factor"].isin(kept))
-
-    return rows.groupBy("g").applyInPandas(walk, "factor string, kept boolean")
+    rank = board.groupBy("factor").agg(F.max(score).alias("s"))
+    both = checkpointed(edges.select("a", "b").union(edges.select("b", "a")).distinct().where("a <> b").join(rank.select(F.col("factor").alias("a"), F.col("s").alias("sa")), "a").join(rank.select(F.col("factor").alias("b"), F.col("s").alias("sb")), "b"))
+    ahead = (F.col("sb") > F.col("sa")) | ((F.col("sb") == F.col("sa")) & (F.col("b") < F.col("a")))
+    links = both.select("a", "b", ahead.alias("behind"))
+    state = checkpointed(rank.select("factor", F.lit(None).cast("boolean").alias("kept")))
+    while not state.where("kept is null").isEmpty():
+        open_ = state.where("kept is null").select("factor")
+        waits = links.where("behind").join(open_.withColumnRenamed("factor", "b"), "b", "left_semi").select(F.col("a").alias("factor")).distinct()
+        stay = open_.join(waits, "factor", "left_anti").withColumn("__stay", F.lit(True))
+        gone = links.join(stay.select(F.col("factor").alias("a")), "a", "left_semi").select(F.col("b").alias("factor")).distinct().withColumn("__gone", F.lit(True))
+        new = state.join(stay, "factor", "left").join(gone, "factor", "left")
+        state = checkpointed(new.select("factor", F.coalesce("kept", "__stay", F.when(F.col("__gone"), F.lit(False))).alias("kept")))
+    return state

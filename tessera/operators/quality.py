@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions import ts, xs
+from tessera.functions import guard, ts, xs
 from tessera.functions.guard import ratio
 from tessera.sources.panel import KEYS
 
@@ -125,3 +125,67 @@ def to_intervals(snapshots: DataFrame, calendar: DataFrame) -> DataFrame:
     island = F.col("n") - F.row_number().over(Window.partitionBy("instrument").orderBy("n"))
     last = F.max_by("until", "n")
     return placed.withColumn("i", island).groupBy("instrument", "i").agg(F.min("effective").alias("start"), last.alias("end")).drop("i")
+
+
+def of_categories(issues: DataFrame, categories: list[str]) -> DataFrame:
+    return issues.where(F.col("category").isin(categories))
+
+
+def tradable_rows(frame: DataFrame, *, least_bucket: int, least_score: float, excluded: tuple[str, ...] = (), need_buy: bool = True) -> DataFrame:
+    """Rows liquid and tradable enough, that can be bought, aren't core-missing and have no excluded quality status; a missing
+    status counts as unknown."""
+    keep = (F.col("liquidity_bucket") >= least_bucket) & (F.col("tradability_score") >= least_score)
+    if need_buy:
+        keep = keep & F.coalesce("can_buy", F.lit(False))
+    if "data_quality_status" in frame.columns and excluded:
+        keep = keep & ~F.coalesce("data_quality_status", F.lit("unknown")).isin(*excluded)
+    if "has_core_missing" in frame.columns:
+        keep = keep & ~F.coalesce("has_core_missing", F.lit(False))
+    return frame.where(keep)
+
+
+def _runs(rows: DataFrame, position: str, prefix: str) -> DataFrame:
+    """(instrument, longest_<prefix>, <prefix>s): runs of consecutive positions."""
+    island = F.col(position) - F.row_number().over(Window.partitionBy("instrument").orderBy(position))
+    runs = rows.withColumn("__g", island).groupBy("instrument", "__g").agg(F.count("*").alias("n"))
+    return runs.groupBy("instrument").agg(F.max("n").alias(f"longest_{prefix}"), F.count("*").alias(f"{prefix}s"))
+
+
+def availability_runs(panel: DataFrame, calendar: DataFrame, *, long_zero: int, long_gap: int) -> DataFrame:
+    """(instrument, expected, valid, missing, longest_gap, gaps, longest_zero_run, zero_runs, score).
+
+    Expected days reach from the first to the last row on the calendar: a difference of positions.  Gaps come from the
+    positions of neighbouring rows, so missing days are never listed.  ``zero`` marks rows without trade.
+    """
+    p = panel.where("close is not null").join(F.broadcast(calendar), "datetime").withColumn("__k", F.row_number().over(ts.by_date()))
+    gap = F.col("pos") - F.lag("pos").over(ts.by_date()) - 1
+    life = p.withColumn("__gap", gap).groupBy("instrument").agg(
+        (F.max("pos") - F.min("pos") + 1).alias("expected"), F.count("*").alias("valid"), F.coalesce(F.max("__gap"), F.lit(0)).alias("longest_gap"), F.count_if(F.col("__gap") > 0).alias("gaps"),
+    )
+    out = life.join(_runs(p.where("zero"), "__k", "zero_run"), "instrument", "left").withColumns({c: F.coalesce(c, F.lit(0)) for c in ("longest_zero_run", "zero_runs")})
+    out = out.withColumn("missing", F.col("expected") - F.col("valid"))
+    lost = F.least(ratio(F.col("missing"), F.col("expected")), F.lit(1.0)) * 60 + F.when(F.col("longest_zero_run") >= long_zero, 15).otherwise(0) + F.when(F.col("longest_gap") >= long_gap, 10).otherwise(0)
+    return out.select("instrument", "expected", "valid", "missing", "longest_gap", "gaps", "longest_zero_run", "zero_runs", F.greatest(F.lit(0.0), 100 - lost).alias("score"))
+
+
+def abnormal_instruments(issues: DataFrame, available: DataFrame, *, long_zero: int, long_gap: int) -> DataFrame:
+    """(instrument, score, issues, rules, structural) of instruments with issues, long gaps or long runs without trade."""
+    n = issues.groupBy("instrument").agg(F.count("*").alias("issues"), F.count_distinct("rule").alias("rules"))
+    out = available.join(n, "instrument", "left").withColumns({"issues": F.coalesce("issues", F.lit(0)), "rules": F.coalesce("rules", F.lit(0)), "structural": (F.col("longest_gap") >= long_gap) | (F.col("longest_zero_run") >= long_zero)})
+    return out.where(F.col("structural") | (F.col("issues") > 0)).select("instrument", "score", "issues", "rules", "structural")
+
+
+def abnormal_dates(issues: DataFrame, coverage: DataFrame) -> DataFrame:
+    """(datetime, coverage, issues, instruments, rules) of dates with issues or without full coverage."""
+    n = issues.groupBy("datetime").agg(F.count("*").alias("issues"), F.count_distinct("instrument").alias("instruments"), F.count_distinct("rule").alias("rules"))
+    out = coverage.join(n, "datetime", "left").withColumns({c: F.coalesce(c, F.lit(0)) for c in ("issues", "instruments", "rules")})
+    return out.where((F.col("issues") > 0) | (F.col("coverage") < 1))
+
+
+def factor_coverage(wide: DataFrame, factors: list[str], labels: list[str]) -> DataFrame:
+    """(factor, label, total_rows, valid_rows, coverage, missing_rate, factor_missing_rows, label_missing_rows), in one pass."""
+    have = {c: guard.finite(F.col(c)).isNotNull() for c in (*factors, *labels)}
+    one = wide.agg(F.count("*").alias("n"), *(F.count_if(have[f] & have[y]).alias(f"{f}|{y}") for f in factors for y in labels), *(F.count_if(~have[c]).alias(c) for c in have))
+    each = F.explode(F.array(*(F.struct(F.lit(f).alias("factor"), F.lit(y).alias("label"), F.col("n").alias("total_rows"), F.col(f"`{f}|{y}`").alias("valid_rows"), F.col(f).alias("factor_missing_rows"), F.col(y).alias("label_missing_rows")) for f in factors for y in labels)))
+    out = one.select(each.alias("e")).select("e.*").withColumn("coverage", ratio(F.col("valid_rows"), F.col("total_rows")))
+    return out.withColumn("missing_rate", 1 - F.col("coverage"))

@@ -13,25 +13,66 @@ def numbered(daily: DataFrame, by: str = "factor") -> DataFrame:
     return daily.withColumn("pos", (F.row_number().over(Window.partitionBy(by).orderBy("datetime")) - 1).cast("long"))
 
 
-def block_bootstrap(daily: DataFrame, value: str, *, samples: int, length: int, seed: int, by: str = "factor", joint: bool = False) -> DataFrame:
-    """(by, days, mean, standard_error, low, high, p) of a mean from moving blocks.
+def draw(*keys) -> Column:
+    """A number below 2**32 from an MD5 digest of the keys: the same on any cluster and in other engines."""
+    return F.conv(F.substring(F.md5(F.concat_ws("|", *keys)), 1, 8), 16, 10).cast("long")
+
 
-    Starts are hashes of (seed, series, sample, block), so draws are reproducible on any cluster; ``joint`` leaves the
-    series out, so that series share draws.  Block sums come from prefix sums: a sample is n / length rows, not n.
+def _resampled(x: DataFrame, pool: DataFrame, value: str, samples: int, length: int, seed: int, by: str, joint: bool) -> DataFrame:
+    """(by, days, mean, standard_error, low, high, p) from a pool (by, block, start) of places where blocks begin.
+
+    A sample is ceil(n / length) blocks, the last one cut, of values about the mean.  Block sums are differences of
+    running sums: a sample is n / length rows, not n.
     """
+    w = Window.partitionBy(by)
+    cut = x.withColumns({"__d": F.col(value) - F.avg(value).over(w), "days": F.count("*").over(w)})
+    cut = cut.withColumn("__s", F.sum("__d").over(w.orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)))
+    series = x.groupBy(by).agg(F.count("*").alias("days"), F.avg(value).alias("mean")).where(F.col("days") >= max(20, 2 * length))
+    starts = series.join(pool.groupBy(by).agg(F.count("*").alias("blocks")), by)
+    n_blocks = F.ceil(F.col("days") / length).cast("long")
+    draws = starts.withColumn("sample", F.explode(F.sequence(F.lit(1), F.lit(samples)))).withColumn("__b", F.explode(F.sequence(F.lit(1).cast("long"), n_blocks)))
+    keys = [F.lit(str(seed)), *([] if joint else [F.col(by)]), F.col("sample").cast("string"), F.col("__b").cast("string")]
+    draws = draws.withColumn("block", draw(*keys) % F.col("blocks")).withColumn("__k", F.when(F.col("__b") == n_blocks, F.col("days") - (n_blocks - 1) * length).otherwise(F.lit(length)))
+    placed = draws.join(pool, [by, "block"]).withColumn("__end", F.col("start") + F.col("__k") - 1)
+    first, last = cut.select(by, F.col("pos").alias("start"), (F.col("__s") - F.col("__d")).alias("__before")), cut.select(by, F.col("pos").alias("__end"), F.col("__s").alias("__after"))
+    sums = placed.join(first, [by, "start"]).join(last, [by, "__end"]).groupBy(by, "sample", "days", "mean").agg(F.sum(F.col("__after") - F.col("__before")).alias("__t"))
+    means = sums.withColumn("m", F.col("__t") / F.col("days"))
+    hits = F.count_if(F.round(F.abs("m"), 12) >= F.round(F.abs("mean"), 12))
+    out = means.groupBy(by, "days", "mean").agg(F.stddev_samp("m").alias("standard_error"), F.percentile("m", F.array(F.lit(0.025), F.lit(0.975))).alias("q"), ((1 + hits) / (samples + 1)).alias("p"))
+    return out.select(by, "days", "mean", "standard_error", (F.col("mean") - F.col("q")[1]).alias("low"), (F.col("mean") - F.col("q")[0]).alias("high"), "p")
+
+
+def block_bootstrap(daily: DataFrame, value: str, *, samples: int, length: int, seed: int, by: str = "factor", joint: bool = False) -> DataFrame:
+    """(by, days, mean, standard_error, low, high, p) of a mean from moving blocks; series under max(20, 2 * length) values
+    are left out.  The interval is reflected about the mean, and p counts the sample itself.  With ``joint``, series share draws."""
     x = numbered(daily.where(F.col(value).isNotNull()), by)
-    w = Window.partitionBy(by).orderBy("pos")
     n = F.count("*").over(Window.partitionBy(by))
-    blocks = x.withColumn("n", n).withColumn("sum", F.sum(value).over(w.rowsBetween(0, length - 1))).where(F.col("pos") <= F.col("n") - length).select(by, "pos", "sum")
-    series = x.groupBy(by).agg(F.count("*").alias("days"), F.avg(value).alias("mean"))
-    draws = series.where(F.col("days") >= length).select(by, "days", F.explode(F.sequence(F.lit(1), F.lit(samples))).alias("sample"))
-    draws = draws.withColumn("block", F.explode(F.sequence(F.lit(1), F.ceil(F.col("days") / length).cast("int"))))
-    keys = [F.lit(seed), *([] if joint else [F.col(by)]), F.col("sample"), F.col("block")]
-    draws = draws.withColumn("pos", F.pmod(F.xxhash64(*keys), F.col("days") - length + 1))
-    means = draws.join(blocks, [by, "pos"]).groupBy(by, "sample").agg((F.sum("sum") / (F.count("*") * length)).alias("m"))
-    spread = means.groupBy(by).agg(F.stddev_samp("m").alias("standard_error"), F.percentile("m", F.array(F.lit(0.025), F.lit(0.975))).alias("q"))
-    out = series.join(spread, by).join(means.join(series, by).groupBy(by).agg(F.avg((F.abs(F.col("m") - F.col("mean")) >= F.abs("mean")).cast("double")).alias("p")), by)
-    return out.select(by, "days", "mean", "standard_error", F.col("q")[0].alias("low"), F.col("q")[1].alias("high"), "p")
+    pool = x.withColumn("__n", n).where(F.col("pos") <= F.col("__n") - length).select(by, F.col("pos").alias("block"), F.col("pos").alias("start"))
+    return _resampled(x, pool, value, samples, length, seed, by, joint)
+
+
+def gap_aware_bootstrap(daily: DataFrame, calendar: DataFrame, value: str, *, samples: int, length: int, seed: int, by: str = "factor") -> DataFrame:
+    """The same with blocks that never cross a missing calendar date (or a missing value)."""
+    x = daily.where(F.col(value).isNotNull()).join(F.broadcast(calendar.select("datetime", F.col("pos").alias("__c"))), "datetime")
+    x = numbered(x, by)
+    island = Window.partitionBy(by, "__i")
+    runs = x.withColumn("__i", F.col("__c") - F.col("pos")).withColumn("__last", F.max("pos").over(island)).where(F.col("pos") + length - 1 <= F.col("__last"))
+    pool = runs.select(by, (F.row_number().over(Window.partitionBy(by).orderBy("pos")) - 1).cast("long").alias("block"), F.col("pos").alias("start"))
+    return _resampled(x.drop("__c"), pool, value, samples, length, seed, by, False)
+
+
+def stationary_bootstrap(daily: DataFrame, value: str, *, samples: int, mean_length: int, seed: int, by: str = "factor") -> DataFrame:
+    """(by, days, standard_error) of a mean: blocks of geometric length on the series closed to a circle; NULL under 3 values."""
+    x = numbered(daily.where(F.col(value).isNotNull()), by).select(by, "pos", value)
+    series = x.groupBy(by).agg(F.count("*").alias("days"))
+    rows = series.withColumn("sample", F.explode(F.sequence(F.lit(1), F.lit(samples)))).withColumn("t", F.explode(F.sequence(F.lit(0).cast("long"), F.col("days") - 1)))
+    text = lambda c: F.col(c).cast("string")
+    restart = (F.col("t") == 0) | (draw(F.lit(str(seed)), F.lit("restart"), F.col(by), text("sample"), text("t")) * mean_length < (1 << 32))
+    begun = F.last(F.when(restart, F.struct("t", (draw(F.lit(str(seed)), F.lit("start"), F.col(by), text("sample"), text("t")) % F.col("days")).alias("at"))), ignorenulls=True)
+    w = Window.partitionBy(by, "sample").orderBy("t").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("__r", begun.over(w)).withColumn("pos", (F.col("__r.at") + F.col("t") - F.col("__r.t")) % F.col("days"))
+    means = rows.join(x, [by, "pos"]).groupBy(by, "days", "sample").agg(F.avg(value).alias("m"))
+    return means.groupBy(by, "days").agg(F.stddev_samp("m").alias("s")).select(by, "days", F.when(F.col("days") >= 3, F.col("s")).alias("standard_error"))
 
 
 def benjamini(tests: DataFrame, family: str = "family", p: str = "p", name: str = "factor") -> DataFrame:

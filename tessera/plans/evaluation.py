@@ -53,7 +53,7 @@ def evaluate_daily_ic(spark, sf_dir):
 
 @query(f"""
 {IC}
-SELECT factor, count(*) AS days, avg(ic) AS ic_mean, avg(ic) / stddev_samp(ic) AS icir, avg(rank_ic) AS rank_ic_mean, avg(rank_ic) / stddev_samp(rank_ic) AS rank_icir, avg(CASE WHEN rank_ic > 0 THEN 1.0 ELSE 0.0 END) AS win_rate, avg(pairs) AS mean_pairs FROM ic WHERE status = 'ok' GROUP BY 1""", floats="ic_mean icir rank_ic_mean rank_icir win_rate mean_pairs")
+SELECT factor, count(*) AS days, avg(ic) AS ic_mean, avg(ic) / stddev_samp(ic) AS icir, avg(rank_ic) AS rank_ic_mean, avg(rank_ic) / stddev_samp(rank_ic) AS rank_icir, avg(CASE WHEN round(rank_ic, 9) > 0 THEN 1.0 ELSE 0.0 END) AS win_rate, avg(pairs) AS mean_pairs FROM ic WHERE status = 'ok' GROUP BY 1""", floats="ic_mean icir rank_ic_mean rank_icir win_rate mean_pairs")
 def evaluate_ic_summary(spark, sf_dir):
     return evaluate.ic_summary(_ic(spark, sf_dir))
 
@@ -92,10 +92,10 @@ def similarity_daily_pairs(spark, sf_dir):
     return evaluate.pair_correlation(_long(spark, sf_dir), 5)
 
 
-@query(f"{PAIRS}\nSELECT factor_a, factor_b, count(*) AS days, avg(rho) AS mean_rho, median(rho) AS median_rho, quantile_cont(rho, 0.1) AS p10, avg(CASE WHEN rho > 0 THEN 1.0 ELSE 0.0 END) AS positive FROM pc WHERE reason = 'ok' GROUP BY 1, 2", floats="mean_rho median_rho p10 positive")
+@query(f"{PAIRS}\nSELECT factor_a, factor_b, count(*) AS days, avg(rho) AS mean_rho, median(rho) AS median_rho, quantile_cont(rho, 0.1) AS p10, avg(CASE WHEN round(rho, 9) > 0 THEN 1.0 ELSE 0.0 END) AS positive FROM pc WHERE reason = 'ok' GROUP BY 1, 2", floats="mean_rho median_rho p10 positive")
 def similarity_pair_reduction(spark, sf_dir):
     pc = evaluate.pair_correlation(_long(spark, sf_dir), 5).where("reason = 'ok'")
-    return pc.groupBy("factor_a", "factor_b").agg(F.count("*").alias("days"), F.avg("rho").alias("mean_rho"), F.percentile("rho", F.lit(0.5)).alias("median_rho"), F.percentile("rho", F.lit(0.1)).alias("p10"), F.avg((F.col("rho") > 0).cast("double")).alias("positive"))
+    return pc.groupBy("factor_a", "factor_b").agg(F.count("*").alias("days"), F.avg("rho").alias("mean_rho"), F.percentile("rho", F.lit(0.5)).alias("median_rho"), F.percentile("rho", F.lit(0.1)).alias("p10"), F.avg((F.round("rho", 9) > 0).cast("double")).alias("positive"))
 
 
 @query(f"""
@@ -135,8 +135,8 @@ def portfolio_top_k(spark, sf_dir):
 
 
 @query(f"""
-{TOPK}, g AS (SELECT *, sum(ln(1 + net)) OVER (ORDER BY datetime ROWS UNBOUNDED PRECEDING) AS g FROM daily), t2 AS (SELECT *, greatest(max(g) OVER (ORDER BY datetime ROWS UNBOUNDED PRECEDING), 0) AS top FROM g)
-SELECT 'top_10' AS method, count(*) AS days, exp(sum(ln(1 + net)) * 12 / count(*)) - 1 AS annual_return, avg(net) / stddev_samp(net) * sqrt(12.0) AS information_ratio, min(exp(g - top) - 1) AS max_drawdown, avg(CASE WHEN net > 0 THEN 1.0 ELSE 0.0 END) AS win_rate FROM t2""", floats="annual_return information_ratio max_drawdown win_rate")
+{TOPK}, g AS (SELECT *, product(1 + net) OVER (ORDER BY datetime ROWS UNBOUNDED PRECEDING) AS g FROM daily), t2 AS (SELECT *, greatest(max(g) OVER (ORDER BY datetime ROWS UNBOUNDED PRECEDING), 1) AS top FROM g)
+SELECT 'top_10' AS method, count(*) AS days, pow(greatest(product(1 + net), 0), 12.0 / count(*)) - 1 AS annual_return, avg(net) / stddev_samp(net) * sqrt(12.0) AS information_ratio, min(g / top - 1) AS max_drawdown, avg(CASE WHEN net > 0 THEN 1.0 ELSE 0.0 END) AS win_rate FROM t2""", floats="annual_return information_ratio max_drawdown win_rate")
 def portfolio_performance(spark, sf_dir):
     return portfolio.performance(_topk(spark, sf_dir).withColumn("method", F.lit("top_10")), "net", 12)
 
@@ -207,13 +207,7 @@ def stats_weighted_median(spark, sf_dir):
     return stats.weighted_median(monthly_panel(spark, sf_dir), "close", "amount", ["datetime"], "instrument")
 
 
-@query()
-def stats_block_bootstrap(spark, sf_dir):
-    """Hash-defined draws: reproducible, checked by properties in the tests."""
-    return stats.block_bootstrap(_ic(spark, sf_dir).where("status = 'ok'"), "rank_ic", samples=200, length=6, seed=11)
-
-
-BOARD = f"""{IC}, board AS (SELECT factor, count(*) AS days, avg(rank_ic) AS rank_ic_mean, avg(CASE WHEN rank_ic > 0 THEN 1.0 ELSE 0.0 END) AS win_rate FROM ic WHERE status = 'ok' GROUP BY 1)"""
+BOARD = f"""{IC}, board AS (SELECT factor, count(*) AS days, avg(rank_ic) AS rank_ic_mean, avg(CASE WHEN round(rank_ic, 9) > 0 THEN 1.0 ELSE 0.0 END) AS win_rate FROM ic WHERE status = 'ok' GROUP BY 1)"""
 
 
 @query(f"""
@@ -250,12 +244,6 @@ def select_redundancy_groups(spark, sf_dir):
     return portfolio.redundancy_groups(_edges(spark, sf_dir))
 
 
-@query()
-def select_greedy_pruning(spark, sf_dir):
-    board = monthly_panel(spark, sf_dir).groupBy(F.col("instrument").alias("factor")).agg(F.avg("amount").alias("score"))
-    return portfolio.greedy_pruning(board, _edges(spark, sf_dir), "score")
-
-
 @query(f"""
 {LONG}, t AS (SELECT datetime, instrument FROM (SELECT *, row_number() OVER (PARTITION BY datetime ORDER BY rev_1 DESC, instrument) AS r FROM wide WHERE rev_1 IS NOT NULL) WHERE r <= 20),
 g AS (SELECT t.*, pos, pos - row_number() OVER (PARTITION BY instrument ORDER BY pos) AS i FROM t JOIN cal USING (datetime))

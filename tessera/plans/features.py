@@ -6,9 +6,9 @@ from pyspark.sql import functions as F
 
 from tessera.functions import ts
 from tessera.functions.guard import positive_log
-from tessera.operators import features
+from tessera.operators import features, joins
 from tessera.plans.base import DAILY, query
-from tessera.sources.panel import daily_panel, monthly_panel
+from tessera.sources.panel import daily_panel, join_features, monthly_panel
 
 W = "PARTITION BY instrument ORDER BY datetime"
 
@@ -89,7 +89,7 @@ def ts_max_drawdown(spark, sf_dir):
 
 @query(f"""
 r AS (SELECT *, close / nullif(lag(close, 1) OVER ({W}), 0) - 1 AS ret FROM panel)
-SELECT datetime, instrument, sum(volume) OVER ({W} ROWS UNBOUNDED PRECEDING) AS total_volume, exp(sum(CASE WHEN ret > -1 THEN ln(1 + ret) END) OVER ({W} ROWS UNBOUNDED PRECEDING)) AS growth, max(close) OVER ({W} ROWS UNBOUNDED PRECEDING) AS top
+SELECT datetime, instrument, sum(volume) OVER ({W} ROWS UNBOUNDED PRECEDING) AS total_volume, product(1 + ret) OVER ({W} ROWS UNBOUNDED PRECEDING) AS growth, max(close) OVER ({W} ROWS UNBOUNDED PRECEDING) AS top
 FROM r""", floats="total_volume growth top")
 def ts_cumulative(spark, sf_dir):
     p = monthly_panel(spark, sf_dir).withColumn("ret", ts.change(F.col("close")))
@@ -146,7 +146,7 @@ def ts_state_changes(spark, sf_dir):
 
 @query(f"""
 r AS (SELECT *, close / nullif(lag(close) OVER ({W}), 0) - 1 AS ret, lag(volume) OVER ({W}) AS pv FROM panel)
-SELECT datetime, instrument, ln(1000.0) + sum(CASE WHEN volume < pv AND ret > -1 THEN ln(1 + ret) ELSE 0 END) OVER ({W} ROWS UNBOUNDED PRECEDING) AS log_nvi, sum(coalesce(volume * ret, 0)) OVER ({W} ROWS UNBOUNDED PRECEDING) AS vpt
+SELECT datetime, instrument, ln(1000.0 * product(CASE WHEN volume < pv THEN 1 + coalesce(ret, 0) ELSE 1 END) OVER ({W} ROWS UNBOUNDED PRECEDING)) AS log_nvi, sum(coalesce(volume * ret, 0)) OVER ({W} ROWS UNBOUNDED PRECEDING) AS vpt
 FROM r""", floats="log_nvi vpt")
 def ts_volume_indices(spark, sf_dir):
     return features.volume_indices(monthly_panel(spark, sf_dir)).select("datetime", "instrument", F.ln("nvi").alias("log_nvi"), "vpt")
@@ -163,18 +163,35 @@ def ts_elementwise(spark, sf_dir):
 _RET = f"close / nullif(lag(close) OVER ({W}), 0) - 1"
 
 
+def _pair(x: str, y: str, f: str) -> str:
+    return f"covar_samp({x}, CASE WHEN {x} IS NOT NULL THEN {y} END) OVER {f} / nullif(stddev_samp({x}) OVER {f} * stddev_samp(CASE WHEN {x} IS NOT NULL THEN {y} END) OVER {f}, 0)"
+
+
+_BASIC = {
+    **{f"ret_{n}": f"close / nullif(lag(close, {n}) OVER ({W}), 0) - 1" for n in (5, 10, 20)},
+    "rev_5": f"-(close / nullif(lag(close, 5) OVER ({W}), 0) - 1)", "rev_20_exclude_5": f"-(lag(close, 5) OVER ({W}) / nullif(lag(close, 20) OVER ({W}), 0) - 1)",
+    "std_20": _full(f"stddev_samp(ret) OVER {_f(20)}", "ret", 20), "downside_std_20": _full(f"stddev_samp(least(ret, 0) + 0 * ret) OVER {_f(20)}", "ret", 20),
+    "max_drawdown_20": f"-{_full(f'list_min(list_transform(list(close) OVER {_f(20)}, lambda v, i: v / list_max(list_slice(list(close) OVER {_f(20)}, 1, i)) - 1))', 'close', 20)}",
+    "amplitude_20": _full(f"avg((high - low) / nullif(close, 0)) OVER {_f(20)}", "close", 20), "amount_mean_20": _full(f"avg(amount) OVER {_f(20)}", "amount", 20),
+    "amount_std_20": _full(f"stddev_samp(amount) OVER {_f(20)}", "amount", 20), "amount_cv_20": _full(f"stddev_samp(amount) OVER {_f(20)} / nullif(avg(amount) OVER {_f(20)}, 0)", "amount", 20),
+    "volume_ratio_5_20": _full(f"avg(volume) OVER {_f(5)} / nullif(avg(volume) OVER {_f(20)}, 0)", "volume", 20),
+    "corr_ret_volume_20": _full(_pair("ret", "volume", _f(20)), "ret", 20), "corr_ret_amount_20": _full(_pair("ret", "amount", _f(20)), "ret", 20),
+}
+_LABELS = {f"label_{h}": f"lead(close, {1 + h}) OVER ({W}) / nullif(lead(close, 1) OVER ({W}), 0) - 1" for h in (1, 5, 10, 20)}
+
+
+def _columns(made: dict[str, str]) -> str:
+    return ", ".join(f"{v} AS {k}" for k, v in made.items())
+
+
 @query(f"""
 r AS (SELECT *, {_RET} AS ret FROM panel)
-SELECT datetime, instrument, close / nullif(lag(close, 5) OVER ({W}), 0) - 1 AS ret_5, close / nullif(lag(close, 10) OVER ({W}), 0) - 1 AS ret_10, -(close / nullif(lag(close, 5) OVER ({W}), 0) - 1) AS rev_5,
-  -(lag(close, 5) OVER ({W}) / nullif(lag(close, 20) OVER ({W}), 0) - 1) AS rev_20_exclude_5, {_full(f"stddev_samp(ret) OVER {_f(20)}", "ret", 20)} AS std_20,
-  {_full(f"stddev_samp(least(ret, 0) + 0 * ret) OVER {_f(20)}", "ret", 20)} AS downside_std_20, {_full(f"avg((high - low) / nullif(close, 0)) OVER {_f(20)}", "close", 20)} AS amplitude_20,
-  {_full(f"avg(amount) OVER {_f(20)}", "amount", 20)} AS amount_mean_20, {_full(f"stddev_samp(amount) OVER {_f(20)} / nullif(avg(amount) OVER {_f(20)}, 0)", "amount", 20)} AS amount_cv_20,
-  {_full(f"avg(volume) OVER {_f(5)} / nullif(avg(volume) OVER {_f(20)}, 0)", "volume", 20)} AS volume_ratio_5_20,
-  {_full(f"covar_samp(ret, CASE WHEN ret IS NOT NULL THEN volume END) OVER {_f(20)} / nullif(stddev_samp(ret) OVER {_f(20)} * stddev_samp(CASE WHEN ret IS NOT NULL THEN volume END) OVER {_f(20)}, 0)", "ret", 20)} AS corr_ret_volume_20
-FROM r""", floats="ret_5 ret_10 rev_5 rev_20_exclude_5 std_20 downside_std_20 amplitude_20 amount_mean_20 amount_cv_20 volume_ratio_5_20 corr_ret_volume_20")
+SELECT datetime, instrument, {_columns(_BASIC | _LABELS)}
+FROM r""", floats=" ".join(_BASIC | _LABELS))
 def features_basic(spark, sf_dir):
-    names = "ret_5 ret_10 rev_5 rev_20_exclude_5 std_20 downside_std_20 amplitude_20 amount_mean_20 amount_cv_20 volume_ratio_5_20 corr_ret_volume_20".split()
-    return features.select(monthly_panel(spark, sf_dir), [features.BASIC[n] for n in names])
+    """All fifteen factors and four labels."""
+    labels = [features.FeatureSpec(f"label_{h}", lambda h=h: joins.shifted_label(h), h + 2) for h in (1, 5, 10, 20)]
+    return features.select(monthly_panel(spark, sf_dir), [*features.BASIC.values(), *labels])
 
 
 @query("""
@@ -185,56 +202,93 @@ def features_candle(spark, sf_dir):
     return features.select(monthly_panel(spark, sf_dir), list(features.CANDLE.values()))
 
 
+_LAGS = {f"{x}_{n}": f"lag({x}, {n}) OVER ({W}) / nullif(close, 0)" for x in ("open", "high", "low", "close", "vwap") for n in range(60)} | {f"volume_{n}": f"lag(volume, {n}) OVER ({W}) / (volume + 1e-12)" for n in range(60)}
+
+
 @query(f"""
-SELECT datetime, instrument, lag(open, 3) OVER ({W}) / nullif(close, 0) AS open_3, lag(close, 5) OVER ({W}) / nullif(close, 0) AS close_5, lag(vwap, 1) OVER ({W}) / nullif(close, 0) AS vwap_1, lag(volume, 2) OVER ({W}) / (volume + 1e-12) AS volume_2
-FROM panel""", floats="open_3 close_5 vwap_1 volume_2")
+SELECT datetime, instrument, {_columns(_LAGS)}
+FROM panel""", floats=" ".join(_LAGS))
 def features_lag_ratios(spark, sf_dir):
-    wanted = {"open_3", "close_5", "vwap_1", "volume_2"}
-    return features.select(monthly_panel(spark, sf_dir), [s for s in features.lag_ratios(6) if s.name in wanted])
+    """All 360 ratios: six columns at lags 0 to 59."""
+    return features.select(monthly_panel(spark, sf_dir), features.lag_ratios(60))
 
 
-def _rolling_sql(n: int) -> str:
+def _rolling(n: int) -> dict[str, str]:
     f = _f(n)
     g = lambda v, x="close": _full(v, x, n)
-    return f"""
-d AS (SELECT *, close - lag(close) OVER ({W}) AS dc, volume - lag(volume) OVER ({W}) AS dv, CAST(row_number() OVER ({W}) AS DOUBLE) AS t, CASE WHEN volume > -1 THEN ln(volume + 1) END AS lv FROM panel)
-SELECT datetime, instrument, lag(close, {n}) OVER ({W}) / nullif(close, 0) AS roc, {g(f"avg(close) OVER {f}")} / nullif(close, 0) AS ma, {g(f"stddev_samp(close) OVER {f}")} / nullif(close, 0) AS std,
-  {g(f"regr_slope(close, t) OVER {f}")} / nullif(close, 0) AS beta, {g(f"max(high) OVER {f}", "high")} / nullif(close, 0) AS max, {g(f"min(low) OVER {f}", "low")} / nullif(close, 0) AS min,
-  {g(f"quantile_cont(close, 0.8) OVER {f}")} / nullif(close, 0) AS qtlu, {g(f"quantile_cont(close, 0.2) OVER {f}")} / nullif(close, 0) AS qtld,
-  (close - {g(f"min(low) OVER {f}", "low")}) / ({g(f"max(high) OVER {f}", "high")} - {g(f"min(low) OVER {f}", "low")} + 1e-12) AS rsv,
-  {_full(f"covar_samp(close, lv) OVER {f} / nullif(stddev_samp(close) OVER {f} * stddev_samp(lv) OVER {f}, 0)", "close", n)} AS corr,
-  {_full(f"avg(CASE WHEN dc > 0 THEN 1.0 WHEN dc IS NOT NULL THEN 0.0 END) OVER {f}", "dc", n)} AS cntp, {_full(f"avg(CASE WHEN dc < 0 THEN 1.0 WHEN dc IS NOT NULL THEN 0.0 END) OVER {f}", "dc", n)} AS cntn,
-  {_full(f"sum(greatest(dc, 0) + 0 * dc) OVER {f} / (sum(abs(dc)) OVER {f} + 1e-12)", "dc", n)} AS sump, {_full(f"sum(greatest(-dc, 0) + 0 * dc) OVER {f} / (sum(abs(dc)) OVER {f} + 1e-12)", "dc", n)} AS sumn,
-  {g(f"avg(volume) OVER {f}", "volume")} / (volume + 1e-12) AS vma, {g(f"stddev_samp(volume) OVER {f}", "volume")} / (volume + 1e-12) AS vstd,
-  {_full(f"sum(greatest(dv, 0) + 0 * dv) OVER {f} / (sum(abs(dv)) OVER {f} + 1e-12)", "dv", n)} AS vsump
-FROM d"""
+    by = lambda v: f"{v} / nullif(close, 0)"
+    held = lambda x, low: f"list(coalesce({x}, {'' if low else '-'}1e308)) OVER {f}"
+    imax, imin = (g(f"CAST(list_position({held(x, low)}, {'min' if low else 'max'}({x}) OVER {f}) AS DOUBLE)", x) for x, low in (("high", False), ("low", True)))
+    share = lambda x, part: _full(f"sum({part}) OVER {f} / (sum(abs({x})) OVER {f} + 1e-12)", x, n)
+    plus, minus = (lambda x: f"greatest({x}, 0) + 0 * {x}"), (lambda x: f"greatest(-{x}, 0) + 0 * {x}")
+    count = lambda sign: _full(f"avg(CASE WHEN dc {sign} 0 THEN 1.0 WHEN dc IS NOT NULL THEN 0.0 END) OVER {f}", "dc", n)
+    spread = f"CASE WHEN stddev_samp(close) OVER {f} > 0 THEN regr_r2(close, t) OVER {f} END"
+    return {
+        "roc": f"lag(close, {n}) OVER ({W}) / nullif(close, 0)", "ma": by(g(f"avg(close) OVER {f}")), "std": by(g(f"stddev_samp(close) OVER {f}")), "beta": by(g(f"regr_slope(close, t) OVER {f}")),
+        "rsqr": g(spread), "resi": by(g(f"close - (regr_intercept(close, t) OVER {f} + regr_slope(close, t) OVER {f} * t)")), "max": by(g(f"max(high) OVER {f}", "high")), "min": by(g(f"min(low) OVER {f}", "low")),
+        "qtlu": by(g(f"quantile_cont(close, 0.8) OVER {f}")), "qtld": by(g(f"quantile_cont(close, 0.2) OVER {f}")),
+        "rank": g(f"list_aggregate(list_transform(list(close) OVER {f}, lambda v: CASE WHEN v < close THEN 1.0 WHEN v = close THEN 0.5 ELSE 0.0 END), 'sum') / {n} + 0.5 / {n}"),
+        "rsv": f"(close - {g(f'min(low) OVER {f}', 'low')}) / ({g(f'max(high) OVER {f}', 'high')} - {g(f'min(low) OVER {f}', 'low')} + 1e-12)",
+        "imax": f"{imax} / {n}", "imin": f"{imin} / {n}", "imxd": f"({imax} - {imin}) / {n}", "corr": _full(f"covar_samp(close, lv) OVER {f} / nullif(stddev_samp(close) OVER {f} * stddev_samp(lv) OVER {f}, 0)", "close", n),
+        "cord": _full(f"covar_samp(rr, lr) OVER {f} / nullif(stddev_samp(CASE WHEN lr IS NOT NULL THEN rr END) OVER {f} * stddev_samp(CASE WHEN rr IS NOT NULL THEN lr END) OVER {f}, 0)", "CASE WHEN lr IS NOT NULL THEN rr END", n),
+        "cntp": count(">"), "cntn": count("<"), "cntd": f"{count('>')} - {count('<')}",
+        "sump": share("dc", plus("dc")), "sumn": share("dc", minus("dc")), "sumd": f"{share('dc', plus('dc'))} - {share('dc', minus('dc'))}",
+        "vma": f"{g(f'avg(volume) OVER {f}', 'volume')} / (volume + 1e-12)", "vstd": f"{g(f'stddev_samp(volume) OVER {f}', 'volume')} / (volume + 1e-12)",
+        "wvma": f"{_full(f'stddev_samp(moved) OVER {f}', 'moved', n)} / ({_full(f'avg(moved) OVER {f}', 'moved', n)} + 1e-12)",
+        "vsump": share("dv", plus("dv")), "vsumn": share("dv", minus("dv")), "vsumd": f"{share('dv', plus('dv'))} - {share('dv', minus('dv'))}",
+    }
+
+
+_ROLLING = {f"{k}_{n}": v for n in (5, 10, 20, 30, 60) for k, v in _rolling(n).items()}
+
+
+@query(f"""
+c AS (SELECT *, close - lag(close) OVER ({W}) AS dc, volume - lag(volume) OVER ({W}) AS dv, CAST(row_number() OVER ({W}) AS DOUBLE) AS t, CASE WHEN volume > -1 THEN ln(volume + 1) END AS lv,
+  close / nullif(lag(close) OVER ({W}), 0) AS rr, volume / nullif(lag(volume) OVER ({W}), 0) + 1 AS vr FROM panel),
+d AS (SELECT *, CASE WHEN vr > 0 THEN ln(vr) END AS lr, abs(rr - 1) * volume AS moved FROM c)
+SELECT datetime, instrument, {_columns(_ROLLING)}
+FROM d""", floats=" ".join(_ROLLING))
+def features_rolling_family(spark, sf_dir):
+    """All 29 features over 5, 10, 20, 30 and 60 rows; blocks of columns are joined by key."""
+    panel = monthly_panel(spark, sf_dir)
+    return join_features([features.select(panel, features.rolling_family(n)) for n in (5, 10, 20, 30, 60)])
 
 
-_ROLLING = "roc ma std beta max min qtlu qtld rsv corr cntp cntn sump sumn vma vstd vsump"
+def _market(month: int, year: int, short: int, long: int) -> dict[str, str]:
+    mean = lambda v, x, n: _full(f"avg({v}) OVER {_f(n)}", x, n, n // 2)
+    before = f"(PARTITION BY instrument ORDER BY datetime ROWS BETWEEN {short} PRECEDING AND 1 PRECEDING)"
+    drop = f"list_min(list_transform(list(close) OVER {_f(long)}, lambda v, i: v / list_max(list_slice(list(close) OVER {_f(long)}, 1, i)) - 1))"
+    m3 = f"avg(ret) OVER {_f(long)}"
+    skew = f"CASE WHEN count(ret) OVER {_f(long)} > 2 AND stddev_pop(ret) OVER {_f(long)} > 0 THEN skewness(ret) OVER {_f(long)} END"
+    return {
+        "momentum": f"lag(close, {month}) OVER ({W}) / nullif(lag(close, {year}) OVER ({W}), 0) - 1", "reversal": f"-(close / nullif(lag(close, {month}) OVER ({W}), 0) - 1)",
+        "high_share": f"close / nullif({_full(f'max(close) OVER {_f(year)}', 'close', year, year // 2)}, 0)", "overnight": mean("open / nullif(before, 0) - 1", "before", short), "intraday": mean("close / nullif(open, 0) - 1", "close", short),
+        "max_return": _full(f"max(ret) OVER {_f(month)}", "ret", month, month // 2 + 1), "volatility": _full(f"stddev_samp(ret) OVER {_f(long)}", "ret", long, long // 2),
+        "downside_volatility": _full(f"stddev_samp(CASE WHEN ret < 0 THEN ret END) OVER {_f(long)}", "CASE WHEN ret < 0 THEN ret END", long, long // 4), "skewness": _full(skew, "ret", long, long // 2),
+        "parkinson": f"sqrt({mean('pow(ln(high / nullif(low, 0)), 2)', 'high', short)} / (4 * ln(2.0)))", "max_drawdown": _full(drop, "close", long, long // 2),
+        "amihud": f"{mean('abs(ret) / nullif(amount, 0)', 'ret', short)} * 1e6", "amount_momentum": f"amount / nullif(CASE WHEN count(amount) OVER {before} >= {short // 2} THEN avg(amount) OVER {before} END, 0) - 1",
+        "vwap_deviation": "close / nullif(vwap, 0) - 1", "vwap_deviation_mean": mean("close / nullif(vwap, 0) - 1", "close", short), "beta": "beta", "idiosyncratic": _full(f"stddev_samp(own) OVER {_f(long)}", "own", long, 2 * long // 3),
+    }
 
 
-@query(_rolling_sql(5), floats=_ROLLING)
-def features_rolling_family(spark, sf_dir):
-    own = {s.name: s for s in features.rolling_family(5)}
-    out = features.select(monthly_panel(spark, sf_dir), [own[n] for n in (f"{k}_5" for k in _ROLLING.split())])
-    return out.toDF("datetime", "instrument", *_ROLLING.split())
+_MARKET = _market(3, 12, 6, 12)
 
 
 @query(f"""
-m AS (SELECT *, avg(ret) OVER (PARTITION BY datetime) AS market FROM (SELECT *, {_RET} AS ret FROM panel))
-SELECT datetime, instrument, lag(close, 3) OVER ({W}) / nullif(lag(close, 12) OVER ({W}), 0) - 1 AS momentum, close / nullif({_full(f"max(close) OVER {_f(12)}", "close", 12, 6)}, 0) AS high_share,
-  {_full(f"avg(open / nullif(lag_close, 0) - 1) OVER {_f(6)}", "lag_close", 6, 3)} AS overnight, {_full(f"avg(close / nullif(open, 0) - 1) OVER {_f(6)}", "close", 6, 3)} AS intraday,
-  sqrt({_full(f"avg(pow(ln(high / nullif(low, 0)), 2)) OVER {_f(6)}", "high", 6, 3)} / (4 * ln(2.0))) AS parkinson, {_full(f"avg(abs(ret) / nullif(amount, 0)) OVER {_f(6)}", "ret", 6, 3)} * 1e6 AS amihud,
-  close / nullif(vwap, 0) - 1 AS vwap_deviation, {_full(f"covar_samp(ret, CASE WHEN ret IS NOT NULL THEN market END) OVER {_f(12)} / nullif(var_samp(CASE WHEN ret IS NOT NULL THEN market END) OVER {_f(12)}, 0)", "ret", 12, 8)} AS beta
-FROM (SELECT *, lag(close) OVER ({W}) AS lag_close FROM m)""", floats="momentum high_share overnight intraday parkinson amihud vwap_deviation beta")
+m AS (SELECT *, lag(close) OVER ({W}) AS before, avg(ret) OVER (PARTITION BY datetime) AS market FROM (SELECT *, {_RET} AS ret FROM panel)),
+b AS (SELECT *, {_full(f"covar_samp(ret, market) OVER {_f(12)}", "CASE WHEN market IS NOT NULL THEN ret END", 12, 8)} / nullif({_full(f"var_samp(market) OVER {_f(12)}", "market", 12, 8)}, 0) AS beta FROM m),
+o AS (SELECT *, ret - beta * market AS own FROM b)
+SELECT datetime, instrument, {_columns(_MARKET)}
+FROM o""", floats=" ".join(_MARKET))
 def features_market(spark, sf_dir):
-    return features.market_factors(monthly_panel(spark, sf_dir))
+    """All seventeen factors, with windows that fit months."""
+    return features.market_factors(monthly_panel(spark, sf_dir), month=3, year=12, short=6, long=12)
 
 
 @query(f"""
 q AS (SELECT datetime, instrument, {_RET} AS ret FROM panel), r AS (SELECT datetime, avg(ret) AS ret FROM q GROUP BY 1),
-s AS (SELECT datetime, ret AS market_return, CASE WHEN count(ret) OVER w = 6 THEN exp(sum(ln(1 + ret)) OVER w) - 1 END AS compounded FROM r WINDOW w AS (ORDER BY datetime ROWS BETWEEN 5 PRECEDING AND CURRENT ROW))
-SELECT datetime, market_return, compounded, CASE WHEN compounded IS NULL THEN 'unknown' WHEN compounded > 0.05 THEN 'up' WHEN compounded < -0.05 THEN 'down' ELSE 'sideways' END AS market_state FROM s""", floats="market_return compounded")
+s AS (SELECT datetime, ret AS market_return, CASE WHEN count(ret) OVER w = 6 THEN product(1 + ret) OVER w - 1 END AS compounded, CASE WHEN count(ret) OVER w = 6 THEN stddev_samp(ret) OVER w END AS volatility FROM r WINDOW w AS (ORDER BY datetime ROWS BETWEEN 5 PRECEDING AND CURRENT ROW))
+SELECT datetime, market_return, compounded, volatility, CASE WHEN compounded IS NULL THEN 'unknown' WHEN compounded > 0.05 THEN 'up' WHEN compounded < -0.05 THEN 'down' ELSE 'sideways' END AS market_state FROM s""", floats="market_return compounded volatility")
 def features_market_state(spark, sf_dir):
     return features.market_state(monthly_panel(spark, sf_dir), 6, 0.05)
 

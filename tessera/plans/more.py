@@ -161,7 +161,7 @@ def evaluate_concentration(spark, sf_dir):
 
 @query(f"""
 {IC}, p(period, s, e) AS (VALUES ('early', DATE '1995-01-01', DATE '1997-12-31'), ('late', DATE '1998-01-01', DATE '2001-12-31'), ('whole', DATE '1995-01-01', DATE '2001-12-31'))
-SELECT period, count(rank_ic) AS days, avg(rank_ic) AS mean, median(rank_ic) AS median, avg(rank_ic) / stddev_samp(rank_ic) * sqrt(12.0) AS ratio, avg(CASE WHEN rank_ic > 0 THEN 1.0 ELSE 0.0 END) AS positive FROM ic JOIN p ON datetime BETWEEN s AND e WHERE factor = 'rev_1' AND status = 'ok' GROUP BY 1""", floats="mean median ratio positive")
+SELECT period, count(rank_ic) AS days, avg(rank_ic) AS mean, median(rank_ic) AS median, avg(rank_ic) / stddev_samp(rank_ic) * sqrt(12.0) AS ratio, avg(CASE WHEN round(rank_ic, 9) > 0 THEN 1.0 ELSE 0.0 END) AS positive FROM ic JOIN p ON datetime BETWEEN s AND e WHERE factor = 'rev_1' AND status = 'ok' GROUP BY 1""", floats="mean median ratio positive")
 def evaluate_period_summary(spark, sf_dir):
     p = spark.createDataFrame([("early", "1995-01-01", "1997-12-31"), ("late", "1998-01-01", "2001-12-31"), ("whole", "1995-01-01", "2001-12-31")], "period string, start string, end string").withColumns({"start": F.to_date("start"), "end": F.to_date("end")})
     return audits.period_summary(_ic(spark, sf_dir).where("factor = 'rev_1' and status = 'ok'"), p, "rank_ic", 12)
