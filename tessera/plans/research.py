@@ -278,8 +278,8 @@ def xs_fallback_score(spark, sf_dir):
 
 
 @query(f"""
-{_EXPOSED}, r AS (SELECT *, row_number() OVER ({D} ORDER BY amount DESC, instrument) AS r, rank() OVER ({D} ORDER BY amount) + (count(*) OVER (PARTITION BY datetime, amount) - 1) / 2.0 AS k, count(*) OVER ({D}) AS n, quantile_cont(width, [0.25, 0.5, 0.75]) OVER ({D}) AS e FROM ex)
-SELECT datetime, instrument, CASE WHEN r <= 3 THEN 'top_3' WHEN r <= 6 THEN '4_6' ELSE 'rest' END AS band, k / n AS size_percentile, CASE WHEN k / n <= 1 / 3.0 THEN 'Small' WHEN k / n <= 2 / 3.0 THEN 'Mid' ELSE 'Large' END AS size, CASE WHEN n >= 4 THEN CAST(1 + len(list_filter(list_distinct(e), lambda q: q < width)) AS INTEGER) END AS volatility_bucket FROM r""", floats="size_percentile")
+{_EXPOSED}, r AS (SELECT *, row_number() OVER ({D} ORDER BY amount DESC, instrument) AS r, rank() OVER ({D} ORDER BY amount) + (count(*) OVER (PARTITION BY datetime, amount) - 1) / 2.0 AS k, count(*) OVER ({D}) AS n, list_sort(list_distinct(quantile_cont(width, [0.0, 0.25, 0.5, 0.75, 1.0]) OVER ({D}))) AS e FROM ex)
+SELECT datetime, instrument, CASE WHEN r <= 3 THEN 'top_3' WHEN r <= 6 THEN '4_6' ELSE 'rest' END AS band, k / n AS size_percentile, CASE WHEN k / n <= 1 / 3.0 THEN 'Small' WHEN k / n <= 2 / 3.0 THEN 'Mid' ELSE 'Large' END AS size, CASE WHEN n >= 4 AND len(e) > 1 THEN CAST(1 + len(list_filter(list_slice(e, 2, len(e) - 1), lambda q: q < width)) AS INTEGER) END AS volatility_bucket FROM r""", floats="size_percentile")
 def xs_bands_and_sizes(spark, sf_dir):
     e = xs.bucket(_exposed(spark, sf_dir), "width", "volatility_bucket", 4)
     pct = xs.percent_rank(F.col("amount"))
