@@ -209,3 +209,54 @@ def greedy_pruning(board: DataFrame, edges: DataFrame, score: str) -> DataFrame:
         new = state.join(stay, "factor", "left").join(gone, "factor", "left")
         state = checkpointed(new.select("factor", F.coalesce("kept", "__stay", F.when(F.col("__gone"), F.lit(False))).alias("kept")))
     return state
+
+
+def split_weights(board: DataFrame, cap: float) -> DataFrame:
+    """(split, factor, equal_weight, weight): equal shares, and capped shares of stability (never below zero) of each split's
+    eligible representatives."""
+    own = board.where("eligible").select("split", "factor", F.greatest(F.col("stability"), F.lit(0.0)).alias("raw"))
+    out = capped_weights(own, cap)
+    return out.select("split", "factor", (1 / F.count("*").over(Window.partitionBy("split"))).alias("equal_weight"), "weight")
+
+
+def training_batch(features: DataFrame, labels: DataFrame, eligible: DataFrame, label: str, least: int) -> DataFrame:
+    """Features, the centred-rank target over all labelled rows of the date, and equal date weights, of eligible rows with
+    features, on dates that keep ``least`` of them.  The target doesn't depend on which rows are eligible."""
+    target = labels.where(F.col(label).isNotNull()).select(*KEYS, xs.centred_rank(F.col(label)).alias("target"))
+    out = features.dropna().join(target, KEYS).join(eligible.select(*KEYS), KEYS, "left_semi")
+    out = out.withColumn("__n", F.count(F.lit(1)).over(xs.over())).where(F.col("__n") >= least)
+    return out.withColumn("weight", 1 / F.col("__n")).drop("__n")
+
+
+def basket_feasibility(panel: DataFrame, money: float, lot: int = 100, participation: float = 0.1) -> DataFrame:
+    """(datetime, names, affordable, invested, capacity, unknown): an equal-weight basket of each date: names whose share buys a lot,
+    what whole lots cost, the basket's bound by participation, and names without price or amount."""
+    p = panel.withColumn("__each", money / F.count(F.lit(1)).over(xs.over())).withColumn("__q", lots(F.col("__each"), F.col("close"), lot))
+    return p.groupBy("datetime").agg(
+        F.count("*").alias("names"), F.count_if(F.col("__q") > 0).alias("affordable"), F.sum(F.col("__q") * F.col("close")).alias("invested"),
+        (F.min(F.col("amount")) * participation * F.count("*")).alias("capacity"), F.count_if(F.col("close").isNull() | F.col("amount").isNull()).alias("unknown"),
+    )
+
+
+def scenarios(panel: DataFrame, score: str, label: str, ks: list[int], bps: list[float]) -> DataFrame:
+    """(k, bps, days, mean_net) of daily top-k portfolios over a grid of sizes and costs."""
+    out = None
+    for k in ks:
+        own = cost_grid(top_k(panel, score, label, k, 0.0), bps).groupBy("bps").agg(F.count("*").alias("days"), F.avg("net").alias("mean_net")).withColumn("k", F.lit(k))
+        out = own if out is None else out.unionByName(own)
+    return out.select("k", "bps", "days", "mean_net")
+
+
+def bucket_shares(panel: DataFrame, score: str, bucket: str, k: int) -> DataFrame:
+    """(datetime, bucket, share) of the top k by score, ties by instrument."""
+    w = Window.partitionBy("datetime").orderBy(F.desc(score), "instrument")
+    top = panel.where(F.col(score).isNotNull()).withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= k)
+    g = top.groupBy("datetime", bucket).agg(F.count("*").alias("n"))
+    return g.select("datetime", F.col(bucket).alias("bucket"), (F.col("n") / F.sum("n").over(xs.over())).alias("share"))
+
+
+def directional_score(long: DataFrame, directions: DataFrame, least: int) -> DataFrame:
+    """(datetime, instrument, score, parts): z-scores by signed equal weights, over the absolute weights of the parts there are."""
+    n = directions.count()
+    weights = directions.select("factor", (F.col("direction") / n).alias("weight"))
+    return composite(long, weights, least)
