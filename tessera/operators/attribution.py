@@ -66,9 +66,9 @@ def evidence_board(daily: DataFrame, value: str, era: str, least_days: int) -> D
     Years with ``least_days`` or more count; era means and means without one era are signed by the overall mean."""
     d = daily.where(C(value).isNotNull())
     full = d.groupBy("factor").agg(F.avg(value).alias("mean"), F.sum(value).alias("__t"), F.count("*").alias("__n")).withColumn("__s", _sign(C("mean")))
-    y = d.groupBy("factor", F.year("datetime").alias("y")).agg(F.avg(value).alias("m"), F.count("*").alias("n")).where(C("n") >= least_days).join(F.broadcast(full), "factor")
+    y = d.groupBy("factor", F.year("datetime").alias("y")).agg(F.avg(value).alias("m"), F.count("*").alias("n")).where(C("n") >= least_days).join(full, "factor")
     years = y.groupBy("factor").agg(F.count("*").alias("years"), F.avg((F.round(C("m") * C("__s"), 9) > 0).cast("double")).alias("annual_agreement"))
-    e = d.groupBy("factor", era).agg(F.sum(value).alias("s"), F.count("*").alias("n")).join(F.broadcast(full), "factor")
+    e = d.groupBy("factor", era).agg(F.sum(value).alias("s"), F.count("*").alias("n")).join(full, "factor")
     eras = e.groupBy("factor").agg(
         ratio(F.max(F.abs("s")), F.sum(F.abs("s"))).alias("largest_era_share"), F.min(C("s") / C("n") * C("__s")).alias("worst_era"), F.min(ratio(C("__t") - C("s"), C("__n") - C("n")) * C("__s")).alias("worst_without_era"),
     )
@@ -162,7 +162,7 @@ def common_days(labels: DataFrame, arms: dict[str, DataFrame], label: str, least
 
 def era_reconciliation(daily: DataFrame, stored: DataFrame, tolerance: float) -> DataFrame:
     """(factor, era, mean, stored, status) of means over closed eras against stored ones (factor, era, start, end, stored)."""
-    hit = daily.join(F.broadcast(stored), "factor").where((C("datetime") >= C("start")) & (C("datetime") <= C("end")))
+    hit = daily.join(stored, "factor").where((C("datetime") >= C("start")) & (C("datetime") <= C("end")))
     out = hit.groupBy("factor", "era", "stored").agg(F.avg("value").alias("mean"))
     gap = F.abs(C("mean") - C("stored"))
     return out.select("factor", "era", "mean", "stored", F.when(C("stored").isNull(), "no_reference").when(gap <= tolerance, "match").when(_sign(C("mean")) == _sign(C("stored")), "same_direction").otherwise("conflict").alias("status"))
@@ -178,7 +178,7 @@ def group_extremes(means: DataFrame, group: str) -> DataFrame:
 def taxonomy(factors: DataFrame, overrides: DataFrame, patterns: DataFrame) -> DataFrame:
     """(factor, family, source): the override's family, else that of the first pattern (by order) that fits, else other."""
     fit = factors.join(F.broadcast(patterns), F.expr("factor rlike pattern")).groupBy("factor").agg(F.min_by("family", "order").alias("__p"))
-    out = factors.join(F.broadcast(overrides.select("factor", C("family").alias("__o"))), "factor", "left").join(fit, "factor", "left")
+    out = factors.join(overrides.select("factor", C("family").alias("__o")), "factor", "left").join(fit, "factor", "left")
     return out.select("factor", F.coalesce("__o", "__p", F.lit("other")).alias("family"), F.when(C("__o").isNotNull(), "override").when(C("__p").isNotNull(), "pattern").otherwise("none").alias("source"))
 
 

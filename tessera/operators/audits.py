@@ -70,7 +70,7 @@ def resolved_rules(frame: DataFrame, rules: DataFrame, on: list[str]) -> DataFra
     hit = (F.col("datetime") >= F.col("start")) & (F.col("end").isNull() | (F.col("datetime") <= F.col("end")))
     for c in on:
         hit = hit & (frame[c] == F.col(f"__{c}"))
-    out = frame.join(F.broadcast(r), hit, "left").groupBy(*KEYS).agg(F.count("rate").alias("matches"), F.max("rate").alias("rate"))
+    out = frame.join(r, hit, "left").groupBy(*KEYS).agg(F.count("rate").alias("matches"), F.max("rate").alias("rate"))
     return out.withColumn("rate", F.when(F.col("matches") == 1, F.col("rate")))
 
 
@@ -109,7 +109,7 @@ def listing_age(panel: DataFrame, intervals: DataFrame) -> DataFrame:
 
 def relative_returns(long: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Label minus the benchmark's of the date."""
-    return long.join(F.broadcast(benchmark), "datetime", "left").withColumn("relative", F.col("label") - F.col("benchmark"))
+    return long.join(benchmark, "datetime", "left").withColumn("relative", F.col("label") - F.col("benchmark"))
 
 
 def phases(frame: DataFrame, moment: str, open_hour: int = 9) -> DataFrame:

@@ -55,8 +55,12 @@ def flagged(frame: DataFrame, intervals: DataFrame, into: str) -> DataFrame:
 
 
 def key_grid(intervals: DataFrame, calendar: DataFrame) -> DataFrame:
-    """Distinct (datetime, instrument) inside intervals.  The calendar is small: one row a date."""
-    return calendar.join(intervals, in_interval(calendar, intervals)).select("datetime", "instrument").distinct()
+    """Distinct (datetime, instrument) inside intervals: each interval picks its dates from the calendar, an array with one
+    element a date, so nothing is joined by range."""
+    dates = [r.datetime for r in calendar.select("datetime").distinct().orderBy("datetime").collect()]
+    all_ = F.array(*(F.lit(d) for d in dates)) if dates else F.array().cast("array<date>")
+    own = F.filter(all_, lambda d: (d >= F.col("start")) & (F.col("end").isNull() | (d <= F.col("end"))))
+    return intervals.select(F.explode(own).alias("datetime"), "instrument").distinct()
 
 
 def intersected(left: DataFrame, right: DataFrame) -> DataFrame:
@@ -134,6 +138,14 @@ def exact_label(panel: DataFrame, dates: DataFrame, price: str = "close") -> Dat
     return out.select(*KEYS, "entry", "exit", (ratio(F.col("__out"), F.col("__in")) - 1).alias("label"))
 
 
+def position_label(panel: DataFrame, calendar: DataFrame, lag: int, hold: int, price: str = "close", into: str = "label") -> DataFrame:
+    """The panel with the same label, from range frames over calendar positions: one shuffle by instrument, no join of prices."""
+    w = Window.partitionBy("instrument").orderBy("__pos")
+    at = lambda k: F.max(F.when(F.col(price) > 0, F.col(price))).over(w.rangeBetween(k, k))
+    placed = panel.join(F.broadcast(calendar.select("datetime", F.col("pos").alias("__pos"))), "datetime")  # one row a date
+    return placed.withColumn(into, ratio(at(lag + hold), at(lag)) - 1).drop("__pos")
+
+
 def shifted_label(horizon: int, price: str = "close") -> Column:
     """lead(1 + h) / lead(1) - 1 over an instrument's rows."""
     return ratio(ts.ref(F.col(price), -1 - horizon), ts.ref(F.col(price), -1)) - 1

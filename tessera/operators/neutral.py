@@ -81,5 +81,5 @@ def residual_summary(daily: DataFrame) -> DataFrame:
 def variant_effects(summary: DataFrame, slack: float = 0.005) -> DataFrame:
     """(factor, variant, change, effect) from (factor, variant, rank_ic_mean): each variant's absolute mean against the raw one's."""
     raw = summary.where("variant = 'raw'").select("factor", F.abs("rank_ic_mean").alias("__raw"))
-    out = summary.where("variant <> 'raw'").join(F.broadcast(raw), "factor").withColumn("change", F.abs("rank_ic_mean") - F.col("__raw"))
+    out = summary.where("variant <> 'raw'").join(raw, "factor").withColumn("change", F.abs("rank_ic_mean") - F.col("__raw"))
     return out.select("factor", "variant", "change", F.when(F.col("change") > slack, "improved").when(F.col("change") < -slack, "weakened").otherwise("similar").alias("effect"))

@@ -30,15 +30,15 @@ def hierarchy(long: DataFrame, families: DataFrame, least_members: float, least_
     a required share of the children must be there."""
     sizes = families.groupBy("composite", "family").agg(F.count("*").alias("__m"))
     wanted = sizes.groupBy("composite").agg(F.count("*").alias("__f"))
-    f = _signed(long, "value", "datetime", "factor").join(F.broadcast(families), "factor").groupBy(*KEYS, "family", "composite").agg(F.avg("__s").alias("__x"), F.count("*").alias("__n"))
-    f = f.join(F.broadcast(sizes), ["composite", "family"]).where(F.col("__n") >= F.ceil(F.col("__m") * least_members))
-    c = f.groupBy(*KEYS, "composite").agg(F.avg("__x").alias("score"), F.count("*").alias("families")).join(F.broadcast(wanted), "composite")
+    f = _signed(long, "value", "datetime", "factor").join(families, "factor").groupBy(*KEYS, "family", "composite").agg(F.avg("__s").alias("__x"), F.count("*").alias("__n"))
+    f = f.join(sizes, ["composite", "family"]).where(F.col("__n") >= F.ceil(F.col("__m") * least_members))
+    c = f.groupBy(*KEYS, "composite").agg(F.avg("__x").alias("score"), F.count("*").alias("families")).join(wanted, "composite")
     return c.where(F.col("families") >= F.ceil(F.col("__f") * least_families)).select(*KEYS, "composite", "score", "families")
 
 
 def sleeves(long: DataFrame, families: DataFrame) -> DataFrame:
     """(datetime, instrument, score): members averaged inside families, families ranked again, then averaged."""
-    f = _signed(long, "value", "datetime", "factor").join(F.broadcast(families), "factor").groupBy(*KEYS, "family").agg(F.round(F.avg("__s"), 12).alias("__x"))
+    f = _signed(long, "value", "datetime", "factor").join(families, "factor").groupBy(*KEYS, "family").agg(F.round(F.avg("__s"), 12).alias("__x"))
     return _signed(f, "__x", "datetime", "family").groupBy(*KEYS).agg(F.avg("__s").alias("score"))
 
 
@@ -125,14 +125,17 @@ def apply_preprocessing(long: DataFrame, fitted: DataFrame) -> DataFrame:
 
 
 def ridge(train: DataFrame, test: DataFrame, features: list[str], label: str, alpha: float) -> DataFrame:
-    """Predictions of a ridge regression on standardised features: (datetime, instrument, prediction)."""
+    """Predictions of a ridge regression on standardised features, penalty ``alpha`` on the sum of squares: (datetime, instrument, prediction).
+
+    Spark divides its penalty by the label's deviation, which is multiplied in here.
+    """
     from pyspark.ml import Pipeline
     from pyspark.ml.feature import StandardScaler, VectorAssembler
     from pyspark.ml.regression import LinearRegression
 
     rows = train.dropna(subset=[*features, label])
-    n = rows.count()
-    steps = [VectorAssembler(inputCols=features, outputCol="__x"), StandardScaler(inputCol="__x", outputCol="__z", withMean=True), LinearRegression(featuresCol="__z", labelCol=label, regParam=alpha / max(n, 1), elasticNetParam=0.0, standardization=False)]
+    n, spread = rows.agg(F.count("*"), F.stddev_pop(label)).first()
+    steps = [VectorAssembler(inputCols=features, outputCol="__x"), StandardScaler(inputCol="__x", outputCol="__z", withMean=True), LinearRegression(featuresCol="__z", labelCol=label, regParam=alpha / max(n, 1) * (spread or 0.0), elasticNetParam=0.0, standardization=False)]
     return Pipeline(stages=steps).fit(rows).transform(test.dropna(subset=features)).select(*KEYS, "prediction")
 
 
@@ -153,7 +156,7 @@ def apply_rules(metrics: DataFrame, rules: DataFrame) -> DataFrame:
     """(factor, rule, passed) from long metrics (factor, metric, value) and rules (rule, metric, op, threshold)."""
     v, t = F.col("value"), F.col("threshold")
     ok = F.when(F.col("op") == ">=", v >= t).when(F.col("op") == "<=", v <= t).when(F.col("op") == "abs>=", F.abs(v) >= t)
-    return metrics.join(F.broadcast(rules), "metric").select("factor", "rule", F.coalesce(ok, F.lit(False)).alias("passed"))
+    return metrics.join(rules, "metric").select("factor", "rule", F.coalesce(ok, F.lit(False)).alias("passed"))
 
 
 def checkpointed(frame: DataFrame) -> DataFrame:

@@ -37,8 +37,9 @@ def rule_counts(issues: DataFrame) -> DataFrame:
 def availability(panel: DataFrame, calendar: DataFrame) -> DataFrame:
     """(instrument, expected, valid, missing, zero_volume, score): expected days from the first to the last row."""
     life = panel.groupBy("instrument").agg(F.min("datetime").alias("s"), F.max("datetime").alias("e"), F.count("close").alias("valid"), F.count_if(F.col("volume") == 0).alias("zero_volume"))
-    days = calendar.join(life, (F.col("datetime") >= F.col("s")) & (F.col("datetime") <= F.col("e"))).groupBy("instrument").agg(F.count("*").alias("expected"))
-    out = life.join(days, "instrument").withColumn("missing", F.col("expected") - F.col("valid"))
+    # first and last rows lie on the calendar, one row a date: expected days are a difference of positions
+    at = lambda c, p: F.broadcast(calendar.select(F.col("datetime").alias(c), F.col("pos").alias(p)))
+    out = life.join(at("s", "__s"), "s").join(at("e", "__e"), "e").withColumn("expected", F.col("__e") - F.col("__s") + 1).withColumn("missing", F.col("expected") - F.col("valid"))
     return out.select("instrument", "expected", "valid", "missing", "zero_volume", (100 * ratio(F.col("valid"), F.col("expected"))).alias("score"))
 
 

@@ -25,10 +25,9 @@ ic AS (SELECT datetime, factor, CASE WHEN count(*) >= 5 THEN corr(value, label)
 
 def _wide(spark, sf_dir):
     p = monthly_panel(spark, sf_dir)
-    lab = joins.exact_label(p, joins.label_dates(joins.calendar_of(p), 1, 1)).select(*KEYS, "label")
+    p = joins.position_label(p, joins.calendar_of(p), 1, 1)
     c, v = F.col("close"), F.col("volume")
-    f = p.select(*KEYS, (-ts.change(c)).alias("rev_1"), (ts.change(v) + 1).alias("volume_ratio"), ((c - F.col("open")) / F.col("open")).alias("kmid"))
-    return f.join(lab, KEYS, "left")
+    return p.select(*KEYS, (-ts.change(c)).alias("rev_1"), (ts.change(v) + 1).alias("volume_ratio"), ((c - F.col("open")) / F.col("open")).alias("kmid"), "label")
 
 
 def _long(spark, sf_dir):

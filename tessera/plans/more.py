@@ -220,8 +220,8 @@ def portfolio_low_frequency(spark, sf_dir):
 SELECT factor, coalesce(slice, 'all') AS slice, count(*) AS rows, avg(value) AS mean_value, avg(label) AS mean_label FROM h GROUP BY GROUPING SETS ((factor), (factor, slice))""", floats="mean_value mean_label")
 def evaluate_grouping_sets(spark, sf_dir):
     h = _long(spark, sf_dir).where("value is not null and label is not null").withColumn("slice", F.when(F.year("datetime") % 2 == 0, "even").otherwise("odd"))
-    h.createOrReplaceTempView("__evaluation_slices")
-    return spark.sql("SELECT factor, coalesce(slice, 'all') AS slice, count(*) AS rows, avg(value) AS mean_value, avg(label) AS mean_label FROM __evaluation_slices GROUP BY GROUPING SETS ((factor), (factor, slice))")
+    sets = h.groupingSets([[F.col("factor")], [F.col("factor"), F.col("slice")]], "factor", "slice")
+    return sets.agg(F.count("*").alias("rows"), F.avg("value").alias("mean_value"), F.avg("label").alias("mean_label")).withColumn("slice", F.coalesce("slice", F.lit("all")))
 
 
 @query(f"""

@@ -210,8 +210,8 @@ def _clipped(source: str, x: str, into: str) -> str:
 {into} AS (SELECT * EXCLUDE (m, d), CASE WHEN d > 0 THEN greatest(least({x}, m + 4.5 * d), m - 4.5 * d) ELSE {x} END AS {into}_c FROM {into}_d)"""
 
 
-_BUCKETED = f"""{_EXPOSED}, e1 AS (SELECT *, quantile_cont(amount, [0.5]) OVER ({D}) AS ea, quantile_cont(width, [0.5]) OVER ({D}) AS ew FROM ex),
-bk AS (SELECT * EXCLUDE (ea, ew), 1 + len(list_filter(ea, lambda q: q < amount)) AS liq, 1 + len(list_filter(ew, lambda q: q < width)) AS vol FROM e1)"""
+_BUCKETED = f"""{_EXPOSED}, e1 AS (SELECT *, quantile_cont(amount, [0.5]) OVER ({D}) AS ea, list_sort(list_distinct(quantile_cont(width, [0.0, 0.5, 1.0]) OVER ({D}))) AS ew FROM ex),
+bk AS (SELECT * EXCLUDE (ea, ew), 1 + len(list_filter(ea, lambda q: q < amount)) AS liq, CASE WHEN len(ew) > 1 THEN 1 + len(list_filter(list_slice(ew, 2, len(ew) - 1), lambda q: q < width)) END AS vol FROM e1)"""
 
 
 @query(f"""

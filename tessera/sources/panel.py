@@ -55,13 +55,20 @@ def read_intervals(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """A typed CSV with a header; columns that the header lacks stop the plan."""
+    """A typed CSV with a header; columns that the header lacks stop the plan.  Cells that can't be read are NULL: ``bad_cells``."""
     head = spark.read.option("header", True).csv(path)
     if missing := [f for f in schema.fieldNames() if f not in head.columns]:
         raise ValueError(f"missing columns: {missing}")
     return head.select(*(F.col(f.name).try_cast(f.dataType).alias(f.name) for f in schema.fields))
 
 
+def bad_cells(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """(column, bad): how many cells of a CSV with a header ``read_csv`` turns into NULL, as they can't be read in their type."""
+    head = spark.read.option("header", True).csv(path)
+    counts = head.agg(*(F.count_if(F.col(f.name).isNotNull() & F.col(f.name).try_cast(f.dataType).isNull()).alias(f.name) for f in schema.fields))
+    return counts.unpivot([], schema.fieldNames(), "column", "bad")
+
+
 def write_parquet(frame: DataFrame, path: str) -> None:
     frame.withColumn("year", F.year("datetime")).write.partitionBy("year").option("compression", "zstd").mode("overwrite").parquet(path)
 
