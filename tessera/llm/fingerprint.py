@@ -123,9 +123,9 @@ def in_order(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     first = F.min(F.struct("__key", "__tie"))
     firsts = sorted((r["__range"], r["f"]["__key"], r["f"]["__tie"]) for r in both.groupBy("__range").agg(first.alias("f")).collect())  # one for each range
     if firsts:
-        # the first row of a range goes to the range before it as well
-        spark = docs.sparkSession
-        to = spark.createDataFrame([(k, t, firsts[i - 1][0]) for i, (_, k, t) in enumerate(firsts)], "__k long, __t long, __to int")
+        # the first row of a range goes to the range before it as well; the small table is made of literals, in the JVM alone
+        columns = {"__k": [k for _, k, _ in firsts], "__t": [t for _, _, t in firsts], "__to": [firsts[i - 1][0] for i in range(len(firsts))]}
+        to = docs.sparkSession.range(len(firsts)).select(*(F.get(F.array(*(F.lit(x) for x in v)), F.col("id").cast("int")).alias(c) for c, v in columns.items()))
         guests = both.join(F.broadcast(to), (F.col("__key") == F.col("__k")) & (F.col("__tie") == F.col("__t")))
         both = both.unionByName(guests.withColumns({"__range": F.col("__to"), "__guest": F.lit(1)}).drop("__k", "__t", "__to"))
     return both, Window.partitionBy("__range").orderBy("__guest", "__key", "__tie")
