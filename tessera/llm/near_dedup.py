@@ -232,7 +232,10 @@ def near_duplicates(
         shared_entries.select("key", "rep", "n", "company").join(families, "rep", "left").withColumn("family", F.coalesce("family", "rep"))
     )
     few = _crossing(placed.where(F.col("company") <= short), fits)
-    sets = full.join(crowded, "rep", "left_semi")
+    # a long list of one family connects nothing that the family's blocks don't
+    long_ = placed.where(F.col("company") > short)
+    crossing = long_.groupBy("key").agg(F.min("family").alias("lo"), F.max("family").alias("hi")).where("lo < hi").select("key")
+    sets = full.join(long_.join(crossing, "key", "left_semi").select("rep").distinct(), "rep", "left_semi")
     counts = sets.select("shingles").mapInArrow(_counts, "key long, count long").groupBy("key").agg(F.sum("count").alias("count"))
     common = counts.where("count > 1").orderBy(F.desc("count"), "key").limit(RANKED).select("key").toArrow()  # at most RANKED rows
     common = common.column("key").to_numpy()[::-1]
