@@ -47,7 +47,7 @@ class PartMemory:
         self.tokenizer, self.most = Tokenizer.from_file(path), most
         self.model = self.tokenizer.model
         #: Texts that hold one of these strings go to the tokenizer whole: it cuts them out before anything else.
-        self.added = re.compile("|".join(re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()) or r"(?!)", re.IGNORECASE)
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.clear()
 
     def clear(self) -> None:
@@ -134,7 +134,7 @@ def token_ids(memory: PartMemory, texts: pa.Array) -> list[np.ndarray]:
     out: list = [None] * len(texts)
     whole, odd = [], []
     for i, t in enumerate(texts.to_pylist()):
-        if t and memory.added.search(t):
+        if t and any(a in t for a in memory.added):
             whole.append(i)
             out[i] = np.array(memory.tokenizer.encode(t, add_special_tokens=False).ids, np.uint32)
         elif t and not t.isascii() and _OTHER_SIGNS.search(t):
