@@ -136,5 +136,19 @@ SELECT page_id, host, path, rule,
 FROM judged
 """
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_line_dedup, op3_toxicity, op4_near_duplicates, op5_ppm_scores, op6_winnowing, op7_png_columns, op8_importance_resampling, op9_sentencepiece, op10_url_filter)}
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.runs import periodic_runs, with_loops
+
+    out = periodic_runs(with_loops(_table(spark, sf_dir, "documents").select("doc_id", "text")))
+    longest = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period"))))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))), "")
+    found = out.select("doc_id", F.size("runs").cast("long").alias("n_runs"), longest.alias("top"), F.sha2(lines, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+    length, period = F.col("top.length"), -F.col("top.period")
+    return found.select(
+        "doc_id", "n_runs", (-F.col("top.start")).alias("start"), length.alias("length"), period.alias("period"),
+        F.floor(1000 * length / period).alias("exponent_milli"), "runs_sha256", "collapsed_sha256",
+    )
+
+
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_line_dedup, op3_toxicity, op4_near_duplicates, op5_ppm_scores, op6_winnowing, op7_png_columns, op8_importance_resampling, op9_sentencepiece, op10_url_filter, op13_periodic_runs)}
 ORACLES = {"op2_line_dedup": OP2_SQL, "op10_url_filter": OP10_SQL}

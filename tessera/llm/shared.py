@@ -17,6 +17,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BLANKS = " \t\n\x0b\f\r"
@@ -220,22 +221,56 @@ def lists(values: np.ndarray, bounds: np.ndarray, kind: pa.DataType | None = Non
     return pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(values, kind))
 
 
+# ------------------------------------------------------------------ columns of callers
+def quoted(name: str) -> Column:
+    """The column of exactly this name, dots and backticks included."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """Names like these that no column of ``df`` has, in any case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def others(df: DataFrame, *names: str) -> list[str]:
+    """The columns of ``df`` but those of these names, in any case."""
+    new = {x.lower() for x in names}
+    return [c for c in df.columns if c.lower() not in new]
+
+
+def valid_text(c: Column) -> Column:
+    """A text whose bytes that aren't UTF-8 are U+FFFD: what Python can decode."""
+    return F.make_valid_utf8(c)
+
+
 def with_text_columns(docs: DataFrame, text_col: str, extra: str, compute) -> DataFrame:
     """``docs`` with more columns, computed from runs of texts; no row is shuffled.
 
-    ``extra`` is their schema; columns of these names are replaced.  ``compute`` takes bytes and bounds of some texts
-    and returns a list of Arrow arrays.
+    ``extra`` is their schema; columns of these names, in any case, are replaced.  ``compute`` takes bytes and bounds of some
+    texts and returns a list of Arrow arrays.  Bytes that aren't UTF-8 are U+FFFD, in the text that stays as well.
     """
-    names = [x.split()[0] for x in extra.split(", ")]
-    kept = [c for c in docs.columns if c not in names]
-    at = kept.index(text_col)
-    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept) + ", " + extra
+    added = StructType.fromDDL(extra)
+    kept = others(docs, *added.names)
+    if text_col.lower() not in (c.lower() for c in kept):
+        raise ValueError(f"{text_col} is the name of a new column")
+    at = [c.lower() for c in kept].index(text_col.lower())
+    rows = docs.select(*(valid_text(quoted(c)).alias(c) if i == at else quoted(c) for i, c in enumerate(kept)))
+    # by number: names may be those that Arrow's own tables use, and the caller's types stay
+    plain = rows.toDF(*(f"c{i}" for i in range(len(kept))))
+    schema = StructType([*plain.schema.fields, *(StructField(f"n{i}", f.dataType) for i, f in enumerate(added.fields))])
+    names = schema.names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, bounds = text_bytes(batch.column(at))
             for lo, hi, part, cut in chunks(data, bounds):
-                yield pa.RecordBatch.from_arrays([*batch.slice(lo, hi - lo).columns, *compute(part, cut)], [*kept, *names])
+                yield pa.RecordBatch.from_arrays([*batch.slice(lo, hi - lo).columns, *compute(part, cut)], names)
 
     small_batches(docs.sparkSession)
-    return docs.select(*(F.col(f"`{c}`") for c in kept)).mapInArrow(frugal(run), schema)
+    return plain.mapInArrow(frugal(run), schema).toDF(*kept, *added.names)
