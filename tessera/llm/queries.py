@@ -136,6 +136,19 @@ SELECT page_id, host, path, rule,
 FROM judged
 """
 
+def op12_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.license_scan import scan_licenses
+
+    out = scan_licenses(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    base, own = F.array_sort(F.array_distinct("places.label")), F.col("spans.label")
+    starts = F.col("places.start")
+    return out.select(
+        "doc_id", "n_words", F.size("places").cast("long").alias("n_base"), F.array_min(starts).alias("first_word"), F.array_max(starts).alias("last_word"),
+        F.array_join(base, ",").alias("base_labels"), F.array_join(F.array_sort(F.array_union(base, own)), ",").alias("labels"),
+        F.when(F.size("places") > 0, 1.0).otherwise(F.coalesce(F.array_max("spans.share"), F.lit(0.0))).alias("score"),
+    )
+
+
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.runs import periodic_runs, with_loops
 
@@ -150,5 +163,5 @@ def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_line_dedup, op3_toxicity, op4_near_duplicates, op5_ppm_scores, op6_winnowing, op7_png_columns, op8_importance_resampling, op9_sentencepiece, op10_url_filter, op13_periodic_runs)}
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_line_dedup, op3_toxicity, op4_near_duplicates, op5_ppm_scores, op6_winnowing, op7_png_columns, op8_importance_resampling, op9_sentencepiece, op10_url_filter, op12_license_scan, op13_periodic_runs)}
 ORACLES = {"op2_line_dedup": OP2_SQL, "op10_url_filter": OP10_SQL}
