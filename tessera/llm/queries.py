@@ -136,6 +136,17 @@ SELECT page_id, host, path, rule,
 FROM judged
 """
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.conversations import damaged, repair
+
+    turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    found = repair(damaged(turns)).conversations
+    ids = turns.select("conv_id").distinct()
+    zero = {c: F.coalesce(c, F.lit(0).cast("long")) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")}
+    out = ids.join(found.withColumnRenamed("conv_id", "found"), F.col("conv_id").eqNullSafe(F.col("found")), "left").drop("found")
+    return out.withColumns(zero | {"audit": F.coalesce("audit", F.lit("")), "repaired_sha256": F.coalesce("repaired_sha256", F.sha2(F.lit("").cast("binary"), 256))})
+
+
 def op12_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.license_scan import scan_licenses
 
@@ -163,5 +174,5 @@ def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_line_dedup, op3_toxicity, op4_near_duplicates, op5_ppm_scores, op6_winnowing, op7_png_columns, op8_importance_resampling, op9_sentencepiece, op10_url_filter, op12_license_scan, op13_periodic_runs)}
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_line_dedup, op3_toxicity, op4_near_duplicates, op5_ppm_scores, op6_winnowing, op7_png_columns, op8_importance_resampling, op9_sentencepiece, op10_url_filter, op11_conversation_repair, op12_license_scan, op13_periodic_runs)}
 ORACLES = {"op2_line_dedup": OP2_SQL, "op10_url_filter": OP10_SQL}
