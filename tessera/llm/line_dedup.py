@@ -20,6 +20,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tessera.llm import shared
 
@@ -88,13 +89,13 @@ class Shard:
         self.marks, self.docs = np.frombuffer(row["fingerprints"], np.int64), np.frombuffer(row["documents"], np.int64)
         self.counts = np.frombuffer(row["counts"], np.int64)
 
-    def keeper(self, h1: np.ndarray, h2: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Which keys are frequent, and the document that keeps each of those."""
+    def keeper(self, h1: np.ndarray, h2: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Which keys are frequent, the document that keeps each of those, and how many documents hold it."""
         if not len(self.marks):
-            return np.zeros(len(h1), bool), np.zeros(len(h1), np.int64)
+            return np.zeros(len(h1), bool), np.zeros(len(h1), np.int64), np.zeros(len(h1), np.int64)
         at = self.hash(h1.view(np.uint64), h2.view(np.uint64))
         known = (at >= 0) & (self.marks[at] == h2)
-        return known, self.docs[at]
+        return known, self.docs[at], self.counts[at]
 
 
 INDEX = "shard long, keys long, hash binary, fingerprints binary, counts binary, documents binary"
@@ -115,7 +116,7 @@ def _lines(text: bytes, min_chars: int) -> tuple[list[bytes], list[int], list[by
     for i, line in enumerate(lines):
         if len(line) >= min_chars:
             key = line.strip().lower()
-            if len(key) >= min_chars and (key.isascii() or len(key.decode("utf-8", "surrogatepass")) >= min_chars):
+            if len(key) >= min_chars and (key.isascii() or len(key.decode()) >= min_chars):
                 at.append(i)
                 keys.append(xxhash.xxh3_128_digest(key))
     return lines, at, keys
@@ -131,7 +132,7 @@ def _line_hashes(min_chars: int):
         for batch in batches:
             ids, keys = [], []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                own = dict.fromkeys(_lines((text.as_py() or "").encode("utf-8", "surrogatepass"), min_chars)[2])
+                own = dict.fromkeys(_lines((text.as_py() or "").encode(), min_chars)[2])
                 ids += [doc] * len(own)
                 keys += own
             h1, h2 = _hashes(keys)
@@ -143,37 +144,43 @@ def _line_hashes(min_chars: int):
 def drop_frequent_lines(
     docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 40, min_docs: int = 5, shard_keys: int = 1 << 16, broadcast_bytes: int = 32 << 20
 ) -> DataFrame:
-    """``docs`` with frequent lines dropped from ``text_col``, and with columns ``n_lines`` (before) and ``n_dropped``.
-
-    Columns of these two names are replaced; all others stay.  A null text is one empty line and becomes an empty text.
-    Rows that repeat an id count as one document.  Rows with a null id aren't counted and lose nothing.  Two lines
-    are the same when 128-bit hashes of their keys are; a line whose key isn't frequent is taken for a frequent one only if
-    it lands on its place and has its 64-bit fingerprint.  Of equal lines in the document that keeps them all stay.
-    An empty table gives an empty result.
+    """``docs`` with frequent lines dropped from ``text_col``, and with columns ``n_lines`` (before), ``n_dropped`` and ``most_docs``, the
+    number of documents that hold the most frequent of its dropped lines (0 if none is dropped).
+
+    Columns of these three names, in any case, are replaced; all others stay.  A null text is one empty line and becomes an
+    empty text; bytes that aren't UTF-8 become U+FFFD.  Rows that repeat an id count as one document.  Rows with a null id
+    aren't counted and lose nothing.  Two lines are the same when 128-bit hashes of their keys are; a line whose key
+    isn't frequent is taken for a frequent one only if it lands on its place and has its 64-bit fingerprint.  Of equal lines
+    in the document that keeps them all stay.  An empty table gives an empty result.
     """
     spark = docs.sparkSession
     shared.small_batches(spark)
     scratch = shared.Scratch(spark, "lines")
-    found = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(_line_hashes(min_chars), "doc long, h1 long, h2 long")
+    new = ("n_lines", "n_dropped", "most_docs")
+    kept = shared.others(docs, text_col, *new)
+    # by number: the caller's names may be anything
+    rows = docs.select(
+        *(shared.quoted(f).alias(f"c{i}") for i, f in enumerate(kept)), shared.valid_text(shared.quoted(text_col)).alias("text"), shared.quoted(id_col).cast("long").alias("id")
+    )
+    found = rows.where(F.col("id").isNotNull()).select("id", "text").mapInArrow(_line_hashes(min_chars), "doc long, h1 long, h2 long")
     by_doc = found.groupBy("h1", "h2", "doc").agg(F.lit(1).alias("one"))
     frequent = scratch.table(by_doc.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.max("doc").alias("doc")).where(F.col("n") >= min_docs))
     shards = max(1, -(-frequent.count() // shard_keys))
     shard = F.pmod("h1", F.lit(shards)).alias("shard")
     index = scratch.table(frequent.select(shard, "*").groupBy("shard").applyInArrow(_build, INDEX))
     size = index.agg(F.coalesce(F.sum(F.octet_length("hash") + 24 * F.col("keys")), F.lit(0))).first()[0]
-    kept = [f for f in docs.columns if f not in ("n_lines", "n_dropped", text_col)]
-    out = ", ".join(f"`{f}` {docs.schema[f].dataType.simpleString()}" for f in kept)
-    schema = f"{out}, `{text_col}` string, n_lines long, n_dropped long"
-    rows = docs.select(*(F.col(f"`{f}`") for f in kept), F.col(f"`{text_col}`"), F.col(f"`{id_col}`").cast("long").alias("__id"))
+    schema = StructType([*rows.schema.fields[: len(kept)], *StructType.fromDDL("text string, n_lines long, n_dropped long, most_docs long").fields])
     if size <= broadcast_bytes:
         held = spark.sparkContext.broadcast([r.asDict() for r in index.orderBy("shard").collect()])
-        return rows.mapInArrow(_prune(min_chars, held, shards), schema)
-    hits = _hits(spark, found, index, shards)
-    return rows.join(hits, rows["__id"] == hits["doc"], "left").drop("doc").mapInArrow(_prune(min_chars, None, shards), schema)
+        out = rows.mapInArrow(_prune(min_chars, held, shards, schema.names), schema)
+    else:
+        hits = _hits(found, index, shards)
+        out = rows.join(hits, rows["id"] == hits["doc"], "left").drop("doc").mapInArrow(_prune(min_chars, None, shards, schema.names), schema)
+    return out.toDF(*kept, text_col, *new)
 
 
-def _hits(spark, found: DataFrame, index: DataFrame, shards: int, most: int = 1 << 20) -> DataFrame:
-    """(doc, hits): the keys of a document whose lines go, as pairs of halves, found shard by shard."""
+def _hits(found: DataFrame, index: DataFrame, shards: int, most: int = 1 << 20) -> DataFrame:
+    """(doc, hits): the keys of a document whose lines go, as pairs of halves with their counts, found shard by shard."""
     keyed = found.select("doc", "h1", "h2", F.pmod("h1", F.lit(shards)).alias("shard"))
     parts = keyed.groupBy("shard").agg(F.ceil(F.count("*") / most).cast("int").alias("parts"))
     dealt = keyed.join(parts, "shard").withColumn("part", F.pmod(F.xxhash64("doc"), F.col("parts"))).drop("parts")
@@ -181,50 +188,52 @@ def _hits(spark, found: DataFrame, index: DataFrame, shards: int, most: int = 1
 
     def probe(left: pa.Table, right: pa.Table) -> pa.Table:
         doc, h1, h2 = (left.column(c).to_numpy() for c in ("doc", "h1", "h2"))
-        gone = np.zeros(len(doc), bool)
+        gone, held = np.zeros(len(doc), bool), np.zeros(len(doc), np.int64)
         for row in right.to_pylist():
-            known, keeper = Shard(row).keeper(h1, h2)
-            gone |= known & (keeper != doc)
-        return pa.table({"doc": doc[gone], "h1": h1[gone], "h2": h2[gone]})
+            known, keeper, counts = Shard(row).keeper(h1, h2)
+            mine = known & (keeper != doc)
+            gone |= mine
+            held[mine] = counts[mine]
+        return pa.table({"doc": doc[gone], "h1": h1[gone], "h2": h2[gone], "n": held[gone]})
 
-    hit = dealt.groupBy("shard", "part").cogroup(copies.groupBy("shard", "part")).applyInArrow(probe, "doc long, h1 long, h2 long")
-    return hit.groupBy("doc").agg(F.collect_set(F.struct("h1", "h2")).alias("hits"))
+    hit = dealt.groupBy("shard", "part").cogroup(copies.groupBy("shard", "part")).applyInArrow(probe, "doc long, h1 long, h2 long, n long")
+    return hit.groupBy("doc").agg(F.collect_set(F.struct("h1", "h2", "n")).alias("hits"))
 
 
-def _prune(min_chars: int, held, shards: int):
-    """Drops lines: by probing the shards in ``held``, or by the column ``hits``."""
+def _prune(min_chars: int, held, shards: int, names: list[str]):
+    """Drops lines: by probing the shards in ``held``, or by the column ``hits``.  Batches end with text, id and perhaps hits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = [(r["shard"], Shard(r)) for r in held.value] if held else None
         for batch in batches:
-            names = batch.schema.names
-            kept = [batch.column(i) for i, f in enumerate(names) if f not in ("__id", "hits")][:-1]
-            text = batch.column(len(kept))
-            ids = batch.column(names.index("__id"))
-            split = [_lines((t.as_py() or "").encode("utf-8", "surrogatepass"), min_chars) for t in text]
+            kept = batch.columns[: len(names) - 4]
+            text, ids = batch.columns[len(kept) : len(kept) + 2]
+            split = [_lines((t.as_py() or "").encode(), min_chars) for t in text]
             owner = np.repeat(np.arange(len(split)), [len(s[1]) for s in split])
             h1, h2 = _hashes([k for s in split for k in s[2]])
-            gone = np.zeros(len(h1), bool)
+            gone, counts = np.zeros(len(h1), bool), np.zeros(len(h1), np.int64)
             none = ids.is_null().to_numpy(zero_copy_only=False)
             own = ids.fill_null(0).to_numpy()
             if index is not None:
                 at = np.mod(h1, shards)
                 for k, shard in index:
                     mine = np.flatnonzero(at == k)
-                    known, keeper = shard.keeper(h1[mine], h2[mine])
+                    known, keeper, counts[mine] = shard.keeper(h1[mine], h2[mine])
                     gone[mine] = known & (keeper != own[owner[mine]]) & ~none[owner[mine]]
             else:
-                lost = [{(y["h1"], y["h2"]) for y in x or ()} for x in batch.column(names.index("hits")).to_pylist()]
-                gone[:] = [h in lost[i] for i, h in zip(owner.tolist(), zip(h1.tolist(), h2.tolist(), strict=True), strict=True)]
-            texts, dropped, at = [], [], 0
+                lost = [{(y["h1"], y["h2"]): y["n"] for y in x or ()} for x in batch.columns[-1].to_pylist()]
+                for j, (i, h) in enumerate(zip(owner.tolist(), zip(h1.tolist(), h2.tolist(), strict=True), strict=True)):
+                    counts[j] = lost[i].get(h, 0)
+                gone = counts > 0
+            texts, dropped, most, at = [], [], np.zeros(len(split), np.int64), 0
+            np.maximum.at(most, owner[gone], counts[gone])
             for lines, numbers, _ in split:
                 out = {i for i, g in zip(numbers, gone[at : at + len(numbers)], strict=True) if g}
                 at += len(numbers)
                 dropped.append(len(out))
                 texts.append(b"\n".join(x for i, x in enumerate(lines) if i not in out) if out else b"\n".join(lines))
             yield pa.RecordBatch.from_arrays(
-                [*kept, pa.array(texts, pa.binary()).cast(pa.string()), pa.array([len(s[0]) for s in split], pa.int64()), pa.array(dropped, pa.int64())],
-                [*(f for f in names if f not in ("__id", "hits")), "n_lines", "n_dropped"],
+                [*kept, pa.array(texts, pa.binary()).cast(pa.string()), pa.array([len(s[0]) for s in split], pa.int64()), pa.array(dropped, pa.int64()), pa.array(most)], names
             )
 
     return shared.frugal(run)

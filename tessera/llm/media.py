@@ -4,14 +4,12 @@ from __future__ import annotations
 
 import struct
 import zlib
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from tessera.llm.shared import frugal, small_batches
+from tessera.llm import shared
 
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
 GRID, LOW = 32, 8
@@ -123,39 +121,27 @@ def _payload(text: bytes, width: int) -> np.ndarray:
 def to_media(docs: DataFrame, *, text_col: str = "text", width: int = 64) -> DataFrame:
     """``docs`` with binary column ``media``: the text's UTF-8 bytes, zeros up to whole rows, as a PNG; ``n_bytes`` unpadded.
 
-    A null or empty text is one row of zeros.  Columns of these names are replaced, ``text_col`` and others stay.
+    A null or empty text is one row of zeros; bytes that aren't UTF-8 become U+FFFD.  Columns of these names, in any case, are
+    replaced, ``text_col`` and others stay.
     Repeated rows and rows without an id are stored like others.  An empty table gives an empty result.
     """
-    kept = [c for c in docs.columns if c not in ("media", "n_bytes")]
-    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept) + ", n_bytes long, media binary"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lo in range(0, len(batch), 512):
-                part = batch.slice(lo, 512)
-                texts = [(t or "").encode() for t in part.column(kept.index(text_col)).to_pylist()]
-                media = [encode_png(_payload(t, width)) for t in texts]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array([len(t) for t in texts], pa.int64()), pa.array(media, pa.binary())], [*kept, "n_bytes", "media"])
+    def stored(texts: list[str | None]) -> list[pa.Array]:
+        raw = [(t or "").encode() for t in texts]
+        return [pa.array([len(t) for t in raw], pa.int64()), pa.array([encode_png(_payload(t, width)) for t in raw], pa.binary())]
 
-    small_batches(docs.sparkSession)
-    return docs.select(*(F.col(f"`{c}`") for c in kept)).mapInArrow(frugal(run), schema)
+    return shared.with_columns(docs, text_col, "n_bytes long, media binary", shared.by_rows(stored, 512), text=True)
 
 
 def read_media(frame: DataFrame, *, media_col: str = "media") -> DataFrame:
     """``frame`` with binary columns ``payload`` (the samples read back) and ``feature`` (the cosine hash).
 
-    A null medium gives nulls; a damaged one (wrong signature, checksum or filter) stops the job.  Columns of these names
-    are replaced, others and repeated rows stay.  An empty table gives an empty result.
+    A null medium gives nulls; a damaged one (wrong signature, checksum or filter) stops the job.  Columns of these names,
+    in any case, are replaced, others and repeated rows stay.  An empty table gives an empty result.
     """
-    kept = [c for c in frame.columns if c not in ("payload", "feature")]
-    schema = ", ".join(f"`{c}` {frame.schema[c].dataType.simpleString()}" for c in kept) + ", payload binary, feature binary"
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lo in range(0, len(batch), 512):
-                part = batch.slice(lo, 512)
-                images = [None if m is None else decode_png(m) for m in part.column(kept.index(media_col)).to_pylist()]
-                payloads, features = ([None if x is None else f(x) for x in images] for f in (np.ndarray.tobytes, cosine_hash))
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(payloads, pa.binary()), pa.array(features, pa.binary())], [*kept, "payload", "feature"])
-
-    return frame.select(*(F.col(f"`{c}`") for c in kept)).mapInArrow(frugal(run), schema)
+
+    def read(media: list[bytes | None]) -> list[pa.Array]:
+        images = [None if m is None else decode_png(m) for m in media]
+        return [pa.array([None if x is None else f(x) for x in images], pa.binary()) for f in (np.ndarray.tobytes, cosine_hash)]
+
+    return shared.with_columns(frame, media_col, "payload binary, feature binary", shared.by_rows(read, 512))

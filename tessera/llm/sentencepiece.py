@@ -16,7 +16,6 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from tessera.llm import shared
 
@@ -171,38 +170,25 @@ def decoder(model_file: str) -> Decoder:
 def encode(docs: DataFrame, model_file: str, *, text_col: str = "text", parity: bool = False, threads: int = 2) -> DataFrame:
     """``docs`` with ``ids`` (array<int>) and, with ``parity``, ``parity``: the original library gives the same ids.
 
-    Null and empty texts have no ids.  Columns of these names are replaced, all others and repeated rows stay.  An
+    Null and empty texts have no ids; bytes that aren't UTF-8 become U+FFFD.  Columns of these names, in any case, are replaced, all others and repeated rows stay.  An
     empty table gives an empty result.
     """
-    kept = [c for c in docs.columns if c not in ("ids", "parity")]
-    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept) + ", ids array<int>" + ", parity boolean" * parity
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = encoder(model_file, parity, threads)
-        for batch in batches:
-            for lo in range(0, len(batch), 128):
-                part = batch.slice(lo, 128)
-                ids, same = own.encode([t or "" for t in part.column(kept.index(text_col)).to_pylist()])
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(ids, pa.list_(pa.int32())), *([pa.array(same, pa.bool_())] if parity else [])], [*kept, "ids", *(["parity"] if parity else [])])
+    def encoded(texts: list[str | None]) -> list[pa.Array]:
+        ids, same = encoder(model_file, parity, threads).encode([t or "" for t in texts])
+        return [pa.array(ids, pa.list_(pa.int32())), *([pa.array(same, pa.bool_())] if parity else [])]
 
-    shared.small_batches(docs.sparkSession)
-    return docs.select(*(F.col(f"`{c}`") for c in kept)).mapInArrow(shared.frugal(run), schema)
+    return shared.with_columns(docs, text_col, "ids array<int>" + ", parity boolean" * parity, shared.by_rows(encoded, 128), text=True)
 
 
 def decode(frame: DataFrame, model_file: str, *, ids_col: str = "ids", into: str = "decoded") -> DataFrame:
     """``frame`` with the string column ``into``: the text of ``ids_col``.  Null ids give null, no ids the empty text.
 
-    A column of that name is replaced, others and repeated rows stay.  An empty table gives an empty result.
+    A column of that name, in any case, is replaced, others and repeated rows stay.  An empty table gives an empty result.
     """
-    kept = [c for c in frame.columns if c != into]
-    schema = ", ".join(f"`{c}` {frame.schema[c].dataType.simpleString()}" for c in kept) + f", `{into}` string"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def decoded(ids: list) -> list[pa.Array]:
         own = decoder(model_file)
-        for batch in batches:
-            for lo in range(0, len(batch), 512):
-                part = batch.slice(lo, 512)
-                texts = [None if x is None else own.decode(x) for x in part.column(kept.index(ids_col)).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], [*kept, into])
+        return [pa.array([None if x is None else own.decode(x) for x in ids], pa.string())]
 
-    return frame.select(*(F.col(f"`{c}`") for c in kept)).mapInArrow(shared.frugal(run), schema)
+    return shared.with_columns(frame, ids_col, f"`{into}` string", shared.by_rows(decoded, 512))

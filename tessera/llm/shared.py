@@ -249,28 +249,49 @@ def valid_text(c: Column) -> Column:
     return F.make_valid_utf8(c)
 
 
-def with_text_columns(docs: DataFrame, text_col: str, extra: str, compute) -> DataFrame:
-    """``docs`` with more columns, computed from runs of texts; no row is shuffled.
+def with_columns(df: DataFrame, source: str, extra: str, compute: Callable[[pa.RecordBatch, pa.Array], Iterator[tuple[pa.RecordBatch, list[pa.Array]]]], *, text: bool = False) -> DataFrame:
+    """``df`` with more columns, computed from its column ``source``; no row is shuffled.
 
-    ``extra`` is their schema; columns of these names, in any case, are replaced.  ``compute`` takes bytes and bounds of some
-    texts and returns a list of Arrow arrays.  Bytes that aren't UTF-8 are U+FFFD, in the text that stays as well.
+    ``extra`` is their schema; columns of these names, in any case, are replaced.  ``compute`` takes a batch and its
+    ``source`` and gives parts of the batch with their new columns.  With ``text``, bytes of ``source`` that aren't UTF-8 are
+    U+FFFD, in what stays of it as well.
     """
     added = StructType.fromDDL(extra)
-    kept = others(docs, *added.names)
-    if text_col.lower() not in (c.lower() for c in kept):
-        raise ValueError(f"{text_col} is the name of a new column")
-    at = [c.lower() for c in kept].index(text_col.lower())
-    rows = docs.select(*(valid_text(quoted(c)).alias(c) if i == at else quoted(c) for i, c in enumerate(kept)))
-    # by number: names may be those that Arrow's own tables use, and the caller's types stay
-    plain = rows.toDF(*(f"c{i}" for i in range(len(kept))))
+    kept = others(df, *added.names)
+    small = [c.lower() for c in kept]
+    if source.lower() not in small:
+        raise ValueError(f"{source} is no column, or has the name of a new one")
+    at = small.index(source.lower())
+    # by number: the caller's names may be anything
+    plain = df.select(*((valid_text(quoted(c)) if text and i == at else quoted(c)).alias(f"c{i}") for i, c in enumerate(kept)))
     schema = StructType([*plain.schema.fields, *(StructField(f"n{i}", f.dataType) for i, f in enumerate(added.fields))])
     names = schema.names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, bounds = text_bytes(batch.column(at))
-            for lo, hi, part, cut in chunks(data, bounds):
-                yield pa.RecordBatch.from_arrays([*batch.slice(lo, hi - lo).columns, *compute(part, cut)], names)
+            for part, made in compute(batch, batch.column(at)):
+                yield pa.RecordBatch.from_arrays([*part.columns, *made], names)
 
-    small_batches(docs.sparkSession)
+    small_batches(df.sparkSession)
     return plain.mapInArrow(frugal(run), schema).toDF(*kept, *added.names)
+
+
+def by_rows(compute: Callable[[list], list[pa.Array]], step: int) -> Callable[[pa.RecordBatch, pa.Array], Iterator[tuple[pa.RecordBatch, list[pa.Array]]]]:
+    """For ``with_columns``: ``step`` rows at a time, as Python values."""
+
+    def parts(batch: pa.RecordBatch, column: pa.Array) -> Iterator[tuple[pa.RecordBatch, list[pa.Array]]]:
+        for lo in range(0, len(batch), step):
+            yield batch.slice(lo, step), compute(column.slice(lo, step).to_pylist())
+
+    return parts
+
+
+def with_text_columns(docs: DataFrame, text_col: str, extra: str, compute: Callable[[np.ndarray, np.ndarray], list[pa.Array]]) -> DataFrame:
+    """The same for texts, as bytes and bounds of about CHUNK bytes; a null text is empty."""
+
+    def parts(batch: pa.RecordBatch, column: pa.Array) -> Iterator[tuple[pa.RecordBatch, list[pa.Array]]]:
+        data, bounds = text_bytes(column)
+        for lo, hi, part, cut in chunks(data, bounds):
+            yield batch.slice(lo, hi - lo), compute(part, cut)
+
+    return with_columns(docs, text_col, extra, parts, text=True)

@@ -8,6 +8,7 @@ rules, and only those run their expressions; the fitting rule of the longest tex
 from __future__ import annotations
 
 import re
+import zlib
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -64,37 +65,51 @@ def judge(pages: DataFrame, rules: list[Rule], *, fallback: list[Rule] | None =
 
     ``fallback`` rules give verdicts, but no ``rule``, to URLs that no rule fits; ``default`` goes to the rest.  Of rules
     of equal length the first in alphabetic order decides.  Null URLs and those without ``://`` have an empty host and
-    path.  Columns of the new names are replaced, others and repeated rows stay.  An empty table gives an empty result.
-    Up to ``inline`` rules the index is a literal and no row is shuffled; more rules are joined by token.
+    path.  Columns of the new names, in any case, are replaced, others and repeated rows stay.  An empty table gives an empty result.
+    Up to ``inline`` rules the index is a literal array of buckets and no row is shuffled; more rules are joined by token.
     """
     every = [(r, 1) for r in rules] + [(r, 0) for r in (fallback or [])]
-    kept = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict")]
-    rows = pages.select(*(F.col(f"`{c}`") for c in kept), host(F.col(f"`{url_col}`")).alias("host"), path(F.col(f"`{url_col}`")).alias("path"))
+    new = ("host", "path", "rule", "verdict")
+    kept = shared.others(pages, *new)
+    site_, tokens_, best_, row_ = shared.unused(pages, "site", "tokens", "best", "row")
+    rows = pages.select(*(shared.quoted(c) for c in kept), host(shared.quoted(url_col)).alias("host"), path(shared.quoted(url_col)).alias("path"))
     if not every:
         return rows.withColumns({"rule": F.lit(None).cast("string"), "verdict": F.lit(default)})
-    site = F.concat("host", "path")
-    tokens = F.array_distinct(F.filter(F.split(site, TOKEN), lambda t: t != ""))
-    index = _by_rarest_token(rows.select(tokens.alias("tokens")), every)
-    best = lambda r: F.struct(r["own"].alias("own"), r["length"].alias("length"), r["order"].alias("order"), r["text"].alias("text"), r["verdict"].alias("verdict"))
+    rows = rows.withColumn(site_, F.concat("host", "path"))
+    rows = rows.withColumn(tokens_, F.array_distinct(F.filter(F.split(shared.quoted(site_), TOKEN), lambda t: t != "")))
+    index = _by_rarest_token(rows.select(F.col(tokens_).alias("tokens")), every)
+    order = ("own", "length", "order", "text", "verdict")
     if len(every) <= inline:
-        # one test for each indexing token; only the rules of the tokens that the URL has run their expressions
-        groups = [
-            F.when(
-                F.lit(token == "") | F.array_contains("__tokens", token),
-                F.filter(F.array(*(F.when(F.col("__site").rlike(r["pattern"]), F.struct(*(F.lit(r[k]).alias(k) for k in ("own", "length", "order", "text", "verdict")))) for r in group)), lambda r: r.isNotNull()),
-            ).otherwise(F.array().cast("array<struct<own:int,length:int,order:int,text:string,verdict:string>>"))
-            for token, group in index.items()
-        ]
-        found = rows.withColumns({"__site": site, "__tokens": tokens}).withColumn("__best", F.array_max(F.concat(*groups))).drop("__site", "__tokens")
+        fetched = _fetched(index, F.col(tokens_))
+        fits = F.filter(fetched, lambda r: F.rlike(F.col(site_), r["pattern"]))
+        found = rows.withColumn(best_, F.array_max(F.transform(fits, lambda r: F.struct(*(r[k].alias(k) for k in order))))).drop(site_, tokens_)
     else:
-        flat = [(t, r["pattern"], r["own"], r["length"], r["order"], r["text"], r["verdict"]) for t, g in index.items() for r in g]
+        flat = [(t, r["pattern"], *(r[k] for k in order)) for t, g in index.items() for r in g]
         table = pages.sparkSession.createDataFrame(flat, "token string, pattern string, own int, length int, `order` int, text string, verdict string")
         # numbered once: a second evaluation may number rows in another order
-        keyed = shared.Scratch(pages.sparkSession, "urls").table(rows.withColumn("__row", F.monotonically_increasing_id()))
-        fetched = keyed.select("__row", site.alias("site"), F.explode(F.array_union(tokens, F.array(F.lit("")))).alias("token")).join(table, "token").where(F.expr("site rlike pattern"))
-        chosen = fetched.groupBy("__row").agg(F.max(best({k: F.col(f"`{k}`") for k in ("own", "length", "order", "text", "verdict")})).alias("__best"))
-        found = keyed.join(chosen, "__row", "left").drop("__row")
-    return found.withColumns({"rule": F.when(F.col("__best.own") == 1, F.col("__best.text")), "verdict": F.coalesce(F.col("__best.verdict"), F.lit(default))}).drop("__best")
+        keyed = shared.Scratch(pages.sparkSession, "urls").table(rows.withColumn(row_, F.monotonically_increasing_id()))
+        asked = keyed.select(F.col(row_).alias("row"), F.col(site_).alias("site"), F.explode(F.array_union(tokens_, F.array(F.lit("")))).alias("token"))
+        fits = asked.join(table, "token").where(F.expr("site rlike pattern"))
+        chosen = fits.groupBy("row").agg(F.max(F.struct(*(F.col(f"`{k}`").alias(k) for k in order))).alias(best_)).withColumnRenamed("row", row_)
+        found = keyed.join(chosen, row_, "left").drop(row_, site_, tokens_)
+    best = F.col(best_)
+    out = found.withColumns({"rule": F.when(best["own"] == 1, best["text"]), "verdict": F.coalesce(best["verdict"], F.lit(default))}).drop(best_)
+    return out.select(*(shared.quoted(c) for c in (*kept, *new)))
+
+
+def _fetched(index: dict[str, list[dict]], tokens: Column) -> Column:
+    """The rules whose indexing token is one of ``tokens``: each token looks into one bucket of a literal array."""
+    size = 1 << max(3, (4 * len(index) - 1).bit_length())
+    shown = lambda token, r: F.struct(F.lit(token).alias("token"), *(F.lit(r[k]).alias(k) for k in ("pattern", "own", "length", "order", "text", "verdict")))
+    held: list[list[Column]] = [[] for _ in range(size)]
+    for token, group in index.items():
+        if token:
+            held[zlib.crc32(token.encode()) % size] += [shown(token, r) for r in group]
+    kind = "array<struct<token:string,pattern:string,own:int,length:int,order:int,text:string,verdict:string>>"
+    buckets = F.array(*(F.array(*b).cast(kind) if b else F.array().cast(kind) for b in held))
+    by_token = F.flatten(F.transform(tokens, lambda t: F.filter(F.get(buckets, (F.crc32(t.cast("binary")) % size).cast("int")), lambda r: r["token"] == t)))
+    without = index.get("")
+    return F.concat(by_token, F.array(*(shown("", r) for r in without)).cast(kind)) if without else by_token
 
 
 def _by_rarest_token(tokens: DataFrame, rules: list[tuple[Rule, int]]) -> dict[str, list[dict]]:

@@ -111,8 +111,8 @@ def test_keys_of_equal_halves_are_kept_apart():
     h2 = np.array([1, 2, -3, 1, 1], np.int64)
     doc = np.arange(10, 15)
     row = line_dedup._build(shared.pa.table({"shard": np.zeros(5, np.int64), "h1": h1, "h2": h2, "n": np.full(5, 6), "doc": doc})).to_pylist()[0]
-    known, keeper = line_dedup.Shard(row).keeper(h1, h2)
-    assert known.all() and keeper.tolist() == doc.tolist()
+    known, keeper, counts = line_dedup.Shard(row).keeper(h1, h2)
+    assert known.all() and keeper.tolist() == doc.tolist() and counts.tolist() == [6] * 5
     assert not line_dedup.Shard(row).keeper(np.array([7, 9]), np.array([5, 2]))[0].any()
 
 
@@ -132,8 +132,9 @@ def test_frequent_lines(spark, corpus, broadcast):
         lines = (t or "").split("\n")
         kept = [x for x in lines if i is None or len(docs[key(x)]) < 5 or max(docs[key(x)]) == i]
         want[i, "\n".join(kept), len(lines), len(lines) - len(kept)] += 1
-    assert Counter((r.doc_id, r.text, r.n_lines, r.n_dropped) for r in out.collect()) == want
-    assert any(d for *_, d in want)
+    got = out.collect()
+    assert Counter((r.doc_id, r.text, r.n_lines, r.n_dropped) for r in got) == want
+    assert any(d for *_, d in want) and {r.most_docs for r in got if r.n_dropped == 0} == {0} and {r.most_docs for r in got if 400 <= (r.doc_id or 0) < 406} == {7}
 
 
 # ------------------------------------------------------------------ 3 toxicity, 8 quality
