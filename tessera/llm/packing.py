@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import bisect
 import functools
+import json
 import os
 import re
 from collections.abc import Iterator
@@ -33,11 +34,28 @@ PART_CLASS[ord("'")] = 1
 _OTHER_SIGNS = re.compile(r"[^\x00-\x7f\w]")
 
 
+#: The steps before the model for which ids of parts are ids of texts: blanks are dropped, the case is lowered, letters,
+#: digits and signs are cut apart.
+_NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+_CUT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_PRE_TOKENIZER = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": _CUT}, "behavior": "Removed", "invert": True}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
+    ],
+}
+
+
+def by_parts(tokenizer) -> bool:
+    """Whether a tokenizer's ids of a text are those of its parts; others encode whole texts."""
+    steps = json.loads(tokenizer.to_str())
+    return steps["normalizer"] == _NORMALIZER and steps["pre_tokenizer"] == _PRE_TOKENIZER and steps["model"]["type"] == "BPE" and not steps["model"]["dropout"]
+
+
 class PartMemory:
     """A worker's memory of the ids of distinct parts of texts, by their bytes.
 
-    Exact for tokenizers that lower the case, drop blanks and cut letters, digits and signs (as the BPE with word ends).
-    More than ``most`` parts empty it, which costs time only.
+    More than ``most`` parts empty it, which costs time only.  Tokenizers that don't work by parts encode whole texts.
     """
 
     def __init__(self, path: str, most: int = 1 << 18):
@@ -45,6 +63,7 @@ class PartMemory:
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks fill the cores
         self.tokenizer, self.most = Tokenizer.from_file(path), most
+        self.exact = by_parts(self.tokenizer)
         self.model = self.tokenizer.model
         #: Texts that hold one of these strings go to the tokenizer whole: it cuts them out before anything else.
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
@@ -129,47 +148,65 @@ def word_memory(path: str) -> PartMemory:
     return PartMemory(path)
 
 
-def token_ids(memory: PartMemory, texts: pa.Array) -> list[np.ndarray]:
-    """The ids of each text; a null one has none."""
-    out: list = [None] * len(texts)
-    whole, odd = [], []
-    for i, t in enumerate(texts.to_pylist()):
-        if t and any(a in t for a in memory.added):
-            whole.append(i)
-            out[i] = np.array(memory.tokenizer.encode(t, add_special_tokens=False).ids, np.uint32)
-        elif t and not t.isascii() and _OTHER_SIGNS.search(t):
-            odd.append(i)
-    usual = np.setdiff1d(np.arange(len(texts)), whole + odd)
+def token_ids(memory: PartMemory, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All ids of some texts and where each text's begin; a null one has none."""
+    data, cut = shared.text_bytes(texts)
+    raw, n = data.tobytes(), len(texts)
+    apart: dict[int, np.ndarray] = {}
+    if not memory.exact or any(a.encode() in raw for a in memory.added):
+        for i in range(n):
+            t = raw[cut[i] : cut[i + 1]].decode()
+            if t and (not memory.exact or any(a in t for a in memory.added)):
+                apart[i] = np.array(memory.tokenizer.encode(t, add_special_tokens=False).ids, np.uint32)
+    beyond = np.concatenate([[0], np.cumsum(data > 127)])
+    odd = [i for i in np.flatnonzero(np.diff(beyond[cut])).tolist() if i not in apart and _OTHER_SIGNS.search(raw[cut[i] : cut[i + 1]].decode())]
     if odd:
-        ids, bounds = memory.of_parts([texts[i].as_py().encode().lower().split() for i in odd])  # at \x20 and \x09-\x0D
-        for k, i in enumerate(odd):
-            out[i] = ids[bounds[k] : bounds[k + 1]]
+        ids, bounds = memory.of_parts([raw[cut[i] : cut[i + 1]].lower().split() for i in odd])  # at \x20 and \x09-\x0D
+        apart |= {i: ids[bounds[k] : bounds[k + 1]] for k, i in enumerate(odd)}
+    if not apart:
+        return memory.of_tokens(shared.FOLD[data], cut)
+    usual = np.setdiff1d(np.arange(n), list(apart))
     data, cut = shared.text_bytes(texts.take(pa.array(usual)))
-    for lo, _, part, at in shared.chunks(shared.FOLD[data], cut, 4 * shared.CHUNK):
-        ids, bounds = memory.of_tokens(part, at)
-        for k in range(len(bounds) - 1):
-            out[usual[lo + k]] = ids[bounds[k] : bounds[k + 1]]
-    return out
+    ids, bounds = memory.of_tokens(shared.FOLD[data], cut)
+    own = [ids[:0]] * n
+    for k, i in enumerate(usual.tolist()):
+        own[i] = ids[bounds[k] : bounds[k + 1]]
+    for i, x in apart.items():
+        own[i] = x
+    return np.concatenate([ids[:0], *own]), np.concatenate([[0], np.cumsum([len(x) for x in own])]).astype(np.int64)
+
+
+def _cut(ids: np.ndarray, bounds: np.ndarray, capacity: int, end: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, pa.Array]:
+    """Pieces of texts with their ends: the text, the piece's number, its start, its length, and its ids as bytes."""
+    ids = np.insert(ids, bounds[1:], end).astype("<u4")
+    size = np.diff(bounds) + 1
+    pieces = -(-size // capacity)
+    text = np.repeat(np.arange(len(size)), pieces)
+    piece = np.arange(len(text)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+    start = piece * capacity
+    length = np.minimum(size[text] - start, capacity)
+    at = np.concatenate([[0], 4 * np.cumsum(length)])
+    return text, piece, start, length, pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(text), [None, pa.py_buffer(at.astype(np.int64)), pa.py_buffer(ids)]).cast(pa.binary())
 
 
 def _pieces(path: str, capacity: int, end: int):
-    last = np.uint32(end).astype("<u4").tobytes()
+    names = [x.split()[0] for x in PIECES.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memory, ranks, task = word_memory(path), np.zeros(capacity + 1, np.int64), TaskContext.get().partitionId()
         for batch in batches:
-            for lo in range(0, len(batch), 512):
-                part = batch.slice(lo, 512)
-                rows: list[tuple] = []
-                for doc, ids in zip(part.column(0).to_pylist(), token_ids(memory, part.column(1)), strict=True):
-                    whole = ids.astype("<u4").tobytes() + last
-                    for piece, start in enumerate(range(0, len(whole) // 4, capacity)):
-                        own = whole[4 * start : 4 * (start + capacity)]
-                        length = len(own) // 4
-                        rows.append((doc, piece, start, length, own, task, int(ranks[length])))
-                        ranks[length] += 1
-                kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], [x.split()[0] for x in PIECES.split(", ")])
+            _, bounds = shared.text_bytes(batch.column(1))
+            for lo, hi, _, _ in shared.chunks(np.zeros(0, np.uint8), bounds, 2 * shared.CHUNK):
+                part = batch.slice(lo, hi - lo)
+                text, piece, start, length, ids = _cut(*token_ids(memory, part.column(1)), capacity, end)
+                by = np.argsort(length, kind="stable")
+                rank = np.empty(len(by), np.int64)
+                own = length[by]
+                rank[by] = np.arange(len(by)) - np.searchsorted(own, own) + ranks[own]
+                ranks += np.bincount(length, minlength=capacity + 1)
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0).take(pa.array(text)), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length), ids, pa.array(np.full(len(text), task, np.int32)), pa.array(rank)], names
+                )
 
     return shared.frugal(run)
 
@@ -218,14 +255,15 @@ def pack(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", text_col: s
 
     ``ids`` holds the piece's ids as little-endian unsigned 32-bit numbers.  Each text ends with the id ``end``, so a
     null or empty text is a piece of one token.  Longer texts are cut into pieces of ``capacity`` ids; the last may be
-    shorter.  Rows that repeat an id, and rows with a null id, are packed like others.  Strings of the tokenizer's added
+    shorter.  Bytes that aren't UTF-8 become U+FFFD.  Any file of the tokenizers library will do: one that works by parts
+    (``by_parts``) remembers them, others encode whole texts.  Rows that repeat an id, and rows with a null id, are packed like others.  Strings of the tokenizer's added
     tokens become those tokens, as in the library.  Parts of a chunk of text are grouped by 64-bit hashes.  Other columns
     are ignored.  An empty table gives no pieces.
     """
     spark = docs.sparkSession
     scratch = shared.Scratch(spark, "pack")
     shared.small_batches(spark)
-    pieces = scratch.table(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(_pieces(tokenizer, capacity, end), PIECES))
+    pieces = scratch.table(docs.select(shared.quoted(id_col).cast("long").alias("doc_id"), shared.valid_text(shared.quoted(text_col)).alias("text")).mapInArrow(_pieces(tokenizer, capacity, end), PIECES))
     counts = scratch.table(pieces.groupBy("task", "length").agg(F.count("*").alias("n")))
     before = F.coalesce(F.sum("n").over(Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     earlier = counts.select("task", "length", before.alias("before"))

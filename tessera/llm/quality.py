@@ -1,7 +1,8 @@
 """Quality by importance resampling.
 
 Two bags of hashed words and word pairs (a word beside itself is one pair for all words) describe the target texts (labelled as good) and the raw corpus (all texts).  A
-text's log importance weight is the sum, over its n-grams, of the log ratio of the two.  Gumbel noise is added to the
+text's log importance weight is the mean, over its n-grams, of the log ratio of the two: sums of long texts lie hundreds apart
+and would leave nothing to chance.  Gumbel noise is added to the
 weight over the temperature, and the k largest sums are the sample: that is sampling k documents without replacement, each draw with
 probabilities in proportion to weight ** (1 / temperature).  The k-th largest key is found exactly, by counting its
 leading bits, and never by sorting or collecting documents.
@@ -60,7 +61,7 @@ def _weights(docs: DataFrame, text_col: str, ratio: np.ndarray) -> DataFrame:
     def compute(data: np.ndarray, bounds: np.ndarray) -> list[pa.Array]:
         grams, cut = _grams(data, bounds)
         total = np.concatenate([[0.0], np.cumsum(ratio[grams])])
-        return [pa.array(np.diff(cut).astype(np.int64)), pa.array(np.round(total[cut[1:]] - total[cut[:-1]], 9))]
+        return [pa.array(np.diff(cut).astype(np.int64)), pa.array(np.round((total[cut[1:]] - total[cut[:-1]]) / np.maximum(np.diff(cut), 1), 9))]
 
     return shared.with_text_columns(docs, text_col, "n_grams long, log_weight double", compute)
 
@@ -80,7 +81,7 @@ def _left_out(raw: np.ndarray, target: np.ndarray, alpha: float):
                     own, times = np.unique(grams[a:b], return_counts=True)
                     less = times if flags[lo + k] == 1 else 0
                     left = target.sum() - (b - a if flags[lo + k] == 1 else 0)
-                    weights.append(float(times @ (np.log((target[own] - less + alpha) / (left + alpha * BUCKETS)) - base[own])))
+                    weights.append(float(times @ (np.log((target[own] - less + alpha) / (left + alpha * BUCKETS)) - base[own])) / max(b - a, 1))
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(weights, pa.float64())], ["doc_id", "flag", "w"])
 
     return shared.frugal(run)
@@ -119,24 +120,26 @@ def kth_largest(keys: DataFrame, column: str, k: int) -> int | None:
 
 
 def importance_resample(
-    docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", flag: str = "quality", k: int | float | None = None, temperature: float = 1.0, max_labelled: int = 20_000, seed: int = 7, alpha: float = 1.0
+    docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", flag: str = "quality", k: int | float | None = None, temperature: float = 0.1, max_labelled: int = 20_000, seed: int = 7, alpha: float = 1.0
 ) -> DataFrame:
     """``docs`` with columns n_grams, log_weight, gumbel_key and selected; those of these names are replaced.
 
     ``k`` documents are selected: a number of rows, a share of them (a float), or None for as many as the labels let expect to be good:
     the share of good labelled texts in each of 64 bins of log weights, each taken without the text itself in the target's
-    model, times the bin's documents.  A high
-    ``temperature`` samples evenly, a low one takes the largest weights.
+    model, times the bin's documents.  A high ``temperature`` samples evenly, a low one takes the largest weights; it is on the
+    scale of ``log_weight``, the mean log ratio of a text's n-grams.
 
     The target texts are those of at most ``max_labelled`` labelled rows; counts of the raw corpus cover all documents.
-    Null and empty texts have no n-grams and the log weight 0.  Rows that repeat an id and a text have the same noise and so
+    Null and empty texts have no n-grams and the log weight 0.  Bytes that aren't UTF-8 become U+FFFD.  New columns replace
+    those of their names in any case.  Rows that repeat an id and a text have the same noise and so
     the same key; documents of equal keys (to a millionth) are selected together, and only they can exceed ``k``.  Null ids are
     unlabelled.  Without labels of both kinds everything is selected, unless ``k`` is given.  An empty table gives an empty result.
     """
     spark = docs.sparkSession
     scratch = shared.Scratch(spark, "quality")
     shared.small_batches(spark)
-    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    own = docs.select(shared.quoted(id_col).cast("long").alias("doc_id"), shared.valid_text(shared.quoted(text_col)).alias("text"))
+    docs = docs.select(*(shared.valid_text(shared.quoted(c)).alias(c) if c.lower() == text_col.lower() else shared.quoted(c) for c in shared.others(docs, "gumbel_key", "selected")))
     sample = labelled_sample(labels, flag, max_labelled)
     good = np.array(sorted(r.doc_id for r in sample if r.flag == 1), np.int64)
     counted = own.mapInArrow(_counts(good), "bucket long, raw long, target long")
@@ -148,9 +151,10 @@ def importance_resample(
     micro = (F.col("gumbel_key") * 1e6).cast("long")
 
     def scored(frame: DataFrame, row_id: str, text: str) -> DataFrame:
-        # the noise belongs to the id and the text
-        uniform = (F.pmod(F.xxhash64(F.lit(seed), F.col(f"`{row_id}`").cast("long"), F.when(F.col(f"`{row_id}`").isNull(), F.col(f"`{text}`"))), F.lit(1 << 52)) + 0.5) / float(1 << 52)
-        return _weights(frame.withColumn("__noise", -F.log(-F.log(uniform))), text, ratio).withColumn("gumbel_key", F.col("log_weight") / temperature + F.col("__noise")).drop("__noise")
+        # the noise belongs to the id and the text, so that rows that repeat both are taken together
+        uniform = (F.pmod(F.xxhash64(F.lit(seed), shared.quoted(row_id).cast("long"), shared.quoted(text)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
+        noise = shared.unused(frame, "noise")[0]
+        return _weights(frame.withColumn(noise, -F.log(-F.log(uniform))), text, ratio).withColumn("gumbel_key", F.col("log_weight") / temperature + F.col(noise)).drop(noise)
 
     small = scratch.table(scored(own, "doc_id", "text").select("doc_id", "log_weight", micro.alias("key")))
     if isinstance(k, float):

@@ -67,12 +67,12 @@ def test_plan_is_best_fit():
     assert len(placed) == len(rooms)
 
 
-@pytest.mark.parametrize("broadcast", [64 << 20, 0])
-def test_packing(spark, corpus, broadcast):
+@pytest.mark.parametrize(("broadcast", "file"), [(64 << 20, "word_bpe_49k.json"), (0, "word_bpe_49k.json"), (64 << 20, "byte_bpe_50k.json")])
+def test_packing(spark, corpus, broadcast, file):
     P = pytest.importorskip("public_tokenizers")
     from tokenizers import Tokenizer
 
-    path = P.path("word_bpe_49k.json")
+    path = P.path(file)
     out = packing.pack(table(spark, corpus), path, capacity=64, broadcast_bytes=broadcast).collect()
     t = Tokenizer.from_file(path)
     want = Counter()
@@ -95,7 +95,8 @@ def test_words_are_encoded_as_in_their_texts():
     t = Tokenizer.from_file(P.path("word_bpe_49k.json"))
     memory = packing.PartMemory(P.path("word_bpe_49k.json"), most=5)  # forgets in between
     for _ in range(2):
-        assert [g.tolist() for g in packing.token_ids(memory, pa.array(texts))] == [t.encode(x or "", add_special_tokens=False).ids for x in texts]
+        ids, bounds = packing.token_ids(memory, pa.array(texts))
+        assert [ids[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:], strict=True)] == [t.encode(x or "", add_special_tokens=False).ids for x in texts]
 
 
 # ------------------------------------------------------------------ 2 line dedup
@@ -240,7 +241,7 @@ def test_weights_by_brute_force(spark):
     raw, target = Counter(x for _, t in docs for x in grams(t)), Counter(x for i, t in docs if i in (0, 2) for x in grams(t))
     share = lambda c, x: np.log((c[x] + 1) / (sum(c.values()) + quality.BUCKETS))
     for i, t in docs:
-        assert out[i].n_grams == len(grams(t)) and abs(out[i].log_weight - sum(share(target, x) - share(raw, x) for x in grams(t))) < 1e-6
+        assert out[i].n_grams == len(grams(t)) and abs(out[i].log_weight - sum(share(target, x) - share(raw, x) for x in grams(t)) / max(len(grams(t)), 1)) < 1e-6
 
 
 def test_inclusion_follows_the_weights(spark):
@@ -251,7 +252,7 @@ def test_inclusion_follows_the_weights(spark):
     weight = {r.doc_id: r.log_weight for r in quality.importance_resample(one, labels, k=1).collect()}
     hot = max(weight.values()) - min(weight.values())
     for seed in range(runs):  # the noise alone depends on the seed; keys are recomputed here as in the operator
-        u = {r.doc_id: r.u for r in one.select("doc_id", ((F.pmod(F.xxhash64(F.lit(seed), "doc_id", F.lit(None).cast("string")), F.lit(1 << 52)) + 0.5) / float(1 << 52)).alias("u")).collect()}
+        u = {r.doc_id: r.u for r in one.select("doc_id", ((F.pmod(F.xxhash64(F.lit(seed), "doc_id", "text"), F.lit(1 << 52)) + 0.5) / float(1 << 52)).alias("u")).collect()}
         seen[max(u, key=lambda i: weight[i] / hot - np.log(-np.log(u[i])))] += 1
     p = {i: np.exp(w / hot) for i, w in weight.items()}
     for i in p:
@@ -265,6 +266,23 @@ def test_inclusion_follows_the_weights(spark):
     assert sum(r.selected for r in quality.importance_resample(one, labels, k=50).collect()) == 5 and not any(r.selected for r in quality.importance_resample(one, labels, k=0).collect())
 
 
+def test_resampling_of_the_given_table(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    rows = {seed: quality.importance_resample(docs.select("doc_id", "text"), labels, seed=seed).drop("text").collect() for seed in range(1, 9)}
+    taken = {seed: frozenset(r.doc_id for r in own if r.selected) for seed, own in rows.items()}
+    sizes = {len(x) for x in taken.values()}
+    assert len(sizes) == 1 and len(set(taken.values())) > 4  # graded, not a threshold
+    good = {r.doc_id: r.quality for r in labels.collect()}
+    for own in taken.values():
+        assert sum(q == 1 and i not in own for i, q in good.items()) <= 1 and sum(q == 0 and i in own for i, q in good.items()) <= 2
+    # the sure ones are always in or out, and inclusion rises with the weight
+    often = Counter(i for own in taken.values() for i in own)
+    by_weight = sorted(rows[1], key=lambda r: r.log_weight)
+    edge = len(by_weight) - sizes.pop()
+    rate = [np.mean([often[r.doc_id] for r in by_weight[max(0, lo) : lo + 12]]) for lo in (edge - 60, edge - 12, edge, edge + 48)]
+    assert rate[0] <= 1 and rate[3] >= 7.5 and rate == sorted(rate)
+
+
 def test_resampling_of_odd_rows(spark):
     docs, labels, _ = labelled(spark, 120)
     labels = labels.unionByName(spark.createDataFrame([(None, 1, 1), (5, None, None)], labels.schema))
