@@ -58,7 +58,7 @@ class PartMemory:
     More than ``most`` parts empty it, which costs time only.  Tokenizers that don't work by parts encode whole texts.
     """
 
-    def __init__(self, path: str, most: int = 1 << 18):
+    def __init__(self, path: str, most: int = 1 << 19):
         from tokenizers import Tokenizer
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks fill the cores
@@ -196,7 +196,7 @@ def _pieces(path: str, capacity: int, end: int):
         memory, ranks, task = word_memory(path), np.zeros(capacity + 1, np.int64), TaskContext.get().partitionId()
         for batch in batches:
             _, bounds = shared.text_bytes(batch.column(1))
-            for lo, hi, _, _ in shared.chunks(np.zeros(0, np.uint8), bounds, 2 * shared.CHUNK):
+            for lo, hi, _, _ in shared.chunks(np.zeros(0, np.uint8), bounds, 4 * shared.CHUNK):
                 part = batch.slice(lo, hi - lo)
                 text, piece, start, length, ids = _cut(*token_ids(memory, part.column(1)), capacity, end)
                 by = np.argsort(length, kind="stable")
