@@ -18,6 +18,8 @@ from tessera.llm import shared
 from tessera.llm.quality import labelled_sample
 
 BUCKETS = 1 << 20
+#: The least log likelihood ratio of a feature: luck gives as much to one bucket of 16,000.
+SURE = 16.0
 
 
 def _features(data: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -28,30 +30,25 @@ def _features(data: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[np.ndarray
         yield (own >> np.uint64(44)).astype(np.int64), row
 
 
-def n_words(data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """Words and runs of signs of each text."""
-    return np.diff(shared.token_hashes(data, bounds, shared.PUNCT_CLASS)[1])
-
-
 def _presence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(bucket, t, c): in how many toxic and other texts of a partition each bucket occurs."""
-    seen = np.zeros((2, BUCKETS), np.int32)
+    """(bucket, t0, c0, t1, c1): in how many toxic and other texts of each half of a partition each bucket occurs."""
+    seen = np.zeros((4, BUCKETS), np.int32)
     for batch in batches:
-        flag = batch.column(1).to_numpy()
+        kind_of = 2 * batch.column(2).to_numpy() + (batch.column(1).to_numpy() != 1)
         data, bounds = shared.text_bytes(batch.column(0))
         for lo, _, part, at in shared.chunks(data, bounds):
             found = np.unique(np.concatenate([(row << 20) | bucket for bucket, row in _features(part, at)]))
-            toxic = flag[lo + (found >> 20)] == 1
-            for kind, own in ((1, found[toxic]), (0, found[~toxic])):
-                seen[kind] += np.bincount(own & (BUCKETS - 1), minlength=BUCKETS).astype(np.int32)
+            kinds = kind_of[lo + (found >> 20)]
+            for kind in range(4):
+                seen[kind] += np.bincount(found[kinds == kind] & (BUCKETS - 1), minlength=BUCKETS).astype(np.int32)
     some = np.flatnonzero(seen.any(0))
     for lo in range(0, len(some), 1 << 17):
         own = some[lo : lo + (1 << 17)]
-        yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(seen[1, own].astype(np.int64)), pa.array(seen[0, own].astype(np.int64))], ["bucket", "t", "c"])
+        yield pa.RecordBatch.from_arrays([pa.array(own), *(pa.array(x[own].astype(np.int64)) for x in seen)], ["bucket", "t0", "c0", "t1", "c1"])
 
 
 def _chosen(buckets: np.ndarray):
-    """(doc_id, flag, words, columns, times): the chosen features of each text, as packed 16-bit numbers."""
+    """(doc_id, flag, columns): the chosen features of each text, as packed 16-bit numbers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place = np.full(BUCKETS, -1, np.int32)
@@ -63,11 +60,11 @@ def _chosen(buckets: np.ndarray):
                 for bucket, row in _features(part, at):
                     column = place[bucket]
                     codes.append((row[column >= 0] << 20) | column[column >= 0])
-                code, times = np.unique(np.concatenate(codes), return_counts=True)
+                code = np.unique(np.concatenate(codes))
                 cut = np.searchsorted(code >> 20, np.arange(hi - lo + 1)).tolist()
-                columns, times = (code & (BUCKETS - 1)).astype("<u2"), np.minimum(times, 65535).astype("<u2")
-                packed = ([x[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)] for x in (columns, times))
-                yield pa.RecordBatch.from_arrays([*batch.slice(lo, hi - lo).columns[:2], pa.array(n_words(part, at)), *(pa.array(x, pa.binary()) for x in packed)], ["doc_id", "flag", "words", "columns", "times"])
+                columns = (code & (BUCKETS - 1)).astype("<u2")
+                packed = [columns[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays([*batch.slice(lo, hi - lo).columns[:2], pa.array(packed, pa.binary())], ["doc_id", "flag", "columns"])
 
     return run
 
@@ -117,6 +114,13 @@ class OrdinalModel:
         return cls(buckets, p[:d], p[d] + np.concatenate([[0.0], np.cumsum(np.exp(np.clip(p[d + 1 :], -8, 8)))]))
 
 
+def _marks(t: np.ndarray, c: np.ndarray, nt: int, nc: int) -> np.ndarray:
+    """Which features almost only toxic texts have, by their numbers of texts; those in ten toxic texts or more, if there are any."""
+    almost = t * nc > 20 * c * nt
+    often = almost & (t >= 10)
+    return often if often.any() else almost
+
+
 def grades_by_load(load: np.ndarray, toxic: np.ndarray, grades: int) -> np.ndarray:
     """0 for other texts; 1 to ``grades`` for toxic ones by load, cut at equal shares, texts of equal load together."""
     cuts = np.quantile(load[toxic], np.arange(1, grades) / grades)
@@ -126,10 +130,13 @@ def grades_by_load(load: np.ndarray, toxic: np.ndarray, grades: int) -> np.ndarr
 def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", flag: str = "toxic", grades: int = 3, max_labelled: int = 20_000, features: int = 1024, least: int = 5) -> OrdinalModel | None:
     """Fits on at most ``max_labelled`` labelled ids; None where labels of both kinds aren't there.
 
-    The ``features`` buckets whose shares in toxic and other texts differ most, among those in ``least`` texts or more, are
-    features; buckets of equal difference are taken by number.  Labels only say whether a text is toxic.  Toxic texts get
-    grades 1 to ``grades`` by their load: the share of their words that have features which almost only toxic texts
-    have.  So grades say how dense such words are, not how long a text is, and lean on the labels that chose them.
+    At most ``features`` buckets are features: those in ``least`` texts or more whose log likelihood ratio between toxic and other
+    texts is at least SURE, which few buckets reach by luck; at least the best 16.  Buckets of equal
+    ratio are taken by number.  Labels only say whether a text is toxic.  Toxic texts get
+    grades 1 to ``grades`` by their load: how many different features they have that almost only toxic texts have.  It grows with
+    what the model sees, so one weight vector can serve all grades (a share of words would grade long texts down, which
+    presence can't tell).  Which features those are is decided on one half of the labelled texts (by a hash of the id) for
+    the other half, so that no label decides on the grade of its own text.
 
     Labels without an id or a flag don't count; of several flags of an id the least holds, of several texts of an id the
     last in alphabetic order.  Null and empty texts are texts without features.  Columns besides id, text and flag are
@@ -138,31 +145,37 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     spark = docs.sparkSession
     chosen_ids = labelled_sample(labels, flag, max_labelled)
     known = spark.createDataFrame([(r.doc_id, r.flag) for r in chosen_ids], "doc_id long, flag int")  # ``max_labelled`` rows at most
-    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    own = docs.select(shared.quoted(id_col).cast("long").alias("doc_id"), F.coalesce(shared.quoted(text_col), F.lit("")).alias("text"))
     scratch = shared.Scratch(spark, "toxic")
     shared.small_batches(spark)
-    table = scratch.table(own.join(F.broadcast(known), "doc_id").groupBy("doc_id", "flag").agg(F.max("text").alias("text")))
-    by = table.select("text", "flag").mapInArrow(shared.frugal(_presence), "bucket long, t long, c long").groupBy("bucket").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
-    sizes = {r.flag: r["count"] for r in table.groupBy("flag").count().collect()}
-    nt, nc = sizes.get(1, 0), sizes.get(0, 0)
+    held = scratch.table(own.join(F.broadcast(known), "doc_id").groupBy("doc_id", "flag").agg(F.max("text").alias("text")))
+    table = held.withColumn("half", F.pmod(F.xxhash64(F.lit(3), "doc_id"), F.lit(2)).cast("int"))
+    counted = table.select("text", "flag", "half").mapInArrow(shared.frugal(_presence), "bucket long, t0 long, c0 long, t1 long, c1 long")
+    by = counted.groupBy("bucket").agg(*(F.sum(c).alias(c) for c in ("t0", "c0", "t1", "c1")))
+    sizes = {(r.half, r.flag): r["count"] for r in table.groupBy("half", "flag").count().collect()}
+    n_t, n_c = ([sizes.get((half, flag), 0) for half in (0, 1)] for flag in (1, 0))
+    nt, nc = sum(n_t), sum(n_c)
     if not nt or not nc:
         return None
-    # squared standardised difference of the two shares
-    rate, pooled = F.col("t") / nt - F.col("c") / nc, (F.col("t") + F.col("c")) / (nt + nc)
-    best = by.where(F.col("t") + F.col("c") >= least).select("bucket", "t", "c", (rate * rate / (pooled * (1.0001 - pooled))).alias("z")).orderBy(F.desc("z"), "bucket").limit(features).collect()
+    t, c = F.col("t0") + F.col("t1"), F.col("c0") + F.col("c1")
+    part = lambda k, n, p: F.when(k > 0, k * F.log(k / (n * p))).otherwise(0.0)
+    p = (t + c) / (nt + nc)
+    ratio = 2 * (part(t, nt, p) + part(nt - t, nt, 1 - p) + part(c, nc, p) + part(nc - c, nc, 1 - p))
+    best = by.where(t + c >= least).select("*", F.round(ratio, 9).alias("z")).orderBy(F.desc("z"), "bucket").limit(features).collect()
+    best = best[: max(16, sum(r.z >= SURE for r in best))]
     best.sort(key=lambda r: r.bucket)
     buckets = np.array([r.bucket for r in best], np.int64)
-    almost = np.array([r.t * nc > 20 * r.c * nt for r in best], bool)
-    often = almost & np.array([r.t >= 20 for r in best], bool)
-    marked = often if often.any() else almost
-    rows = table.select("doc_id", "flag", "text").mapInArrow(shared.frugal(_chosen(buckets)), "doc_id long, flag int, words long, columns binary, times binary").toArrow()  # a row for each sampled id
+    marked = np.stack([_marks(np.array([r[f"t{half}"] for r in best]), np.array([r[f"c{half}"] for r in best]), n_t[half], n_c[half]) for half in (0, 1)])
+    halves = {r.doc_id: r.half for r in table.select("doc_id", "half").collect()}  # sampled ids
+    rows = table.select("doc_id", "flag", "text").mapInArrow(shared.frugal(_chosen(buckets)), "doc_id long, flag int, columns binary").toArrow()  # a row for each sampled id
     order = np.argsort(rows.column("doc_id").to_numpy())
     toxic = rows.column("flag").to_numpy()[order] == 1
-    columns, times = ([np.frombuffer(x, "<u2") for x in rows.column(c).take(pa.array(order)).to_pylist()] for c in ("columns", "times"))
-    scratch.drop(table)
+    columns = [np.frombuffer(x, "<u2") for x in rows.column("columns").take(pa.array(order)).to_pylist()]
+    scratch.drop(held)
     row = np.repeat(np.arange(len(columns)), [len(x) for x in columns])
-    column, times = np.concatenate(columns).astype(np.int64), np.concatenate(times)
-    load = np.bincount(row, marked[column] * times, len(columns)) / np.maximum(rows.column("words").to_numpy()[order], 1)
+    column = np.concatenate(columns).astype(np.int64)
+    other = 1 - np.array([halves[i] for i in np.sort(rows.column("doc_id").to_numpy()).tolist()], np.int64)
+    load = np.bincount(row, marked[other[row], column], len(columns))
     return OrdinalModel.fit(buckets, row, column, grades_by_load(load, toxic, grades), grades)
 
 

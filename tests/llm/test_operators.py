@@ -197,19 +197,41 @@ def test_features_and_grades_by_brute_force(spark):
     nt, nc = sum(toxic.values()), len(toxic) - sum(toxic.values())
     count = Counter((x, toxic[i]) for i, p in parts.items() for x in set(p))
     z = {}
+    part = lambda k, n, p: k * np.log(k / (n * p)) if k else 0.0
     for x in {x for x, _ in count}:
         t, c = count[x, 1], count[x, 0]
         if t + c >= 3:
-            pooled = (t + c) / (nt + nc)
-            z[x] = (t / nt - c / nc) ** 2 / (pooled * (1.0001 - pooled))
-    best = sorted(z.values(), reverse=True)[:40]
-    assert len(model.buckets) == 40 and z["nasty"] >= best[-1] and z["vile"] >= best[-1]
+            p = (t + c) / (nt + nc)
+            z[x] = 2 * (part(t, nt, p) + part(nt - t, nt, 1 - p) + part(c, nc, p) + part(nc - c, nc, 1 - p))
+    best = sorted(z.values(), reverse=True)
+    assert len(model.buckets) == max(16, sum(x >= toxicity.SURE for x in best)) and z["nasty"] >= best[15] and z["vile"] >= best[15]
     h = shared.token_hashes(np.frombuffer(b"nasty vile", np.uint8), np.array([0, 10]), shared.PUNCT_CLASS)[0]
     assert np.isin((h >> np.uint64(44)).astype(np.int64), model.buckets).all()
     load, flag = np.array([0.1, 0.5, 0.2, 0.9, 0.2, 0.0]), np.array([True, True, True, True, True, False])
     assert toxicity.grades_by_load(load, flag, 2).tolist() == [1, 2, 1, 2, 1, 0]
 
 
+def test_severity_held_out_and_by_brute_force(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    fold = F.pmod(F.xxhash64(F.lit(9), "doc_id"), F.lit(4))
+    model = toxicity.fit(docs, labels.where(fold != 0))
+    out = {r.doc_id: r for r in toxicity.severity(docs, model).collect()}
+    held = [(r.doc_id, r.toxic) for r in labels.where(fold == 0).collect()]
+    toxic = [out[i].toxic for i, t in held if t == 1]
+    assert np.mean(toxic) >= 0.75 and np.mean([out[i].toxic for i, t in held if t == 0]) <= 0.005 and len(toxic) >= 50
+    known = dict(zip(model.buckets.tolist(), model.weights.tolist(), strict=True))
+
+    def bucket(word, head=None):
+        data = np.frombuffer(word.encode(), np.uint8)
+        return int(shared.token_hashes(data, np.array([0, len(data)]), shared.PUNCT_CLASS, heads=(4, 5))[0 if head is None else head - 2][0] >> np.uint64(44))
+
+    for i in list(out)[:200]:
+        found = {bucket(w, head) for w in re.findall(r"[a-zA-Z0-9\x80-\U0010ffff]+|[^\sa-zA-Z0-9\x80-\U0010ffff]+", out[i].text) for head in (None, 4, 5)}
+        score = sum(known.get(b, 0.0) for b in found)
+        above = [1 / (1 + np.exp(-(score - c))) for c in model.cuts]
+        assert abs(out[i].severity - sum(above)) < 1e-5 and out[i].grade == sum(a >= 0.5 for a in above)
+
+
 def test_severity_of_odd_rows(spark):
     docs, labels, _ = labelled(spark, 120)
     labels = labels.unionByName(spark.createDataFrame([(None, 1, 1), (5, None, None), (6, 1, 1), (6, 0, 0)], labels.schema))
