@@ -150,15 +150,6 @@ def growth(x: Column, over=None) -> Column:
     return F.when(w(F.count(x)) > 0, F.when(w(F.count_if(factor == 0)) > 0, 0.0).otherwise(sign * F.coalesce(size, F.lit(1.0))))
 
 
-def ema(x: Column, n: int, least: int | None = None) -> Column:
-    """Exponential mean of weight 2 / (n + 1), folded over the values so far; missing ones leave it as it is.  NULL before
-    ``least`` values (1 by default).  Every row holds its history: for instruments of some thousand dates."""
-    a = 2.0 / (n + 1)
-    held = F.array_agg(x).over(by_date().rowsBetween(Window.unboundedPreceding, 0))
-    value = F.aggregate(held, F.lit(None).cast("double"), lambda s, v: F.coalesce(s + a * (v - s), v))
-    return F.when(F.size(held) >= (least or 1), value)
-
-
 def running_total(x: Column) -> Column:
     return F.sum(x).over(by_date().rowsBetween(Window.unboundedPreceding, 0))
 

@@ -5,12 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import ts, xs
 from tessera.functions.guard import ratio
+from tessera.operators.indicators import indicators, kama  # noqa: F401
 from tessera.sources.panel import KEYS
 
 
@@ -171,85 +171,6 @@ def summary(panel: DataFrame, columns: list[str]) -> DataFrame:
     return long.groupBy("factor").agg(F.count("value").alias("present"), F.count_distinct("instrument").alias("instruments"), F.min("value").alias("low"), F.max("value").alias("high"), F.avg("value").alias("mean"))
 
 
-def _by_instrument(panel: DataFrame, run: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
-    """A recursion over an instrument's rows (thousands at most: one for each date), in date order."""
-    return panel.groupBy("instrument").applyInPandas(lambda p: run(p.sort_values("datetime")), schema)
-
-
-def kama(panel: DataFrame, column: str, window: int, fast: int, slow: int) -> DataFrame:
-    """(datetime, instrument, kama): an average whose weight follows the share of net in total movement."""
-
-    def run(p: pd.DataFrame) -> pd.DataFrame:
-        x = p[column].astype(float)
-        net, path = (x - x.shift(window)).abs(), x.diff().abs().rolling(window).sum()
-        weight = ((net / path.where(path > 0)).fillna(0) * (2 / (fast + 1) - 2 / (slow + 1)) + 2 / (slow + 1)) ** 2
-        out, state = [], None
-        for value, ready, w in zip(x, net.notna(), weight, strict=True):
-            if pd.isna(value):
-                out.append(None)
-                continue
-            state = (value if state is None else state + w * (value - state)) if ready else None
-            out.append(state)
-        return p[KEYS].assign(kama=pd.array(out, dtype="Float64"))
-
-    return _by_instrument(panel.select(*KEYS, column), run, "datetime date, instrument string, kama double")
-
-
-def ema(x: pd.Series, n: int) -> pd.Series:
-    return x.ewm(span=n, adjust=False, min_periods=n).mean()
-
-
-def indicators(panel: DataFrame) -> DataFrame:
-    """Published momentum, trend, volatility and volume indicators; warm-up rows stay NULL."""
-    names = "rsi macd macd_signal trix ppo tsi atr keltner_high keltner_low adx obv mfi cmf cci williams stochastic aroon_up ulcer force".split()
-
-    def run(p: pd.DataFrame) -> pd.DataFrame:
-        o = p[KEYS].copy()
-        c, h, low, v = (p[k].astype(float) for k in ("close", "high", "low", "volume"))
-        d = c.diff()
-        gain, loss = (s.ewm(alpha=1 / 14, adjust=False, min_periods=14).mean() for s in (d.clip(lower=0), -d.clip(upper=0)))
-        o["rsi"] = 100 * gain / (gain + loss).where(gain + loss > 0)
-        o["macd"] = ema(c, 12) - ema(c, 26)
-        o["macd_signal"] = ema(o["macd"], 9)
-        third = ema(ema(ema(c, 15), 15), 15)
-        o["trix"] = 100 * third.pct_change(fill_method=None)
-        o["ppo"] = 100 * o["macd"] / ema(c, 26)
-        o["tsi"] = 100 * ema(ema(d, 25), 13) / ema(ema(d.abs(), 25), 13)
-        reach = pd.concat([h - low, (h - c.shift()).abs(), (low - c.shift()).abs()], axis=1).max(axis=1)
-        o["atr"] = reach.ewm(alpha=1 / 14, adjust=False, min_periods=14).mean()
-        typical = (h + low + c) / 3
-        o["keltner_high"], o["keltner_low"] = ema(typical, 20) + 2 * o["atr"], ema(typical, 20) - 2 * o["atr"]
-        up, down = h.diff(), -low.diff()
-        plus, minus = up.where((up > down) & (up > 0), 0.0), down.where((down > up) & (down > 0), 0.0)
-        pdi, mdi = (100 * s.ewm(alpha=1 / 14, adjust=False, min_periods=14).mean() / o["atr"] for s in (plus, minus))
-        o["adx"] = (100 * (pdi - mdi).abs() / (pdi + mdi).where(pdi + mdi > 0)).ewm(alpha=1 / 14, adjust=False, min_periods=14).mean()
-        o["obv"] = (v * d.apply(lambda x: 0 if pd.isna(x) else (x > 0) - (x < 0))).cumsum()
-        flow = typical * v
-        pos, neg = (flow.where(m, 0.0).rolling(14).sum() for m in (typical.diff() > 0, typical.diff() < 0))
-        o["mfi"] = 100 * pos / (pos + neg).where(pos + neg > 0)
-        o["cmf"] = (((2 * c - h - low) / (h - low).where(h > low)).fillna(0) * v).rolling(20).sum() / v.rolling(20).sum()
-        o["cci"] = (typical - typical.rolling(20).mean()) / (0.015 * typical.rolling(20).apply(lambda x: abs(x - x.mean()).mean(), raw=True)).replace(0, float("nan"))
-        top, floor = h.rolling(14).max(), low.rolling(14).min()
-        o["williams"], o["stochastic"] = -100 * (top - c) / (top - floor).where(top > floor), 100 * (c - floor) / (top - floor).where(top > floor)
-        o["aroon_up"] = h.rolling(26).apply(lambda x: 100 * x.argmax() / 25, raw=True)
-        o["ulcer"] = ((100 * (c / c.rolling(14).max() - 1)) ** 2).rolling(14).mean() ** 0.5
-        o["force"] = ema(d * v, 13)
-        return o
-
-    return _by_instrument(panel, run, "datetime date, instrument string, " + ", ".join(f"{n} double" for n in names))
-
-
-def alphas(panel: DataFrame) -> DataFrame:
-    """Four published short-horizon formulas; every cross-sectional rank runs over eligible rows alone."""
-    mask = lambda x: F.when(C("eligible"), x)
-    p = panel.withColumns({"__ret": ts.change(C("close")), "__r_open": xs.percent_rank(mask(C("open"))), "__r_volume": xs.percent_rank(mask(C("volume"))), "__dv": ts.delta(F.ln("volume"), 2)})
-    p = p.withColumns({"__r_dv": xs.percent_rank(mask(C("__dv"))), "__r_ret": xs.percent_rank(mask(ratio(C("close") - C("open"), C("open"))))})
-    return p.select(
-        *KEYS, (-ts.corr(C("__r_dv"), C("__r_ret"), 6)).alias("alpha_002"), (-ts.corr(C("__r_open"), C("__r_volume"), 10)).alias("alpha_003"),
-        (-ts.corr(C("open"), C("volume"), 10)).alias("alpha_006"), ((C("close") - C("open")) / (C("high") - C("low") + 0.001)).alias("alpha_101"),
-    )
-
-
 def lookback(specs: list[FeatureSpec]) -> dict[str, int]:
     return {s.name: s.window for s in specs}
 

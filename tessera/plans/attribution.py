@@ -6,7 +6,8 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from tessera.functions import ts, xs
+from tessera.functions import xs
+from tessera.functions.recurrence import exponential
 from tessera.operators import attribution, boards, evaluate, joins, portfolio, quality
 from tessera.plans.base import query
 from tessera.plans.evaluation import IC, LONG, PAIRS, _ic, _long, _wide
@@ -224,7 +225,7 @@ def join_feature_tables(spark, sf_dir):
 n AS (SELECT *, row_number() OVER ({W}) AS k FROM panel), e AS (SELECT datetime, instrument, k, close AS ema FROM n WHERE k = 1 UNION ALL SELECT n.datetime, n.instrument, n.k, e.ema + 2.0 / 6 * (n.close - e.ema) FROM e JOIN n ON n.instrument = e.instrument AND n.k = e.k + 1)
 SELECT datetime, instrument, CASE WHEN k >= 5 THEN ema END AS ema_5 FROM e""", floats="ema_5")
 def ts_exponential_mean(spark, sf_dir):
-    return monthly_panel(spark, sf_dir).select(*KEYS, ts.ema(F.col("close"), 5, 5).alias("ema_5"))
+    return exponential(monthly_panel(spark, sf_dir).select(*KEYS, "close"), {"ema_5": (F.col("close"), 2 / 6, 5)}).drop("close")
 
 
 # ------------------------------------------------------------------ boards

@@ -298,21 +298,3 @@ u AS (SELECT 'close' AS factor, close AS value, instrument FROM panel UNION ALL
 SELECT factor, count(value) AS present, count(DISTINCT instrument) AS instruments, min(value) AS low, max(value) AS high, avg(value) AS mean FROM u GROUP BY factor""", floats="low high mean")
 def features_summary(spark, sf_dir):
     return features.summary(monthly_panel(spark, sf_dir), ["close", "volume"])
-
-
-@query()
-def features_indicators(spark, sf_dir):
-    """Textbook indicators; exponential averages are folded over each instrument's ordered values."""
-    return features.indicators(monthly_panel(spark, sf_dir))
-
-
-@query()
-def ts_adaptive_average(spark, sf_dir):
-    return features.kama(monthly_panel(spark, sf_dir), "close", 10, 2, 30).select("datetime", "instrument", "kama")
-
-
-@query()
-def features_alpha_vocabulary(spark, sf_dir):
-    """Compositions of window and cross-sectional columns with an eligibility mask."""
-    return features.alphas(monthly_panel(spark, sf_dir).withColumn("eligible", F.col("volume") > 0))
-
