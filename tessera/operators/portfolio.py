@@ -125,18 +125,11 @@ def apply_preprocessing(long: DataFrame, fitted: DataFrame) -> DataFrame:
 
 
 def ridge(train: DataFrame, test: DataFrame, features: list[str], label: str, alpha: float) -> DataFrame:
-    """Predictions of a ridge regression on standardised features, penalty ``alpha`` on the sum of squares: (datetime, instrument, prediction).
+    """Predictions of a ridge regression on standardised features, penalty ``alpha`` on the sum of squares: (datetime, instrument, prediction)."""
+    from tessera.operators.linear import Penalty, fit, predict
 
-    Spark divides its penalty by the label's deviation, which is multiplied in here.
-    """
-    from pyspark.ml import Pipeline
-    from pyspark.ml.feature import StandardScaler, VectorAssembler
-    from pyspark.ml.regression import LinearRegression
-
-    rows = train.dropna(subset=[*features, label])
-    n, spread = rows.agg(F.count("*"), F.stddev_pop(label)).first()
-    steps = [VectorAssembler(inputCols=features, outputCol="__x"), StandardScaler(inputCol="__x", outputCol="__z", withMean=True), LinearRegression(featuresCol="__z", labelCol=label, regParam=alpha / max(n, 1) * (spread or 0.0), elasticNetParam=0.0, standardization=False)]
-    return Pipeline(stages=steps).fit(rows).transform(test.dropna(subset=features)).select(*KEYS, "prediction")
+    models = fit(train.withColumn("split", F.lit("all")), features, label, [Penalty(alpha)])
+    return predict(test.dropna(subset=features).withColumn("split", F.lit("all")), features, models).select(*KEYS, "prediction")
 
 
 # ------------------------------------------------------------------ boards and redundancy

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tessera.functions import ts, xs
-from tessera.operators import evaluate, joins, portfolio, stats
+from tessera.operators import evaluate, joins, linear, portfolio, stats
 from tessera.plans.base import query
 from tessera.plans.panel import LABEL
 from tessera.sources.panel import KEYS, monthly_panel
@@ -272,11 +272,43 @@ def evaluate_year_slices(spark, sf_dir):
     return _ic(spark, sf_dir).where("status = 'ok'").groupBy("factor", F.year("datetime").alias("year")).agg(F.count("*").alias("days"), F.avg("rank_ic").alias("mean"), F.percentile("rank_ic", F.lit(0.5)).alias("median"))
 
 
-@query()
+_FEATURES = ["rev_1", "volume_ratio", "kmid"]
+
+
+@query(f"""
+{LONG}, tr AS (SELECT rev_1 AS x1, volume_ratio AS x2, kmid AS x3, label AS y FROM wide WHERE datetime < DATE '1999-01-01' AND rev_1 IS NOT NULL AND volume_ratio IS NOT NULL AND kmid IS NOT NULL AND label IS NOT NULL),
+m AS (SELECT avg(x1) AS m1, avg(x2) AS m2, avg(x3) AS m3, avg(y) AS my, stddev_samp(x1) AS s1, stddev_samp(x2) AS s2, stddev_samp(x3) AS s3 FROM tr),
+z AS (SELECT (x1 - m1) / s1 AS z1, (x2 - m2) / s2 AS z2, (x3 - m3) / s3 AS z3, y - my AS y FROM tr, m),
+g AS (SELECT sum(z1 * z1) + 1 AS a, sum(z1 * z2) AS b, sum(z1 * z3) AS c, sum(z2 * z2) + 1 AS d, sum(z2 * z3) AS e, sum(z3 * z3) + 1 AS f, sum(z1 * y) AS t1, sum(z2 * y) AS t2, sum(z3 * y) AS t3 FROM z),
+w AS (SELECT ((d * f - e * e) * t1 + (c * e - b * f) * t2 + (b * e - c * d) * t3) / det AS w1, ((c * e - b * f) * t1 + (a * f - c * c) * t2 + (b * c - a * e) * t3) / det AS w2,
+             ((b * e - c * d) * t1 + (b * c - a * e) * t2 + (a * d - b * b) * t3) / det AS w3 FROM (SELECT *, a * (d * f - e * e) - b * (b * f - c * e) + c * (b * e - c * d) AS det FROM g))
+SELECT datetime, instrument, my + w1 * (rev_1 - m1) / s1 + w2 * (volume_ratio - m2) / s2 + w3 * (kmid - m3) / s3 AS prediction
+FROM wide, m, w WHERE datetime >= DATE '1999-01-01' AND rev_1 IS NOT NULL AND volume_ratio IS NOT NULL AND kmid IS NOT NULL""", floats="prediction")
 def model_ridge(spark, sf_dir):
-    """Ridge on early dates, predictions for later ones."""
+    """Ridge on early dates, predictions for later ones; the SQL solves the normal equations by cofactors."""
     w = _wide(spark, sf_dir)
-    return portfolio.ridge(w.where("datetime < date'1999-01-01'"), w.where("datetime >= date'1999-01-01'"), ["rev_1", "volume_ratio", "kmid"], "label", 1.0)
+    return portfolio.ridge(w.where("datetime < date'1999-01-01'"), w.where("datetime >= date'1999-01-01'"), _FEATURES, "label", 1.0)
+
+
+def elastic_net(rows, penalties):
+    """Models by split, their validation, the chosen ones and these on the test rows."""
+    models = linear.fit(rows.where("role = 'train'"), _FEATURES, "label", penalties)
+    validation = linear.scored(linear.predict(rows.where("role = 'validation'"), _FEATURES, models), "label")
+    chosen = linear.choose(models, validation)
+    return models, validation, chosen, linear.scored(linear.predict(rows.where("role = 'test'"), _FEATURES, chosen), "label")
+
+
+SPLITS = {str(y): (f"{y - 1}-01-01", f"{y}-01-01", f"{y + 1}-01-01") for y in (1998, 1999, 2000)}
+PENALTIES = [linear.Penalty(a, l1) for l1 in (0.1, 0.5, 0.9) for a in (0.0001, 0.001, 0.01, 0.1)]
+
+
+@query()
+def model_elastic_net(spark, sf_dir):
+    """Elastic nets on three date splits: the penalty with the best validation coefficient, and its coefficient on later dates."""
+    _, _, chosen, test = elastic_net(linear.on_splits(_wide(spark, sf_dir), SPLITS, 2), PENALTIES)
+    used = F.size(F.filter("coefficients", lambda c: c != 0)).alias("used")
+    best = chosen.select("split", "candidate", "alpha", "l1_ratio", F.col("mean_ic").alias("validation_ic"), used)
+    return best.join(test.select("split", F.col("mean_ic").alias("test_ic"), "ic_ir", "days", "coverage"), "split", "left").drop("candidate")
 
 
 @query(f"""
