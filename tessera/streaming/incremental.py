@@ -40,3 +40,34 @@ def mature_metrics(predictions: DataFrame, panel: DataFrame, calendar: DataFrame
     label = joins.exact_label(panel, dates).select(*KEYS, "label")
     due = predictions.join(F.broadcast(dates.select("datetime")), "datetime").join(label, KEYS, "left")
     return daily_ic(due.select(*KEYS, F.lit("prediction").alias("factor"), F.col("prediction").alias("value"), "label"), least)
+
+
+def metrics_stream(spark: SparkSession, predictions: str, labels: str, calendar: DataFrame, target: str, checkpoint: str, *, lag: int, hold: int, least: int, delay: str = "2 days", files: int | None = None):
+    """A streaming query: predictions of one folder wait for the labels of another; each date's information coefficient is
+    written once, when labels have come that are due ``delay`` after it.
+
+    ``predictions`` holds (datetime, instrument, prediction), ``labels`` (datetime, instrument, label); both are parquet.  The
+    date on which a label is due follows from the calendar and is the event time.  Predictions run ahead, so the labels alone
+    have a watermark.  State is one row of values a date, dropped when the date is written.  Labels that come later than that are left out, as are dates outside the
+    calendar; a repeated key counts once (its largest value).  A batch's number names its folder, so a repeated batch
+    overwrites itself.
+    """
+    # one row a date
+    due = F.broadcast(joins.label_dates(calendar, lag, hold).where("not terminal").select("datetime", F.col("exit").cast("timestamp").alias("due")))
+    key = "datetime date, instrument string, "
+
+    def source(path: str, value: str) -> DataFrame:
+        reader = spark.readStream.schema(f"{key}{value} double")
+        rows = (reader.option("maxFilesPerTrigger", files) if files else reader).parquet(path)
+        both = {c: F.col(c) if c == value else F.lit(None).cast("double") for c in ("prediction", "label")}
+        return rows.join(due, "datetime").select(*KEYS, *(x.alias(c) for c, x in both.items()), "due")
+
+    # the first side's event time is that of the union
+    rows = source(labels, "label").withWatermark("due", delay).unionByName(source(predictions, "prediction"))
+    whole = rows.groupBy("due", "datetime").agg(F.collect_list(F.struct("instrument", "prediction", "label")).alias("rows"))
+
+    def write(batch: DataFrame, number: int) -> None:
+        pairs = batch.select("datetime", F.inline("rows")).groupBy(*KEYS).agg(F.max("prediction").alias("value"), F.max("label").alias("label"))
+        daily_ic(pairs.withColumn("factor", F.lit("prediction")), least).write.mode("overwrite").parquet(f"{target}/batch={number}")
+
+    return whole.writeStream.outputMode("append").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
