@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.plans import attribution, base, evaluation, features, formulas, indicators, market, more, panel, research  # noqa: F401  (they register themselves)
+from tessera.plans import attribution, base, evaluation, features, formulas, indicators, market, more, panel, research, structure  # noqa: F401  (they register themselves)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
