@@ -245,6 +245,8 @@ def with_loops(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     hit = (h % 10 == 0) & (shared.strip_blanks(F.col(f"`{text_col}`")) != "")
     n = F.size(words)
     first = F.when(hit, shared.words(F.col(f"`{text_col}`")))
-    looped = F.array_join(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.get(words, F.when(i < a, i).otherwise(a + (i - a) % p).cast("int"))), " ")
+    # whole arrays, no function of each word: an expression inside one would be worked out for each of them
+    again = F.flatten(F.array_repeat(F.slice(words, a + 1, p), F.ceil((n - a) / p).cast("int")))
+    looped = F.array_join(F.slice(F.concat(F.slice(words, F.lit(1), a), again), F.lit(1), n), " ")
     out = docs.withColumn(names[0], first).withColumn(names[1], F.when(hit, (g % n).cast("int"))).withColumn(names[2], F.when(hit, 1 + F.floor((n - a) / (3 + g % 8)).cast("int")))
     return out.withColumn(text_col, F.when(hit, looped).otherwise(F.col(f"`{text_col}`"))).drop(*names)
