@@ -146,12 +146,12 @@ def reconciled(events: DataFrame, keys: list[str], fields: list[str]) -> DataFra
     return out.withColumn("reasons", why).withColumns({f: F.when(F.col(f"__n_{f}") == 1, F.col(f)) for f in fields}).drop(*(f"__n_{f}" for f in fields))
 
 
-def quote_checks(panel: DataFrame, slack: float = 0.002) -> DataFrame:
-    """(instrument, rows, positive, ordered, vwap_inside): counts of consistent quotes."""
+def quote_checks(panel: DataFrame, by: tuple[str, ...] = ("instrument",), slack: float = 0.002) -> DataFrame:
+    """(by, rows, positive, ordered, vwap_inside): counts of consistent quotes, by instrument or by instrument and window."""
     c = F.col
     inside = (c("vwap") >= c("low") * (1 - slack)) & (c("vwap") <= c("high") * (1 + slack))
     ordered = (c("low") <= F.least("open", "close")) & (c("high") >= F.greatest("open", "close"))
-    return panel.groupBy("instrument").agg(F.count("*").alias("rows"), F.count_if((c("open") > 0) & (c("close") > 0) & (c("volume") > 0)).alias("positive"), F.count_if(ordered).alias("ordered"), F.count_if(inside).alias("vwap_inside"))
+    return panel.groupBy(*by).agg(F.count("*").alias("rows"), F.count_if((c("open") > 0) & (c("close") > 0) & (c("volume") > 0)).alias("positive"), F.count_if(ordered).alias("ordered"), F.count_if(inside).alias("vwap_inside"))
 
 
 def set_overlap(held: DataFrame, by: str = "datetime") -> DataFrame:

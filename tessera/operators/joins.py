@@ -73,6 +73,33 @@ def intersected(left: DataFrame, right: DataFrame) -> DataFrame:
     return out.withColumn("fate", fate).drop("ls", "le")
 
 
+def uncovered(left: DataFrame, right: DataFrame) -> DataFrame:
+    """(instrument, start, end): the spans of the left intervals' union that no right interval covers, by a sweep over their ends.
+
+    An open end is NULL, in the result as well; intervals that end before they start hold nothing.
+    """
+
+    def moves(x: DataFrame, a: int, b: int) -> DataFrame:
+        x = x.where("end is null or start <= end")
+        begin = x.select("instrument", F.col("start").alias("at"), F.lit(a).alias("a"), F.lit(b).alias("b"))
+        return begin.union(x.where("end is not null").select("instrument", F.date_add("end", 1), F.lit(-a), F.lit(-b)))
+
+    w = Window.partitionBy("instrument").orderBy("at")
+    so_far = w.rowsBetween(Window.unboundedPreceding, 0)
+    at = moves(left, 1, 0).union(moves(right, 0, 1)).groupBy("instrument", "at").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+    parts = at.select("instrument", "at", F.date_sub(F.lead("at").over(w), 1).alias("until"), ((F.sum("a").over(so_far) > 0) & (F.sum("b").over(so_far) == 0)).alias("out"))
+    # parts meet without gaps, so those that follow each other are one span
+    parts = parts.withColumn("span", F.count_if(~F.col("out")).over(so_far)).where("out")
+    return parts.groupBy("instrument", "span").agg(F.min("at").alias("start"), F.when(F.count_if(F.col("until").isNull()) == 0, F.max("until")).alias("end")).drop("span")
+
+
+def keys_inside(spans: DataFrame, calendar: DataFrame) -> DataFrame:
+    """``spans`` with ``keys``, the number of calendar dates in each; the calendar, a row a date, goes along as one array."""
+    days = calendar.agg(F.sort_array(F.collect_list("datetime")).alias("days"))
+    inside = F.filter("days", lambda d: (d >= F.col("start")) & (F.col("end").isNull() | (d <= F.col("end"))))
+    return spans.crossJoin(F.broadcast(days)).withColumn("keys", F.size(inside)).drop("days")
+
+
 def member_counts(intervals: DataFrame, calendar: DataFrame) -> DataFrame:
     """(datetime, members) by running sums of entries and exits; days are never multiplied by intervals."""
     moves = intervals.select(F.col("start").alias("datetime"), F.lit(1).alias("d")).union(intervals.where("end is not null").select(F.date_add("end", 1), F.lit(-1)))

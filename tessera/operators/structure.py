@@ -133,3 +133,35 @@ def pair_reduction(long: DataFrame, least: int, *, least_fraction: float = 0.8,
     )
     out = out.withColumns({"valid_fraction": ratio(F.col("valid_dates"), F.col("dates")), "sign_consistency": F.greatest("positive", "negative")})
     return out.withColumn("comparable", (F.col("valid_fraction") >= least_fraction) & F.coalesce(F.col("p10_coverage") >= least_coverage, F.lit(False)))
+
+
+def band_returns(bands: DataFrame, labels: DataFrame) -> DataFrame:
+    """(band, days, mean_label, positive): over dates, the mean of the band's mean labels and the share of positive ones."""
+    daily = bands.select(*KEYS, "band").join(labels.select(*KEYS, "label"), KEYS).where("label is not null").groupBy("datetime", "band").agg(F.avg("label").alias("m"))
+    return daily.groupBy("band").agg(F.count("*").alias("days"), F.avg("m").alias("mean_label"), F.avg((F.round("m", 9) > 0).cast("double")).alias("positive"))
+
+
+def sliced(daily: DataFrame, states: DataFrame, state: str) -> DataFrame:
+    """(factor, state, days, rank_ic_mean, win_rate) of daily coefficients by a state of their dates (one row a date)."""
+    rows = daily.where("status = 'ok'").join(F.broadcast(states.select("datetime", state)), "datetime")
+    return rows.groupBy("factor", state).agg(F.count("*").alias("days"), F.avg("rank_ic").alias("rank_ic_mean"), F.avg((F.round("rank_ic", 9) > 0).cast("double")).alias("win_rate"))
+
+
+def leg_exposure(panel: DataFrame, factor: str, exposure: str, share: float) -> DataFrame:
+    """(datetime, members, long, short, universe, net): mean exposure of the top and bottom floor(n * share), ties by instrument."""
+    rows = panel.where(F.col(factor).isNotNull() & F.col(exposure).isNotNull())
+    day = Window.partitionBy("datetime")
+    n = F.floor(F.count("*").over(day) * share)
+    legs = rows.withColumns({"__top": F.row_number().over(day.orderBy(F.desc(factor), "instrument")) <= n, "__low": F.row_number().over(day.orderBy(factor, "instrument")) <= n})
+    x = F.col(exposure)
+    out = legs.groupBy("datetime").agg(F.count_if("__top").alias("members"), F.avg(F.when(F.col("__top"), x)).alias("long"), F.avg(F.when(F.col("__low"), x)).alias("short"), F.avg(x).alias("universe"))
+    return out.where("members > 0").withColumn("net", F.col("long") - F.col("short"))
+
+
+def liquid_selection(panel: DataFrame, score: str, liquidity: str, quantile: float, k: int) -> DataFrame:
+    """(datetime, eligible, members, mean_label): the k best scores among rows at or above the date's quantile of liquidity, ties by
+    instrument; means are of the labels that are there."""
+    day = Window.partitionBy("datetime")
+    rows = panel.where(F.col(score).isNotNull() & F.col(liquidity).isNotNull()).withColumn("__floor", F.percentile(liquidity, F.lit(quantile)).over(day)).where(F.round(liquidity, 9) >= F.round("__floor", 9))
+    ranked = rows.withColumns({"__r": F.row_number().over(day.orderBy(F.desc(score), "instrument")), "__n": F.count("*").over(day)})
+    return ranked.where(F.col("__r") <= k).groupBy("datetime").agg(F.first("__n").alias("eligible"), F.count("*").alias("members"), F.avg("label").alias("mean_label"))

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from tessera.operators import evaluate, joins, structure
+from pyspark.sql import functions as F
+
+from tessera.operators import audits, evaluate, features, joins, structure
 from tessera.plans.base import query
-from tessera.plans.evaluation import LONG, PAIRS, _long, _wide
+from tessera.plans.evaluation import IC, LONG, PAIRS, _ic, _long, _wide
+from tessera.plans.panel import LIFE, _life
 from tessera.sources.panel import monthly_panel
 
 
@@ -85,3 +88,65 @@ SELECT *, valid_dates / dates AS valid_fraction, greatest(positive, negative) AS
        floats="positive negative valid_fraction sign_consistency " + " ".join(f"{n}_{k}" for k in _HELD for n in ("mean", "median", "p10")))
 def similarity_pair_overlap(spark, sf_dir):
     return structure.pair_reduction(_long(spark, sf_dir), 5)
+
+
+@query(f"""
+{LIFE}, two AS (SELECT instrument, CAST(min(datetime) AS DATE) AS s, CAST(min(datetime) + INTERVAL 24 MONTH AS DATE) AS e FROM panel GROUP BY 1 UNION ALL SELECT instrument, CAST(min(datetime) + INTERVAL 36 MONTH AS DATE), CAST(max(datetime) - INTERVAL 12 MONTH AS DATE) FROM panel GROUP BY 1),
+d1 AS (SELECT DISTINCT instrument, CAST(unnest(generate_series(s, e, INTERVAL 1 DAY)) AS DATE) AS day FROM life WHERE s <= e), d2 AS (SELECT DISTINCT instrument, CAST(unnest(generate_series(s, e, INTERVAL 1 DAY)) AS DATE) AS day FROM two WHERE s <= e),
+r AS (SELECT d1.* FROM d1 LEFT JOIN d2 USING (instrument, day) WHERE d2.day IS NULL), i AS (SELECT instrument, day, day - CAST(row_number() OVER (PARTITION BY instrument ORDER BY day) AS INTEGER) AS g FROM r)
+SELECT i.instrument, min(day) AS start_date, max(day) AS end_date, CAST(count(cal.datetime) AS INTEGER) AS keys FROM i LEFT JOIN cal ON cal.datetime = day GROUP BY i.instrument, g""")
+def join_interval_difference(spark, sf_dir):
+    """What two intervals leave uncovered of a life span, and how many keys of the calendar go with it."""
+    p = monthly_panel(spark, sf_dir)
+    lo, hi = F.min("datetime"), F.max("datetime")
+    two = p.groupBy("instrument").agg(F.array(F.struct(lo.alias("start"), F.add_months(lo, 24).alias("end")), F.struct(F.add_months(lo, 36).alias("start"), F.add_months(hi, -12).alias("end"))).alias("x")).select("instrument", F.inline("x"))
+    out = joins.keys_inside(joins.uncovered(_life(p), two), joins.calendar_of(p))
+    return out.select("instrument", F.col("start").alias("start_date"), F.col("end").alias("end_date"), "keys")
+
+
+@query(f"""
+{IC}, mr AS (SELECT datetime, avg(r) AS r FROM (SELECT datetime, close / nullif(lag(close) OVER (PARTITION BY instrument ORDER BY datetime), 0) - 1 AS r FROM panel) GROUP BY 1),
+cs AS (SELECT datetime, CASE WHEN count(r) OVER (ORDER BY datetime ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) = 3 THEN product(1 + r) OVER (ORDER BY datetime ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) - 1 END AS c FROM mr),
+st AS (SELECT datetime, CASE WHEN c IS NULL THEN 'unknown' WHEN c > 0.02 THEN 'up' WHEN c < -0.02 THEN 'down' ELSE 'sideways' END AS market_state FROM cs)
+SELECT factor, market_state, count(*) AS days, avg(rank_ic) AS rank_ic_mean, avg(CASE WHEN round(rank_ic, 9) > 0 THEN 1.0 ELSE 0.0 END) AS win_rate FROM ic JOIN st USING (datetime) WHERE status = 'ok' GROUP BY 1, 2""", floats="rank_ic_mean win_rate")
+def evaluate_state_slices(spark, sf_dir):
+    return structure.sliced(_ic(spark, sf_dir), features.market_state(monthly_panel(spark, sf_dir), 3, 0.02), "market_state")
+
+
+@query(f"""
+{LONG}, {_BANDS}, g AS (SELECT b.datetime, band, avg(label) AS m FROM b JOIN wide USING (datetime, instrument) WHERE label IS NOT NULL GROUP BY 1, 2)
+SELECT band, count(*) AS days, avg(m) AS mean_label, avg(CASE WHEN round(m, 9) > 0 THEN 1.0 ELSE 0.0 END) AS positive FROM g GROUP BY 1""", floats="mean_label positive")
+def evaluate_band_returns(spark, sf_dir):
+    wide = _wide(spark, sf_dir)
+    return structure.band_returns(structure.banded(wide, "kmid", _calendar(spark, sf_dir)), wide)
+
+
+_SIZED = "z AS (SELECT wide.*, ln(amount) AS size, amount FROM wide JOIN panel USING (datetime, instrument))"
+
+
+def _sized(spark, sf_dir):
+    amounts = monthly_panel(spark, sf_dir).select("datetime", "instrument", "amount", F.ln("amount").alias("size"))
+    return _wide(spark, sf_dir).join(amounts, ["datetime", "instrument"])
+
+
+@query(f"""
+{LONG}, {_SIZED}, s AS (SELECT *, floor(count(*) OVER (PARTITION BY datetime) * 0.2) AS n, row_number() OVER (PARTITION BY datetime ORDER BY rev_1 DESC, instrument) AS hi, row_number() OVER (PARTITION BY datetime ORDER BY rev_1, instrument) AS lo FROM z WHERE rev_1 IS NOT NULL AND size IS NOT NULL),
+g AS (SELECT datetime, count(*) FILTER (WHERE hi <= n) AS members, avg(size) FILTER (WHERE hi <= n) AS "long", avg(size) FILTER (WHERE lo <= n) AS "short", avg(size) AS universe FROM s GROUP BY 1)
+SELECT *, "long" - "short" AS net FROM g WHERE members > 0""", floats='"long" "short" universe net')
+def portfolio_leg_exposure(spark, sf_dir):
+    return structure.leg_exposure(_sized(spark, sf_dir), "rev_1", "size", 0.2)
+
+
+@query(f"""
+{LONG}, {_SIZED}, f AS (SELECT *, quantile_cont(amount, 0.5) OVER (PARTITION BY datetime) AS least FROM z WHERE rev_1 IS NOT NULL AND amount IS NOT NULL),
+s AS (SELECT *, row_number() OVER (PARTITION BY datetime ORDER BY rev_1 DESC, instrument) AS r, count(*) OVER (PARTITION BY datetime) AS n FROM f WHERE round(amount, 9) >= round(least, 9))
+SELECT datetime, any_value(n) AS eligible, count(*) AS members, avg(label) AS mean_label FROM s WHERE r <= 10 GROUP BY 1""", floats="mean_label")
+def portfolio_liquid_selection(spark, sf_dir):
+    return structure.liquid_selection(_sized(spark, sf_dir), "rev_1", "amount", 0.5, 10)
+
+
+@query("""
+SELECT instrument, CAST(year(datetime) AS INTEGER) AS year, count(*) AS rows, count(*) FILTER (WHERE open > 0 AND close > 0 AND volume > 0) AS positive, count(*) FILTER (WHERE low <= least(open, close) AND high >= greatest(open, close)) AS ordered,
+       count(*) FILTER (WHERE vwap >= low * 0.998 AND vwap <= high * 1.002) AS vwap_inside FROM panel GROUP BY 1, 2""")
+def quality_quote_windows(spark, sf_dir):
+    return audits.quote_checks(monthly_panel(spark, sf_dir).withColumn("year", F.year("datetime")), ("instrument", "year"))
