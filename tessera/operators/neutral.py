@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,25 +13,49 @@ from tessera.functions.guard import correlation, ratio
 from tessera.sources.panel import KEYS
 
 
-def residual_on(frame: DataFrame, factor: str, numeric: list[str], coded: list[str], into: str, least: int = 50) -> DataFrame:
-    """(datetime, instrument, into): least-squares residual of each date on a constant, numeric exposures and one dummy for
-    each value of the coded ones.  Rows that lack a side have none; so have dates under ``least`` rows or exposures + 2.
+def residuals_on(frame: DataFrame, factors: dict[str, str], numeric: list[str], coded: list[str], least: int = 50) -> DataFrame:
+    """Keys and, for each factor, its least-squares residual of each date under the name that ``factors`` gives it.
 
-    A date's cross-section is one group: as many rows as there are instruments.
+    The design is a constant, numeric exposures and one dummy for each value of the coded ones, built once a date.  Factors that
+    miss the same rows are solved together: one factorisation with a right-hand side for each.  Designs without full rank
+    have the solution of least length, whose residuals are the same.  Rows that lack a side have none; so have
+    dates under ``least`` rows or exposures + 2.  A date's cross-section is one group: as many rows as there are instruments.
     """
+    names = list(factors)
+
+    def one_date(table: pa.Table) -> pa.Table:
+        column = lambda c: table.column(c).to_numpy(zero_copy_only=False)
+        x = [column(f"x{i}").astype(float) for i in range(len(numeric))]
+        usable = np.all([~np.isnan(v) for v in x], axis=0) if x else np.ones(len(table), bool)
+        for i in range(len(coded)):
+            codes = pc.index_in(table.column(f"k{i}"), pc.unique(table.column(f"k{i}").drop_null())).to_numpy(zero_copy_only=False)
+            x += [(codes == v).astype(float) for v in np.unique(codes[~np.isnan(codes)] if codes.dtype.kind == "f" else codes)]
+        design = np.column_stack([np.ones(len(table)), *x])
+        y = np.column_stack([column(f"y{j}").astype(float) for j in range(len(names))])
+        out = np.full(y.shape, np.nan)
+        valid = ~np.isnan(y) & usable[:, None]
+        groups: dict[bytes, list[int]] = {}
+        for j in range(len(names)):
+            groups.setdefault(np.packbits(valid[:, j]).tobytes(), []).append(j)
+        for own in groups.values():
+            rows = valid[:, own[0]]
+            if rows.sum() >= max(least, design.shape[1] + 1):
+                a, many = design[rows], y[np.ix_(rows, own)]
+                out[np.ix_(rows, own)] = many - a @ np.linalg.lstsq(a, many, rcond=None)[0]
+        made = [pa.array(out[:, j], mask=np.isnan(out[:, j])) for j in range(len(names))]
+        return pa.table([table.column("datetime"), table.column("instrument"), *made], names=[*KEYS, *(factors[n] for n in names)])
+
+    double = lambda c, n: F.col(c).cast("double").alias(n)
+    rows = frame.select(
+        *KEYS, *(double(c, f"y{j}") for j, c in enumerate(names)), *(double(c, f"x{i}") for i, c in enumerate(numeric)), *(F.col(c).cast("string").alias(f"k{i}") for i, c in enumerate(coded))
+    )
+    schema = "datetime date, instrument string, " + ", ".join(f"`{factors[n]}` double" for n in names)
+    return rows.groupBy("datetime").applyInArrow(one_date, schema)
+
 
-    def one(p: pd.DataFrame) -> pd.DataFrame:
-        parts = [p[numeric].astype(float)] + [pd.get_dummies(p[c].astype("string"), dtype=float) for c in coded]
-        x = pd.concat(parts, axis=1)
-        valid = p[factor].notna().to_numpy() & x.notna().all(axis=1).to_numpy()
-        out = np.full(len(p), np.nan)
-        if valid.sum() >= max(least, x.shape[1] + 2):
-            a, y = np.column_stack([np.ones(valid.sum()), x.to_numpy()[valid]]), p[factor].astype(float).to_numpy()[valid]
-            out[valid] = y - a @ np.linalg.lstsq(a, y, rcond=None)[0]
-        return p[KEYS].assign(**{into: pd.array(out, dtype="Float64").fillna(pd.NA) if not valid.any() else [None if np.isnan(v) else v for v in out]})
-
-    columns = [*KEYS, *dict.fromkeys([factor, *numeric, *coded])]
-    return frame.select(*columns).groupBy("datetime").applyInPandas(one, f"datetime date, instrument string, `{into}` double")
+def residual_on(frame: DataFrame, factor: str, numeric: list[str], coded: list[str], into: str, least: int = 50) -> DataFrame:
+    """(datetime, instrument, into): ``residuals_on`` of one factor."""
+    return residuals_on(frame, {factor: into}, numeric, coded, least)
 
 
 def variants(frame: DataFrame, factor: str, *, liquidity: str, volatility: str, proxy: str, least: int = 50) -> DataFrame:

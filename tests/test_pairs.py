@@ -1,4 +1,4 @@
-"""Daily correlations of many factors by matrices against one pair at a time."""
+"""Many factors at once: daily correlations by matrices and residuals by one design, against one at a time."""
 
 import datetime as dt
 import itertools
@@ -6,7 +6,7 @@ import itertools
 import numpy as np
 import pandas as pd
 
-from tessera.operators import evaluate
+from tessera.operators import evaluate, neutral
 
 DAY = dt.date(2020, 1, 1)
 
@@ -45,3 +45,26 @@ def test_many_factors_in_one_pass(spark):
     out = evaluate.pair_correlation(base.dropDuplicates(["datetime", "instrument", "factor"]), 5)
     assert out.count() == 2 * 60 * 59 // 2
     assert "Join" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_residuals_of_many_factors_from_one_design(spark):
+    r = np.random.default_rng(5)
+    rows = []
+    for d in range(2):
+        for i in range(30):
+            y = [None if (j == 1 and i % 3 == 0) or (j == 3 and i < 24) else float(r.normal()) for j in range(4)]
+            rows.append((DAY + dt.timedelta(d), f"S{i:02d}", *y, float(r.normal()) if i != 7 else None, float(i % 5), "abc"[i % 3] if i % 10 else None))
+    df = spark.createDataFrame(rows, "datetime date, instrument string, y0 double, y1 double, y2 double, y3 double, u double, v double, g string")
+    got = {(x.datetime, x.instrument): x for x in neutral.residuals_on(df, {f"y{j}": f"r{j}" for j in range(4)}, ["u", "v"], ["g"], 10).collect()}
+    assert len(got) == 60
+    for d in range(2):
+        own = [x for x in rows if x[0] == DAY + dt.timedelta(d)]
+        design = np.array([[1, x[6] if x[6] is not None else np.nan, x[7], x[8] == "a", x[8] == "b", x[8] == "c"] for x in own], float)
+        for j in range(4):
+            y = np.array([np.nan if x[2 + j] is None else x[2 + j] for x in own])
+            ok = ~np.isnan(y) & ~np.isnan(design).any(1)
+            want = np.full(30, np.nan)
+            if ok.sum() >= 10:
+                want[ok] = y[ok] - design[ok] @ np.linalg.pinv(design[ok]) @ y[ok]
+            have = np.array([np.nan if got[x[0], x[1]][f"r{j}"] is None else got[x[0], x[1]][f"r{j}"] for x in own])
+            assert np.allclose(have, want, equal_nan=True)
