@@ -214,10 +214,14 @@ _BUCKETED = f"""{_EXPOSED}, e1 AS (SELECT *, quantile_cont(amount, [0.5]) OVER (
 bk AS (SELECT * EXCLUDE (ea, ew), 1 + len(list_filter(ea, lambda q: q < amount)) AS liq, CASE WHEN len(ew) > 1 THEN 1 + len(list_filter(list_slice(ew, 2, len(ew) - 1), lambda q: q < width)) END AS vol FROM e1)"""
 
 
+_VARIED = f"""{_BUCKETED}, r0 AS (SELECT *, rank() OVER ({D} ORDER BY kmid) + (count(kmid) OVER (PARTITION BY datetime, kmid) - 1) / 2.0 AS rk, count(kmid) OVER ({D}) AS nk, avg(kmid) OVER ({D}) AS my, avg(lam) OVER ({D}) AS mx, covar_pop(kmid, lam) OVER ({D}) / nullif(var_pop(lam) OVER ({D}), 0) AS b FROM bk),
+{_clipped('r0', 'kmid', 'cl')}, {_robust('cl', 'cl_c', 'datetime', 'za')}, {_robust('za', 'kmid', 'datetime, liq', 'zl')}, {_robust('zl', 'kmid', 'datetime, vol', 'zv')}"""
+_RANK, _RESIDUAL = "CASE WHEN nk >= 2 THEN (rk / nk - 0.5) * 3.46 END", "CASE WHEN nk >= 6 THEN kmid - my - b * (lam - mx) END"
+
+
 @query(f"""
-{_BUCKETED}, r0 AS (SELECT *, rank() OVER ({D} ORDER BY kmid) + (count(kmid) OVER (PARTITION BY datetime, kmid) - 1) / 2.0 AS rk, count(kmid) OVER ({D}) AS nk, avg(kmid) OVER ({D}) AS my, avg(lam) OVER ({D}) AS mx, covar_pop(kmid, lam) OVER ({D}) / nullif(var_pop(lam) OVER ({D}), 0) AS b FROM bk),
-{_clipped('r0', 'kmid', 'cl')}, {_robust('cl', 'cl_c', 'datetime', 'za')}, {_robust('za', 'kmid', 'datetime, liq', 'zl')}, {_robust('zl', 'kmid', 'datetime, vol', 'zv')}
-SELECT datetime, instrument, kmid AS raw, CASE WHEN nk >= 2 THEN (rk / nk - 0.5) * 3.46 END AS cs_rank, za_z AS cs_zscore, zl_z AS liquidity_bucket_zscore, zv_z AS volatility_bucket_zscore, CASE WHEN nk >= 6 THEN kmid - my - b * (lam - mx) END AS amount_proxy_residual FROM zv""", floats="raw cs_rank cs_zscore liquidity_bucket_zscore volatility_bucket_zscore amount_proxy_residual")
+{_VARIED}
+SELECT datetime, instrument, kmid AS raw, {_RANK} AS cs_rank, za_z AS cs_zscore, zl_z AS liquidity_bucket_zscore, zv_z AS volatility_bucket_zscore, {_RESIDUAL} AS amount_proxy_residual FROM zv""", floats="raw cs_rank cs_zscore liquidity_bucket_zscore volatility_bucket_zscore amount_proxy_residual")
 def neutral_variants(spark, sf_dir):
     """Six of the seven variants against SQL; the seventh, on three exposures, is held against brute force in the tests."""
     return _variants(spark, sf_dir).drop("liquidity_volatility_residual")
@@ -228,7 +232,11 @@ def _variants(spark, sf_dir):
     return neutral.variants(e, "kmid", liquidity="liq", volatility="vol", proxy="lam", least=6)
 
 
-@query()
+@query(f"""
+{_VARIED}, o AS (SELECT *, kmid IS NOT NULL AND lam IS NOT NULL AND liq IS NOT NULL AND vol IS NOT NULL AS ok FROM zv), k AS (SELECT *, count(*) FILTER (WHERE ok) OVER (PARTITION BY datetime) AS n_ok FROM o),
+c AS (SELECT unnest(['raw', 'cs_rank', 'cs_zscore', 'liquidity_bucket_zscore', 'volatility_bucket_zscore', 'amount_proxy_residual', 'liquidity_volatility_residual']) AS neutralization,
+  unnest([count(kmid), count({_RANK}), count(za_z), count(zl_z), count(zv_z), count({_RESIDUAL}), count(*) FILTER (WHERE ok AND n_ok >= 6)]) AS non_null_rows FROM k)
+SELECT 'kmid' AS factor, neutralization, 'kmid__' || neutralization AS neutralized_factor, non_null_rows FROM c""")
 def neutral_mapping(spark, sf_dir):
     """How many rows each variant has."""
     return neutral.variant_mapping(_variants(spark, sf_dir), "kmid")
