@@ -229,6 +229,9 @@ def select_rule_table(spark, sf_dir):
 EDGES = "e AS (SELECT a.instrument AS a, b.instrument AS b FROM panel a JOIN panel b ON a.datetime = b.datetime AND a.instrument < b.instrument WHERE abs(a.close - b.close) < 50 GROUP BY 1, 2 HAVING count(*) >= 3)"
 
 
+NEAR = {"width": 50, "least": 3}
+
+
 def _edges(spark, sf_dir):
     p = monthly_panel(spark, sf_dir).select("datetime", "instrument", "close", F.floor(F.col("close") / 50).alias("cell"))
     near = p.withColumn("cell", F.explode(F.array(F.col("cell") - 1, F.col("cell"), F.col("cell") + 1))).select("datetime", "cell", F.col("instrument").alias("b"), F.col("close").alias("c2"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tessera.functions import ts, xs
 from tessera.operators import audits, boards, evaluate, joins, neutral, portfolio, quality, splits, stats
 from tessera.plans.base import query
-from tessera.plans.evaluation import EDGES, IC, LONG, _edges, _ic, _long, _wide
+from tessera.plans.evaluation import EDGES, IC, LONG, NEAR, _ic, _long, _wide
 from tessera.plans.panel import LABEL
 from tessera.sources.panel import KEYS, monthly_panel
 
@@ -339,8 +339,9 @@ nb AS (SELECT o.i, o.factor, coalesce(list(b) FILTER (WHERE b IS NOT NULL), [])
 walk AS (SELECT CAST(0 AS BIGINT) AS i, CAST([] AS VARCHAR[]) AS kept UNION ALL SELECT nb.i, CASE WHEN list_has_any(kept, others) THEN kept ELSE list_append(kept, factor) END FROM walk JOIN nb ON nb.i = walk.i + 1)
 SELECT factor, list_contains((SELECT arg_max(kept, i) FROM walk), factor) AS kept FROM o""")
 def select_greedy_pruning(spark, sf_dir):
-    board = monthly_panel(spark, sf_dir).groupBy(F.col("instrument").alias("factor")).agg(F.round(F.avg("amount"), 2).alias("score"))
-    return portfolio.greedy_pruning(board, _edges(spark, sf_dir), "score")
+    panel = monthly_panel(spark, sf_dir)
+    board = panel.groupBy(F.col("instrument").alias("factor")).agg(F.round(F.avg("amount"), 2).alias("score"))
+    return portfolio.near_pruning(board, panel, "score", **NEAR)
 
 
 @query(f"""
