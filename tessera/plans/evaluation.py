@@ -232,18 +232,11 @@ EDGES = "e AS (SELECT a.instrument AS a, b.instrument AS b FROM panel a JOIN pan
 NEAR = {"width": 50, "least": 3}
 
 
-def _edges(spark, sf_dir):
-    p = monthly_panel(spark, sf_dir).select("datetime", "instrument", "close", F.floor(F.col("close") / 50).alias("cell"))
-    near = p.withColumn("cell", F.explode(F.array(F.col("cell") - 1, F.col("cell"), F.col("cell") + 1))).select("datetime", "cell", F.col("instrument").alias("b"), F.col("close").alias("c2"))
-    hit = p.join(near, ["datetime", "cell"]).where((F.col("instrument") < F.col("b")) & (F.abs(F.col("close") - F.col("c2")) < 50))
-    return hit.groupBy(F.col("instrument").alias("a"), "b").count().where(F.col("count") >= 3).select("a", "b")
-
-
 @query(f"""
 {EDGES}, both_ AS (SELECT a, b FROM e UNION SELECT b, a FROM e), walk AS (SELECT a AS node, a AS reached FROM both_ UNION SELECT w.node, b.b FROM walk w JOIN both_ b ON w.reached = b.a)
 SELECT node, min(reached) AS "group" FROM walk GROUP BY 1""")
 def select_redundancy_groups(spark, sf_dir):
-    return portfolio.redundancy_groups(_edges(spark, sf_dir))
+    return portfolio.near_groups(monthly_panel(spark, sf_dir), **NEAR)
 
 
 @query(f"""
