@@ -63,14 +63,15 @@ def winsorised(frame, x: str, into: str, scale: float = 4.5, keys=("datetime",))
 
 def zscore(frame, x: str, into: str, robust: bool = True, most: float | None = 3.0, keys=("datetime",), fall_back: bool = False):
     """Adds a z-score: around median and 1.4826 deviations, or mean and sample deviation; NULL under 2 values or without
-    spread, but for ``fall_back``, which then takes the population deviation around the median."""
+    spread, but for ``fall_back``, which then takes the population deviation around the median.  Equal values have no spread, even
+    if rounding leaves a tiny deviation around their mean."""
     c, w = F.col(x), over(*keys)
     if robust:
         frame = frame.withColumn("__c", median(c, *keys)).withColumn("__s", median(F.abs(c - F.col("__c")), *keys) * 1.4826)
         if fall_back:
             frame = frame.withColumn("__s", F.when(F.col("__s") > 0, F.col("__s")).otherwise(F.stddev_pop(c).over(w)))
     else:
-        frame = frame.withColumn("__c", F.avg(c).over(w)).withColumn("__s", F.stddev_samp(c).over(w))
+        frame = frame.withColumn("__c", F.avg(c).over(w)).withColumn("__s", F.when(F.max(c).over(w) > F.min(c).over(w), F.stddev_samp(c).over(w)))
     z = F.when((F.col("__s") > 0) & (F.count(c).over(w) >= 2), (c - F.col("__c")) / F.col("__s"))
     return frame.withColumn(into, z if most is None else clip(z, F.lit(-most), F.lit(most))).drop("__c", "__s")
 

@@ -154,7 +154,7 @@ def portfolio_costs_and_bounds(spark, sf_dir):
 
 @query(f"""
 {LONG}, w(factor, weight) AS (VALUES ('rev_1', 0.5), ('kmid', -0.3), ('volume_ratio', 0.2)),
-z AS (SELECT datetime, instrument, factor, CASE WHEN stddev_samp(value) OVER (PARTITION BY datetime, factor) > 0 THEN greatest(least((value - avg(value) OVER (PARTITION BY datetime, factor)) / stddev_samp(value) OVER (PARTITION BY datetime, factor), 3), -3) END AS z FROM long)
+z AS (SELECT datetime, instrument, factor, CASE WHEN max(value) OVER (PARTITION BY datetime, factor) > min(value) OVER (PARTITION BY datetime, factor) THEN greatest(least((value - avg(value) OVER (PARTITION BY datetime, factor)) / stddev_samp(value) OVER (PARTITION BY datetime, factor), 3), -3) END AS z FROM long)
 SELECT datetime, instrument, CASE WHEN count(*) >= 2 THEN sum(z * weight) / sum(abs(weight)) END AS score, count(*) AS parts FROM z JOIN w USING (factor) WHERE z IS NOT NULL GROUP BY 1, 2""", floats="score")
 def score_composite(spark, sf_dir):
     weights = spark.createDataFrame([("rev_1", 0.5), ("kmid", -0.3), ("volume_ratio", 0.2)], "factor string, weight double")
