@@ -141,3 +141,23 @@ def weighted_median(frame: DataFrame, value: str, weight: str, by: list[str], ti
     run = F.sum(weight).over(w.orderBy(value, tie).rowsBetween(Window.unboundedPreceding, 0))
     held = rows.withColumns({"__r": run, "__t": F.sum(weight).over(w)}).where(F.col("__r") * 2 >= F.col("__t"))
     return held.groupBy(*by).agg(F.min(value).alias("weighted_median"))
+
+
+def pooled_weighted_median(frame: DataFrame, value: str, weight: str, by: str, parts: int = 256) -> DataFrame:
+    """``weighted_median`` of groups too large for one task; the frame is read three times.
+
+    Values lie in ranges of about equal size, whose weights tell the range that the half falls into; only its values are walked.
+    """
+    rows = frame.where(F.col(value).isNotNull() & (F.col(weight) > 0)).select(by, F.col(value).alias("__v"), F.col(weight).alias("__w"))
+    cuts = rows.groupBy(by).agg(F.array_distinct(F.percentile_approx("__v", [i / parts for i in range(1, parts)], 20 * parts)).alias("__cuts"))
+    placed = rows.join(F.broadcast(cuts), by).select(by, "__v", "__w", F.size(F.filter("__cuts", lambda c: c <= F.col("__v"))).alias("__p"))
+    sums = placed.groupBy(by, "__p").agg(F.sum("__w").alias("__s"))
+    w = Window.partitionBy(by)
+    up = F.sum("__s").over(w.orderBy("__p").rowsBetween(Window.unboundedPreceding, 0))
+    found = sums.withColumns({"__r": up, "__t": F.sum("__s").over(w)}).where(F.col("__r") * 2 >= F.col("__t"))
+    found = found.groupBy(by).agg(F.min("__p").alias("__p"), F.min_by(F.col("__r") - F.col("__s"), "__p").alias("__b"), F.first("__t").alias("__t"))
+    own = placed.join(F.broadcast(found), [by, "__p"]).groupBy(by, "__v", "__b", "__t").agg(F.sum("__w").alias("__w"))
+    run = F.col("__b") + F.sum("__w").over(w.orderBy("__v").rowsBetween(Window.unboundedPreceding, 0))
+    held = own.withColumns({"__r": run, "__top": F.max("__v").over(w)})
+    # the range's last value counts, should sums in another order end just below the half
+    return held.where((F.col("__r") * 2 >= F.col("__t")) | (F.col("__v") == F.col("__top"))).groupBy(by).agg(F.min("__v").alias("weighted_median"))
