@@ -114,10 +114,12 @@ def participation_volume(panel: DataFrame, n: int, share: float) -> DataFrame:
 def eligibility(keys: DataFrame, facts: DataFrame, *, least_age: int, least_amount: float) -> DataFrame:
     """Keys with entry, reasons and action from dated facts (instrument, field, visible, value): the latest fact of each field that
     was visible by the date counts.  A missing fact excludes entry; a delisted instrument is sold, a suspended one held."""
-    w = Window.partitionBy("instrument", "datetime", "field").orderBy(F.desc("visible"), F.desc("value"))
-    hit = keys.join(facts, "instrument").where(C("visible") <= C("datetime")).withColumn("__r", F.row_number().over(w)).where("__r = 1")
-    wide = hit.groupBy(*KEYS).pivot("field", ["age", "amount", "delisted", "suspended"]).agg(F.first("value"))
-    out = keys.join(wide, KEYS, "left")
+    known = facts.where("instrument is not null and visible is not null").select("instrument", C("visible").alias("datetime"), "field", "value")
+    both = keys.select(*KEYS, F.lit(None).cast("string").alias("field"), F.lit(None).cast("double").alias("value"), F.lit(1).alias("__key")).union(known.select("instrument", "datetime", "field", C("value").cast("double"), F.lit(0)).select("datetime", "instrument", "field", "value", "0"))
+    # one walk along an instrument's facts and dates; of equal dates the facts come first, the largest value last
+    w = Window.partitionBy("instrument").orderBy("datetime", "__key", "value").rowsBetween(Window.unboundedPreceding, 0)
+    latest = {f: F.last(F.when(C("field") == f, F.struct("value")), ignorenulls=True).over(w)["value"] for f in ("age", "amount", "delisted", "suspended")}
+    out = both.withColumns(latest).where("__key = 1")
     failed = [(C("age").isNull(), "age_unknown"), (C("age") < least_age, "too_young"), (C("amount").isNull(), "amount_unknown"), (C("amount") < least_amount, "illiquid"), (C("delisted") == 1, "delisted"), (C("suspended") == 1, "suspended")]
     why = F.array_join(F.array_compact(F.array(*(F.when(c, F.lit(n)) for c, n in failed))), "|")
     action = F.when(C("delisted") == 1, "sell").when(C("suspended") == 1, "hold").when(C("amount") < least_amount, "reduce").otherwise("keep")
