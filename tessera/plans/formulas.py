@@ -87,7 +87,8 @@ def _sql() -> tuple[str, list[str]]:
     for level in sorted(v.levels):
         ctes.append(f"f{level} AS MATERIALIZED (SELECT *,\n  " + ",\n  ".join(f"{x} AS {name}" for name, x in v.levels[level].items()) + f"\n  FROM {source})")
         source = f"f{level}"
-    shown = ",\n  ".join(f"{node.x} AS {name}" for name, node in made.items())
+    # nine digits first and halves in decimals, so that noise doesn't decide how the sixth is rounded
+    shown = ",\n  ".join(f"CAST(round(CAST({node.x} AS DECIMAL(38, 9)), 6) AS DOUBLE) AS {name}" for name, node in made.items())
     return ",\n".join(ctes) + f"\nSELECT datetime, instrument,\n  {shown} FROM {source}", list(made)
 
 
@@ -98,4 +99,5 @@ _TEXT, _NAMES = _sql()
 def features_alpha_vocabulary(spark, sf_dir):
     """Thirty published formulas and two more, masked at every cross-section."""
     panel = monthly_panel(spark, sf_dir).withColumns({"eligible": F.col("volume") > 100, "grouping_": F.right("instrument", F.lit(1))})
-    return operators.alphas(panel)
+    made = operators.alphas(panel)
+    return made.select("datetime", "instrument", *(operators.noiseless(F.col(c)).alias(c) for c in _NAMES))
