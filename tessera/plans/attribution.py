@@ -303,6 +303,7 @@ def select_portability(spark, sf_dir):
 SELECT 'kmid' AS factor, raw, residual, residual / nullif(raw, 0) AS retention, CASE WHEN residual / nullif(raw, 0) >= 0.5 THEN 'keep' WHEN residual / nullif(raw, 0) > 0 THEN 'keep_with_control' ELSE 'drop' END AS action FROM m""", floats="raw residual retention")
 def select_raw_against_residual(spark, sf_dir):
     r = _liquid(spark, sf_dir).where("residual is not null").join(_wide(spark, sf_dir).select(*KEYS, "kmid", "label"), KEYS)
+    r = portfolio.checkpointed(r.select(*KEYS, "kmid", "residual", "label"))  # read twice
     own = lambda c: evaluate.ic_summary(evaluate.daily_ic(r.select(*KEYS, F.lit("kmid").alias("factor"), c.alias("value"), "label"), 5))
     return boards.raw_against_residual(own(F.col("kmid")), own(F.round("residual", 12)))
 

@@ -39,8 +39,9 @@ def test_pooled_weighted_median(spark):
     assert sorted(stats.pooled_weighted_median(t, "value", "weight", "factor", 16).collect()) == sorted(want)
 
 
-def test_pooled_correlation_reads_the_tables_once(spark):
-    assert "FileScan" not in plan(registry.queries()["evaluate_pooled_correlation"](spark, DIR))
+@pytest.mark.parametrize("query", ["evaluate_pooled_correlation", "select_raw_against_residual"])
+def test_rows_read_several_times_are_written_once(spark, query):
+    assert "FileScan" not in plan(registry.queries()[query](spark, DIR))
 
 
 def test_eligibility_joins_no_pairs_of_dates(spark):
