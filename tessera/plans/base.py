@@ -10,13 +10,21 @@ from pyspark.sql import functions as F
 QUERIES: dict[str, Callable] = {}
 ORACLES: dict[str, str] = {}
 
+
+def six_digits(x: str) -> str:
+    """Nine digits first and halves in decimals: prices over quantities are often halves in the seventh digit, which noise would decide."""
+    return f"CAST(round(TRY_CAST({x} AS DECIMAL(38, 9)), 6) AS DOUBLE)"
+
+
 #: Panels of FIXTURES.md, section B, as common table expressions.
-MONTHLY = """panel AS (
-  SELECT *, round(amount / volume, 6) AS vwap FROM (
+_UNIT = "l_extendedprice / l_quantity"
+_AT = "ORDER BY l_shipdate, l_orderkey, l_linenumber"
+MONTHLY = f"""panel AS (
+  SELECT *, {six_digits('amount / volume')} AS vwap FROM (
     SELECT CAST(date_trunc('month', l_shipdate) AS DATE) AS datetime, 'S' || lpad(CAST(l_suppkey AS VARCHAR), 6, '0') AS instrument,
-           round(first(l_extendedprice / l_quantity ORDER BY l_shipdate, l_orderkey, l_linenumber), 6) AS open,
-           round(max(l_extendedprice / l_quantity), 6) AS high, round(min(l_extendedprice / l_quantity), 6) AS low,
-           round(last(l_extendedprice / l_quantity ORDER BY l_shipdate, l_orderkey, l_linenumber), 6) AS close,
+           {six_digits(f'first({_UNIT} {_AT})')} AS open,
+           {six_digits(f'max({_UNIT})')} AS high, {six_digits(f'min({_UNIT})')} AS low,
+           {six_digits(f'last({_UNIT} {_AT})')} AS close,
            sum(l_quantity) AS volume, round(sum(l_extendedprice), 2) AS amount
     FROM lineitem GROUP BY 1, 2)
 ), cal AS (SELECT datetime, row_number() OVER (ORDER BY datetime) AS pos FROM (SELECT DISTINCT datetime FROM panel))"""

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -12,6 +12,11 @@ KEYS = ["datetime", "instrument"]
 INTERVALS = T.StructType([T.StructField("instrument", T.StringType()), T.StructField("start", T.DateType()), T.StructField("end", T.DateType())])
 
 
+def six_digits(x: Column) -> Column:
+    """Nine digits first: a half in the seventh digit, as prices over quantities often have, isn't decided by noise."""
+    return F.round(F.round(x, 9), 6)
+
+
 def monthly_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Month x supplier: open, high, low, close, volume, amount, vwap of unit prices."""
     line = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
@@ -21,10 +26,10 @@ def monthly_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.trunc("l_shipdate", "month").alias("datetime"), F.concat(F.lit("S"), F.lpad(F.col("l_suppkey").cast("string"), 6, "0")).alias("instrument"),
         at.alias("at"), unit.alias("u"), "l_quantity", "l_extendedprice",
     ).groupBy(*KEYS).agg(
-        F.round(F.min_by("u", "at"), 6).alias("open"), F.round(F.max("u"), 6).alias("high"), F.round(F.min("u"), 6).alias("low"), F.round(F.max_by("u", "at"), 6).alias("close"),
+        six_digits(F.min_by("u", "at")).alias("open"), six_digits(F.max("u")).alias("high"), six_digits(F.min("u")).alias("low"), six_digits(F.max_by("u", "at")).alias("close"),
         F.sum("l_quantity").alias("volume"), F.round(F.sum("l_extendedprice"), 2).alias("amount"),
     )
-    return out.withColumn("vwap", F.round(ratio(F.col("amount"), F.col("volume")), 6))
+    return out.withColumn("vwap", six_digits(ratio(F.col("amount"), F.col("volume"))))
 
 
 def daily_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
