@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions import ts, xs
+from tessera.functions import histories, ts, xs
 from tessera.functions.guard import ratio
 from tessera.operators.indicators import indicators, kama  # noqa: F401
 from tessera.sources.panel import KEYS
@@ -106,6 +107,50 @@ def rolling_family(n: int) -> list[FeatureSpec]:
     return [_spec(f"{k}_{n}", n + 1, f, "open high low close volume") for k, f in make.items()]
 
 
+def lagged(panel: DataFrame, depth: int = 60) -> DataFrame:
+    """Keys and the columns of ``lag_ratios``, by arrays of shifted rows."""
+    prices = ("open", "high", "low", "close", "vwap")
+
+    def ratios(rows: histories.Rows) -> dict[str, np.ndarray]:
+        by = {**dict.fromkeys(prices, np.where(rows.columns["close"] == 0, np.nan, rows.columns["close"])), "volume": rows.columns["volume"] + 1e-12}
+        return {f"{x}_{n}": rows.ref(rows.columns[x], n) / by[x] for x in by for n in range(depth)}
+
+    return histories.along(panel, [*prices, "volume"], [s.name for s in lag_ratios(depth)], max(1, depth - 1), ratios)
+
+
+def rolling(panel: DataFrame, windows: tuple[int, ...] = (5, 10, 20, 30, 60)) -> DataFrame:
+    """Keys and the columns of ``rolling_family`` over each number of rows, by arrays: all features of a window see one sort of its values."""
+    names = [s.name for n in windows for s in rolling_family(n)]
+    return histories.along(panel, ["open", "high", "low", "close", "volume"], names, max(windows), lambda rows: {f"{k}_{n}": x for n in windows for k, x in _rolled(rows, n).items()})
+
+
+def _rolled(rows: histories.Rows, n: int) -> dict[str, np.ndarray]:
+    ratio, tiny = histories.ratio, 1e-12
+    high, low, c, v = (rows.columns[x] for x in ("high", "low", "close", "volume"))
+    before, held = rows.ref(c, 1), rows.ref(v, 1)
+    dc, dv, ret, rv = c - before, v - held, ratio(c, before) - 1, ratio(v, held) + 1
+    log = lambda x: np.log(np.where(x > 0, x, np.nan))
+    t = np.arange(n) - (n - 1) / 2
+    slope = rows.reduced(lambda w: t @ histories.centred(w) / (t @ t), n, c)
+    spread = rows.reduced(lambda w: np.square(histories.centred(w)).sum(axis=0), n, c)
+    at_end = rows.reduced(lambda w: histories.centred(w)[-1], n, c) - slope * t[-1]
+
+    upper, lower = rows.quantiles(c, n, (0.8, 0.2))
+    rank = upper * 0 + rows.reduced(lambda w: ((w < w[-1]).sum(axis=0) + ((w == w[-1]).sum(axis=0) + 1) / 2) / n, n, c)
+    top, floor, imax, imin = rows.high(high, n), rows.low(low, n), rows.arg(high, n, True), rows.arg(low, n, False)
+    share = lambda x, sign: rows.total(np.maximum(sign * x, 0.0), n) / (rows.total(np.abs(x), n) + tiny)
+    count = lambda x: rows.mean(np.where(np.isnan(dc), np.nan, x), n)
+    rises, falls, gains, losses, fuller, thinner = count(dc > 0), count(dc < 0), share(dc, 1), share(dc, -1), share(dv, 1), share(dv, -1)
+    moved = np.abs(ret) * v
+    return {
+        "roc": ratio(rows.ref(c, n), c), "ma": ratio(rows.mean(c, n), c), "std": ratio(rows.std(c, n), c), "beta": ratio(slope, c), "rsqr": ratio(np.square(slope) * (t @ t), spread), "resi": ratio(at_end, c),
+        "max": ratio(top, c), "min": ratio(floor, c), "qtlu": ratio(upper, c), "qtld": ratio(lower, c), "rank": rank, "rsv": (c - floor) / (top - floor + tiny),
+        "imax": imax / n, "imin": imin / n, "imxd": (imax - imin) / n, "corr": rows.corr(c, log(v + 1), n), "cord": rows.corr(ret + 1, log(rv), n),
+        "cntp": rises, "cntn": falls, "cntd": rises - falls, "sump": gains, "sumn": losses, "sumd": gains - losses, "vma": rows.mean(v, n) / (v + tiny), "vstd": rows.std(v, n) / (v + tiny),
+        "wvma": rows.std(moved, n) / (rows.mean(moved, n) + tiny), "vsump": fuller, "vsumn": thinner, "vsumd": fuller - thinner,
+    }
+
+
 def run_lengths(panel: DataFrame, mask: str) -> DataFrame:
     """(instrument, start, end, length) of each run of rows in which ``mask`` holds."""
     first = F.when(F.col(mask) == F.lag(mask).over(ts.by_date()), 0).otherwise(1)
