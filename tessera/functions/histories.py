@@ -18,11 +18,15 @@ from pyspark.sql import types as T
 from tessera.sources.panel import KEYS
 
 
+#: Rows before a batch that recurrences start after.
+WARM = 1
+
+
 class Rows:
     """Consecutive rows of sorted instruments: ``columns`` by name, and ``place``, the row's number inside its instrument from 0."""
 
-    def __init__(self, columns: dict[str, np.ndarray], place: np.ndarray, states: dict[str, float], cut: int):
-        self.columns, self.place, self.states, self.cut = columns, place, states, cut
+    def __init__(self, columns: dict[str, np.ndarray], place: np.ndarray, states: dict[str, float], cut: int, start: int):
+        self.columns, self.place, self.states, self.cut, self.start = columns, place, states, cut, start
 
     def ref(self, x: np.ndarray, n: int) -> np.ndarray:
         """The value n rows ago."""
@@ -81,9 +85,9 @@ class Rows:
     def recurrence(self, name: str, a: np.ndarray | float, b: np.ndarray) -> np.ndarray:
         """s = a * s_before + b from 0 at each instrument's first row: affine steps, composed over spans of doubling length.
 
-        ``name`` keeps the state from batch to batch.
+        ``name`` keeps the state from batch to batch.  Steps may look at the row before; a batch's first row has none, so it has no state.
         """
-        a, s = np.where(self.place == 0, 0.0, a), np.array(b, dtype=float)
+        a, s = np.where(self.place == 0, 0.0, a)[self.start :], np.array(b, dtype=float)[self.start :]
         s[0] += a[0] * self.states.get(name, 0.0)
         a[0] = 0.0
         span = 1
@@ -91,10 +95,17 @@ class Rows:
             s[span:] += a[span:] * s[:-span]
             a[span:] *= a[:-span].copy()
             span *= 2
+        s = np.concatenate([np.full(self.start, np.nan), s])
         if self.cut:
-            self.states[name] = float(s[self.cut - 1])
+            self.states[name] = float(s[self.cut + WARM - 1])
         return s
 
+    def running_total(self, name: str, x: np.ndarray) -> np.ndarray:
+        """Sum of the values so far; missing before the first."""
+        known = ~np.isnan(x)
+        seen = self.recurrence(f"{name}, seen", 1.0, known.astype(float))
+        return np.where(seen > 0, self.recurrence(name, 1.0, np.where(known, x, 0.0)), np.nan)
+
     def exponential(self, name: str, x: np.ndarray, weight: float, least: int) -> np.ndarray:
         """The first value, then s + weight * (value - s); missing values leave it as it is.  Missing before ``least`` values."""
         known = ~np.isnan(x)
@@ -121,7 +132,7 @@ def along(panel: DataFrame, columns: list[str], names: list[str], look_back: int
     schema = T.StructType([*(held.schema[k] for k in KEYS), *(T.StructField(n, T.DoubleType()) for n in names)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        before, first, states = None, 0, {}
+        before, first, states, start = None, 0, {}, 0
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -134,10 +145,10 @@ def along(panel: DataFrame, columns: list[str], names: list[str], look_back: int
             cut, fresh = max(0, len(code) - look_back), len(code) - batch.num_rows
             values = {c: own.column(c).to_numpy(zero_copy_only=False) for c in columns}
             with np.errstate(all="ignore"):
-                made = compute(Rows({c: np.where(np.isfinite(x), x, np.nan) for c, x in values.items()}, place, states, cut))
+                made = compute(Rows({c: np.where(np.isfinite(x), x, np.nan) for c, x in values.items()}, place, states, cut, start))
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(k) for k in KEYS), *(pa.array(made[n][fresh:], mask=~np.isfinite(made[n][fresh:])) for n in names)], names=[*KEYS, *names]
             )
-            before, first = own.slice(cut), int(place[cut])
+            before, first, start = own.slice(cut), int(place[cut]), WARM if cut else start
 
     return held.mapInArrow(run, schema)

@@ -1,21 +1,19 @@
-"""Published momentum, trend, volatility and volume indicators of an OHLCV panel, all as window columns.
+"""Published momentum, trend, volatility and volume indicators of an OHLCV panel, of each instrument's rows.
 
-Exponential and Wilder averages are linear recurrences (``functions.recurrence``); averages of averages take a level each.
+All are arrays of sorted histories (``functions.histories``); exponential and Wilder averages are linear recurrences.
 Warm-up rows are NULL, and so are shares of a range or a sum that is zero.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
-from pyspark.sql import functions as F
+import numpy as np
+from pyspark.sql import DataFrame
 
-from tessera.functions import ts
-from tessera.functions.guard import ratio
-from tessera.functions.recurrence import adaptive, exponential
+from tessera.functions import histories
+from tessera.functions.histories import centred, ratio
+from tessera.functions.recurrence import adaptive
 from tessera.sources.panel import KEYS
 
-C = F.col
-
 MOMENTUM = "rsi stochastic_rsi stochastic_rsi_k stochastic_rsi_d tsi ultimate stochastic stochastic_signal williams awesome roc ppo ppo_signal ppo_diff pvo pvo_signal pvo_diff".split()
 TREND = (
     "macd macd_signal macd_diff sma_fast sma_slow ema_fast ema_slow wma vortex_high vortex_low trix mass_index dpo kst kst_signal "
@@ -25,15 +23,8 @@ VOLATILITY = "atr bollinger_mid bollinger_high bollinger_low bollinger_width bol
 VOLUME = "adi obv cmf force ease ease_signal vwap mfi".split()
 
 
-def _share(part: Column, whole: Column) -> Column:
-    return ratio(part, F.when(whole > 0, whole))
-
-
-def _mean_distance(x: Column, n: int) -> Column:
-    """Mean absolute distance from the mean of the last n rows."""
-    held = F.array_agg(x).over(ts.frame(n))
-    middle = F.avg(x).over(ts.frame(n))
-    return F.when(F.size(held) == n, F.aggregate(held, F.lit(0.0), lambda s, v: s + F.abs(v - middle)) / n)
+def _share(part: np.ndarray, whole: np.ndarray) -> np.ndarray:
+    return part / np.where(whole > 0, whole, np.nan)
 
 
 def kama(panel: DataFrame, column: str, window: int, fast: int, slow: int) -> DataFrame:
@@ -41,60 +32,62 @@ def kama(panel: DataFrame, column: str, window: int, fast: int, slow: int) -> Da
     return adaptive(panel.select(*KEYS, column), column, window, fast, slow, "kama").select(*KEYS, "kama")
 
 
+#: Rows that values look back on: a mean of 9 of means of 15 of changes over 30 rows, and one more for recurrences.
+LOOK_BACK = 64
+
+
 def indicators(panel: DataFrame) -> DataFrame:
     """Keys and all names of MOMENTUM, TREND, VOLATILITY and VOLUME."""
-    c, h, low, v = (C(x).cast("double") for x in ("close", "high", "low", "volume"))
-    p = panel.select(*KEYS, c.alias("c"), h.alias("h"), low.alias("l"), v.alias("v"))
-    c, h, low, v = (C(x) for x in "chlv")
-    before = ts.ref(c, 1)
-    p = p.withColumns({
-        "d": ts.delta(c), "hl": h - low, "typical": (h + low + c) / 3, "middle": (h + low) / 2, "reach": F.greatest(h - low, F.abs(h - before), F.abs(low - before)),
-        "up": ts.delta(h), "down": -ts.delta(low), "bought": c - F.least(low, before), "span": F.greatest(h, before) - F.least(low, before),
-        "vm_high": F.abs(h - ts.ref(low, 1)), "vm_low": F.abs(low - ts.ref(h, 1)),
-    })
-    d, typical = C("d"), C("typical")
-    p = p.withColumns({
-        "gain": F.when(d.isNotNull(), F.greatest(d, F.lit(0.0))), "loss": F.when(d.isNotNull(), F.greatest(-d, F.lit(0.0))),
-        "plus": F.when((C("up") > C("down")) & (C("up") > 0), C("up")).otherwise(0.0), "minus": F.when((C("down") > C("up")) & (C("down") > 0), C("down")).otherwise(0.0),
-        "turn": ts.delta(typical), "place": F.coalesce(_share(2 * c - h - low, C("hl")), F.lit(0.0)) * v, "lift": ratio((C("up") - C("down")) * C("hl"), 2 * v),
-    })
-    span = lambda n: 2.0 / (n + 1)
-    p = exponential(p, {
-        "ema_fast": (c, span(12), 12), "ema_slow": (c, span(26), 26), "e1": (c, span(15), 15), "d1": (d, span(25), 25), "a1": (F.abs(d), span(25), 25), "gains": (C("gain"), 1 / 14, 14), "losses": (C("loss"), 1 / 14, 14),
-        "atr": (C("reach"), 1 / 14, 14), "t20": (typical, span(20), 20), "ups": (C("plus"), 1 / 14, 14), "downs": (C("minus"), 1 / 14, 14), "force": (d * v, span(13), 13), "v12": (v, span(12), 12),
-        "v26": (v, span(26), 26), "range_1": (C("hl"), span(9), 9),
-    })
-    p = p.withColumns({
-        "macd": C("ema_fast") - C("ema_slow"), "rsi": 100 * _share(C("gains"), C("gains") + C("losses")), "pvo": 100 * ratio(C("v12") - C("v26"), C("v26")),
-        "adx_high": 100 * ratio(C("ups"), C("atr")), "adx_low": 100 * ratio(C("downs"), C("atr")), "roc": 100 * ts.change(c, 12),
-    })
-    top, floor = ts.high(h, 14), ts.low(low, 14)
-    p = p.withColumns({"ppo": 100 * ratio(C("macd"), C("ema_slow")), "stochastic": 100 * _share(c - floor, top - floor), "stochastic_rsi": _share(C("rsi") - ts.low(C("rsi"), 14), ts.high(C("rsi"), 14) - ts.low(C("rsi"), 14))})
-    p = exponential(p, {
-        "macd_signal": (C("macd"), span(9), 9), "ppo_signal": (C("ppo"), span(9), 9), "pvo_signal": (C("pvo"), span(9), 9), "e2": (C("e1"), span(15), 15), "d2": (C("d1"), span(13), 13), "a2": (C("a1"), span(13), 13),
-        "adx": (100 * _share(F.abs(C("adx_high") - C("adx_low")), C("adx_high") + C("adx_low")), 1 / 14, 14), "range_2": (C("range_1"), span(9), 9),
-    })
-    p = exponential(p, {"e3": (C("e2"), span(15), 15)})
-    rate = lambda n: ts.change(c, n)
-    p = p.withColumns({"r10": rate(10), "r15": rate(15), "r20": rate(20), "r30": rate(30), "narrow": ratio(C("range_1"), C("range_2")), "stochastic_rsi_k": ts.mean(C("stochastic_rsi"), 3), "fall": F.pow(100 * (ratio(c, ts.high(c, 14)) - 1), F.lit(2.0))})
-    p = p.withColumns({"kst": 100 * (ts.mean(C("r10"), 10) + 2 * ts.mean(C("r15"), 10) + 3 * ts.mean(C("r20"), 10) + 4 * ts.mean(C("r30"), 15)), "bollinger_mid": ts.mean(c, 20), "__spread": F.when(F.count(c).over(ts.frame(20)) == 20, F.stddev_pop(c).over(ts.frame(20)))})
-    p = p.withColumns({"bollinger_high": C("bollinger_mid") + 2 * C("__spread"), "bollinger_low": C("bollinger_mid") - 2 * C("__spread"), "donchian_high": ts.high(h, 20), "donchian_low": ts.low(low, 20)})
-    middle = lambda n: (ts.high(h, n) + ts.low(low, n)) / 2
-    part = lambda n: ratio(ts.total(C("bought"), n), ts.total(C("span"), n))
-    flow = lambda way: F.sum(F.when(way, typical * v).otherwise(0.0)).over(ts.frame(14))
-    rising, falling = flow(C("turn") > 0), flow(C("turn") < 0)
-    deviation = _mean_distance(typical, 20)
-    so_far = ts.by_date().rowsBetween(Window.unboundedPreceding, 0)
-    p = p.withColumns({
-        "tsi": 100 * ratio(C("d2"), C("a2")), "ultimate": 100 * (4 * part(7) + 2 * part(14) + part(28)) / 7, "stochastic_rsi_d": ts.mean(C("stochastic_rsi_k"), 3), "stochastic_signal": ts.mean(C("stochastic"), 3),
-        "williams": C("stochastic") - 100, "awesome": ts.mean(C("middle"), 5) - ts.mean(C("middle"), 34), "ppo_diff": C("ppo") - C("ppo_signal"), "pvo_diff": C("pvo") - C("pvo_signal"),
-        "macd_diff": C("macd") - C("macd_signal"), "sma_fast": ts.mean(c, 12), "sma_slow": ts.mean(c, 26), "wma": ts.decay(c, 9), "trix": 100 * ts.change(C("e3")), "mass_index": ts.total(C("narrow"), 25),
-        "vortex_high": ratio(ts.total(C("vm_high"), 14), ts.total(C("reach"), 14)), "vortex_low": ratio(ts.total(C("vm_low"), 14), ts.total(C("reach"), 14)), "dpo": ts.ref(c, 11) - ts.mean(c, 20),
-        "kst_signal": ts.mean(C("kst"), 9), "ichimoku_conversion": middle(9), "ichimoku_base": middle(26), "ichimoku_a": (middle(9) + middle(26)) / 2, "ichimoku_b": middle(52),
-        "cci": F.when(typical != ts.mean(typical, 20), ratio(typical - ts.mean(typical, 20), 0.015 * deviation)), "aroon_up": 4 * (ts.arg_max(h, 26) - 1), "aroon_down": 4 * (ts.arg_min(low, 26) - 1),
-        "bollinger_width": 100 * ratio(C("bollinger_high") - C("bollinger_low"), C("bollinger_mid")), "bollinger_share": _share(c - C("bollinger_low"), C("bollinger_high") - C("bollinger_low")),
-        "keltner_high": C("t20") + 2 * C("atr"), "keltner_low": C("t20") - 2 * C("atr"), "donchian_mid": (C("donchian_high") + C("donchian_low")) / 2, "ulcer": F.sqrt(ts.mean(C("fall"), 14)),
-        "adi": F.sum("place").over(so_far), "obv": F.sum(v * F.coalesce(F.signum(d), F.lit(0.0))).over(so_far), "cmf": ratio(ts.total(C("place"), 20), ts.total(v, 20)), "ease": C("lift"), "ease_signal": ts.mean(C("lift"), 14),
-        "vwap": ratio(ts.total(typical * v, 14), ts.total(v, 14)), "mfi": F.when(F.count(v).over(ts.frame(14)) == 14, 100 * _share(rising, rising + falling)),
-    })
-    return p.select(*KEYS, *MOMENTUM, *TREND, *VOLATILITY, *VOLUME)
+    return histories.along(panel, ["close", "high", "low", "volume"], [*MOMENTUM, *TREND, *VOLATILITY, *VOLUME], LOOK_BACK, _indicators)
+
+
+def _indicators(r: histories.Rows) -> dict[str, np.ndarray]:
+    c, h, low, v = (r.columns[x] for x in ("close", "high", "low", "volume"))
+    change = lambda x, n: ratio(x, r.ref(x, n)) - 1
+    ema = lambda name, x, n, least: r.exponential(name, x, 2.0 / (n + 1), least)
+    wilder = lambda name, x: r.exponential(name, x, 1 / 14, 14)
+    before = r.ref(c, 1)
+    d, hl, typical, middle = c - before, h - low, (h + low + c) / 3, (h + low) / 2
+    reach = np.fmax(hl, np.fmax(np.abs(h - before), np.abs(low - before)))
+    up, down, bought, span = h - r.ref(h, 1), r.ref(low, 1) - low, c - np.fmin(low, before), np.fmax(h, before) - np.fmin(low, before)
+    vm_high, vm_low, turn = np.abs(h - r.ref(low, 1)), np.abs(low - r.ref(h, 1)), typical - r.ref(typical, 1)
+    plus, minus = np.where((up > down) & (up > 0), up, 0.0), np.where((down > up) & (down > 0), down, 0.0)
+    inside = _share(2 * c - h - low, hl)
+    inside = np.where(np.isnan(inside), 0.0, inside) * v
+    lift = ratio((up - down) * hl, 2 * v)
+
+    ema_fast, ema_slow, v12, v26, range_1 = ema("ema_fast", c, 12, 12), ema("ema_slow", c, 26, 26), ema("v12", v, 12, 12), ema("v26", v, 26, 26), ema("range_1", hl, 9, 9)
+    gains, losses, atr = wilder("gains", np.maximum(d, 0.0)), wilder("losses", np.maximum(-d, 0.0)), wilder("atr", reach)
+    macd, rsi, pvo = ema_fast - ema_slow, 100 * _share(gains, gains + losses), 100 * ratio(v12 - v26, v26)
+    ppo, adx_high, adx_low = 100 * ratio(macd, ema_slow), 100 * ratio(wilder("ups", plus), atr), 100 * ratio(wilder("downs", minus), atr)
+    macd_signal, ppo_signal, pvo_signal = ema("macd_signal", macd, 9, 9), ema("ppo_signal", ppo, 9, 9), ema("pvo_signal", pvo, 9, 9)
+    d2, a2 = ema("d2", ema("d1", d, 25, 25), 13, 13), ema("a2", ema("a1", np.abs(d), 25, 25), 13, 13)
+    e3 = ema("e3", ema("e2", ema("e1", c, 15, 15), 15, 15), 15, 15)
+    adx = wilder("adx", 100 * _share(np.abs(adx_high - adx_low), adx_high + adx_low))
+    narrow = ratio(range_1, ema("range_2", range_1, 9, 9))
+
+    top, floor = r.high(h, 14), r.low(low, 14)
+    stochastic = 100 * _share(c - floor, top - floor)
+    stochastic_rsi = _share(rsi - r.low(rsi, 14), r.high(rsi, 14) - r.low(rsi, 14))
+    stochastic_rsi_k = r.mean(stochastic_rsi, 3)
+    kst = 100 * (r.mean(change(c, 10), 10) + 2 * r.mean(change(c, 15), 10) + 3 * r.mean(change(c, 20), 10) + 4 * r.mean(change(c, 30), 15))
+    mid, spread, t20 = r.mean(c, 20), r.std(c, 20, 0), ema("t20", typical, 20, 20)
+    high_20, low_20, of = r.high(h, 20), r.low(low, 20), lambda n: (r.high(h, n) + r.low(low, n)) / 2
+    part = lambda n: ratio(r.total(bought, n), r.total(span, n))
+    rising, falling = (r.total(np.where(way, typical * v, 0.0), 14) + r.total(v, 14) * 0 for way in (turn > 0, turn < 0))
+    distance, deviation = r.reduced(lambda w: centred(w)[-1], 20, typical), r.reduced(lambda w: np.abs(centred(w)).mean(axis=0), 20, typical)
+    fall = np.square(100 * (ratio(c, r.high(c, 14)) - 1))
+    return {
+        "rsi": rsi, "stochastic_rsi": stochastic_rsi, "stochastic_rsi_k": stochastic_rsi_k, "stochastic_rsi_d": r.mean(stochastic_rsi_k, 3), "tsi": 100 * ratio(d2, a2),
+        "ultimate": 100 * (4 * part(7) + 2 * part(14) + part(28)) / 7, "stochastic": stochastic, "stochastic_signal": r.mean(stochastic, 3), "williams": stochastic - 100, "awesome": r.mean(middle, 5) - r.mean(middle, 34),
+        "roc": 100 * change(c, 12), "ppo": ppo, "ppo_signal": ppo_signal, "ppo_diff": ppo - ppo_signal, "pvo": pvo, "pvo_signal": pvo_signal, "pvo_diff": pvo - pvo_signal,
+        "macd": macd, "macd_signal": macd_signal, "macd_diff": macd - macd_signal, "sma_fast": r.mean(c, 12), "sma_slow": r.mean(c, 26), "ema_fast": ema_fast, "ema_slow": ema_slow,
+        "wma": r.reduced(lambda w: np.arange(1.0, 10) @ w / 45, 9, c), "vortex_high": ratio(r.total(vm_high, 14), r.total(reach, 14)), "vortex_low": ratio(r.total(vm_low, 14), r.total(reach, 14)),
+        "trix": 100 * change(e3, 1), "mass_index": r.total(narrow, 25), "dpo": r.ref(c, 11) - mid, "kst": kst, "kst_signal": r.mean(kst, 9),
+        "ichimoku_conversion": of(9), "ichimoku_base": of(26), "ichimoku_a": (of(9) + of(26)) / 2, "ichimoku_b": of(52), "adx": adx, "adx_high": adx_high, "adx_low": adx_low,
+        "cci": ratio(np.where(distance == 0, np.nan, distance), 0.015 * deviation), "aroon_up": 4 * (r.arg(h, 26, True) - 1), "aroon_down": 4 * (r.arg(low, 26, False) - 1),
+        "atr": atr, "bollinger_mid": mid, "bollinger_high": mid + 2 * spread, "bollinger_low": mid - 2 * spread, "bollinger_width": 100 * ratio(4 * spread, mid), "bollinger_share": _share(c - (mid - 2 * spread), 4 * spread),
+        "keltner_high": t20 + 2 * atr, "keltner_low": t20 - 2 * atr, "donchian_high": high_20, "donchian_low": low_20, "donchian_mid": (high_20 + low_20) / 2, "ulcer": np.sqrt(r.mean(fall, 14)),
+        "adi": r.running_total("adi", inside), "obv": r.running_total("obv", v * np.where(np.isnan(d), 0.0, np.sign(d))), "cmf": ratio(r.total(inside, 20), r.total(v, 20)),
+        "force": ema("force", d * v, 13, 13), "ease": lift, "ease_signal": r.mean(lift, 14), "vwap": ratio(r.total(typical * v, 14), r.total(v, 14)), "mfi": 100 * _share(rising, rising + falling),
+    }

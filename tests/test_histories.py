@@ -5,9 +5,11 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.functions import histories
 from tessera.operators import features
+from tessera.operators.indicators import indicators
 from tessera.plans import registry
 
 DAY = dt.date(2020, 1, 1)
@@ -43,7 +45,20 @@ def test_arrays_and_columns_agree(spark, panel, what, size):
             assert (p is None) == (q is None) and (p is None or np.isclose(p, q, rtol=1e-9, atol=1e-9)), (name, x[:2], p, q)
 
 
-@pytest.mark.parametrize("query", ["features_rolling_family", "features_lag_ratios"])
+def test_indicators_go_on_over_batches(spark, panel):
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    made = []
+    try:
+        for size in (7, 1000):
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+            made.append(sorted(map(tuple, indicators(panel.unionByName(panel.withColumn("datetime", F.date_add("datetime", 41)))).collect()), key=lambda r: (r[1], r[0])))
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    for x, y in zip(*made, strict=True):
+        assert x[:2] == y[:2] and all((p is None) == (q is None) and (p is None or np.isclose(p, q, rtol=1e-9, atol=1e-9)) for p, q in zip(x[2:], y[2:], strict=True)), (x, y)
+
+
+@pytest.mark.parametrize("query", ["features_rolling_family", "features_lag_ratios", "features_indicators"])
 def test_frames_are_not_aggregated_row_by_row(spark, query):
     plan = registry.queries()[query](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "Window" not in plan and "Join" not in plan
@@ -54,7 +69,7 @@ def test_recurrences_go_on_over_batches():
     for start in range(0, 11, 4):  # two rows of look-back
         first = max(0, start - 2)
         own, end = np.arange(first, min(11, start + 4)), min(11, start + 4)
-        rows = histories.Rows({}, own % 9, states, max(0, len(own) - 2))
+        rows = histories.Rows({}, own % 9, states, max(0, len(own) - 2), histories.WARM if first else 0)
         got += list(rows.exponential("m", x[own], 0.25, 2)[start - first : end - first])
     want, state = [], None
     for i, v in enumerate(x):
