@@ -419,7 +419,7 @@ def portfolio_bucket_shares(spark, sf_dir):
 
 @query(f"""
 {LONG}, w(factor, weight) AS (VALUES ('rev_1', 1.0 / 3), ('kmid', -1.0 / 3), ('volume_ratio', 1.0 / 3)),
-z AS (SELECT datetime, instrument, factor, CASE WHEN max(value) OVER (PARTITION BY datetime, factor) > min(value) OVER (PARTITION BY datetime, factor) THEN greatest(least((value - avg(value) OVER (PARTITION BY datetime, factor)) / stddev_samp(value) OVER (PARTITION BY datetime, factor), 3), -3) END AS z FROM long)
+z AS (SELECT datetime, instrument, factor, CASE WHEN value IS NOT NULL AND max(value) OVER (PARTITION BY datetime, factor) > min(value) OVER (PARTITION BY datetime, factor) THEN greatest(least((value - avg(value) OVER (PARTITION BY datetime, factor)) / stddev_samp(value) OVER (PARTITION BY datetime, factor), 3), -3) END AS z FROM long)
 SELECT datetime, instrument, CASE WHEN count(*) >= 2 THEN sum(z * weight) / sum(abs(weight)) END AS score, count(*) AS parts FROM z JOIN w USING (factor) WHERE z IS NOT NULL GROUP BY 1, 2""", floats="score")
 def score_directional(spark, sf_dir):
     d = spark.createDataFrame([("rev_1", 1.0), ("kmid", -1.0), ("volume_ratio", 1.0)], "factor string, direction double")

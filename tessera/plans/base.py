@@ -18,7 +18,8 @@ def six_digits(x: str) -> str:
 
 #: Panels of FIXTURES.md, section B, as common table expressions.
 _UNIT = "l_extendedprice / l_quantity"
-_AT = "ORDER BY l_shipdate, l_orderkey, l_linenumber"
+# an order may have a line number twice
+_AT = "ORDER BY l_shipdate, l_orderkey, l_linenumber, l_extendedprice, l_quantity"
 MONTHLY = f"""panel AS (
   SELECT *, {six_digits('amount / volume')} AS vwap FROM (
     SELECT CAST(date_trunc('month', l_shipdate) AS DATE) AS datetime, 'S' || lpad(CAST(l_suppkey AS VARCHAR), 6, '0') AS instrument,

@@ -20,7 +20,7 @@ def six_digits(x: Column) -> Column:
 def monthly_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Month x supplier: open, high, low, close, volume, amount, vwap of unit prices."""
     line = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
-    at = F.struct("l_shipdate", "l_orderkey", "l_linenumber")
+    at = F.struct("l_shipdate", "l_orderkey", "l_linenumber", "l_extendedprice", "l_quantity")  # an order may have a line number twice
     unit = ratio(F.col("l_extendedprice"), F.col("l_quantity"))
     out = line.select(
         F.trunc("l_shipdate", "month").alias("datetime"), F.concat(F.lit("S"), F.lpad(F.col("l_suppkey").cast("string"), 6, "0")).alias("instrument"),
