@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.guard import ratio
@@ -16,6 +16,18 @@ def count(x: Column, *keys: str) -> Column:
     return F.count(x).over(over(*keys))
 
 
+def dealt(frame: DataFrame, *keys: str) -> DataFrame:
+    """Rows by cross-section, in as many partitions as the session's shuffles have.  Spark merges partitions up to a size, and then a task
+    sorts many cross-sections at once; it leaves a number that was asked for."""
+    return frame.repartition(int(frame.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
+def ranked(x: Column, *keys: str) -> tuple[Column, Column]:
+    """The average rank (see below), and the number of rows that have the value, from one sort and one window."""
+    whole = over(*keys).orderBy(x.asc_nulls_last()).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    return average_rank(x, *keys), F.count(x).over(whole)
+
+
 def average_rank(x: Column, *keys: str) -> Column:
     """Rank from 1, ties averaged, among rows that have the value."""
     w = over(*keys)
@@ -26,7 +38,8 @@ def average_rank(x: Column, *keys: str) -> Column:
 
 
 def percent_rank(x: Column, *keys: str) -> Column:
-    return average_rank(x, *keys) / count(x, *keys)
+    rank, n = ranked(x, *keys)
+    return rank / n
 
 
 def rank_normal(x: Column, *keys: str) -> Column:
@@ -35,8 +48,8 @@ def rank_normal(x: Column, *keys: str) -> Column:
 
 def rank_signed(x: Column, *keys: str) -> Column:
     """Rank on [-1, 1]."""
-    n = count(x, *keys)
-    return F.when(n > 1, 2 * (average_rank(x, *keys) - 1) / F.greatest(n - 1, F.lit(1)) - 1)
+    rank, n = ranked(x, *keys)
+    return F.when(n > 1, 2 * (rank - 1) / F.greatest(n - 1, F.lit(1)) - 1)
 
 
 def mid_rank(x: Column, least: int, *keys: str) -> tuple[Column, Column]:

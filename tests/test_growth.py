@@ -58,3 +58,10 @@ def test_sixth_digit_isn_t_decided_by_noise(spark):
     where = "instrument = 'S000012' AND datetime = DATE '2001-02-01'"
     want = con.sql(f"SELECT alpha_026 FROM ({sql}) WHERE {where}").fetchall()
     assert [tuple(r) for r in registry.queries()["features_alpha_vocabulary"](spark, path).where(where).select("alpha_026").collect()] == [(0.054688,)] == want
+
+
+def test_cross_sections_are_sorted_once_in_partitions_of_their_own(spark):
+    """Each of the two ranks has one window over few cross-sections, not two sorts of all that Spark merges into a task."""
+    text = plan(registry.queries()["score_sleeves"](spark, DIR))
+    assert text.count("REPARTITION_BY_NUM") == 2
+    assert text.count("- Window [") == 3  # one more along the instruments
