@@ -2,12 +2,15 @@
 
 A formula is a function of a ``Vocabulary``.  Elementwise parts stay expressions; a window over an instrument's rows or a
 date's cross-section becomes a column of the first level after those that it needs.  Odd levels hold windows over
-instruments and even ones those over dates, so a level is one projection with one partitioning, and equal parts
-of several formulas are one column.  Every cross-sectional operation sees eligible rows alone.
+instruments and even ones those over dates, so a level has one partitioning, and equal parts
+of several formulas are one column.  A level over dates takes each of its columns apart, as long rows (``cross_sections``): side by side,
+every rank would sort whole wide rows again, all sorts at once in one task.  Every cross-sectional operation sees eligible rows alone.
 """
 
 from __future__ import annotations
 
+import functools
+import operator
 from collections.abc import Callable
 from dataclasses import dataclass
 from typing import Any
@@ -30,11 +33,12 @@ class Node:
     x: Any
     level: int
     key: str
+    reads: frozenset[str] = frozenset()
 
     def _with(self, sign: str, other: Node | float, flip: bool = False) -> Node:
         other = other if isinstance(other, Node) else self.of.number(other)
         a, b = (other, self) if flip else (self, other)
-        return Node(self.of, self.of.arithmetic(sign, a.x, b.x), max(a.level, b.level), f"({a.key} {sign} {b.key})")
+        return Node(self.of, self.of.arithmetic(sign, a.x, b.x), max(a.level, b.level), f"({a.key} {sign} {b.key})", a.reads | b.reads)
 
     def __add__(self, y: Node | float) -> Node:
         return self._with("+", y)
@@ -67,15 +71,20 @@ class Node:
         return 0 - self
 
 
+def _reads(nodes: tuple[Node, ...]) -> frozenset[str]:
+    return functools.reduce(operator.or_, (n.reads for n in nodes))
+
+
 class Vocabulary:
     """What formulas are made of.  Subclasses say what each word is: ``scalar_*``, ``series_*`` and ``date_*`` methods take expressions."""
 
     def __init__(self):
         self.levels: dict[int, dict[str, tuple[str, Any]]] = {}
         self.names: dict[str, Node] = {}
+        self.reads: dict[str, frozenset[str]] = {}
 
     def field(self, name: str) -> Node:
-        return Node(self, self.column(name), 0, name)
+        return Node(self, self.column(name), 0, name, frozenset([name]))
 
     def number(self, value: float) -> Node:
         return Node(self, self.constant(value), 0, repr(value))
@@ -83,7 +92,7 @@ class Vocabulary:
     def each(self, word: str, *nodes: Node, **more: float) -> Node:
         """An elementwise word."""
         key = f"{word}({', '.join([n.key for n in nodes] + [repr(v) for v in more.values()])})"
-        return Node(self, getattr(self, f"scalar_{word}")(*(n.x for n in nodes), **more), max(n.level for n in nodes), key)
+        return Node(self, getattr(self, f"scalar_{word}")(*(n.x for n in nodes), **more), max(n.level for n in nodes), key, _reads(nodes))
 
     def window(self, kind: int, word: str, *nodes: Node, **more: Any) -> Node:
         key = f"{word}({', '.join([n.key for n in nodes] + [repr(v) for v in more.values()])})"
@@ -93,7 +102,8 @@ class Vocabulary:
             name = f"w{len(self.names)}_"
             build: Callable = getattr(self, f"{'series' if kind else 'date'}_{word}")
             self.levels.setdefault(level, {})[name] = build(*(n.x for n in nodes), **more)
-            self.names[key] = Node(self, self.column(name), level, key)
+            self.reads[name] = _reads(nodes) | {v for v in more.values() if isinstance(v, str)}
+            self.names[key] = Node(self, self.column(name), level, key, frozenset([name]))
         return self.names[key]
 
     def __getattr__(self, word: str):
@@ -116,12 +126,21 @@ def noiseless(x: Column) -> Column:
     return F.round(x, 9)
 
 
+@dataclass(frozen=True)
+class Section:
+    """A word over a date's rows: ``value`` makes a column of x and the keys of its cross-section, which ``group`` may divide."""
+
+    x: Column
+    value: Callable[..., Column]
+    group: str | None = None
+
+
 class SparkVocabulary(Vocabulary):
-    """Words as columns.  ``eligible`` is the name of a boolean column."""
+    """Words as columns, those over dates as sections.  ``eligible`` is the name of a boolean column."""
 
     def __init__(self, eligible: str):
         super().__init__()
-        self.eligible = F.col(eligible)
+        self.eligible = eligible
 
     column = staticmethod(F.col)
     constant = staticmethod(lambda v: F.lit(float(v)))
@@ -156,21 +175,27 @@ class SparkVocabulary(Vocabulary):
         return F.when(F.size(held) == n, F.aggregate(held, F.lit(1.0), lambda s, v: s * v))
 
     def _masked(self, x: Column) -> Column:
-        return F.when(self.eligible, x)
+        return F.when(F.col(self.eligible), x)
 
-    def date_rank(self, x: Column) -> Column:
+    def date_rank(self, x: Column) -> Section:
         """Average rank among eligible rows of the date, as a share of their number."""
-        return xs.percent_rank(noiseless(self._masked(x)))
+        return Section(noiseless(self._masked(x)), xs.percent_rank)
 
-    def date_scale(self, x: Column) -> Column:
+    def date_scale(self, x: Column) -> Section:
         """Values over the sum of absolute ones."""
-        own = self._masked(x)
-        return ratio(own, F.sum(F.abs(own)).over(Window.partitionBy("datetime")))
+        return Section(self._masked(x), _scaled)
 
-    def date_demean(self, x: Column, group: str) -> Column:
+    def date_demean(self, x: Column, group: str) -> Section:
         """Values less the mean of the date's group."""
-        own = self._masked(x)
-        return own - F.avg(own).over(Window.partitionBy("datetime", group))
+        return Section(self._masked(x), _demeaned, group)
+
+
+def _scaled(x: Column, *keys: str) -> Column:
+    return ratio(x, F.sum(F.abs(x)).over(xs.over(*keys)))
+
+
+def _demeaned(x: Column, *keys: str) -> Column:
+    return x - F.avg(x).over(xs.over(*keys))
 
 
 def formulas(v: Vocabulary) -> dict[str, Node]:
@@ -218,10 +243,33 @@ def formulas(v: Vocabulary) -> dict[str, Node]:
     }
 
 
-def evaluate(panel: DataFrame, v: Vocabulary, made: dict[str, Node]) -> DataFrame:
-    """Keys and the formulas' values: one projection for each level."""
+def cross_sections(panel: DataFrame, held: list[str], words: dict[str, Section]) -> DataFrame:
+    """Keys, the columns ``held`` and those of ``words``.  The panel has one row for each key.
+
+    A row becomes one for each word that it has a value for, and one that carries what is held; these are spread by instrument.  They meet again
+    by instrument, where windows along the instruments follow.
+    """
+    carried = F.struct(*held)
+    row = lambda word, x, group, rest: F.struct(word.cast("int").alias("__word"), x.cast("double").alias("__x"), group.cast("string").alias("__group"), rest.alias("__held"))
+    none = F.lit(None)
+    rows = [row(-1 - F.pmod(F.xxhash64("instrument"), F.lit(64)), none, none, carried)]
+    rows += [row(F.lit(i), s.x, F.col(s.group) if s.group else none, F.when(F.lit(False), carried)) for i, s in enumerate(words.values())]
+    long = panel.select(*KEYS, F.explode(F.array(*rows)).alias("__r")).select(*KEYS, "__r.*").where("__x is not null or __held is not null")
+    keys, word, value = ("datetime", "__word", "__group"), F.col("__word"), F.lit(None).cast("double")
+    for kind in dict.fromkeys(s.value for s in words.values()):
+        value = F.when(word.isin([i for i, s in enumerate(words.values()) if s.value is kind]), kind(F.col("__x"), *keys)).otherwise(value)
+    made = xs.dealt(xs.dealt(long, *keys).select(*KEYS, "__word", "__held", value.alias("__value")), "instrument").groupBy("instrument", "datetime")
+    return made.agg(F.first("__held", ignorenulls=True).alias("__held"), *(F.max(F.when(word == i, F.col("__value"))).alias(name) for i, name in enumerate(words))).select(*KEYS, "__held.*", *words)
+
+
+def evaluate(panel: DataFrame, v: SparkVocabulary, made: dict[str, Node]) -> DataFrame:
+    """Keys and the formulas' values, level by level."""
     for level in sorted(v.levels):
-        panel = panel.withColumns(v.levels[level])
+        if level % 2 == SERIES:
+            panel = panel.withColumns(v.levels[level])
+            continue
+        wanted = _reads(tuple(made.values())).union({v.eligible}, *(v.reads[name] for later in v.levels if later > level for name in v.levels[later]))
+        panel = cross_sections(panel, [c for c in panel.columns if c in wanted and c not in KEYS], v.levels[level])
     return panel.select(*KEYS, *(node.x.alias(name) for name, node in made.items()))
 
 

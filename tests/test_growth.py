@@ -65,3 +65,21 @@ def test_cross_sections_are_sorted_once_in_partitions_of_their_own(spark):
     text = plan(registry.queries()["score_sleeves"](spark, DIR))
     assert text.count("REPARTITION_BY_NUM") == 2
     assert text.count("- Window [") == 3  # one more along the instruments
+
+
+def test_ranks_of_a_date_are_not_sorted_side_by_side(spark):
+    """One window for all ranks of a level; one for each would sort wide rows again and again inside a task."""
+    text = plan(registry.queries()["features_alpha_vocabulary"](spark, DIR))
+    assert text.count("- Window [rank(") <= 3
+    assert text.count("REPARTITION_BY_NUM") == 6
+
+
+def test_cross_sections_keep_rows_and_columns(spark):
+    from tessera.operators.formulas import SparkVocabulary, cross_sections
+
+    rows = [(d, i, x, x is not None and x < 9, g, f"{d}{i}") for d in "ab" for i, x, g in (("p", 1.0, "u"), ("q", 3.0, "v"), ("r", 1.0, "u"), ("s", None, None), ("t", 9.0, "u"))]
+    panel, v = spark.createDataFrame(rows, "datetime string, instrument string, x double, eligible boolean, g string, own string"), SparkVocabulary("eligible")
+    x = panel["x"]
+    out = cross_sections(panel, ["own", "x"], {"r": v.date_rank(x), "s": v.date_scale(x), "d": v.date_demean(x + x, "g")}).orderBy("datetime", "instrument").collect()
+    want = {"p": (1.0, 0.5, 0.2, 0.0), "q": (3.0, 1.0, 0.6, 0.0), "r": (1.0, 0.5, 0.2, 0.0), "s": (None,) * 4, "t": (9.0, None, None, None)}
+    assert [tuple(r) for r in out] == [(d, i, f"{d}{i}", *want[i]) for d in "ab" for i in "pqrst"]
