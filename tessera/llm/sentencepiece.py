@@ -2,22 +2,25 @@
 
 The model's protobuf is parsed here.  Its normaliser (character map, extra blanks, dummy prefix, the marker for blanks) and its
 model (unigram scores, or pairs to merge in the order of scores) become a tokenizer with byte fallback.  Batches of whole
-texts are encoded in multithreaded calls.  Parity is verified by encoding the whole texts with the original library.
+texts are encoded in multithreaded calls; where no pair reaches from one word to the next (``word_pattern``), batches of the words
+that a worker hasn't met, and a text's ids are those of its words.  Parity is verified by encoding the whole texts with the original library.
 """
 
 from __future__ import annotations
 
 import functools
 import os
+import re
 import struct
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tessera.llm import shared
+from tessera.llm import packing, shared
 
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -115,6 +118,43 @@ def build(model: Model):
     return tokenizer
 
 
+def word_pattern(model: Model) -> re.Pattern[str] | None:
+    """Words whose ids, one after another, are those of the text; None if the model doesn't promise that.
+
+    Every merge makes a piece, so none reaches over a place where no piece could lie.  A word is a run of signs that pieces join, with the
+    marks before it; marks alone; or a run of other signs, which are pieces of their own or bytes.
+    """
+    plain = [p for p, _, t in model.pieces if t == NORMAL]
+    unsure = model.kind != 2 or model.charsmap or model.strip_blanks or not model.mark_blanks or any(t == USER for _, _, t in model.pieces)
+    # without all bytes, unknown signs of neighbours become one id
+    if unsure or not model.byte_fallback or sum(t == BYTE for _, _, t in model.pieces) < 256 or any(re.search(f"[^{MARK}]{MARK}", p) for p in plain):
+        return None
+    joined = re.escape("".join(sorted({c for p in plain if len(p) > 1 for c in p} - {MARK})))
+    return re.compile(f"{MARK}*[{joined}]+|{MARK}+|[^{MARK}{joined}]+" if joined else f"{MARK}+|[^{MARK}]+")
+
+
+class WordMemory:
+    """A worker's memory of the ids of distinct words.  More than ``most`` signs, counting 16 more for each word, empty it, which costs time only."""
+
+    def __init__(self, model: Model, pattern: re.Pattern[str], most: int = 1 << 23):
+        self.tokenizer, self.prefix, self.pattern, self.most = build(model), MARK * model.dummy_prefix, pattern, most
+        self.tokenizer.normalizer = None  # words are cut from normalised texts
+        self.ids = list(range(len(model.pieces)))  # one object for each id
+        self.known: dict[str, tuple[int, ...]] = {}
+        self.held = 0
+
+    def encode(self, texts: list[str]) -> list[list[int]]:
+        words = [self.pattern.findall(self.prefix + t.replace(" ", MARK)) if t else [] for t in texts]
+        if self.held > self.most:
+            self.known, self.held = {}, 0
+        new = list(set(chain.from_iterable(words)).difference(self.known))
+        flat, sizes = packing.encode_parts(self.tokenizer, new)
+        flat, end = [self.ids[i] for i in flat.tolist()], np.cumsum(sizes).tolist()
+        self.known.update(zip(new, (tuple(flat[a:b]) for a, b in zip([0, *end], end)), strict=True))
+        self.held += sum(map(len, new)) + 16 * len(new)
+        return [list(chain.from_iterable(map(self.known.__getitem__, own))) for own in words]
+
+
 class Encoder:
     """Encodes batches of whole texts in ``threads`` threads; with ``parity``, also by the original library."""
 
@@ -122,7 +162,9 @@ class Encoder:
         # read by the library's thread pool when it is first used; an encoder is made before that
         os.environ["TOKENIZERS_PARALLELISM"], os.environ["RAYON_NUM_THREADS"] = str(threads > 1).lower(), str(threads)
         with open(model_file, "rb") as f:
-            self.tokenizer = build(Model.parse(f.read()))
+            model = Model.parse(f.read())
+        pattern = word_pattern(model)
+        self.words, self.tokenizer = (WordMemory(model, pattern), None) if pattern else (None, build(model))
         self.threads, self.reference = threads, None
         if parity:
             from sentencepiece import SentencePieceProcessor
@@ -131,7 +173,7 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> tuple[list[list[int]], list[bool]]:
         """The ids of each text, and whether the original library gives the same for the whole text."""
-        ids = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        ids = self.words.encode(texts) if self.words else [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         if not self.reference:
             return ids, []
         return ids, [a == b for a, b in zip(ids, self.reference.encode(texts, num_threads=self.threads), strict=True)]
@@ -187,8 +229,15 @@ def decode(frame: DataFrame, model_file: str, *, ids_col: str = "ids", into: str
     A column of that name, in any case, is replaced, others and repeated rows stay.  An empty table gives an empty result.
     """
 
-    def decoded(ids: list) -> list[pa.Array]:
+    def decoded(batch: pa.RecordBatch, column: pa.ListArray) -> Iterator[tuple[pa.RecordBatch, list[pa.Array]]]:
         own = decoder(model_file)
-        return [pa.array([None if x is None else own.decode(x) for x in ids], pa.string())]
-
-    return shared.with_columns(frame, ids_col, f"`{into}` string", shared.by_rows(decoded, 512))
+        for lo in range(0, len(batch), 512):
+            part = column.slice(lo, 512)
+            # the items of all lists at once: Arrow's own turn into Python values takes one after another
+            flat, texts, at = part.flatten().to_numpy().tolist(), [], 0
+            for n in part.value_lengths().to_pylist():
+                texts.append(None if n is None else own.decode(flat[at : at + n]))
+                at += n or 0
+            yield batch.slice(lo, 512), [pa.array(texts, pa.string())]
+
+    return shared.with_columns(frame, ids_col, f"`{into}` string", decoded)

@@ -648,6 +648,29 @@ def test_sentencepiece_parity_and_round_trip(spark, corpus):
         assert list(r.ids) == sp.encode(r.text or "") and r.parity and r.decoded == (r.text or ""), r.text
 
 
+def test_words_of_pair_merges_are_encoded_once(spark):
+    """Words whose ids are those of the text are remembered; models with pieces over several words encode whole texts.  Null ids stay null."""
+    P = pytest.importorskip("public_tokenizers")
+    from sentencepiece import SentencePieceProcessor
+
+    path = P.path("piece_bpe_32k.model")
+    own, sp = sentencepiece.Encoder(path, False, 1), SentencePieceProcessor(model_file=path)
+    texts = ["", " ", "▁a ▁", "two  words\n\n 12,345 é日", "two  words\n\n 12,345 é日 again", "\u0301x \U0001f600\U0001f600"]
+    assert own.encode(texts)[0] == sp.encode(texts)
+    met = len(own.words.known)
+    assert own.encode(texts * 3)[0] == sp.encode(texts * 3) and len(own.words.known) == met
+    own.words.most = 0
+    assert own.encode(["other words"])[0] == sp.encode(["other words"]) and set(own.words.known) == {"▁other", "▁words"}
+    with open(path, "rb") as f:
+        model = sentencepiece.Model.parse(f.read())
+    assert sentencepiece.word_pattern(model).findall("▁▁a1\n▁b") == ["▁▁a", "1\n", "▁b"]
+    model.pieces.append(("a▁b", -1.0, sentencepiece.NORMAL))
+    assert sentencepiece.word_pattern(model) is None
+    rows = [(1, [10, 11]), (2, None), (3, []), (4, own.encode(["a b"])[0][0])]
+    out = {r.i: r.decoded for r in sentencepiece.decode(spark.createDataFrame(rows, "i int, ids array<int>").coalesce(1), path).collect()}
+    assert out == {i: None if x is None else sentencepiece.decoder(path).decode(x) for i, x in rows} and out[2] is None and out[3] == "" and out[4] == "a b"
+
+
 def test_unigram_models_are_rebuilt():
     m = sentencepiece.Model([("<unk>", 0.0, 2), ("▁", -2.0, 1), ("▁a", -1.0, 1), ("b", -3.0, 1), ("ab", -1.5, 1)], 1)
     assert sentencepiece.build(m).encode("a ab", add_special_tokens=False).tokens == ["▁a", "▁", "ab"]
