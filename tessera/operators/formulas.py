@@ -3,20 +3,27 @@
 A formula is a function of a ``Vocabulary``.  Elementwise parts stay expressions; a window over an instrument's rows or a
 date's cross-section becomes a column of the first level after those that it needs.  Odd levels hold windows over
 instruments and even ones those over dates, so a level has one partitioning, and equal parts
-of several formulas are one column.  A level over dates takes each of its columns apart, as long rows (``cross_sections``): side by side,
-every rank would sort whole wide rows again, all sorts at once in one task.  Every cross-sectional operation sees eligible rows alone.
+of several formulas are one column.  Every cross-sectional operation sees eligible rows alone.
+
+What is shuffled decides how much disk a large panel takes, so Spark's plan (``evaluate``) deals words anew.  Words over dates wait for the last round
+that they can wait for (``rounds``), and words over instruments are made anew beside each round that reads them: what is carried are fields and
+ranks, not windows.  A date's rows are ranked in arrays of its task (``cross_sections``): side by side, every rank would sort whole wide rows again.
 """
 
 from __future__ import annotations
 
 import functools
 import operator
+from collections import Counter
 from collections.abc import Callable
 from dataclasses import dataclass
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera.functions import ts, xs
 from tessera.functions.guard import ratio
@@ -128,10 +135,10 @@ def noiseless(x: Column) -> Column:
 
 @dataclass(frozen=True)
 class Section:
-    """A word over a date's rows: ``value`` makes a column of x and the keys of its cross-section, which ``group`` may divide."""
+    """A word over a date's rows of x: ``rank``, ``scale`` or ``demean``, the last by the column ``group``."""
 
+    word: str
     x: Column
-    value: Callable[..., Column]
     group: str | None = None
 
 
@@ -179,23 +186,15 @@ class SparkVocabulary(Vocabulary):
 
     def date_rank(self, x: Column) -> Section:
         """Average rank among eligible rows of the date, as a share of their number."""
-        return Section(noiseless(self._masked(x)), xs.percent_rank)
+        return Section("rank", noiseless(self._masked(x)))
 
     def date_scale(self, x: Column) -> Section:
         """Values over the sum of absolute ones."""
-        return Section(self._masked(x), _scaled)
+        return Section("scale", self._masked(x))
 
     def date_demean(self, x: Column, group: str) -> Section:
         """Values less the mean of the date's group."""
-        return Section(self._masked(x), _demeaned, group)
-
-
-def _scaled(x: Column, *keys: str) -> Column:
-    return ratio(x, F.sum(F.abs(x)).over(xs.over(*keys)))
-
-
-def _demeaned(x: Column, *keys: str) -> Column:
-    return x - F.avg(x).over(xs.over(*keys))
+        return Section("demean", self._masked(x), group)
 
 
 def formulas(v: Vocabulary) -> dict[str, Node]:
@@ -243,33 +242,135 @@ def formulas(v: Vocabulary) -> dict[str, Node]:
     }
 
 
-def cross_sections(panel: DataFrame, held: list[str], words: dict[str, Section]) -> DataFrame:
+def _twice_ranked(x: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Twice the average rank among known values, as whole numbers; zero where there is none."""
+    at = np.flatnonzero(known)
+    at = at[np.argsort(x[at], kind="stable")]
+    v, new = x[at], np.ones(len(at), dtype=bool)
+    new[1:] = (v[1:] != v[:-1]) & ~(np.isnan(v[1:]) & np.isnan(v[:-1]))
+    starts = np.flatnonzero(new)
+    ties = np.diff(np.append(starts, len(v)))
+    out = np.zeros(len(x), dtype=np.int32)
+    out[at] = np.repeat(2 * starts + ties + 1, ties)
+    return out
+
+
+def _scaled(x: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Values over the sum of absolute ones, and where there are any."""
+    total = np.abs(x[known]).sum()
+    return x / (total or 1.0), known & (total != 0)
+
+
+def _demeaned(x: np.ndarray, known: np.ndarray, group: np.ndarray) -> np.ndarray:
+    sums, counts = np.bincount(group[known], x[known], group.max() + 1), np.bincount(group[known], minlength=group.max() + 1)
+    return x - (sums / np.maximum(counts, 1))[group]
+
+
+def cross_sections(panel: DataFrame, held: list[str], words: dict[str, Section], beside: tuple[str, ...] = (), ready: tuple[str, ...] = ()) -> DataFrame:
     """Keys, the columns ``held`` and those of ``words``.  The panel has one row for each key.
 
-    A row becomes one for each word that it has a value for, and one that carries what is held; these are spread by instrument.  They meet again
-    by instrument, where windows along the instruments follow.
+    Rows are dealt by date, a task computes on one date's rows in arrays, and they are dealt back by instrument in the order of dates, where windows
+    along the instruments follow.  Words in ``ready`` are made of columns that are dealt anyway, held or ``beside``, so that their x isn't.  Ranks
+    are dealt as whole numbers, which take half the room of shares.
     """
-    carried = F.struct(*held)
-    row = lambda word, x, group, rest: F.struct(word.cast("int").alias("__word"), x.cast("double").alias("__x"), group.cast("string").alias("__group"), rest.alias("__held"))
-    none = F.lit(None)
-    rows = [row(-1 - F.pmod(F.xxhash64("instrument"), F.lit(64)), none, none, carried)]
-    rows += [row(F.lit(i), s.x, F.col(s.group) if s.group else none, F.when(F.lit(False), carried)) for i, s in enumerate(words.values())]
-    long = panel.select(*KEYS, F.explode(F.array(*rows)).alias("__r")).select(*KEYS, "__r.*").where("__x is not null or __held is not null")
-    keys, word, value = ("datetime", "__word", "__group"), F.col("__word"), F.lit(None).cast("double")
-    for kind in dict.fromkeys(s.value for s in words.values()):
-        value = F.when(word.isin([i for i, s in enumerate(words.values()) if s.value is kind]), kind(F.col("__x"), *keys)).otherwise(value)
-    made = xs.dealt(xs.dealt(long, *keys).select(*KEYS, "__word", "__held", value.alias("__value")), "instrument").groupBy("instrument", "datetime")
-    return made.agg(F.first("__held", ignorenulls=True).alias("__held"), *(F.max(F.when(word == i, F.col("__value"))).alias(name) for i, name in enumerate(words))).select(*KEYS, "__held.*", *words)
+    groups = {s.group for s in words.values() if s.group}
+    x = {name: s.x.cast("double").alias(f"__{name}") for name, s in words.items()}
+    by = [F.col(g).cast("string").alias(f"__by_{g}") for g in sorted(groups)]
+    dealt = xs.dealt(panel.select(*KEYS, *held, *(c for c in beside if c not in held), *by, *(x[n] for n in words if n not in ready)), "datetime")
+    wide = dealt.select(*KEYS, *held, *(f"__by_{g}" for g in sorted(groups)), *(x[n] if n in ready else f"__{n}" for n in words))
+    ranks, rest = [n for n, s in words.items() if s.word == "rank"], {n: (s.word, s.group) for n, s in words.items() if s.word != "rank"}
+    kept = [*KEYS, *held]
+    whole = T.ArrayType(T.IntegerType())
+    schema = T.StructType([*(wide.schema[c] for c in kept), T.StructField("__twice", whole), T.StructField("__of", whole), *(T.StructField(n, T.DoubleType()) for n in rest)])
+
+    def one_date(rows: pa.Table) -> pa.Table:
+        n = rows.num_rows
+
+        def column(name: str) -> tuple[np.ndarray, np.ndarray]:
+            c = rows.column(f"__{name}")
+            return c.to_numpy(), c.is_valid().to_numpy()
+
+        twice, of = np.zeros((n, len(ranks)), dtype=np.int32), np.zeros(len(ranks), dtype=np.int32)
+        for i, name in enumerate(ranks):
+            v, known = column(name)
+            twice[:, i], of[i] = _twice_ranked(v, known), known.sum()
+        ends = pa.array(np.arange(n + 1, dtype=np.int32) * len(ranks))
+        made = [pa.ListArray.from_arrays(ends, pa.array(twice.ravel())), pa.ListArray.from_arrays(ends, pa.array(np.tile(of, n)))]
+        for name, (word, group) in rest.items():
+            v, known = column(name)
+            if word == "scale":
+                v, known = _scaled(v, known)
+            else:
+                v = _demeaned(v, known, rows.column(f"__by_{group}").combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy())
+            made.append(pa.array(v, mask=~known))
+        return pa.Table.from_arrays([*(rows.column(c) for c in kept), *made], names=schema.names)
+
+    back = xs.dealt(wide.groupBy("datetime").applyInArrow(one_date, schema), "instrument").sortWithinPartitions("instrument", "datetime")
+    share = lambda i: F.when(F.col("__twice")[i] > 0, F.col("__twice")[i] / 2 / F.col("__of")[i])
+    return back.select(*kept, *(share(ranks.index(n)).alias(n) if n in ranks else F.col(n) for n in words))
+
+
+class Rounds:
+    """Words over dates by rounds.  Windows along instruments come before and after a round, but not before the first."""
+
+    def __init__(self, v: Vocabulary, made: dict[str, Node]):
+        self.reads, self.made = v.reads, _reads(tuple(made.values()))
+        self.levels = {name: level for level in sorted(v.levels) for name in v.levels[level]}
+        dates = [name for name, level in self.levels.items() if level % 2 == DATE]
+        first: dict[str, int] = {}
+        for name in dates:
+            windows = any(self.levels.get(r, DATE) % 2 == SERIES for r in self.reads[name])
+            first[name] = max([int(windows), *(first[r] + 1 for r in self.under(self.reads[name]) if r in first)])
+        self.number = max(first.values(), default=-1) + 1
+        self.of: dict[str, int] = {}
+        for name in reversed(dates):
+            last = min((self.of[d] - 1 for d in self.of if name in self.under(self.reads[d])), default=self.number - 1)
+            # one that can't wait for the last round comes as early as it can
+            self.of[name] = last if last == self.number - 1 else first[name]
+
+    def series(self, names: frozenset[str]) -> dict[int, list[str]]:
+        """Words over instruments that ``names`` are made of, by level."""
+        found: dict[int, list[str]] = {}
+        wanted, names = set(), set(names)
+        while names:
+            wanted |= names
+            names = {r for n in names if self.levels.get(n, DATE) % 2 == SERIES for r in self.reads[n]} - wanted
+        for name, level in self.levels.items():
+            if name in wanted and level % 2 == SERIES:
+                found.setdefault(level, []).append(name)
+        return found
+
+    def under(self, names: frozenset[str]) -> set[str]:
+        """Fields and words over dates that ``names`` are made of, by windows along instruments alone."""
+        windows = {n for names_ in self.series(names).values() for n in names_}
+        return {r for n in windows for r in self.reads[n]}.union(names) - windows
+
+    def targets(self, i: int) -> frozenset[str]:
+        """What the round reads, and after the last one the formulas."""
+        return frozenset().union(*(self.reads[n] for n, k in self.of.items() if k == i)) if i < self.number else self.made
+
+    def carried(self, i: int) -> set[str]:
+        """What the round hands on that it doesn't make."""
+        later = set().union(*(self.under(self.targets(k)) for k in range(i + 1, self.number + 1)))
+        return {c for c in later if self.of.get(c, -1) < i}
 
 
 def evaluate(panel: DataFrame, v: SparkVocabulary, made: dict[str, Node]) -> DataFrame:
-    """Keys and the formulas' values, level by level."""
-    for level in sorted(v.levels):
-        if level % 2 == SERIES:
-            panel = panel.withColumns(v.levels[level])
-            continue
-        wanted = _reads(tuple(made.values())).union({v.eligible}, *(v.reads[name] for later in v.levels if later > level for name in v.levels[later]))
-        panel = cross_sections(panel, [c for c in panel.columns if c in wanted and c not in KEYS], v.levels[level])
+    """Keys and the formulas' values, round by round."""
+    rounds = Rounds(v, made)
+    for i in range(rounds.number + 1):
+        for level, names in rounds.series(rounds.targets(i)).items():
+            panel = panel.withColumns({name: v.levels[level][name] for name in names})
+        if i == rounds.number:
+            break
+        words = {n: v.levels[rounds.levels[n]][n] for n, k in rounds.of.items() if k == i}
+        held = sorted(rounds.carried(i).union([v.eligible] if i + 1 < rounds.number else ()) - set(KEYS))
+        # a column that several words would be made of, had they it beside those held, is dealt in place of theirs
+        lacking = {n: v.reads[n] - {s.group, *held, *KEYS} for n, s in words.items()}
+        lone = Counter(c for lack in lacking.values() if len(lack) == 1 for c in lack)
+        beside = {c for c, k in lone.items() if k > 1}
+        ready = tuple(n for n, lack in lacking.items() if lack <= beside)
+        panel = cross_sections(panel, held, words, (*sorted(beside), v.eligible) if ready else (), ready)
     return panel.select(*KEYS, *(node.x.alias(name) for name, node in made.items()))
 
 

@@ -83,3 +83,48 @@ def test_cross_sections_keep_rows_and_columns(spark):
     out = cross_sections(panel, ["own", "x"], {"r": v.date_rank(x), "s": v.date_scale(x), "d": v.date_demean(x + x, "g")}).orderBy("datetime", "instrument").collect()
     want = {"p": (1.0, 0.5, 0.2, 0.0), "q": (3.0, 1.0, 0.6, 0.0), "r": (1.0, 0.5, 0.2, 0.0), "s": (None,) * 4, "t": (9.0, None, None, None)}
     assert [tuple(r) for r in out] == [(d, i, f"{d}{i}", *want[i]) for d in "ab" for i in "pqrst"]
+
+
+def shuffled(spark, frame) -> int:
+    """Bytes that a run of the frame writes to shuffles."""
+    sc = spark.sparkContext
+    sc.setJobGroup(f"shuffled {id(frame)}", "")
+    frame.write.format("noop").mode("overwrite").save()
+    sc._jsc.sc().listenerBus().waitUntilEmpty()
+    sc._jsc.clearJobGroup()
+    tracker, store, done = sc.statusTracker(), sc._jsc.sc().statusStore(), set()
+    for job in tracker.getJobIdsForGroup(f"shuffled {id(frame)}"):
+        done |= {i for i in tracker.getJobInfo(job).stageIds if tracker.getStageInfo(i).numCompletedTasks}
+    return sum(store.lastStageAttempt(i).shuffleWriteBytes() for i in done)
+
+
+def test_formulas_shuffle_little_beside_their_panel(spark):
+    """Windows that the last formulas alone read don't travel through each cross-section, nor does each rank with keys of its own."""
+    path = "/root/testdata/sf0.01"
+    formulas, panel = (shuffled(spark, registry.queries()[q](spark, path)) for q in ("features_alpha_vocabulary", "panel_monthly"))
+    assert 0 < formulas < 12 * panel
+
+
+def test_average_ranks_of_arrays():
+    import numpy as np
+
+    from tessera.operators.formulas import _twice_ranked
+
+    x, nan = np.array([2.0, 0.0, 9.0, -0.0, 2.0, 2.0, np.nan, np.nan]), float("nan")
+    known = np.array([True, True, False, True, True, True, True, True])
+    assert _twice_ranked(x, known).tolist() == [8, 3, 0, 3, 8, 8, 13, 13]
+    assert _twice_ranked(np.array([nan, nan]), np.array([False, False])).tolist() == [0, 0]
+
+
+def test_dates_without_values_or_groups(spark):
+    """Ranks, scales and means of a date that has none, only zeros, or a missing group and date."""
+    from tessera.operators.formulas import SparkVocabulary, cross_sections
+
+    rows = [("a", "p", None, True, "u"), ("b", "p", 0.0, True, None), ("b", "q", 0.0, True, None), ("c", "p", 4.0, False, "u"), (None, "p", 2.0, True, None), (None, "q", 4.0, True, "u")]
+    panel, v = spark.createDataFrame(rows, "datetime string, instrument string, x double, eligible boolean, g string"), SparkVocabulary("eligible")
+    x = panel["x"]
+    words = {"r": v.date_rank(x), "s": v.date_scale(x), "d": v.date_demean(x, "g")}
+    out = {tuple(r)[:2]: tuple(r)[2:] for r in cross_sections(panel, ["x"], words).collect()}
+    assert out == {("a", "p"): (None,) * 4, ("b", "p"): (0.0, 0.75, None, 0.0), ("b", "q"): (0.0, 0.75, None, 0.0), ("c", "p"): (4.0, None, None, None), (None, "p"): (2.0, 0.5, 2 / 6, 0.0), (None, "q"): (4.0, 1.0, 4 / 6, 0.0)}
+    beside = cross_sections(panel, [], words, ("eligible", "x"), ("r", "s", "d")).collect()
+    assert {tuple(r)[:2]: tuple(r)[2:] for r in beside} == {k: w[1:] for k, w in out.items()}
